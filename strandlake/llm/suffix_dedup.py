@@ -23,7 +23,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -346,18 +345,19 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
         F.lower(F.hex(pick(empty, "kept_sha", F.col("sha")))).alias("kept_sha256"))
 
 
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], names=["cut_id", "kept"])
+
+
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text`` (a character cut in half goes as a whole) and ``n_chars``, where it is there, following."""
+    """``docs`` with the repeated bytes cut out of ``text`` (a character cut in half goes as a whole); ``n_chars``, where
+    there, follows."""
     survey, cuts = find_repeats(docs, **options)
-    whole = survey.where("whole").select(F.col("doc_id").alias("cut_id"), F.lit(b"").alias("kept")).distinct()
-    cuts = stage(cuts.select("cut_id", "kept").unionByName(whole), "suffix-cuts")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(_decoded(F.col("kept")))
-    joined = docs.join(cuts, F.col("doc_id") == F.col("cut_id"), "left").withColumn("text", text)
+    cuts = cuts.select("cut_id", "kept").mapInArrow(_decoded, "cut_id long, kept string")
+    whole = survey.where("whole").select(F.col("doc_id").alias("cut_id"), F.lit("").alias("kept")).distinct()
+    cuts = stage(cuts.unionByName(whole), "suffix-cuts")
+    joined = docs.join(cuts, F.col("doc_id") == F.col("cut_id"), "left").withColumn("text", F.coalesce("kept", "text"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(docs.columns)
-
-
-@F.pandas_udf("string")
-def _decoded(kept: pd.Series) -> pd.Series:
-    return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
