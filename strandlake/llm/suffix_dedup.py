@@ -347,17 +347,17 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], names=["cut_id", "kept"])
+        yield pa.record_batch([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], names=["_cut_id", "_kept_text"])
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text`` (a character cut in half goes as a whole); ``n_chars``, where
     there, follows."""
     survey, cuts = find_repeats(docs, **options)
-    cuts = cuts.select("cut_id", "kept").mapInArrow(_decoded, "cut_id long, kept string")
-    whole = survey.where("whole").select(F.col("doc_id").alias("cut_id"), F.lit("").alias("kept")).distinct()
+    cuts = cuts.select("cut_id", "kept").mapInArrow(_decoded, "_cut_id long, _kept_text string")
+    whole = survey.where("whole").select(F.col("doc_id").alias("_cut_id"), F.lit("").alias("_kept_text")).distinct()
     cuts = stage(cuts.unionByName(whole), "suffix-cuts")
-    joined = docs.join(cuts, F.col("doc_id") == F.col("cut_id"), "left").withColumn("text", F.coalesce("kept", "text"))
+    joined = docs.join(cuts, F.col("doc_id") == F.col("_cut_id"), "left").withColumn("text", F.coalesce("_kept_text", "text"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(docs.columns)
