@@ -1,6 +1,6 @@
 """All registered plans of the library."""
 
-from strandlake.plans import coverage, pairs  # noqa: F401
+from strandlake.plans import calls, coverage, kmer, pairs  # noqa: F401
 from strandlake.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
