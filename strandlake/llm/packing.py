@@ -14,6 +14,7 @@ rows; other columns of the input are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -84,7 +85,7 @@ def step_groups(sequences: list[list[tuple[int, int, int]]], budget: int) -> lis
 
 
 def word_encoder(path: str):
-    """Encoder of single chunks for a tokenizer file whose pre-tokeniser never crosses white space."""
+    """Encoder of single chunks for the word-end tokenizer file, whose pre-tokeniser never crosses white space."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -92,6 +93,20 @@ def word_encoder(path: str):
     return lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
 
+#: Fixed value: the pre-tokeniser pattern of the word-end vocabulary, for ASCII and the letters of Latin-1 in lower case.
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+
+
+def word_parts(chunk: bytes) -> list[bytes]:
+    """A chunk as the pre-tokeniser cuts it, if it holds nothing but visible ASCII and Latin-1 letters (on which its normaliser lower-cases
+    only) and no special token; else the chunk whole."""
+    text = chunk.decode("utf-8")
+    if b"<|" in chunk or not PLAIN.fullmatch(text):
+        return [chunk]
+    return [p.encode("utf-8") for p in WORDS.findall(text.lower())]
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = (2048, 1024, 512, 256), shard_tokens: int = 4 << 20, budget: int = 1 << 17) -> DataFrame:
     """One row per piece (see SCHEMA). ``tokenizer_path`` must exist on every executor."""
 
@@ -111,7 +126,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, base = ChunkCache(word_encoder(tokenizer_path)), TaskContext.get().partitionId(), [0, 0]
+        cache, part, base = ChunkCache(word_encoder(tokenizer_path), word_parts), TaskContext.get().partitionId(), [0, 0]
         shard, held = [], 0
         for batch in batches:
             data, ends = text_bytes(batch.column(1))

@@ -1,12 +1,15 @@
 """Token ids of whole texts through a cache of chunks.
 
 A chunk is a run without ASCII white space. Where the tokenizer never joins characters across white space, the ids of a text are
-the ids of its chunks in order; each distinct chunk is encoded once by the library and then copied by numpy.
+the ids of its chunks in order; each distinct chunk is encoded once by the library and then copied by numpy. Where the
+caller can also cut a chunk as the tokenizer's own pre-tokeniser does, chunks that differ in case or punctuation share their parts.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -14,16 +17,31 @@ import numpy as np
 class ChunkCache:
     """``encode``: list of chunks -> list of id lists. The cache is emptied above ``limit`` chunks (memory bound only)."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: Callable[[bytes], list[bytes]] | None = None, limit: int = 800_000):
+        self.encode, self.split, self.limit = encode, split, limit
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.parts: dict[bytes, tuple[int, ...]] = {}
         self.first, self.size, self.ids, self.used = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64), np.zeros(4096, dtype=np.int32), 0
 
+    def _encoded(self, chunks: list[bytes]) -> list:
+        if not self.split:
+            return self.encode([c.decode("utf-8") for c in chunks])
+        cut = [self.split(c) for c in chunks]
+        new = list({p for own in cut for p in own if p not in self.parts})
+        self.parts.update(zip(new, map(tuple, self.encode([p.decode("utf-8") for p in new])), strict=True))
+        return [self.parts[own[0]] if len(own) == 1 else [i for p in own for i in self.parts[p]] for own in cut]
+
     def _learn(self, chunks: list[bytes]) -> None:
-        new = self.encode([c.decode("utf-8") for c in chunks])
+        gc.disable()  # the many small lists made here hold no cycles, and scanning them again and again is slow
+        try:
+            self._add(chunks, self._encoded(chunks))
+        finally:
+            gc.enable()
+
+    def _add(self, chunks: list[bytes], new: list) -> None:
         sizes = np.array([len(x) for x in new], dtype=np.int64)
         n, total = len(self.index), int(sizes.sum())
         while n + len(chunks) > len(self.first):
@@ -40,10 +58,12 @@ class ChunkCache:
         """(ids of all texts, their n + 1 bounds); each text is given as its chunks."""
         if len(self.index) > self.limit:
             self._clear()
-        flat = [c for chunks in texts for c in chunks]
-        if new := list(dict.fromkeys(c for c in flat if c not in self.index)):
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, flat), dtype=np.int64, count=len(flat))
+        flat = list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.index.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        if len(missed := np.flatnonzero(at < 0)):
+            new = [flat[i] for i in missed.tolist()]
+            self._learn(list(dict.fromkeys(new)))
+            at[missed] = np.fromiter(map(self.index.__getitem__, new), dtype=np.int64, count=len(new))
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.first[at] - ends[:-1], size) + np.arange(ends[-1])]
