@@ -48,10 +48,7 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     In complete mode each micro-batch replaces the result; in append mode it is one more part of it."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/strandlake-{spark.sparkContext.applicationId}"
     base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
     def write(batch: DataFrame, number: int) -> None:
