@@ -1,6 +1,6 @@
 """All registered plans of the library."""
 
-from strandlake.plans import calls, coverage, hic, kernels, kmer, pairs, stream, variant  # noqa: F401
+from strandlake.plans import calls, coverage, hic, kernels, kmer, pairs, reads, stream, variant  # noqa: F401
 from strandlake.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
