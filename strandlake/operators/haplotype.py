@@ -19,10 +19,13 @@ def informative(bases: DataFrame, percent: int = 10, least: int = 5) -> DataFram
 
 
 def exact_groups(bases: DataFrame, columns: DataFrame) -> DataFrame:
-    """(win, hap, n): reads of equal strings over the informative columns; ' ' where a read doesn't cover one."""
+    """(win, hap, n): reads of equal strings over the informative columns; ' ' where a read doesn't cover one.
+
+    Where a read has several bases in a column the smallest letter counts."""
     kept = columns.select("win", "col").distinct()
     width = kept.groupBy("win").agg(F.array_sort(F.collect_list("col")).alias("cols"))
-    seen = bases.join(kept, ["win", "col"]).groupBy("win", "read").agg(F.map_from_entries(F.collect_list(F.struct("col", "base"))).alias("at"))
+    single = bases.join(kept, ["win", "col"]).groupBy("win", "read", "col").agg(F.min("base").alias("base"))
+    seen = single.groupBy("win", "read").agg(F.map_from_entries(F.collect_list(F.struct("col", "base"))).alias("at"))
     hap = F.array_join(F.transform("cols", lambda c: F.coalesce(F.try_element_at("at", c), F.lit(" "))), "")
     return seen.join(width, "win").groupBy("win", hap.alias("hap")).agg(F.count("*").alias("n"))
 

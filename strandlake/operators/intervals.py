@@ -35,18 +35,19 @@ def next_site(queries: DataFrame, sites: DataFrame, at: str, site: str, out: str
 
     Within tiles a window over the union carries the next site back; the first site behind a tile comes from the much
     smaller table of first sites per tile, so no window spans a contig's rows."""
+    names = key if on in key else [*key, on]
     q = queries.withColumn("_tile", F.expr(f"{at} div {width}"))
     s = sites.select(on, F.col(site).alias("_site")).withColumn("_tile", F.expr(f"_site div {width}"))
     firsts = s.groupBy(on, "_tile").agg(F.min("_site").alias("_first"))
     wanted = q.select(on, "_tile").distinct().join(firsts, [on, "_tile"], "full")
     ahead = Window.partitionBy(on).orderBy("_tile").rowsBetween(1, Window.unboundedFollowing)
     behind = wanted.select(on, "_tile", F.first("_first", ignorenulls=True).over(ahead).alias("_behind"))
-    both = q.select(on, "_tile", F.col(at).alias("_at"), F.lit(None).cast(dict(sites.dtypes)[site]).alias("_site"), F.struct(*key).alias("_key")).unionByName(
-        s.select(on, "_tile", F.col("_site").alias("_at"), "_site", F.lit(None).cast(q.select(F.struct(*key).alias("k")).schema["k"].dataType).alias("_key")))
+    both = q.select(on, "_tile", F.col(at).alias("_at"), F.lit(None).cast(dict(sites.dtypes)[site]).alias("_site"), F.struct(*names).alias("_key")).unionByName(
+        s.select(on, "_tile", F.col("_site").alias("_at"), "_site", F.lit(None).cast(q.select(F.struct(*names).alias("k")).schema["k"].dataType).alias("_key")))
     within = Window.partitionBy(on, "_tile").orderBy(F.col("_at"), F.col("_site").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
     found = both.withColumn("_next", F.first("_site", ignorenulls=True).over(within)).where("_key is not null")
-    found = found.join(behind, [on, "_tile"], "left").select(F.col("_key.*"), F.coalesce("_next", "_behind").alias(out))
-    return queries.join(found.distinct(), key, "left")
+    found = found.join(behind, [on, "_tile"], "left").select(F.col("_key.*"), F.col("_at").alias(at), F.coalesce("_next", "_behind").alias(out))
+    return queries.join(found.distinct(), [*names, at], "left")
 
 
 def in_any(value: Column, options: list) -> Column:

@@ -86,7 +86,7 @@ bases as (select read, sample, win, c as col, case when (l_orderkey // 8 + c) %
 
 
 def _bases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = v.aln(spark, sf_dir, duplicates=True).withColumn("read", F.struct("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"))
+    pairs = v.aln(spark, sf_dir, duplicates=True).withColumn("read", F.monotonically_increasing_id())
     r = pairs.select("read", "sample", F.expr("chr * 1000 + pos1 div 200").alias("win"), "pos1", "l_orderkey", "l_linenumber", F.explode(F.expr("sequence(0L, 3L)")).alias("col")).where("(pos1 + col * 13) % 5 <> 0")
     return r.select("read", "sample", "win", "col", F.expr("case when (l_orderkey div 8 + col) % 4 = 0 then 'G' when (l_orderkey div 8 + col) % 9 = 1 and l_linenumber = 1 then 'T' else '.' end").alias("base"))
 
