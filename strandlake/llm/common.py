@@ -20,12 +20,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a temporary folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    Only where the session leaves it unset (tests on one machine) a temporary folder of the application stands in."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/strandlake-{spark.sparkContext.applicationId}"
     return folder.rstrip("/")
 
 
@@ -52,6 +48,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def arrow_map(df: DataFrame, fn: Callable, schema, rows: int = 1000) -> DataFrame:
+    """``mapInArrow`` with at most ``rows`` rows in a batch: texts are long, and a batch lies in the memory of both processes."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, rows + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(fn, schema)
+
+
 def by_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
     """Apply ``fn(table, bounds)`` to whole groups of ``keys``.
 
@@ -78,7 +82,7 @@ def by_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> Data
             table = pa.Table.from_batches(held).combine_chunks()
             yield from fn(table, _bounds(table, keys))
 
-    return keyed.mapInArrow(run, schema)
+    return arrow_map(keyed, run, schema)
 
 
 def _key_arrays(data, keys: list[str]) -> list[np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import by_groups, stage
+from strandlake.llm.common import arrow_map, by_groups, stage
 from strandlake.llm.components import connected_components
 from strandlake.llm.simhash import smallest_labels
 
@@ -103,11 +103,11 @@ def _link(threshold: float, block: int = 512):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, bucket_size: int = 1024, seed: int = 5) -> DataFrame:
     """The result of the query: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    rows = stage(rows.mapInArrow(_packed, "vec_id long, label string, vec binary"), "embed-rows")
+    rows = stage(arrow_map(rows, _packed, "vec_id long, label string, vec binary"), "embed-rows")
     classes = stage(rows.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")), "embed-classes")
     largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bits, tables = table_plan(largest, threshold)
-    coded = stage(classes.mapInArrow(_codes(bits, tables, seed), "label string, vec binary, node long, size long, codes binary, code array<long>"), "embed-codes")
+    coded = stage(arrow_map(classes, _codes(bits, tables, seed), "label string, vec binary, node long, size long, codes binary, code array<long>"), "embed-codes")
     length = F.octet_length("vec").alias("length")
     counts = stage(coded.select("label", length, F.posexplode("code").alias("tab", "bucket")).groupBy("label", "length", "tab", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "embed-buckets")
     cut = coded.select("label", length, "vec", "node", "size", "codes", F.posexplode("code").alias("tab", "bucket")).join(counts, ["label", "length", "tab", "bucket"])

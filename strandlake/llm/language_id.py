@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.llm.common import arrow_map
+
 UNDETERMINED = "und"
 AT_ONCE = 1 << 20  # characters that are scored together
 
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, buckets: int = 1 << 16, orders:
             at = np.flatnonzero(total)
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "bucket", "n"])
 
-    table = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = arrow_map(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table["lang"].to_pylist()))
     counts = np.zeros((len(langs), buckets + 1))
     for lang, bucket, n in zip(table["lang"].to_pylist(), table["bucket"].to_pylist(), table["n"].to_pylist(), strict=True):
@@ -145,7 +147,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([*batch.columns, pa.array(names, pa.string()), pa.array(best)], names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return arrow_map(kept, run, schema)
 
 
 def identify(docs: DataFrame, fit_rows: int = 20_000) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import text_bytes
+from strandlake.llm.common import arrow_map, text_bytes
 from strandlake.llm.licence_templates import TEMPLATES
 
 WORD = re.compile(rb"[a-z0-9]+")
@@ -109,4 +109,4 @@ def scan_documents(docs: DataFrame, templates: dict[str, list[str]] | None = Non
                 names=["doc_id", "licence", "dice", "licences"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, licence string, dice double, licences array<string>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, licence string, dice double, licences array<string>")

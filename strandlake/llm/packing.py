@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import text_bytes
+from strandlake.llm.common import arrow_map, text_bytes
 from strandlake.llm.tokens import ChunkCache
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -107,7 +107,7 @@ def word_parts(chunk: bytes) -> list[bytes]:
     return [p.encode("utf-8") for p in WORDS.findall(text.lower())]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = (2048, 1024, 512, 256), shard_tokens: int = 4 << 20, budget: int = 1 << 17) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers: tuple[int, ...] = (2048, 1024, 512, 256), shard_tokens: int = 2 << 20, budget: int = 1 << 17) -> DataFrame:
     """One row per piece (see SCHEMA). ``tokenizer_path`` must exist on every executor."""
 
     def emit(shard: list[tuple[int | None, np.ndarray]], part: int, base: list[int]) -> pa.RecordBatch:
@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
             data, ends = text_bytes(batch.column(1))
             docs, begin = batch.column(0).to_pylist(), 0
             while begin < len(docs):
-                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + (4 << 20), side="right")) - 1)
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + (2 << 20), side="right")) - 1)
                 ids, bounds = cache([data[ends[i] : ends[i + 1]].tobytes().split() for i in range(begin, end)])
                 for i in range(end - begin):
                     own = np.append(ids[bounds[i] : bounds[i + 1]], end_id).astype("<u4")
@@ -145,4 +145,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, tiers:
         if shard:
             yield emit(shard, part, base)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)

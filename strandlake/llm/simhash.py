@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import by_groups, stage, text_bytes
+from strandlake.llm.common import arrow_map, by_groups, stage, text_bytes
 from strandlake.llm.components import connected_components
 
 SEED = 42
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fps = np.fromiter((fingerprint(data[a:b].tobytes(), width) for a, b in zip(ends[:-1], ends[1:], strict=True)), dtype=np.uint64, count=batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 class BKTree:

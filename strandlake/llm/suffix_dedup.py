@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import by_groups, stage, text_bytes
+from strandlake.llm.common import arrow_map, by_groups, stage, text_bytes
 
 SPAN, GRAM = 400, 64
 BLOCK = 1 << 20  # bytes that are hashed together
@@ -180,7 +180,7 @@ def _survey(docs: DataFrame, span: int, gram: int) -> DataFrame:
             sha = [hashlib.sha256(data[a:b]).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(np.diff(ends)), pa.array(sha, pa.binary()), *lists], names=["doc_id", "n_bytes", "sha", "first", "last", "anchor"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, sha binary, first array<int>, last array<int>, anchor array<long>")
+    return arrow_map(docs, run, "doc_id long, n_bytes long, sha binary, first array<int>, last array<int>, anchor array<long>")
 
 
 def _segments(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
@@ -325,12 +325,12 @@ def find_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_byte
         F.when(pieces > 1, F.col("anchor")).otherwise(F.lit(0)).alias("hot"), F.when(pieces > 1, F.pmod(F.xxhash64("doc_id"), pieces).cast("int")).otherwise(F.lit(0)).alias("piece"), pieces.alias("pieces"))
     by_doc = stage(dealt.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "shard", "hot", "piece", "pieces")).alias("runs")), "suffix-runs")
     chosen = texts.join(by_doc, "doc_id").select("doc_id", "text", "runs")
-    segments = chosen.mapInArrow(lambda batches: _segments(batches, span), "shard long, hot long, piece int, pieces int, first int, doc_id long, bytes binary")
+    segments = arrow_map(chosen, lambda batches: _segments(batches, span), "shard long, hot long, piece int, pieces int, first int, doc_id long, bytes binary")
     found = stage(by_groups(segments, ["shard", "hot", "piece"], _shard(span), _FOUND), "suffix-found")
     merged = by_groups(found.where("digests is not null").select("hot", "range", "piece", "digests", "docs", "starts"), ["hot", "range"], _merge(span), "doc_id long, a long, b long")
     ranges = found.where("doc_id is not null").select("doc_id", "a", "b").unionByName(merged).join(survey.where("whole").select("doc_id"), "doc_id", "left_anti")
     by_doc = stage(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "suffix-ranges")
-    cuts = texts.join(by_doc, "doc_id").select("doc_id", "text", "ranges").mapInArrow(_cut, "cut_id long, n_removed long, n_spans long, kept_sha binary, kept binary")
+    cuts = arrow_map(texts.join(by_doc, "doc_id").select("doc_id", "text", "ranges"), _cut, "cut_id long, n_removed long, n_spans long, kept_sha binary, kept binary")
     return survey, cuts
 
 
@@ -354,7 +354,7 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text`` (a character cut in half goes as a whole); ``n_chars``, where
     there, follows."""
     survey, cuts = find_repeats(docs, **options)
-    cuts = cuts.select("cut_id", "kept").mapInArrow(_decoded, "_cut_id long, _kept_text string")
+    cuts = arrow_map(cuts.select("cut_id", "kept"), _decoded, "_cut_id long, _kept_text string")
     whole = survey.where("whole").select(F.col("doc_id").alias("_cut_id"), F.lit("").alias("_kept_text")).distinct()
     cuts = stage(cuts.unionByName(whole), "suffix-cuts")
     joined = docs.join(cuts, F.col("doc_id") == F.col("_cut_id"), "left").withColumn("text", F.coalesce("_kept_text", "text"))

@@ -15,34 +15,35 @@ import numpy as np
 
 
 class ChunkCache:
-    """``encode``: list of chunks -> list of id lists. The cache is emptied above ``limit`` chunks (memory bound only)."""
+    """``encode``: list of chunks -> list of id lists. Its tables are emptied above ``limit`` entries (which bounds memory, not what is encoded)."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: Callable[[bytes], list[bytes]] | None = None, limit: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], split: Callable[[bytes], list[bytes]] | None = None, limit: int = 400_000):
         self.encode, self.split, self.limit = encode, split, limit
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.parts: dict[bytes, tuple[int, ...]] = {}
+        self.parts: dict[bytes, bytes] = {}
         self.first, self.size, self.ids, self.used = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64), np.zeros(4096, dtype=np.int32), 0
 
-    def _encoded(self, chunks: list[bytes]) -> list:
+    def _encoded(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk as the bytes of 32-bit integers."""
         if not self.split:
-            return self.encode([c.decode("utf-8") for c in chunks])
+            return [np.array(x, dtype=np.int32).tobytes() for x in self.encode([c.decode("utf-8") for c in chunks])]
+        if len(self.parts) > self.limit:
+            self.parts = {}
         cut = [self.split(c) for c in chunks]
         new = list({p for own in cut for p in own if p not in self.parts})
-        self.parts.update(zip(new, map(tuple, self.encode([p.decode("utf-8") for p in new])), strict=True))
-        return [self.parts[own[0]] if len(own) == 1 else [i for p in own for i in self.parts[p]] for own in cut]
+        self.parts.update((p, np.array(x, dtype=np.int32).tobytes()) for p, x in zip(new, self.encode([p.decode("utf-8") for p in new]), strict=True))
+        return [b"".join(map(self.parts.__getitem__, own)) for own in cut]
 
     def _learn(self, chunks: list[bytes]) -> None:
-        gc.disable()  # the many small lists made here hold no cycles, and scanning them again and again is slow
+        gc.disable()  # the many small objects made here hold no cycles, and scanning them again and again is slow
         try:
-            self._add(chunks, self._encoded(chunks))
+            new = self._encoded(chunks)
         finally:
             gc.enable()
-
-    def _add(self, chunks: list[bytes], new: list) -> None:
-        sizes = np.array([len(x) for x in new], dtype=np.int64)
+        sizes = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) // 4
         n, total = len(self.index), int(sizes.sum())
         while n + len(chunks) > len(self.first):
             self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
@@ -50,7 +51,7 @@ class ChunkCache:
             self.ids = np.concatenate([self.ids, self.ids])
         self.size[n : n + len(chunks)] = sizes
         self.first[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in new for i in x), dtype=np.int32, count=total)
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(new), dtype=np.int32)
         self.used += total
         self.index.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import new_path, stage
+from strandlake.llm.common import arrow_map, new_path, stage
 
 SKIPPABLE = 0x184D2A5D
 CRLF = b"\r\n"
@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_si
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     again = stage(revisits(rows, min_bytes), "warc-revisits")
-    return stage(rows.join(again, "page_id", "left").select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return stage(arrow_map(rows.join(again, "page_id", "left").select("page_id", "url", "html", "refers_to"), run, "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     tasks = max(1, manifest.sparkSession.sparkContext.defaultParallelism)
-    return manifest.select("path").repartition(max(tasks, int(manifest.count()))).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return arrow_map(manifest.select("path").repartition(max(tasks, int(manifest.count()))), run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archive(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
