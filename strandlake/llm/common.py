@@ -29,10 +29,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: a lineage cut that survives lost executors."""
+def stage(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: a lineage cut that survives lost executors.
+
+    ``made`` collects the paths of tables that their caller drops once nothing reads them any more."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if made is not None:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -180,8 +181,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
 def archive(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """The result of the query: what the archives of all pages hold, read back."""
-    folder = new_path(spark, "warc")
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(folder)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_path(spark, "warc"))
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(target)
+    folder = re.sub("^file:/+", "file:///", store.makeQualified(target).toUri().toString())  # with its scheme, for executors
     return read_archives(write_archives(pages, folder, min_bytes)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
