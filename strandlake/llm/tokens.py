@@ -8,6 +8,7 @@ caller can also cut a chunk as the tokenizer's own pre-tokeniser does, chunks th
 from __future__ import annotations
 
 import gc
+from array import array
 from collections.abc import Callable
 from itertools import chain, repeat
 
@@ -29,12 +30,12 @@ class ChunkCache:
     def _encoded(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of each chunk as the bytes of 32-bit integers."""
         if not self.split:
-            return [np.array(x, dtype=np.int32).tobytes() for x in self.encode([c.decode("utf-8") for c in chunks])]
+            return [array("i", x).tobytes() for x in self.encode([c.decode("utf-8") for c in chunks])]
         if len(self.parts) > self.limit:
             self.parts = {}
         cut = [self.split(c) for c in chunks]
         new = list({p for own in cut for p in own if p not in self.parts})
-        self.parts.update((p, np.array(x, dtype=np.int32).tobytes()) for p, x in zip(new, self.encode([p.decode("utf-8") for p in new]), strict=True))
+        self.parts.update((p, array("i", x).tobytes()) for p, x in zip(new, self.encode([p.decode("utf-8") for p in new]), strict=True))
         return [b"".join(map(self.parts.__getitem__, own)) for own in cut]
 
     def _learn(self, chunks: list[bytes]) -> None:
