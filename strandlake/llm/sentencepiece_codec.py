@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.common import arrow_map
 from strandlake.llm.tokens import ChunkCache
 
 MARK = "▁"
@@ -135,15 +136,19 @@ class Codec:
         self.tokenizer = Tokenizer(core)
         self.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * m.dummy_prefix])
         self.unknown, self.skipped = unknown, hidden - {unknown}
+        self.surface = [b"" if i in self.skipped else m.unk_surface.encode() if i == unknown else bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True))]
         users = sorted((p for p, t in zip(m.pieces, m.types, strict=True) if t == USER_DEFINED), key=len, reverse=True)
         self.users = re.compile("|".join(map(re.escape, users))) if users else None
         self.ids = {p: i for i, p in enumerate(m.pieces)}
         self.cuts = not any(MARK in p.lstrip(MARK) for p in m.pieces) and (m.kind == BPE or all(len(set(p)) > 1 or len(p) == 1 for p in m.pieces if p.startswith(MARK)))
         self.cache = ChunkCache(self._encode_chunks)
+        # words between single spaces, where a space is all that the normaliser changes; a word from a line feed on has no marker
+        self.lines = not any("\n" in p for p in m.pieces)
+        self.words = ChunkCache(lambda ws: self._encode_chunks([w if self.lines and w[:1] == "\n" else MARK + w for w in ws]), limit=800_000) if self.cuts and m.dummy_prefix and not m.charsmap and not m.squeeze else None
 
     def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         if not self.users:
-            return [e.ids for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+            return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         parts, plan = [], []  # user-defined pieces are taken out first, the longest at each place
         for chunk in chunks:
             at, own = 0, []
@@ -156,20 +161,44 @@ class Codec:
                 own.append((len(parts), None))
                 parts.append(chunk[at:])
             plan.append(own)
-        got = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         return [[i for k, user in own for i in (got[k] if user is None else [user])] for own in plan]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts behind each other, their n + 1 bounds)."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self.words and t and t[0] != " " and "  " not in t and MARK not in t]
+        other = sorted(set(range(len(texts))) - set(plain))
+        for chosen, encode in ((plain, self._encode_words), (other, self._encode_normalised)):
+            ids, bounds = encode([texts[i] for i in chosen])
+            for i, a, b in zip(chosen, bounds[:-1], bounds[1:], strict=True):
+                out[i] = ids[a:b]
+        return out
+
+    def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.lines:  # no piece holds a line feed, so none crosses it
+            texts = [t.replace("\n", " \n") for t in texts]
+        return self.words([t.encode("utf-8").split(b" ") for t in texts]) if texts else (np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64))
+
+    def _encode_normalised(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [self.normalizer.normalize_str(t) if t else "" for t in texts]
         if self.model.squeeze:
             plain = ["" if p == MARK else p for p in plain]
         chunks = [re.findall(f"{MARK}*[^{MARK}]+|{MARK}+$", p) if self.cuts else [p] * bool(p) for p in plain]
         return self.cache([[c.encode("utf-8") for c in own] for own in chunks])
 
-    def decode(self, ids: np.ndarray) -> str:
-        names = self.model.pieces
-        return self.decoder.decode([self.model.unk_surface if i == self.unknown else names[i] for i in ids.tolist() if i not in self.skipped])
+    def decode(self, texts: list[np.ndarray]) -> list[str]:
+        """The text of each list of ids: control ids have none, the unknown id has the model's own surface."""
+        return [self._joined(ids.tolist()) for ids in texts]
+
+    def _joined(self, ids: list[int]) -> str:
+        """Pieces and fallback bytes joined; the library's decoder takes texts whose bytes are no UTF-8."""
+        try:
+            text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8")
+        except UnicodeDecodeError:
+            names = self.model.pieces
+            return self.decoder.decode([self.model.unk_surface if i == self.unknown else names[i] for i in ids if i not in self.skipped])
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, verify: bool = True) -> DataFrame:
@@ -188,14 +217,13 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, verify:
             for begin in range(0, whole.num_rows, 500):
                 batch = whole.slice(begin, 500)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                ids, bounds = codec.encode(texts)
-                own = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                back = [codec.decode(x) for x in own]
+                own = codec.encode(texts)
+                back = codec.decode(own)
                 parity = pa.nulls(len(own), pa.bool_())
                 if other:
                     theirs = other.encode(texts, num_threads=1)
                     parity = pa.array([x.tolist() == y and t == u for x, y, t, u in zip(own, theirs, back, other.decode(theirs), strict=True)], pa.bool_())
-                cols = [pa.array(np.diff(bounds)), pa.array([zlib.crc32(x.astype("<u4")) for x in own], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()), pa.array([t == u for t, u in zip(texts, back, strict=True)], pa.bool_()), parity]
+                cols = [pa.array([len(x) for x in own], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in own], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()), pa.array([t == u for t, u in zip(texts, back, strict=True)], pa.bool_()), parity]
                 yield pa.record_batch([batch.column(0), *cols], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean, parity boolean")
