@@ -155,15 +155,17 @@ def overlap(seq1: str, seq2: str, probes: tuple[int, ...] = (5, 10, 17), size: i
 
 
 def align_pairs(reads: DataFrame) -> DataFrame:
-    """Columns id, read, window (fixed lengths) -> id, score, cigar, start, n_changes, rebuilt (equals the read)."""
+    """Columns id, off, read, window (of one length; reads may be shorter at the end of a sequence) -> id, off, score, cigar, start,
+    n_changes, rebuilt (equals the read)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k in range(0, len(frame), 64):
-                part = frame.iloc[k : k + 64]
-                score, cigar, start = gapped(codes(part["read"].tolist()), codes(part["window"].tolist()))
-                changes = [encode(r, w, c, s) for r, w, c, s in zip(part["read"], part["window"], cigar, start, strict=True)]
-                same = [decode(w, c, s, x) == r for r, w, c, s, x in zip(part["read"], part["window"], cigar, start, changes, strict=True)]
-                yield pd.DataFrame({"id": part["id"], "score": score, "cigar": cigar, "start": start, "n_changes": [len(x) for x in changes], "rebuilt": same})
-
-    return reads.select("id", "read", "window").mapInPandas(run, "id long, score int, cigar string, start long, n_changes int, rebuilt boolean")
+            for _, alike in frame.groupby(frame["read"].str.len()):
+                for k in range(0, len(alike), 64):
+                    part = alike.iloc[k : k + 64]
+                    score, cigar, start = gapped(codes(part["read"].tolist()), codes(part["window"].tolist()))
+                    changes = [encode(r, w, c, s) for r, w, c, s in zip(part["read"], part["window"], cigar, start, strict=True)]
+                    same = [decode(w, c, s, x) == r for r, w, c, s, x in zip(part["read"], part["window"], cigar, start, changes, strict=True)]
+                    yield pd.DataFrame({"id": part["id"], "off": part["off"], "score": score, "cigar": cigar, "start": start, "n_changes": [len(x) for x in changes], "rebuilt": same})
+
+    return reads.select("id", "off", "read", "window").mapInPandas(run, "id long, off long, score int, cigar string, start long, n_changes int, rebuilt boolean")

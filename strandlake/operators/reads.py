@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import translate_codons
@@ -14,6 +14,18 @@ from strandlake.functions.sequence import translate_codons
 ADAPTER = "AGATCGGAAGAGC"
 
 
+def tiles(sequences: DataFrame, width: int, step: int | Column | None = None, seq: str = "seq") -> DataFrame:
+    """(id, off, seq): pieces of ``width`` bases from every ``step``-th base (``width`` if not given) of whole sequences, with their
+    0-based offset; pieces at the end are shorter, and an empty sequence has none.
+
+    Cut as bytes, as in ``explode_kmers``: a substring of a long string costs its offset."""
+    step = F.lit(width) if step is None else F.lit(step) if isinstance(step, int) else step
+    n = F.floor((F.length(seq) - 1) / step).cast("int")
+    cut = sequences.where(F.length(seq) > 0).select("id", F.col(seq).cast("binary").alias("_b"), step.cast("int").alias("_step"), n.alias("_n"))
+    each = F.transform(F.sequence(F.lit(0), "_n"), lambda i: F.struct((i * F.col("_step")).alias("off"), F.substr("_b", i * F.col("_step") + 1, F.lit(width)).alias("b")))
+    return cut.select("id", F.explode(each).alias("x")).select("id", F.col("x.off").cast("long").alias("off"), F.col("x.b").cast("string").alias("seq"))
+
+
 def trim_point(seq: str, adapter: str = ADAPTER, most: int = 2, least: int = 40) -> int:
     """Where the adapter begins: the last place of one of its first three 6-mers with at most ``most`` errors behind it and
     ``least`` bases before, else a prefix of 5 to 1 bases at the read's end; the read's length if there is none."""

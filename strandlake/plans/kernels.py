@@ -12,15 +12,25 @@ from pyspark.sql import functions as F
 from strandlake.functions.sequence import revcomp
 from strandlake.operators import align
 from strandlake.operators import haplotype as hp
+from strandlake.operators.reads import tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
 
 
-def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A read of 100 bases with two changes, and the 256-base window it comes from (from base 33 on)."""
-    dna = v.dna(spark, sf_dir).where("length(seq) >= 256").select("id", F.substring("seq", 1, 256).alias("window"))
-    read = F.expr("concat(substr(window, 34, 20 + cast(id % 30 as int)), substr('ACGT', cast(id % 4 + 1 as int), 1), substr(window, 34 + 21 + cast(id % 30 as int) + cast(id % 5 as int), 200))")
-    return dna.select("id", F.substring(read, 1, 100).alias("read"), "window")
+READ = "substr(concat(substr(window, 34, 20 + cast(id % 30 as int)), substr('ACGT', cast(id % 4 + 1 as int), 1), substr(window, 34 + 21 + cast(id % 30 as int) + cast(id % 5 as int), 200)), 1, 100)"
+
+
+def _first_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read of 100 bases with two changes, and the 256-base window it comes from (from base 33 on), as the SQL of ungapped_shift has them."""
+    return v.dna(spark, sf_dir).where("length(seq) >= 256").select("id", F.substring("seq", 1, 256).alias("window")).select("id", F.expr(READ).alias("read"), "window")
+
+
+def _reads(sequences: DataFrame) -> DataFrame:
+    """Reads of 100 bases with two changes, one from every 100th base (``off``) of whole sequences, and their windows of 256 bases,
+    which begin 33 bases before. N stands for bases outside a sequence; the last read of a sequence is as long as its bases go."""
+    padded = sequences.select("id", F.concat(F.lit("N" * 33), "seq").alias("seq"), F.length("seq").alias("n"))
+    windows = tiles(padded.where("n > 0"), 256, 100).where("length(seq) > 33").withColumnRenamed("seq", "window")
+    return windows.select("id", "off", F.expr(READ).alias("read"), F.rpad("window", 256, "N").alias("window"))
 
 
 @query(
@@ -29,55 +39,77 @@ s as (select id, sh, length(list_filter(range(1, 101), lambda i: substr(read, i,
 select id, arg_min(sh, (wrong, sh)) as shift, min(wrong) as n_mismatches from s group by id"""
 )
 def ungapped_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best ungapped placement within shifts of -16..15."""
+    """Best ungapped placement of each text's first read within shifts of -16..15."""
+    return _shifts(_first_reads(spark, sf_dir).withColumn("off", F.lit(0).cast("long"))).drop("off")
+
+
+def _shifts(reads: DataFrame) -> DataFrame:
+    """(id, off, shift, n_mismatches) of reads that may be shorter at the end of a sequence."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if len(f):
+        for frame in frames:
+            for _, f in frame.groupby(frame["read"].str.len()):
                 at, wrong = align.ungapped(align.codes(f["read"].tolist()), align.codes(f["window"].str.slice(16).tolist()))
-                yield pd.DataFrame({"id": f["id"], "shift": at, "n_mismatches": wrong})
+                yield pd.DataFrame({"id": f["id"], "off": f["off"], "shift": at, "n_mismatches": wrong})
+
+    return reads.select("id", "off", "read", "window").mapInPandas(run, "id long, off long, shift long, n_mismatches long")
 
-    return _reads(spark, sf_dir).mapInPandas(run, "id long, shift long, n_mismatches long")
+
+@query()
+def ungapped_shift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best ungapped placement of the reads of whole texts."""
+    return _shifts(_reads(v.dna(spark, sf_dir)))
 
 
 @query()
 def gapped_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Affine-gap alignment: score, CIGAR and place of each read, and whether it can be rebuilt."""
-    return align.align_pairs(_reads(spark, sf_dir))
+    return align.align_pairs(_reads(v.dna(spark, sf_dir)))
 
 
 @query()
 def roundtrip_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads per number of changes, and how many are rebuilt from reference, CIGAR and changes (all)."""
-    return align.align_pairs(_reads(spark, sf_dir)).groupBy("n_changes").agg(F.count("*").alias("n_reads"), F.count_if("rebuilt").alias("n_rebuilt"))
+    return align.align_pairs(_reads(v.dna(spark, sf_dir))).groupBy("n_changes").agg(F.count("*").alias("n_reads"), F.count_if("rebuilt").alias("n_rebuilt"))
 
 
-@query()
-def overlap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read-through overlap of mates that share an insert shorter than a read."""
+def _overlaps(sequences: DataFrame) -> DataFrame:
+    """(id, off, align_len): whole sequences are cut into inserts of 60 + id % 60 bases, each with its mates."""
     size = F.expr("cast(60 + id % 60 as int)")
-    insert = v.dna(spark, sf_dir).where("length(seq) >= 200").select("id", F.substr("seq", F.lit(1), size).alias("ins"), F.substring("seq", 150, 50).alias("tail"))
-    # the insert's end is followed by other bases in both mates
-    mates = insert.select("id", F.substring(F.concat("ins", "tail"), 1, 100).alias("seq1"), F.substring(F.concat(revcomp(F.col("ins")), "tail"), 1, 100).alias("seq2"))
+    insert = tiles(sequences, 199, size).select("id", "off", F.substr("seq", F.lit(1), size).alias("ins"), F.substring("seq", 150, 50).alias("tail"))
+    # the insert's end is followed by other bases in both mates, as far as the sequence goes
+    mates = insert.select("id", "off", F.substring(F.concat("ins", "tail"), 1, 100).alias("seq1"), F.substring(F.concat(revcomp(F.col("ins")), "tail"), 1, 100).alias("seq2"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["id"], "align_len": np.array([align.overlap(a, b) for a, b in zip(f["seq1"], f["seq2"], strict=True)], dtype=np.int64)})
+            yield pd.DataFrame({"id": f["id"], "off": f["off"], "align_len": np.array([align.overlap(a, b) for a, b in zip(f["seq1"], f["seq2"], strict=True)], dtype=np.int64)})
 
-    return mates.mapInPandas(run, "id long, align_len long")
+    return mates.mapInPandas(run, "id long, off long, align_len long")
 
 
 @query()
-def softclip_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept length of reads whose end doesn't match: cut at the ninth mismatch or where quality ends, not below 32."""
-    reads = v.dna(spark, sf_dir).where("length(seq) >= 300").select("id", F.concat(F.substring("seq", 1, 60), F.substring("seq", 200, 40)).alias("read"), F.substring("seq", 1, 100).alias("ref"), F.expr("concat(repeat('I', 50 + cast(id % 40 as int)), repeat('#', 50 - cast(id % 40 as int)))").alias("qual"))
+def overlap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read-through overlap of mates that share an insert shorter than a read, for every insert of the whole texts."""
+    return _overlaps(v.dna(spark, sf_dir))
+
+
+def _clips(sequences: DataFrame) -> DataFrame:
+    """(id, off, n_mismatches, kept) of reads from every 100th base; a read at the end of a sequence has no foreign end or a shorter one."""
+    reads = tiles(sequences, 239, 100).select("id", "off", F.concat(F.substring("seq", 1, 60), F.substring("seq", 200, 40)).alias("read"), F.substring("seq", 1, 100).alias("ref"), F.expr("concat(repeat('I', 50 + cast(id % 40 as int)), repeat('#', 50 - cast(id % 40 as int)))").alias("qual"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            wrong = [[i for i, (a, b) in enumerate(zip(r, g, strict=True)) if a != b] for r, g in zip(f["read"], f["ref"], strict=True)]
-            yield pd.DataFrame({"id": f["id"], "n_mismatches": [len(w) for w in wrong], "kept": [align.clip_end(r, q, w) for r, q, w in zip(f["read"], f["qual"], wrong, strict=True)]})
+            wrong = [[i for i, (a, b) in enumerate(zip(r, g, strict=False)) if a != b] for r, g in zip(f["read"], f["ref"], strict=True)]
+            kept = [align.clip_end(r, q[: len(r)], w) for r, q, w in zip(f["read"], f["qual"], wrong, strict=True)]
+            yield pd.DataFrame({"id": f["id"], "off": f["off"], "n_mismatches": [len(w) for w in wrong], "kept": kept})
+
+    return reads.mapInPandas(run, "id long, off long, n_mismatches long, kept long")
+
 
-    return reads.mapInPandas(run, "id long, n_mismatches long, kept long")
+@query()
+def softclip_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept length of the reads of whole texts whose end doesn't match: cut at the ninth mismatch or where quality ends, not below 32."""
+    return _clips(v.dna(spark, sf_dir))
 
 
 # Reads over windows of 200 positions of the duplicated pairs; columns are grid positions with a base that depends on the pair.
