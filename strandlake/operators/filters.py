@@ -58,3 +58,13 @@ def ordinal_sample(ordinal: Column, modulus: int, remainders: list[int]) -> Colu
     if not 2 <= modulus <= 65536:
         raise ValueError("modulus must be 2..65536")
     return (ordinal % modulus).isin(remainders)
+
+
+def ranked(rows: DataFrame, by: list[str], tile: Column, order: list[str]) -> DataFrame:
+    """Adds ``rank`` from 1 in ``order`` within ``by``. ``tile`` must not fall along ``order``: rows are numbered within a tile and the
+    rows of the tiles before are added, so no window holds all rows of a group."""
+    tiled = rows.withColumn("_tile", tile)
+    sizes = tiled.groupBy(*by, "_tile").agg(F.count("*").alias("_n"))
+    before = sizes.select(*by, "_tile", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_tile")) - F.col("_n")).alias("_before"))
+    number = F.row_number().over(Window.partitionBy(*by, "_tile").orderBy(*order))
+    return tiled.withColumn("_k", number).join(before, [*by, "_tile"]).withColumn("rank", F.col("_before") + F.col("_k")).drop("_tile", "_k", "_before")

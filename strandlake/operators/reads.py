@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import translate_codons
+from strandlake.functions.sequence import AMINO_ACIDS
 
 #: Fixed value: a common sequencing adapter.
 ADAPTER = "AGATCGGAAGAGC"
@@ -41,25 +42,58 @@ def trim_point(seq: str, adapter: str = ADAPTER, most: int = 2, least: int = 40)
 
 
 def trim_adapters(reads: DataFrame, adapter: str = ADAPTER) -> DataFrame:
-    """(id, seq) -> (id, seq trimmed, cut)."""
+    """(id, off, seq) -> (id, off, seq trimmed, cut)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             at = [trim_point(s, adapter) for s in f["seq"]]
-            yield pd.DataFrame({"id": f["id"], "seq": [s[:k] for s, k in zip(f["seq"], at, strict=True)], "cut": [k < len(s) for s, k in zip(f["seq"], at, strict=True)]})
+            yield pd.DataFrame({"id": f["id"], "off": f["off"], "seq": [s[:k] for s, k in zip(f["seq"], at, strict=True)], "cut": [k < len(s) for s, k in zip(f["seq"], at, strict=True)]})
 
-    return reads.select("id", "seq").mapInPandas(run, "id long, seq string, cut boolean")
+    return reads.select("id", "off", "seq").mapInPandas(run, "id long, off long, seq string, cut boolean")
+
+
+#: Amino acid by codon number (T, C, A, G are 0 to 3); X for codons with other letters.
+_AMINO = np.frombuffer((AMINO_ACIDS + "X").encode(), dtype=np.uint8)
+_DIGIT = np.full(256, 64, dtype=np.int64)
+_DIGIT[np.frombuffer(b"TCAG", dtype=np.uint8)] = range(4)
+
+
+def phases(seq: str) -> list[str]:
+    """Amino acids of the codons from base 0, 1 and 2 on, in time linear in the sequence."""
+    digits = _DIGIT[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)]
+    return [_AMINO[np.minimum(digits[p : p + max(len(seq) - p, 0) // 3 * 3].reshape(-1, 3) @ (16, 4, 1), 64)].tobytes().decode() for p in range(3)]
+
+
+def codon_phases(sequences: DataFrame) -> DataFrame:
+    """(id, phase, peptide): amino acids of all codons of whole sequences, in each of the three forward phases."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, p, peptide) for i, s in zip(f["id"], f["seq"], strict=True) for p, peptide in enumerate(phases(s))]
+            yield pd.DataFrame(rows, columns=["id", "phase", "peptide"])
+
+    return sequences.select("id", "seq").mapInPandas(run, "id long, phase int, peptide string")
 
 
 def open_frames(sequences: DataFrame, least: int = 20) -> DataFrame:
     """(id, start, peptide) of open reading frames: from an ATG (0-based) to the first stop or the end, ``least`` amino acids at least;
-    of frames that end alike only the longest stays."""
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("seq") - 2, F.lit(1))), lambda i: F.substr("seq", i, F.lit(3)) == "ATG")
-    each = sequences.select("id", "seq", F.explode(starts).alias("at"))
-    peptide = F.split(translate_codons(F.substr("seq", "at", F.length("seq"))), r"\*")[0]
-    found = each.select("id", (F.col("at") - 1).alias("start"), peptide.alias("peptide")).where(F.length("peptide") >= least)
-    ends = found.withColumn("stop", F.col("start") + 3 * F.length("peptide"))
-    return ends.groupBy("id", "stop").agg(F.min_by("peptide", "start").alias("peptide"), F.min("start").alias("start")).select("id", "start", "peptide")
+    of frames that end alike only the longest stays.
+
+    Between two stops of a phase that is the frame of the first ATG (the only codon of M)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for i, s in zip(f["id"], f["seq"], strict=True):
+                for p, peptide in enumerate(phases(s)):
+                    at = 0
+                    for part in peptide.split("*"):
+                        if (m := part.find("M")) >= 0 and len(part) - m >= least:
+                            rows.append((i, p + 3 * (at + m), part[m:]))
+                        at += len(part) + 1
+            yield pd.DataFrame(rows, columns=["id", "start", "peptide"])
+
+    return sequences.select("id", "seq").mapInPandas(run, "id long, start long, peptide string")
 
 
 def lift(hits: DataFrame, exons: DataFrame) -> DataFrame:

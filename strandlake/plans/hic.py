@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.contacts import is_contact, multiplicity, with_sites
+from strandlake.operators.reads import tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
 
@@ -69,3 +70,14 @@ def ligation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.substring("seq", 1, 127)
     s = v.dna(spark, sf_dir).where("length(seq) >= 60").select("id", seq.alias("seq"), F.regexp_replace(seq, LIGATION + ".*$", "").alias("head"))
     return s.select("id", "head", (F.length("head") < F.length("seq")).alias("was_cut"), (F.length("head") >= 28).alias("kept"))
+
+
+def _ligation_heads(sequences: DataFrame) -> DataFrame:
+    s = tiles(sequences, 127, 120).select("id", "off", "seq", F.regexp_replace("seq", LIGATION + ".*$", "").alias("head"))
+    return s.select("id", "off", "head", (F.length("head") < F.length("seq")).alias("was_cut"), (F.length("head") >= 28).alias("kept"))
+
+
+@query()
+def ligation_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for reads of 127 bases from every 120th base of whole texts, so that each site lies in a read."""
+    return _ligation_heads(v.dna(spark, sf_dir))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as q
 from strandlake.operators.kmers import explode_kmers, kmer_counts, pair_hits, seed_hits, unique_prefixes, uniqueness
+from strandlake.operators.reads import codon_phases
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
 
@@ -30,6 +31,22 @@ def kmer16_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.dna(spark, sf_dir).where("length(seq) >= 18").select("id", F.substring("seq", 17, 2).alias("next2"), q.seed_key(F.substring("seq", 1, 18)).alias("seed_key"))
 
 
+@query()
+def revcomp_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reverse complement of whole texts."""
+    return v.dna(spark, sf_dir).select("id", q.revcomp(F.col("seq")).alias("rc"), F.length("seq").cast("long").alias("n_bases"))
+
+
+def _encoded(sequences: DataFrame) -> DataFrame:
+    return explode_kmers(sequences, "seq", 18, ("id",)).select("id", "off", F.substring("kmer", 17, 2).alias("next2"), q.seed_key(F.col("kmer")).alias("seed_key"))
+
+
+@query()
+def kmer16_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every 18-mer of whole texts."""
+    return _encoded(v.dna(spark, sf_dir))
+
+
 @query(COUNTS + " select kmer, cnt from counts where cnt >= 4")
 def kmer_canonical_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical 11-mers that occur four times or more."""
@@ -139,6 +156,18 @@ def seed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.withColumn("slot", slot.cast("long")).where("slot < 8").select("kmer", "fwd", "slot", "id")
 
 
+def _slots(sequences: DataFrame) -> DataFrame:
+    slot = F.row_number().over(Window.partitionBy("kmer").orderBy("id", "off")) - 1
+    k = explode_kmers(sequences, "seq", 12, ("id",)).withColumn("slot", slot.cast("long")).where("slot < 8")
+    return k.select("kmer", (F.col("kmer") < q.revcomp(F.col("kmer"))).alias("fwd"), "slot", "id", "off")
+
+
+@query()
+def seed_slots_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of every 12-mer of whole texts, by text and offset; eight are the table's slots for a k-mer."""
+    return _slots(v.dna(spark, sf_dir))
+
+
 CODONS = "[" + ", ".join(f"'{a}'" for a in q.AMINO_ACIDS) + "]"
 
 
@@ -147,3 +176,9 @@ select id, list_aggregate(list_transform(range(0, 30), lambda i: {CODONS}[1 + 16
 def codon_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amino acids of the first 30 codons."""
     return v.dna(spark, sf_dir).where("length(seq) >= 90").select("id", q.translate_codons(F.substring("seq", 1, 90)).alias("peptide"))
+
+
+@query()
+def codon_translation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amino acids of all codons of whole texts, in the three forward phases."""
+    return codon_phases(v.dna(spark, sf_dir))

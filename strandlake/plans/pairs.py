@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import sequence as q
 from strandlake.operators.filters import PAIR_ORDER, few_indels, mark_clones, on_contig, well_behaved, with_order_keys
 from strandlake.operators.mapping import chimera_bucket, mapping_statistics, route, unmapped_bucket
+from strandlake.operators.reads import tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
 
@@ -181,6 +182,39 @@ def fasta_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.dna(spark, sf_dir).where("length(seq) >= 68").select("id", F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), F.substring("seq", 1, 136)).alias("record"))
 
 
+def _dump(sequences: DataFrame) -> DataFrame:
+    at, one = F.concat_ws(":", F.col("id").cast("string"), F.col("off").cast("string")), F.substring("seq", 1, 100)
+    lines = F.array(F.concat(F.lit("000 "), at, F.lit(" fixed_len="), F.length(one).cast("string")), F.concat(F.lit("001 Head1 @"), at, F.lit("/1")), F.concat(F.lit("002 Read1 "), one), F.concat(F.lit("003 Read2 "), q.revcomp(F.substring("seq", 101, 100))))
+    return tiles(sequences, 200).select("id", "off", F.posexplode(lines).alias("no", "line")).withColumn("no", F.col("no").cast("long"))
+
+
+@query()
+def raw_dump_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every 200 bases of whole texts and the rest, named by text and offset."""
+    return _dump(v.dna(spark, sf_dir))
+
+
+def _fastq(sequences: DataFrame) -> DataFrame:
+    head = F.concat(F.lit("@"), F.col("id").cast("string"), F.lit(":"), F.col("off").cast("string"), F.lit("/1"))
+    return tiles(sequences, 100).select("id", "off", F.concat_ws("\n", head, "seq", F.lit("+"), F.repeat(F.lit("I"), F.length("seq"))).alias("record"))
+
+
+@query()
+def fastq_export_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTQ records of every 100 bases of whole texts and the rest, named by text and offset."""
+    return _fastq(v.dna(spark, sf_dir))
+
+
+def _fasta(sequences: DataFrame) -> DataFrame:
+    return tiles(sequences, 136).select("id", "off", F.concat(F.lit(">"), F.col("id").cast("string"), F.lit(":"), F.col("off").cast("string"), F.lit("\n"), "seq").alias("record"))
+
+
+@query()
+def fasta_export_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FASTA records of every 136 bases of whole texts and the rest, named by text and offset."""
+    return _fasta(v.dna(spark, sf_dir))
+
+
 @query("""with o as (select o_custkey as name, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as k from orders), p as (select name || '_' || (k + 1) // 2 as name, (k - 1) % 2 + 1 as mate, o_orderkey from o)
 select name, max(case when mate = 1 then o_orderkey end) as read1, max(case when mate = 2 then o_orderkey end) as read2, count(*) = 2 as paired from p group by name""")
 def mate_name_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,26 +7,29 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.sequence import revcomp
 from strandlake.operators import reads as rd
+from strandlake.operators.filters import ranked
 from strandlake.plans.pairs import with_cigar
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
 
 
-def _with_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dna = v.dna(spark, sf_dir).where("length(seq) >= 120")
-    return dna.select("id", F.expr(f"substr(concat(substr(seq, 1, cast(30 + id % 80 as int)), case when id % 3 = 0 then '' else '{rd.ADAPTER}' end, substr(seq, 100, 40)), 1, 100)").alias("seq"))
+def _with_adapter(sequences: DataFrame) -> DataFrame:
+    """Reads of whole sequences, one behind the other: 30 + id % 80 bases (100 at most count), the adapter in two of three, other bases."""
+    size = F.expr("cast(30 + id % 80 as int)")
+    spans = rd.tiles(sequences, 139, F.least(size, F.lit(100)))
+    return spans.select("id", "off", F.expr(f"substr(concat(substr(seq, 1, cast(30 + id % 80 as int)), case when id % 3 = 0 then '' else '{rd.ADAPTER}' end, substr(seq, 100, 40)), 1, 100)").alias("seq"))
 
 
 @query()
 def trim_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads without the adapter at their end."""
-    return rd.trim_adapters(_with_adapter(spark, sf_dir))
+    """Reads of whole texts without the adapter at their end."""
+    return rd.trim_adapters(_with_adapter(v.dna(spark, sf_dir)))
 
 
 @query()
 def open_reading_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peptides of 20 amino acids and more in the first 600 bases."""
-    return rd.open_frames(v.dna(spark, sf_dir).select("id", F.substring("seq", 1, 600).alias("seq")))
+    """Peptides of 20 amino acids and more in whole texts."""
+    return rd.open_frames(v.dna(spark, sf_dir))
 
 
 EXONS = f"""{v.FEATURES}, raw as (select gene_id as tid, chr, start, "end", row_number() over (partition by gene_id order by start, feature_id) as k from features where kind = 'exon'),
@@ -55,6 +58,18 @@ def unmapped_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.row_number().over(w).alias("rank"))
 
 
+def _pair_ranks(sequences: DataFrame) -> DataFrame:
+    p = rd.tiles(sequences, 120).select("id", "off", F.substring("seq", 1, 60).alias("s1"), F.substring("seq", 61, 60).alias("s2"))
+    p = p.select("id", "off", F.concat(F.substring("s1", 1, 1), F.substring("s2", 1, 1)).alias("bucket"), F.concat("s1", "s2").alias("s"), F.length(F.concat("s1", "s2")).alias("n"))
+    return ranked(p, ["bucket"], F.substring("s", 1, 6), ["s", "n", "id", "off"]).select("id", "off", "rank")
+
+
+@query()
+def unmapped_sort_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pairs of 120 bases of whole texts; the last pair of a text is shorter."""
+    return _pair_ranks(v.dna(spark, sf_dir))
+
+
 @query(f"""with {v.ALN} select ordinal, l_partkey, l_suppkey, case when rev1 then '-' else '+' end || ' chr' || chr || ':' || pos1 || '..' || (pos1 + len1 - 1) || ' ' || klass as fetch_line, chr || chr(9::int) || least(pos1, pos2) || chr(9::int) || greatest(pos1, pos2) || chr(9::int) || umi as contig_line,
 case when klass in ('m', 'g') then (mm_off + 1) || ':' || mm_nt else '.' end as refless_line from (select *, chr as c from aln)""".replace("' chr' || chr ||", "' chr' || c ||").replace("chr || chr(9::int) || least", "c || chr(9::int) || least"))
 def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,3 +100,13 @@ def canonical_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a sequence belongs to the forward or the reverse output of the canonical split."""
     s = F.substring("seq", 1, 50)
     return v.dna(spark, sf_dir).where("length(seq) >= 50").select("id", s.alias("fwd"), (revcomp(s) < s).alias("is_reverse"))
+
+
+def _canonical_reads(sequences: DataFrame) -> DataFrame:
+    return rd.tiles(sequences, 50).select("id", "off", F.col("seq").alias("fwd"), (revcomp(F.col("seq")) < F.col("seq")).alias("is_reverse"))
+
+
+@query()
+def canonical_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every 50 bases of whole texts and the rest."""
+    return _canonical_reads(v.dna(spark, sf_dir))

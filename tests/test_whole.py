@@ -1,11 +1,15 @@
 """Plans over whole texts against brute force: nothing behind a prefix, a cap or a stride is left out."""
 
 import random
+import re
 
 import pytest
 
+from strandlake.functions.sequence import AMINO_ACIDS
 from strandlake.operators import align
-from strandlake.plans import kernels
+from strandlake.operators import reads as rd
+from strandlake.plans import hic, kernels, kmer, pairs
+from strandlake.plans import reads as plan_reads
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -71,3 +75,64 @@ def test_overlaps_and_clips_of_whole_texts(seqs, texts):
     assert rows(kernels._overlaps(seqs), "id", "off", "align_len") == sorted(overlaps)
     assert rows(kernels._clips(seqs), "id", "off", "n_mismatches", "kept") == sorted(clips)
     assert any(n for _, _, n in overlaps) and any(n > 8 for _, _, n, _ in clips)
+
+
+def translated(s):
+    return "".join(AMINO_ACIDS[16 * "TCAG".index(s[k]) + 4 * "TCAG".index(s[k + 1]) + "TCAG".index(s[k + 2])] for k in range(0, len(s) - 2, 3))
+
+
+def test_frames_and_codons_of_whole_texts(spark, texts, seqs):
+    late = [(50, "C" * 700 + "ATG" + "GCC" * 30 + "TAA" + "C" * 10), (51, "ATG" + "GCC" * 250), (52, "ATGGCCATG" + "GCC" * 30 + "TGA")]
+    want = {}
+    for i, s in texts + late:
+        for at in (m.start() for m in re.finditer("(?=ATG)", s)):
+            peptide = translated(s[at:]).split("*")[0]
+            if len(peptide) >= 20:
+                want.setdefault((i, at + 3 * len(peptide)), (i, at, peptide))
+    got = rows(rd.open_frames(spark.createDataFrame(texts + late, "id long, seq string")), "id", "start", "peptide")
+    assert got == sorted(want.values())
+    assert {(50, 700), (51, 0), (52, 0)} <= {(i, at) for i, at, _ in got}
+    assert rows(rd.codon_phases(seqs), "id", "phase", "peptide") == sorted((i, p, translated(s[p:])) for i, s in texts for p in range(3))
+
+
+def test_trimmed_reads_of_whole_texts(seqs, texts):
+    want = []
+    for i, s in texts:
+        size = 30 + i % 80
+        for off in range(0, len(s), min(size, 100)):
+            read = (s[off : off + size] + ("" if i % 3 == 0 else rd.ADAPTER) + s[off + 99 : off + 139])[:100]
+            k = rd.trim_point(read)
+            want.append((i, off, read[:k], k < len(read)))
+    assert rows(rd.trim_adapters(plan_reads._with_adapter(seqs)), "id", "off", "seq", "cut") == sorted(want)
+
+
+def test_exports_and_orders_of_whole_texts(spark, seqs, texts):
+    cut = lambda n, step=None: [(i, off, s[off : off + n]) for i, s in texts for off in range(0, len(s), step or n)]
+    assert rows(pairs._fastq(seqs), "record") == sorted((f"@{i}:{off}/1\n{s}\n+\n{'I' * len(s)}",) for i, off, s in cut(100))
+    assert rows(pairs._fasta(seqs), "record") == sorted((f">{i}:{off}\n{s}",) for i, off, s in cut(136))
+    lines = [(i, off, k, x) for i, off, s in cut(200) for k, x in enumerate((f"000 {i}:{off} fixed_len={len(s[:100])}", f"001 Head1 @{i}:{off}/1", f"002 Read1 {s[:100]}", f"003 Read2 {rc(s[100:])}"))]
+    assert rows(pairs._dump(seqs), "id", "off", "no", "line") == sorted(lines)
+    assert rows(plan_reads._canonical_reads(seqs), "id", "off", "fwd", "is_reverse") == sorted((i, off, s, rc(s) < s) for i, off, s in cut(50))
+    by_bucket = {}
+    for i, off, s in cut(120):
+        by_bucket.setdefault((s[:1], s[60:61]), []).append((s, len(s), i, off))
+    assert rows(plan_reads._pair_ranks(seqs), "id", "off", "rank") == sorted((i, off, k) for group in by_bucket.values() for k, (_, _, i, off) in enumerate(sorted(group), 1))
+    sites = [(90, "C" * 123 + "GATCGATC" + "C" * 300 + "TTATAA" + "C" * 50)]
+    heads = []
+    for i, s in texts + sites:
+        for off in range(0, len(s), 120):
+            head = re.sub(hic.LIGATION + ".*$", "", s[off : off + 127])
+            heads.append((i, off, head, len(head) < len(s[off : off + 127]), len(head) >= 28))
+    got = rows(hic._ligation_heads(spark.createDataFrame(texts + sites, "id long, seq string")), "id", "off", "head", "was_cut", "kept")
+    assert got == sorted(heads) and sum(c for i, _, _, c, _ in got if i == 90) == 2
+
+
+def test_keys_and_slots_of_whole_texts(seqs, texts):
+    code = lambda k: sum("ACGT".index(b) * 4 ** (15 - n) for n, b in enumerate(k[:16])) & 0x3FFFFFFF
+    assert rows(kmer._encoded(seqs), "id", "off", "next2", "seed_key") == sorted((i, k, s[k + 16 : k + 18], code(s[k : k + 18])) for i, s in texts for k in range(len(s) - 17))
+    found = {}
+    for i, s in texts:
+        for k in range(len(s) - 11):
+            found.setdefault(s[k : k + 12], []).append((i, k))
+    want = sorted((x, x < rc(x), n, i, k) for x, at in found.items() for n, (i, k) in enumerate(sorted(at)[:8]))
+    assert rows(kmer._slots(seqs), "kmer", "fwd", "slot", "id", "off") == want
