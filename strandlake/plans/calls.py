@@ -166,7 +166,20 @@ select w.chr, w.pos, w.o as shift, cast(coalesce(sum(cov_p), 0) as bigint) as co
 )
 def pwm_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth by strand in the 60 bases on either side of up to 1024 positions that are called in both samples."""
-    chosen = germline_snp_calls(spark, sf_dir).groupBy("chr", "pos").agg(F.count("*").alias("n")).where("n = 2").orderBy("chr", "pos").limit(1024).select("chr", "pos")
+    return _windows(spark, sf_dir, _called_twice(spark, sf_dir).orderBy("chr", "pos").limit(1024))
+
+
+@query()
+def pwm_window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth by strand in the 60 bases on either side of every position that is called in both samples."""
+    return _windows(spark, sf_dir, _called_twice(spark, sf_dir))
+
+
+def _called_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return germline_snp_calls(spark, sf_dir).groupBy("chr", "pos").agg(F.count("*").alias("n")).where("n = 2").select("chr", "pos")
+
+
+def _windows(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
     wide = chosen.withColumn("shift", F.explode(F.sequence(F.lit(-60).cast("long"), F.lit(60).cast("long")))).withColumn("at", F.col("pos") + F.col("shift"))
     segments = depth_segments(read_spans(_pairs(spark, sf_dir), KEYS), "s", "e", ("chr",), {"cov_m": F.col("rev")}).withColumn("seg_last", F.col("seg_end") - 1)
     hits = overlap_join(wide, segments, "at", "at", "seg_start", "seg_last").select("chr", "pos", "shift", (F.col("depth") - F.col("cov_m")).alias("cov_p"), "cov_m")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as q
-from strandlake.operators.filters import PAIR_ORDER, few_indels, mark_clones, on_contig, well_behaved, with_order_keys
+from strandlake.operators.filters import PAIR_ORDER, few_indels, mark_clones, on_contig, ranked, well_behaved, with_order_keys
 from strandlake.operators.mapping import chimera_bucket, mapping_statistics, route, unmapped_bucket
 from strandlake.operators.reads import tiles
 from strandlake.plans.registry import query
@@ -61,6 +61,18 @@ def kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("rank", F.row_number().over(Window.partitionBy("chr").orderBy(*PAIR_ORDER))).where("rank <= 500").select("chr", "rank", "ordinal")
 
 
+def _merged(pairs: DataFrame) -> DataFrame:
+    pairs = with_order_keys(pairs)
+    merged = pairs.where("l_orderkey % 2 = 0").unionByName(pairs.where("l_orderkey % 2 <> 0"))
+    return ranked(merged, ["chr"], F.expr("lo div 4096"), PAIR_ORDER).select("chr", "rank", "ordinal")
+
+
+@query()
+def kway_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stores united and merged in pair order: all pairs of each contig."""
+    return _merged(v.aln(spark, sf_dir))
+
+
 ROUTED = f"""with {v.ALN}, w as (select *, chr as chr1, cast(case when l_orderkey % 13 = 0 then (l_suppkey + l_partkey) % 24 + 1 else chr end as int) as chr2, case when l_partkey % 17 = 0 then 0 else pos1 end as p1, case when l_orderkey % 19 = 0 then 0 else pos2 end as p2, case when l_partkey % 11 = 0 then 2 else 1 end as n_matches from aln),
 f as (select *, case when p1 <= 0 and p2 <= 0 then 'UM' when not (p1 > 0 and p2 > 0) then 'HM' when chr1 <> chr2 or abs(p1 - p2) > 1023 then 'C' when n_matches > 1 then 'M' else klass end as family, case when p1 > 0 and p2 > 0 then least(p1, p2) else greatest(p1, p2) end as low from w)"""
 

@@ -8,8 +8,9 @@ import pytest
 from strandlake.functions.sequence import AMINO_ACIDS
 from strandlake.operators import align
 from strandlake.operators import reads as rd
-from strandlake.plans import hic, kernels, kmer, pairs
+from strandlake.plans import calls, hic, kernels, kmer, pairs
 from strandlake.plans import reads as plan_reads
+from strandlake.sources import views as v
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -136,3 +137,21 @@ def test_keys_and_slots_of_whole_texts(seqs, texts):
             found.setdefault(s[k : k + 12], []).append((i, k))
     want = sorted((x, x < rc(x), n, i, k) for x, at in found.items() for n, (i, k) in enumerate(sorted(at)[:8]))
     assert rows(kmer._slots(seqs), "kmer", "fwd", "slot", "id", "off") == want
+
+
+def test_merged_order_has_no_row_limit(spark):
+    rng = random.Random(12)
+    kind = "chr int, ordinal long, pos1 long, pos2 long, umi string, l_partkey long, l_suppkey long, l_orderkey long, l_linenumber long"
+    made = [(rng.randint(1, 2), i, a, a + rng.randint(-300, 300), "AC", rng.randint(1, 9), 1, i, 1) for i in range(2500) for a in [rng.randint(1, 20000)]]
+    by_contig = {}
+    for r in made:
+        by_contig.setdefault(r[0], []).append((min(r[2:4]), max(r[2:4]), *r[4:], r[1]))
+    want = sorted((c, k, r[-1]) for c, group in by_contig.items() for k, r in enumerate(sorted(group), 1))
+    assert rows(pairs._merged(spark.createDataFrame(made, kind)), "chr", "rank", "ordinal") == want
+    assert max(k for _, k, _ in want) > 500
+
+
+def test_windows_of_more_than_1024_positions(spark):
+    chosen = spark.range(1, 1101).selectExpr("cast(id % 24 + 1 as int) as chr", "id * 10 as pos")
+    assert calls._windows(spark, FOLDER, chosen).count() == 1100 * 121
+    assert calls.pwm_window_whole(spark, FOLDER).count() == calls._called_twice(spark, FOLDER).count() * 121
