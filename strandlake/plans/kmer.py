@@ -53,6 +53,12 @@ def kmer_canonical_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmer_counts(v.dna(spark, sf_dir), K).where("cnt >= 4")
 
 
+@query()
+def kmer_canonical_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All canonical 11-mers with their counts."""
+    return kmer_counts(v.dna(spark, sf_dir), K)
+
+
 @query(COUNTS + " select case when cnt = 1 then 'unique' when cnt = 2 then 'dual' else 'multi' end as klass, count(*) as n_kmers, cast(sum(cnt) as bigint) as n_total from counts group by 1")
 def kmer_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-mers and occurrences per uniqueness class."""
@@ -89,6 +95,19 @@ def kmer_merge_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("kmer").agg(F.sum("f").alias("n_fwd"), F.sum("r").alias("n_rev"), F.sum(F.col("f") + F.col("r")).alias("n_all")).where("n_all >= 3")
 
 
+def _both_strands(sequences: DataFrame) -> DataFrame:
+    """The reverse strand's 12-mers are the reverse complements of the forward ones: counted once, before the merge."""
+    forward = explode_kmers(sequences, "seq", 12).groupBy("kmer").agg(F.count("*").alias("n"))
+    both = forward.select("kmer", F.col("n").alias("f"), F.lit(0).cast("long").alias("r")).unionByName(forward.select(q.revcomp(F.col("kmer")).alias("kmer"), F.lit(0).cast("long").alias("f"), F.col("n").alias("r")))
+    return both.groupBy("kmer").agg(F.sum("f").alias("n_fwd"), F.sum("r").alias("n_rev"), F.sum(F.col("f") + F.col("r")).alias("n_all"))
+
+
+@query()
+def kmer_merge_add_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forward and reverse counts of all 12-mers, merged and added."""
+    return _both_strands(v.dna(spark, sf_dir))
+
+
 SEEDS = f"""{v.dna_sql('benchmark', 'ref')}, sk as (select id as chr, unnest(range(1, greatest(length(seq) - 14, 1))) as pos, seq from ref),
 seeds as (select any_value(kmer16) as kmer16, any_value(chr) as chr, any_value(pos) as pos from (select substr(seq, pos, 16) as kmer16, chr, pos from sk) where starts_with(kmer16, 'A') group by kmer16 having count(*) = 1)"""
 HITS = f"""with {v.dna_sql()}, {SEEDS}, sp as (select id, off, substr(seq, off + 1, 16) as kmer16 from (select id, seq, unnest(range(0, greatest(length(seq) - 15, 0))) as off from dna)),

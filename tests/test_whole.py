@@ -2,11 +2,12 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 
 from strandlake.functions.sequence import AMINO_ACIDS
-from strandlake.operators import align
+from strandlake.operators import align, kmers
 from strandlake.operators import reads as rd
 from strandlake.plans import calls, hic, kernels, kmer, pairs
 from strandlake.plans import reads as plan_reads
@@ -155,3 +156,15 @@ def test_windows_of_more_than_1024_positions(spark):
     chosen = spark.range(1, 1101).selectExpr("cast(id % 24 + 1 as int) as chr", "id * 10 as pos")
     assert calls._windows(spark, FOLDER, chosen).count() == 1100 * 121
     assert calls.pwm_window_whole(spark, FOLDER).count() == calls._called_twice(spark, FOLDER).count() * 121
+
+
+def test_every_kmer_is_counted_on_both_strands(seqs, texts):
+    forward = Counter(s[k : k + 12] for _, s in texts for k in range(len(s) - 11))
+    reverse = Counter(rc(s)[k : k + 12] for _, s in texts for k in range(len(s) - 11))
+    assert rows(kmer._both_strands(seqs), "kmer", "n_fwd", "n_rev", "n_all") == sorted((x, forward[x], reverse[x], forward[x] + reverse[x]) for x in forward | reverse)
+
+
+def test_rare_kmers_stay(spark):
+    got = {r["kmer"]: r["cnt"] for r in kmer.kmer_canonical_counts_whole(spark, FOLDER).collect()}
+    want = Counter(min(s[k : k + 11], rc(s[k : k + 11])) for (s,) in v.dna(spark, FOLDER).select("seq").collect() for k in range(len(s) - 10))
+    assert got == want and min(got.values()) < 4
