@@ -178,6 +178,20 @@ def exon_read_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("feature_id").agg(F.count("*").alias("n_reads"), F.array_join(listed, ";").alias("reads"))
 
 
+def _exon_reads(pairs: DataFrame, exons: DataFrame) -> DataFrame:
+    one = pairs.selectExpr("chr", "pos1 as m_start", "pos1 + len1 - 1 as m_end", "ordinal", "case when rev1 then 'l' else 'L' end as code")
+    two = pairs.selectExpr("chr", "pos2 as m_start", "pos2 + len2 - 1 as m_end", "ordinal", "case when rev2 then 'R' else 'r' end as code")
+    hits = overlap_join(one.unionByName(two), exons, "m_start", "m_end", "start", "end")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "code"))), lambda x: F.concat(x["ordinal"].cast("string"), x["code"]))
+    return hits.groupBy("feature_id").agg(F.count("*").alias("n_reads"), F.array_join(listed, ";").alias("reads"))
+
+
+@query()
+def exon_read_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each exon that reads overlap, the reads of both mates: ordinal and L, l (first mate forward, reverse) or r, R (second)."""
+    return _exon_reads(v.aln(spark, sf_dir), v.features(spark, sf_dir).where("kind = 'exon'").select("feature_id", "chr", "start", "end"))
+
+
 @query(
     f"""with {v.ALN}, {v.REGIONS} select chr, count(*) as n_pairs, count(*) filter (exists (select 1 from regions r where r.chr = a.chr and r.start - 10 <= a.pos1 and r."end" + 10 >= a.pos1)) as n_in_regions from aln a group by chr"""
 )

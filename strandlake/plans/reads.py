@@ -44,9 +44,19 @@ select hit, tid, cast(min(g) as bigint) as start, string_agg(case when before is
 )
 def transcript_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits on transcripts as genome starts and CIGARs with introns."""
+    return _lifted(spark, sf_dir, v.table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0"))
+
+
+@query()
+def transcript_lift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the hits of all orders."""
+    return _lifted(spark, sf_dir, v.table(spark, sf_dir, "orders"))
+
+
+def _lifted(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     exons = v.features(spark, sf_dir).where("kind = 'exon'").withColumn("k", F.row_number().over(Window.partitionBy("gene_id").orderBy("start", "feature_id")))
     exons = exons.selectExpr("gene_id as tid", "(k - 1) * 20000 + start as start", "(k - 1) * 20000 + end as end")
-    hits = v.table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").selectExpr("o_orderkey as hit", "o_custkey as tid", "(o_orderkey * 11) % 700 as off", "100 as len")
+    hits = orders.selectExpr("o_orderkey as hit", "o_custkey as tid", "(o_orderkey * 11) % 700 as off", "100 as len")
     return rd.lift(hits, exons)
 
 

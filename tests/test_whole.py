@@ -9,7 +9,7 @@ import pytest
 from strandlake.functions.sequence import AMINO_ACIDS
 from strandlake.operators import align, kmers
 from strandlake.operators import reads as rd
-from strandlake.plans import calls, hic, kernels, kmer, pairs
+from strandlake.plans import calls, coverage, hic, kernels, kmer, pairs
 from strandlake.plans import reads as plan_reads
 from strandlake.sources import views as v
 
@@ -168,3 +168,20 @@ def test_rare_kmers_stay(spark):
     got = {r["kmer"]: r["cnt"] for r in kmer.kmer_canonical_counts_whole(spark, FOLDER).collect()}
     want = Counter(min(s[k : k + 11], rc(s[k : k + 11])) for (s,) in v.dna(spark, FOLDER).select("seq").collect() for k in range(len(s) - 10))
     assert got == want and min(got.values()) < 4
+
+
+def test_exons_list_both_mates(spark):
+    made = [(i, 1, rng, rng + 40, i % 2 == 0, i % 3 == 0, 100, 100) for i in range(1, 60) for rng in [i * 37 % 900]]
+    pairs_ = spark.createDataFrame(made, "ordinal long, chr int, pos1 long, pos2 long, rev1 boolean, rev2 boolean, len1 int, len2 int")
+    exons = [(8 * k, 1, k * 100, k * 100 + 50) for k in range(1, 12)]
+    want = []
+    for f, _, a, b in exons:
+        hit = sorted((o, ("l" if r1 else "L") if m == 1 else ("R" if r2 else "r")) for o, _, p1, p2, r1, r2, _, _ in made for m, p in ((1, p1), (2, p2)) if p <= b and p + 99 >= a)
+        want += [(f, len(hit), ";".join(f"{o}{c}" for o, c in hit))] if hit else []
+    assert rows(coverage._exon_reads(pairs_, spark.createDataFrame(exons, "feature_id long, chr int, start long, end long")), "feature_id", "n_reads", "reads") == sorted(want)
+
+
+def test_all_hits_are_lifted(spark):
+    part = {r["hit"]: (r["start"], r["cigar"]) for r in plan_reads.transcript_lift(spark, FOLDER).collect()}
+    all_ = {r["hit"]: (r["start"], r["cigar"]) for r in plan_reads.transcript_lift_whole(spark, FOLDER).collect()}
+    assert part.items() <= all_.items() and any(k % 5 == 0 for k in all_)
