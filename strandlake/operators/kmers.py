@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import canonical
+from strandlake.functions.sequence import canonical, revcomp
 
 
 def explode_kmers(sequences: DataFrame, seq: str, k: int, keep: tuple[str, ...] = (), step: int = 1) -> DataFrame:
@@ -49,10 +49,32 @@ def seed_hits(reads: DataFrame, seeds: DataFrame, most: int = 16) -> DataFrame:
     return hits.withColumn("hit_no", rank).where(F.col("hit_no") <= most)
 
 
-def pair_hits(hits1: DataFrame, hits2: DataFrame, limit: int = 1023, most: int = 16) -> DataFrame:
-    """Anchors of both mates on one contig within ``limit``, ranked by score sum (of equal sums the later pair first)."""
-    a = hits1.select("id", "chr", F.col("pos").alias("pos1"), F.col("score").alias("score1"))
-    b = hits2.select("id", "chr", F.col("pos").alias("pos2"), F.col("score").alias("score2"))
-    pairs = a.join(b, ["id", "chr"]).where(F.abs(F.col("pos1") - F.col("pos2")) <= limit).withColumn("score", F.col("score1") + F.col("score2"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), F.desc("pos1"), F.desc("pos2")))
+def seed_table(contigs: DataFrame, most: int = 8) -> DataFrame:
+    """(kmer16, next2, chr, pos): the 18-mers of (chr, seq) that begin with A and occur once; a 16-mer has ``most`` slots at most."""
+    spots = explode_kmers(contigs, "seq", 18, ("chr",)).where(F.col("kmer").startswith("A"))
+    once = spots.groupBy("kmer").agg(F.count("*").alias("n"), F.min("chr").alias("chr"), F.min(F.col("off") + 1).cast("long").alias("pos")).where("n = 1")
+    slot = F.row_number().over(Window.partitionBy("kmer16").orderBy("chr", "pos"))
+    return once.select(F.substring("kmer", 1, 16).alias("kmer16"), F.substring("kmer", 17, 2).alias("next2"), "chr", "pos").withColumn("slot", slot).where(F.col("slot") <= most).drop("slot")
+
+
+def strand_hits(reads: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ("id",), most: int = 16) -> DataFrame:
+    """(by, rev, off, chr, pos, hit_no) of both strands of reads (by, seq) on ``seed_table``: 16-mers that begin with A, and those of the
+    reverse complement, by their first 16 and the next two bases. ``off`` is where the 18 bases begin in the read as given; the first
+    ``most`` hits of a read stay, forward ones first."""
+    both = reads.select(*by, F.explode(F.array(F.struct(F.lit(False).alias("rev"), F.col("seq")), F.struct(F.lit(True).alias("rev"), revcomp(F.col("seq")).alias("seq")))).alias("s")).select(*by, "s.rev", "s.seq", F.length("s.seq").alias("_len"))
+    spots = explode_kmers(both, "seq", 18, (*by, "rev", "_len")).where(F.col("kmer").startswith("A")).withColumn("off", F.when(F.col("rev"), F.col("_len") - 18 - F.col("off")).otherwise(F.col("off")).cast("long"))
+    hits = spots.select(*by, "rev", "off", F.substring("kmer", 1, 16).alias("kmer16"), F.substring("kmer", 17, 2).alias("next2")).join(seeds, ["kmer16", "next2"])
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("rev", "off", "chr", "pos"))
+    return hits.withColumn("hit_no", number).where(F.col("hit_no") <= most).select(*by, "rev", "off", "chr", "pos", "hit_no")
+
+
+def pair_hits(hits1: DataFrame, hits2: DataFrame, limit: int = 1023, most: int = 16, by: tuple[str, ...] = ("id",), opposite: bool = False) -> DataFrame:
+    """Anchors of both mates on one contig within ``limit``, ranked by score sum (of equal sums the later pair first).
+    ``opposite``: only anchors on opposite strands (``rev``)."""
+    rev = ("rev",) if opposite else ()
+    a = hits1.select(*by, "chr", F.col("pos").alias("pos1"), F.col("score").alias("score1"), *(F.col(r).alias("rev1") for r in rev))
+    b = hits2.select(*by, "chr", F.col("pos").alias("pos2"), F.col("score").alias("score2"), *(F.col(r).alias("rev2") for r in rev))
+    near = (F.abs(F.col("pos1") - F.col("pos2")) <= limit) & (F.expr("rev1 <> rev2") if opposite else F.lit(True))
+    pairs = a.join(b, [*by, "chr"]).where(near).withColumn("score", F.col("score1") + F.col("score2"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("pos1"), F.desc("pos2")))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as q
-from strandlake.operators.kmers import explode_kmers, kmer_counts, pair_hits, seed_hits, unique_prefixes, uniqueness
-from strandlake.operators.reads import codon_phases
+from strandlake.operators.kmers import explode_kmers, kmer_counts, pair_hits, seed_hits, seed_table, strand_hits, unique_prefixes, uniqueness
+from strandlake.operators.reads import codon_phases, tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
 
@@ -140,6 +140,30 @@ def seed_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_hits(odd, even).select("id", "chr", "pos1", "pos2", F.col("score").cast("long").alias("score"), "rank")
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_table(v.dna(spark, sf_dir, "benchmark").withColumnRenamed("id", "chr"))
+
+
+@query()
+def seed_join_top16_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 seed hits, of both strands, of every read of the whole texts: 100 bases from every 83rd on, so that each 18-mer lies in one."""
+    reads = tiles(v.dna(spark, sf_dir), 100, 83).withColumnRenamed("off", "at")
+    return strand_hits(reads, _passages(spark, sf_dir), ("id", "at"))
+
+
+def _paired(sequences: DataFrame, seeds: DataFrame) -> DataFrame:
+    spans = tiles(sequences, 200).withColumnRenamed("off", "at")
+    one = strand_hits(spans.select("id", "at", F.substring("seq", 1, 100).alias("seq")), seeds, ("id", "at")).withColumn("score", F.col("hit_no") * 3)
+    two = strand_hits(spans.select("id", "at", q.revcomp(F.substring("seq", 101, 100)).alias("seq")), seeds, ("id", "at")).withColumn("score", F.col("hit_no") * 2)
+    return pair_hits(one, two, by=("id", "at"), opposite=True).select("id", "at", "chr", "pos1", "pos2", F.col("score").cast("long").alias("score"), "rank")
+
+
+@query()
+def seed_pairing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of two mates (every 200 bases of the whole texts, the second half reversed) paired on opposite strands within 1023 bases."""
+    return _paired(v.dna(spark, sf_dir), _passages(spark, sf_dir))
+
+
 @query(
     f"""with {v.dna_sql()}, pat as (select list_sum(list_transform(range(2, 9), lambda i: (instr('ACGT', substr(seq, i, 1)) - 1) * (4 ** (8 - i))::bigint))::bigint as bin from dna where length(seq) >= 8),
 dense as (select r as bin, coalesce(n, 0) as n from range(0, 16384) as x(r) left join (select bin, count(*) as n from pat group by bin) on r = bin),
