@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import arrow_map, by_groups, stage, text_bytes
@@ -307,6 +307,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), *cols], names=["cut_id", "n_removed", "n_spans", "kept_sha", "kept"])
 
 
+def _piece(pieces: Column) -> Column:
+    """The piece of a hot anchor's run: by document and block of 1024 bytes, as a periodic text has a run at every period."""
+    return F.pmod(F.xxhash64("doc_id", F.expr("first div 1024")), pieces).cast("int")
+
+
 def find_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(survey, cuts). survey: doc_id, n_bytes, sha, whole (all bytes go: the text has an exact copy).
     cuts: cut_id, n_removed, n_spans, kept_sha, kept (bytes) of each other document that loses some bytes."""
@@ -322,7 +327,7 @@ def find_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_byte
     pieces = F.ceil(F.col("size") / shard_bytes).cast("int")
     dealt = runs.join(repeated, "anchor").select(
         "doc_id", "first", "last", F.when(pieces > 1, F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).alias("shard"),
-        F.when(pieces > 1, F.col("anchor")).otherwise(F.lit(0)).alias("hot"), F.when(pieces > 1, F.pmod(F.xxhash64("doc_id"), pieces).cast("int")).otherwise(F.lit(0)).alias("piece"), pieces.alias("pieces"))
+        F.when(pieces > 1, F.col("anchor")).otherwise(F.lit(0)).alias("hot"), F.when(pieces > 1, _piece(pieces)).otherwise(F.lit(0)).alias("piece"), pieces.alias("pieces"))
     by_doc = stage(dealt.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "shard", "hot", "piece", "pieces")).alias("runs")), "suffix-runs")
     chosen = texts.join(by_doc, "doc_id").select("doc_id", "text", "runs")
     segments = arrow_map(chosen, lambda batches: _segments(batches, span), "shard long, hot long, piece int, pieces int, first int, doc_id long, bytes binary")

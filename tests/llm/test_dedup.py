@@ -202,3 +202,11 @@ def test_embedding_table_plan_keeps_the_recall():
         bits, tables = embedding_dedup.table_plan(n, 0.93)
         same = 1 - np.arccos(0.93) / np.pi
         assert (1 - same**bits) ** tables <= 1e-5
+
+
+def test_runs_of_one_document_are_dealt_over_the_pieces(spark):
+    from pyspark.sql import functions as F
+
+    runs = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("int").alias("first"))
+    sizes = [r["count"] for r in runs.groupBy(suffix_dedup._piece(F.lit(8).cast("long"))).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 20_000
