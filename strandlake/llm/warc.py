@@ -61,10 +61,14 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def build_dictionary(records: list[bytes], size: int = 1 << 16, sample_bytes: int = 2 << 20) -> bytes:
-    """A Zstandard dictionary from records spread evenly over all of them, of ``sample_bytes`` together; empty if they are too few."""
+    """A Zstandard dictionary from records spread evenly over all of them, of ``sample_bytes`` together. Few or long records are cut into
+    pieces, from which the samples are taken; empty below 16 pieces of 256 bytes."""
     total = sum(map(len, records))
     every = max(1, -(-total // sample_bytes))
     samples = records[::every]
+    if len(samples) < 16:
+        piece = max(256, min(4096, total // 64))
+        samples = [r[k : k + piece] for r in records for k in range(0, len(r), piece)][::every]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 8), samples, k=512, d=8).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:  # the samples have too little in common for a dictionary

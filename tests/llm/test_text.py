@@ -303,3 +303,14 @@ def test_text_bytes_reads_slices_and_nulls():
 
     data, ends = text_bytes(pa.array(["aé", None, "b", ""]).slice(1))
     assert bytes(data) == b"b" and ends.tolist() == [0, 0, 1, 1]
+
+
+def test_archives_of_few_or_long_records_have_a_dictionary():
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(400)]
+    page = lambda n: " ".join(rng.choices(words, k=n)).encode()
+    for records in ([page(3000) for _ in range(4)], [page(60_000) for _ in range(9)]):
+        assert warc.build_dictionary(records)
+        wrapped = [warc.record_bytes(i, "http://x/", r, "", None) for i, r in enumerate(records)]
+        assert [block for _, block in warc.read_archive(io.BytesIO(warc.archive_bytes(wrapped)))] == records
+    assert warc.build_dictionary([b"<p>short</p>"]) == b""
