@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators.
 
 ``stage``      cuts lineage by writing a DataFrame as Parquet into the shared folder.
+``keyed``      gives each row a key of its own, also rows without or with a repeated id.
 ``by_groups``  hands whole, key-sorted groups to a Python function, many groups per call.
 ``text_bytes`` gives the UTF-8 buffer of an Arrow string column without copying rows.
 """
@@ -20,8 +21,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests on one machine) a temporary folder of the application stands in."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/strandlake-{spark.sparkContext.applicationId}"
+    Where a local session leaves it unset (tests on one machine) a temporary folder of the application stands in; on a cluster that is an
+    error, as executors don't see each other's folders."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/strandlake-{spark.sparkContext.applicationId}"
     return folder.rstrip("/")
 
 
@@ -42,7 +48,7 @@ def stage(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store through Hadoop's file system API."""
+    """Delete a folder of the shared store through Hadoop's file system API. Only for tables whose readers are all written by now."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -52,22 +58,52 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def keyed(docs: DataFrame, column: str = "doc_id") -> tuple[DataFrame, str]:
+    """(``docs`` with a long column that tells all rows apart, its name).
+
+    The key is the id where only one row has it. Rows without an id, or with one that several rows have, get numbers below every
+    id; these rows alone are written to the shared folder, so that their numbers stay. Repeated ids are counted with partial aggregation."""
+    spark, key = docs.sparkSession, fresh_name(docs, "row_key")
+    ids = docs.select(F.col(column).cast("long").alias("id"))
+    counts = stage(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "repeated-ids")
+    if not counts.limit(1).count():
+        return docs.withColumn(key, F.col(column).cast("long")), key
+    base = min(ids.agg(F.min("id")).first()[0] or 0, 0)
+    own, several = F.col(column).cast("long"), counts.where("id is not null").withColumnRenamed("id", fresh_name(docs, "repeated_id"))
+    again = own == several[several.columns[0]]
+    odd = docs.where(own.isNull()).unionByName(docs.join(several, again, "left_semi"))
+    odd = stage(odd.withColumn(key, F.lit(base - 1) - F.monotonically_increasing_id()), "keyed-rows")
+    return docs.where(own.isNotNull()).join(several, again, "left_anti").withColumn(key, own).unionByName(odd), key
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema, rows: int = 1000) -> DataFrame:
-    """``mapInArrow`` with at most ``rows`` rows in a batch: texts are long, and a batch lies in the memory of both processes."""
+    """``mapInArrow`` with at most ``rows`` rows in a batch: texts are long, and a batch lies in the memory of both processes.
+
+    Spark reads the size of batches from the session when the plan runs, so a larger setting of the session is lowered and stays so."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) not in range(1, rows + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(fn, schema)
 
 
-def by_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
+def by_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, number: Column) -> DataFrame:
     """Apply ``fn(table, bounds)`` to whole groups of ``keys``.
 
-    Rows are dealt by the keys and sorted inside each partition; ``fn`` gets an Arrow table of
+    ``number`` (not null, the same for all rows of a group) deals the groups: number modulo partitions, so that bounded groups with
+    consecutive numbers lie in different tasks. Rows are sorted inside each partition; ``fn`` gets an Arrow table of
     complete groups and their boundaries (``bounds[i]:bounds[i+1]`` is a group) and yields record
     batches. Only the rows of the groups that meet one Arrow batch are in memory; callers bound groups.
     """
-    keyed = df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    n = partitions(df.sparkSession)
+    dealt = df.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -86,7 +122,7 @@ def by_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> Data
             table = pa.Table.from_batches(held).combine_chunks()
             yield from fn(table, _bounds(table, keys))
 
-    return arrow_map(keyed, run, schema)
+    return arrow_map(dealt, run, schema)
 
 
 def _key_arrays(data, keys: list[str]) -> list[np.ndarray]:
@@ -130,6 +166,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def group_number(at: Column, *hashed: str) -> Column:
+    """A number for ``by_groups``: consecutive in ``at`` within equal ``hashed`` columns."""
+    return F.pmod(F.xxhash64(*hashed), F.lit(1 << 30)) + at
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

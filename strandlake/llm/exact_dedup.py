@@ -4,8 +4,9 @@ The index is a table bucketed and sorted by digest. A batch is reduced to one ro
 shuffle, so a hot text is no hot task), anti-joined with the index bucket by bucket, and its new digests are appended.
 Texts are equal when identical after lower-casing A-Z; the digest is SHA-256 of that text in UTF-8.
 
-Defined cases: a null text counts as empty; of equal texts the row with the largest doc_id stays; other columns of the
-input are ignored; an empty batch appends nothing. Repeated doc_ids in a batch count as rows of their group.
+Defined cases: a null text counts as empty; of equal texts exactly one row stays, the one with the largest doc_id (any doc_id before
+none; of rows that tie, the one with the largest row key); other columns of the input are ignored, whatever their names; texts of
+any length are hashed whole; an empty batch appends nothing. Rows with null or repeated doc_ids count as rows of their group.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from strandlake.llm.common import ascii_lower, stage
 _COLUMNS = "digest binary, keep_id long, group_size long, batch string"
 
 
-def digests(docs: DataFrame, fold_case: bool = True) -> DataFrame:
-    """(doc_id, digest binary) of each whole text."""
+def digests(docs: DataFrame, key: str | None = None, fold_case: bool = True) -> DataFrame:
+    """(doc_id, row_key, digest binary) of each whole text. ``key``: a column that tells all rows apart; without it rows are numbered."""
     text = F.coalesce(F.col("text"), F.lit(""))
     folded = ascii_lower(text) if fold_case else text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(folded.cast("binary"), 256)).alias("digest"))
+    number = F.col(key) if key else F.monotonically_increasing_id()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), number.alias("row_key"), F.unhex(F.sha2(folded.cast("binary"), 256)).alias("digest"))
 
 
 @dataclass
@@ -41,19 +43,20 @@ class DigestIndex:
     def _append(self, rows: DataFrame) -> None:
         rows.select("digest", "keep_id", "group_size", "batch").repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name)
 
-    def ingest(self, docs: DataFrame, batch: str = "0") -> DataFrame:
-        """De-duplicate ``docs`` in itself and against the index, append its new digests, and return one row per document:
-        doc_id, keep_id (null if an older batch holds the text), group_size (in this batch), kept, digest."""
+    def ingest(self, docs: DataFrame, batch: str = "0", key: str | None = None) -> DataFrame:
+        """De-duplicate ``docs`` in itself and against the index, append its new digests, and return one row per document: doc_id,
+        row_key (the column ``key``, if given), keep_id (null if an older batch holds the text), group_size (in this batch), kept, digest."""
         if not self.exists():
             self._append(self.spark.createDataFrame([], _COLUMNS))
-        own = stage(digests(docs), "digests")
-        groups = own.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        groups = stage(groups, "digest-groups")
+        own = stage(digests(docs, key), "digests")
+        groups = own.groupBy("digest").agg(F.max(F.struct("doc_id", "row_key")).alias("keep"), F.count("*").alias("group_size"))
+        groups = stage(groups.select("digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_key").alias("keep_key"), "group_size"), "digest-groups")
         fresh = stage(groups.join(self.spark.table(self.name).select("digest").hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch)), "digest-new")
         self._append(fresh)
         known = groups.join(fresh.select("digest", F.lit(True).alias("is_new")), "digest", "left")
-        known = stage(known.select("digest", F.when(F.col("is_new"), F.col("keep_id")).alias("keep_id"), "group_size"), "digest-known")
-        return own.join(known, "digest").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "digest")
+        pick = lambda x: F.when(F.col("is_new"), F.col(x)).alias(x)
+        known = stage(known.select("digest", pick("keep_id"), pick("keep_key"), "group_size"), "digest-known")
+        return own.join(known, "digest").select("doc_id", "row_key", "keep_id", "group_size", F.coalesce(F.col("row_key") == F.col("keep_key"), F.lit(False)).alias("kept"), "digest")
 
 
 def deduplicate(docs: DataFrame, index: str, buckets: int = 32) -> DataFrame:

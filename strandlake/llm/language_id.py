@@ -3,9 +3,13 @@
 Fitting counts n-grams per language on Spark (only sums reach the driver: languages x buckets); the log-probability
 matrix is broadcast, and each Arrow batch is scored in numpy over whole texts.
 
+The score is the posterior of the best language among the learnt ones and none of them: a model by which all buckets are equally
+likely. A text whose n-grams fit no language better than that (another script, random letters) scores near 0.
+
 Defined cases: a text that is null or has no letter gets ``und`` with score 0; rows without a language or text are
 never learnt from; with nothing to learn from every row gets ``und``; of equal scores the language first in order wins; a null
-doc_id counts as held out; other columns of the input are ignored. ``lang``, ``source`` and ``doc_id`` are no inputs of a prediction.
+doc_id counts as held out; repeated rows are predicted each; very long texts are scored whole, alone; an empty table gives no rows; other
+columns of the input are ignored, whatever their names. ``lang``, ``source`` and ``doc_id`` are no inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -112,42 +116,43 @@ def fit(docs: DataFrame, fit_rows: int = 20_000, buckets: int = 1 << 16, orders:
 
 
 def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Predicted language and its posterior probability for each whole text."""
+    """Predicted language of each whole text and its posterior, with none of the languages as an alternative."""
     names, best = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     if not model.langs:
         return names, best
     buckets = model.logs.shape[1]
     for begin, end, codes, starts in _pieces(texts):
         letters = np.add.reduceat(codes != 32, starts[:-1])
-        logs = np.zeros((len(model.langs), end - begin))
+        logs, seen = np.zeros((len(model.langs), end - begin)), np.zeros(end - begin)
         for order in model.orders:
             grams = _grams(codes, order, buckets)
             at = np.minimum(starts[:-1], max(len(grams) - 1, 0))
+            seen += np.diff(np.append(at, len(grams)))
             for k in range(len(model.langs)):
                 if len(grams):
                     logs[k] += np.add.reduceat(model.logs[k][grams], at, dtype=np.float64)
         logs += model.prior[:, None]
         top = logs.argmax(axis=0)
-        posterior = 1 / np.exp(logs - logs.max(axis=0)).sum(axis=0)
+        none = -seen * np.log(buckets) - np.log(len(model.langs) + 1)
+        best_log = logs.max(axis=0)
+        posterior = 1 / (np.exp(logs - best_log).sum(axis=0) + np.exp(np.minimum(none - best_log, 700)))
         for i in np.flatnonzero(letters > 0):
             names[begin + i] = model.langs[top[i]]
             best[begin + i] = posterior[i]
     return names, best
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (any columns, a ``text``) with ``lang_pred`` and ``score`` instead of columns of these names."""
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", confidence: str = "score") -> DataFrame:
+    """``docs`` (any columns, a ``text``) with the columns ``lang`` and ``confidence``, which it must not have yet."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
-    at = kept.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, best = score(shared.value, batch.column(at).to_pylist())
-            yield pa.record_batch([*batch.columns, pa.array(names, pa.string()), pa.array(best)], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(names, pa.string()), pa.array(best)], names=[*batch.schema.names, lang, confidence])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return arrow_map(kept, run, schema)
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(confidence, T.DoubleType())]))
 
 
 def identify(docs: DataFrame, fit_rows: int = 20_000) -> DataFrame:

@@ -12,9 +12,13 @@ Every byte covered by a string of ``span`` bytes that also starts anywhere else
 4. Cross-shard merging, for hot anchors alone: the shards exchange their sorted distinct strings, as 128-bit digests cut
    in ranges, and look them up in each other by binary search.
 
+Runs of starts with one anchor that lie next to each other go as one segment (cut every ``span`` starts), so a periodic text of n bytes sends
+about 2n bytes. A document's list of runs or ranges is one row and grows with its text alone.
+
 Defined cases: a null text counts as empty; texts shorter than ``span`` lose nothing; matches never cross documents; exact copies of a
-text are one text to the search and all lose every byte; repeated doc_ids aren't supported (doc_id is the key); an
-empty table gives no rows; other columns stay out of the search.
+text are one text to the search and all lose every byte; rows are told apart by a key of their own (``common.keyed``), so null and
+repeated doc_ids are rows like others and give one row each; very long texts are hashed in overlapping blocks; an
+empty table gives no rows; other columns stay out of the search, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import arrow_map, by_groups, stage, text_bytes
+from strandlake.llm.common import arrow_map, by_groups, drop_path, fresh_name, group_number, keyed, stage, text_bytes
 
 SPAN, GRAM = 400, 64
+REPEATED = np.iinfo(np.int64).min  # no document's key: a string that repeats inside its piece
 BLOCK = 1 << 20  # bytes that are hashed together
 
 
@@ -59,8 +64,9 @@ def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return keys
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first start, last start, anchor hash) of each run of starts that share an anchor; starts count from their text.
+def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, last start, anchor hash, places of that anchor) of each run of at most ``span`` starts that share an anchor; starts
+    count from their text.
 
     ``data``: bytes of several texts behind each other, bounded by ``ends``."""
     out = []
@@ -80,12 +86,17 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GR
             start, text, at = start[fits], text[fits], at[fits]
             if not len(start):
                 continue
-            new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
+            anchor = h[at].view(np.int64)
+            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
+            begun = np.flatnonzero(new)
+            new |= (np.arange(len(start)) - np.repeat(begun, np.diff(np.append(begun, len(start))))) % span == 0
+            new = np.flatnonzero(new)
             last = np.append(new[1:], len(start)) - 1
-            out.append((text[new], start[new] - ends[text[new]], start[last] - ends[text[new]], h[at[new]].view(np.int64)))
+            moved = np.cumsum(np.concatenate([[0], at[1:] != at[:-1]]))
+            out.append((text[new], start[new] - ends[text[new]], start[last] - ends[text[new]], anchor[new], moved[last] - moved[new] + 1))
         begin = end
     if not out:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -167,24 +178,24 @@ def repeated_starts(segments: list[bytes], span: int = SPAN) -> tuple[np.ndarray
     return text, np.cumsum(sizes) - sizes, hit, lead
 
 
-def _survey(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """One row per document: doc_id, n_bytes, sha256 and its runs of starts by anchor."""
+def _survey(texts: DataFrame, span: int, gram: int) -> DataFrame:
+    """One row per document: key, doc_id, n_bytes, sha256 and its runs of starts by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, ends = text_bytes(batch.column(1))
-            of, first, last, anchor = anchors(data, ends, span, gram)
+            data, ends = text_bytes(batch.column(2))
+            of, first, last, anchor, places = anchors(data, ends, span, gram)
             order = np.argsort(of, kind="stable")
             bounds = pa.array(np.searchsorted(of[order], np.arange(batch.num_rows + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order].astype(t))) for x, t in ((first, np.int32), (last, np.int32), (anchor, np.int64))]
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x[order].astype(t))) for x, t in ((first, np.int32), (last, np.int32), (anchor, np.int64), (places, np.int32))]
             sha = [hashlib.sha256(data[a:b]).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(np.diff(ends)), pa.array(sha, pa.binary()), *lists], names=["doc_id", "n_bytes", "sha", "first", "last", "anchor"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.diff(ends)), pa.array(sha, pa.binary()), *lists], names=["key", "doc_id", "n_bytes", "sha", "first", "last", "anchor", "places"])
 
-    return arrow_map(docs, run, "doc_id long, n_bytes long, sha binary, first array<int>, last array<int>, anchor array<long>")
+    return arrow_map(texts, run, "key long, doc_id long, n_bytes long, sha binary, first array<int>, last array<int>, anchor array<long>, places array<int>")
 
 
 def _segments(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, runs -> one row per run with the bytes behind its starts."""
+    """Columns key, text, runs -> one row per run with the bytes behind its starts."""
     for batch in batches:
         data, ends = text_bytes(batch.column(1))
         runs = batch.column(2)
@@ -198,17 +209,17 @@ def _segments(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
             part = slice(k, k + step)
             cut = [data[a:b].tobytes() for a, b in zip(base[part] + first[part], base[part] + last[part] + span, strict=True)]
             keys = [flat.field(x).slice(k, step) for x in ("shard", "hot", "piece", "pieces", "first")]
-            yield pa.record_batch([*keys, batch.column(0).take(pa.array(of[part])), pa.array(cut, pa.binary())], names=["shard", "hot", "piece", "pieces", "first", "doc_id", "bytes"])
+            yield pa.record_batch([*keys, batch.column(0).take(pa.array(of[part])), pa.array(cut, pa.binary())], names=["shard", "hot", "piece", "pieces", "first", "key", "bytes"])
 
 
-_FOUND = "doc_id long, a long, b long, hot long, range int, piece int, digests binary, docs binary, starts binary"
+_FOUND = "key long, a long, b long, hot long, range int, piece int, digests binary, docs binary, starts binary"
 
 
 def _shard(span: int):
-    """Repeats within a shard as byte ranges (doc_id, a, b); for a piece of a hot anchor also its sorted distinct strings."""
+    """Repeats within a shard as byte ranges (key, a, b); for a piece of a hot anchor also its sorted distinct strings."""
 
     def run(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        docs, first = table["doc_id"].to_numpy(), table["first"].to_numpy().astype(np.int64)
+        docs, first = table["key"].to_numpy(), table["first"].to_numpy().astype(np.int64)
         hot, piece, pieces = (table[x].to_numpy() for x in ("hot", "piece", "pieces"))
         texts = table["bytes"]
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
@@ -233,10 +244,10 @@ def _shard(span: int):
                 if pieces[low] > 1:
                     at = np.arange(starts)
                     if len(rows) > 1:
-                        rest.append((begin + at, np.full(starts, -1), first[rows[0]] + at))
+                        rest.append((begin + at, np.full(starts, REPEATED), first[rows[0]] + at))
                     else:
                         keep = ~own | lead[begin : begin + starts]
-                        rest.append((begin + at[keep], np.where(own, -1, docs[rows[0]])[keep], (first[rows[0]] + at)[keep]))
+                        rest.append((begin + at[keep], np.where(own, REPEATED, docs[rows[0]])[keep], (first[rows[0]] + at)[keep]))
             if found:
                 d, a, b = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
                 yield _found(d, a, b)
@@ -252,7 +263,7 @@ def _found(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _export(text: np.ndarray, at: np.ndarray, docs: np.ndarray, starts: np.ndarray, span: int, hot: int, piece: int, pieces: int) -> pa.RecordBatch:
-    """The distinct strings of a piece in digest order, cut in ranges by binary search; docs is -1 where a string repeats in the piece."""
+    """The distinct strings of a piece in digest order, cut in ranges by binary search; docs is REPEATED where a string repeats in the piece."""
     digest = np.stack([window_hashes(text, span, seed)[at] for seed in (11, 13)], axis=1).byteswap()
     digest = np.ascontiguousarray(digest).view("S16").ravel()
     # equal strings of one piece that were found as copies of a segment and as starts of another one count once
@@ -277,92 +288,112 @@ def _merge(span: int):
             merged = np.sort(np.concatenate(digests))
             for own, doc, start in zip(digests, docs, starts, strict=True):
                 twice = np.searchsorted(merged, own, side="right") - np.searchsorted(merged, own, side="left") > 1
-                if (twice := twice & (doc >= 0)).any():
+                if (twice := twice & (doc != REPEATED)).any():
                     d, s = doc[twice], start[twice]
                     order = np.lexsort((s, d))
                     d, s = d[order], s[order]
                     new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (s[1:] > s[:-1] + span)]))
                     last = np.append(new[1:], len(d)) - 1
-                    yield pa.record_batch([pa.array(d[new]), pa.array(s[new]), pa.array(s[last] + span)], names=["doc_id", "a", "b"])
+                    yield pa.record_batch([pa.array(d[new]), pa.array(s[new]), pa.array(s[last] + span)], names=["key", "a", "b"])
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, ranges -> what stays of each text."""
+def _cut(text: bytes, ranges: list[dict], words: int = 0) -> tuple[bytes, int]:
+    """(what stays of a text, maximal runs that go); runs of fewer than ``words`` words (or parts of them) stay."""
+    spans: list[list[int]] = []
+    for a, b in sorted((r["a"], r["b"]) for r in ranges):
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    if words:
+        spans = [x for x in spans if len(text[x[0] : x[1]].split()) >= words]
+    return b"".join(text[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(text)], strict=True)), len(spans)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns key, text, ranges -> what is gone of each text."""
+    names, types = ["cut_key", "n_removed", "n_spans", "kept_sha"], (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for batch in batches:
         data, ends = text_bytes(batch.column(1))
         rows = []
-        for i, ranges in enumerate(batch.column(2).to_pylist()):
-            text = data[ends[i] : ends[i + 1]].tobytes()
-            spans: list[list[int]] = []
-            for a, b in sorted((r["a"], r["b"]) for r in ranges):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], b)
-                else:
-                    spans.append([a, b])
-            stays = b"".join(text[a:b] for a, b in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(text)], strict=True))
-            rows.append((len(text) - len(stays), len(spans), hashlib.sha256(stays).digest(), stays))
-        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-        yield pa.record_batch([batch.column(0), *cols], names=["cut_id", "n_removed", "n_spans", "kept_sha", "kept"])
+        for i, (key, ranges) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            stays, n = _cut(data[ends[i] : ends[i + 1]].tobytes(), ranges)
+            rows.append((key, int(ends[i + 1] - ends[i]) - len(stays), n, hashlib.sha256(stays).digest()))
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
 def _piece(pieces: Column) -> Column:
-    """The piece of a hot anchor's run: by document and block of 1024 bytes, as a periodic text has a run at every period."""
-    return F.pmod(F.xxhash64("doc_id", F.expr("first div 1024")), pieces).cast("int")
-
-
-def find_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(survey, cuts). survey: doc_id, n_bytes, sha, whole (all bytes go: the text has an exact copy).
-    cuts: cut_id, n_removed, n_spans, kept_sha, kept (bytes) of each other document that loses some bytes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = stage(_survey(texts, span, gram), "suffix-survey")
-    copies = seen.where(f"n_bytes >= {span} and doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies")
-    known = stage(seen.join(copies, F.col("doc_id") == F.col("rep"), "left"), "suffix-known")
-    survey = known.select("doc_id", "n_bytes", "sha", (F.col("doc_id").isNotNull() & (F.col("n_bytes") >= span) & (F.coalesce("copies", F.lit(2)) > 1)).alias("whole"))
-    runs = known.where("rep is not null").dropDuplicates(["doc_id"]).select("doc_id", F.explode(F.arrays_zip("first", "last", "anchor")).alias("r")).select("doc_id", "r.*")
-    repeated = stage(runs.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.expr(f"last - first + {span}")).alias("size")).where("n > 1"), "suffix-repeated")
+    """The piece of a hot anchor's run: by document and block of 1024 bytes, as a periodic text has a run every few hundred bytes."""
+    return F.pmod(F.xxhash64("key", F.expr("first div 1024")), pieces).cast("int")
+
+
+def find_repeats(docs: DataFrame, key: str, span: int = SPAN, gram: int | None = None, shard_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(survey, ranges) of ``docs``, whose column ``key`` is unique. survey: key, doc_id, n_bytes, sha, whole (all bytes go: the text has
+    an exact copy). ranges: cut_key, ranges (array of a, b) of each other document that loses some bytes. ``gram``: 64 bytes for a span of 400."""
+    spark, made = docs.sparkSession, []
+    gram = gram or max(1, span * GRAM // SPAN)
+    texts = docs.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    seen = stage(_survey(texts, span, gram), "suffix-survey", made)
+    copies = seen.where(f"n_bytes >= {span}").groupBy("sha").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).select("rep", "copies")
+    known = stage(seen.join(copies, F.col("key") == F.col("rep"), "left").select("*", (F.col("rep").isNull() & (F.col("n_bytes") >= span) | (F.col("copies") > 1)).alias("same")), "suffix-known", made)
+    survey = stage(known.select("key", "doc_id", "n_bytes", "sha", F.coalesce("same", F.lit(False)).alias("whole")), "suffix-docs")
+    runs = known.where("rep is not null").select("key", F.explode(F.arrays_zip("first", "last", "anchor", "places")).alias("r")).select("key", "r.*")
+    repeated = stage(runs.groupBy("anchor").agg(F.sum("places").alias("n"), F.sum(F.expr(f"last - first + {span}")).alias("size")).where("n > 1"), "suffix-repeated", made)
     total = repeated.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     pieces = F.ceil(F.col("size") / shard_bytes).cast("int")
     dealt = runs.join(repeated, "anchor").select(
-        "doc_id", "first", "last", F.when(pieces > 1, F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).alias("shard"),
+        "key", "first", "last", F.when(pieces > 1, F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).alias("shard"),
         F.when(pieces > 1, F.col("anchor")).otherwise(F.lit(0)).alias("hot"), F.when(pieces > 1, _piece(pieces)).otherwise(F.lit(0)).alias("piece"), pieces.alias("pieces"))
-    by_doc = stage(dealt.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "shard", "hot", "piece", "pieces")).alias("runs")), "suffix-runs")
-    chosen = texts.join(by_doc, "doc_id").select("doc_id", "text", "runs")
-    segments = arrow_map(chosen, lambda batches: _segments(batches, span), "shard long, hot long, piece int, pieces int, first int, doc_id long, bytes binary")
-    found = stage(by_groups(segments, ["shard", "hot", "piece"], _shard(span), _FOUND), "suffix-found")
-    merged = by_groups(found.where("digests is not null").select("hot", "range", "piece", "digests", "docs", "starts"), ["hot", "range"], _merge(span), "doc_id long, a long, b long")
-    ranges = found.where("doc_id is not null").select("doc_id", "a", "b").unionByName(merged).join(survey.where("whole").select("doc_id"), "doc_id", "left_anti")
-    by_doc = stage(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "suffix-ranges")
-    cuts = arrow_map(texts.join(by_doc, "doc_id").select("doc_id", "text", "ranges"), _cut, "cut_id long, n_removed long, n_spans long, kept_sha binary, kept binary")
-    return survey, cuts
+    by_doc = stage(dealt.groupBy("key").agg(F.collect_list(F.struct("first", "last", "shard", "hot", "piece", "pieces")).alias("runs")), "suffix-runs")
+    for path in made:  # only ``survey`` and ``by_doc`` are read from here on
+        drop_path(spark, path)
+    chosen = texts.join(by_doc, "key").select("key", "text", "runs")
+    segments = arrow_map(chosen, lambda batches: _segments(batches, span), "shard long, hot long, piece int, pieces int, first int, key long, bytes binary")
+    number = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(group_number(F.col("piece"), "hot"))
+    found = stage(by_groups(segments, ["shard", "hot", "piece"], _shard(span), _FOUND, number), "suffix-found")
+    exchanged = found.where("digests is not null").select("hot", "range", "piece", "digests", "docs", "starts")
+    merged = by_groups(exchanged, ["hot", "range"], _merge(span), "key long, a long, b long", group_number(F.col("range"), "hot"))
+    ranges = found.where("key is not null").select("key", "a", "b").unionByName(merged).join(survey.where("whole").select("key"), "key", "left_anti")
+    return survey, stage(ranges.groupBy(F.col("key").alias("cut_key")).agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "suffix-ranges")
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """The result of the query: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    survey, cuts = find_repeats(docs, **options)
-    cuts = cuts.drop("kept")
+    rows, key = keyed(docs.select("doc_id", "text"))
+    survey, ranges = find_repeats(rows, key, **options)
+    cuts = arrow_map(rows.join(ranges, F.col(key) == F.col("cut_key")).select("cut_key", "text", "ranges"), _sizes, "cut_key long, n_removed long, n_spans long, kept_sha binary")
     empty = F.unhex(F.sha2(F.lit(b""), 256))
     pick = lambda whole, cut, none: F.when(F.col("whole"), whole).otherwise(F.coalesce(F.col(cut), none))
-    return survey.join(cuts, F.col("doc_id") == F.col("cut_id"), "left").select(
+    return survey.join(cuts, F.col("key") == F.col("cut_key"), "left").select(
         "doc_id", "n_bytes", pick(F.col("n_bytes"), "n_removed", F.lit(0)).alias("n_removed"), pick(F.lit(1), "n_spans", F.lit(0)).cast("long").alias("n_spans"),
         F.lower(F.hex(pick(empty, "kept_sha", F.col("sha")))).alias("kept_sha256"))
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()], pa.string())], names=["_cut_id", "_kept_text"])
-
-
-def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text`` (a character cut in half goes as a whole); ``n_chars``, where
-    there, follows."""
-    survey, cuts = find_repeats(docs, **options)
-    cuts = arrow_map(cuts.select("cut_id", "kept"), _decoded, "_cut_id long, _kept_text string")
-    whole = survey.where("whole").select(F.col("doc_id").alias("_cut_id"), F.lit("").alias("_kept_text")).distinct()
-    cuts = stage(cuts.unionByName(whole), "suffix-cuts")
-    joined = docs.join(cuts, F.col("doc_id") == F.col("_cut_id"), "left").withColumn("text", F.coalesce("_kept_text", "text"))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(docs.columns)
+def without_repeats(docs: DataFrame, words: int = 0, **options) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of ``text`` (a character cut in half goes as a whole); all rows and columns stay, and ``n_chars``,
+    where there, follows the text. A null text stays null. Maximal repeated runs of fewer than ``words`` words stay; exact copies of ``span`` bytes
+    or more go whole."""
+    rows, key = keyed(docs)
+    survey, ranges = find_repeats(rows, key, **options)
+    mark, cut_key, gone = (fresh_name(rows, x) for x in ("cut_whole", "cut_key", "cut_ranges"))
+    known = survey.where("whole").select(F.col("key").alias(cut_key), F.lit(True).alias(mark), F.lit(None).cast("array<struct<a: bigint, b: bigint>>").alias(gone))
+    known = known.unionByName(ranges.select(F.col("cut_key").alias(cut_key), F.lit(False).alias(mark), F.col("ranges").alias(gone)))
+    joined = rows.join(known, rows[key] == known[cut_key], "left").select(*docs.columns, mark, gone)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, (whole, ranges) in enumerate(zip(batch.column(-2).to_pylist(), batch.column(-1).to_pylist(), strict=True)):
+                if whole:
+                    texts[i] = ""
+                elif ranges:
+                    texts[i] = _cut(texts[i].encode("utf-8"), ranges, words)[0].decode("utf-8", "ignore")
+            columns = [*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 : -2]]
+            yield pa.record_batch(columns, names=batch.schema.names[:-2])
+
+    out = arrow_map(joined, run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

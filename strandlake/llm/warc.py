@@ -6,8 +6,10 @@ frame of its own. Payloads that an earlier page already holds become revisit rec
 the manifest that the writer returns (one row per archive).
 
 Defined cases: null html is an empty payload; of equal payloads of at least ``min_bytes`` bytes the smallest page_id is the response, the others
-revisit it, smaller payloads are all responses; a null url is written as an empty target; repeated page_ids are written
-each; other columns are ignored; an empty table writes no archive. A task that runs again writes the same names anew: a file
+revisit it, smaller payloads are all responses; a null url is written as an empty target. A repeated page_id is written for each of its rows,
+and no row revisits its own id: rows with the same id and payload are each a response where that id is the smallest. A null
+page_id is written as ``urn:page:`` with no number; it revisits an equal payload of any page that has an id, and is a response where none has.
+Other columns are ignored, whatever their names; pages above ``archive_size`` make an archive of their own; an empty table writes no archive. A task that runs again writes the same names anew: a file
 gets its name only when it is whole.
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import arrow_map, new_path, stage
@@ -33,16 +35,20 @@ SKIPPABLE = 0x184D2A5D
 CRLF = b"\r\n"
 
 
-def record_bytes(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None) -> bytes:
+    return b"<urn:page:%s>" % (b"" if page_id is None else b"%d" % page_id)
+
+
+def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit has no payload but states its length and digest."""
     kind = b"response" if refers_to is None else b"revisit"
     body = payload if refers_to is None else b""
     head = [
-        b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:page:%d>" % page_id, b"WARC-Target-URI: " + url.replace("\r", " ").replace("\n", " ").encode("utf-8", "replace"),
+        b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: " + _urn(page_id), b"WARC-Target-URI: " + url.replace("\r", " ").replace("\n", " ").encode("utf-8", "replace"),
         b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Payload-Digest: sha1:" + digest.encode(), b"X-Payload-Length: %d" % len(payload),
     ]
     if refers_to is not None:
-        head += [b"WARC-Refers-To: <urn:page:%d>" % refers_to, b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [b"WARC-Refers-To: " + _urn(refers_to), b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += [b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(body)]
     return CRLF.join(head) + CRLF + CRLF + body + CRLF + CRLF
 
@@ -108,13 +114,17 @@ def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
+def payload_digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+
+
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload an earlier page holds. The payloads themselves aren't shuffled."""
-    payload = F.coalesce("html", F.lit("")).cast("binary")
-    own = stage(pages.select("page_id", F.unhex(F.sha2(payload, 256)).alias("sha"), F.octet_length(payload).alias("size")), "warc-digests")
-    first = own.where(F.col("size") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    """(page_id, sha, refers_to), once each, of the rows whose payload a page with a smaller id holds. The payloads themselves aren't shuffled."""
+    size = F.octet_length(F.coalesce("html", F.lit("")).cast("binary"))
+    own = stage(pages.select("page_id", payload_digest().alias("sha"), size.alias("size")).where(F.col("size") >= min_bytes), "warc-digests")
+    first = own.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     first = stage(first.select("sha", "refers_to"), "warc-first")
-    return own.join(first, "sha").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return own.join(first, "sha").where("page_id is null or page_id <> refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_size: int = 32 << 20) -> DataFrame:
@@ -149,8 +159,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_si
             yield close()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    again = stage(revisits(rows, min_bytes), "warc-revisits")
-    return stage(arrow_map(rows.join(again, "page_id", "left").select("page_id", "url", "html", "refers_to"), run, "path string, records long, bytes long"), "warc-manifest")
+    again = stage(revisits(rows, min_bytes).withColumnRenamed("page_id", "again_id"), "warc-revisits")
+    same = F.col("page_id").eqNullSafe(F.col("again_id")) & (payload_digest() == F.col("sha"))  # by both: a hot payload is dealt by page
+    return stage(arrow_map(rows.join(again, same, "left").select("page_id", "url", "html", "refers_to"), run, "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
@@ -159,7 +170,10 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     Payload and digest are checked against each other for responses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page = lambda x: int(x.rpartition(":")[2].rstrip(">")) if x else None
+        def page(urn: str | None) -> int | None:
+            number = (urn or "").rpartition(":")[2].rstrip(">")
+            return int(number) if number else None
+
         types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         for batch in batches:

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 import uuid
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -207,6 +209,129 @@ def test_embedding_table_plan_keeps_the_recall():
 def test_runs_of_one_document_are_dealt_over_the_pieces(spark):
     from pyspark.sql import functions as F
 
-    runs = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("int").alias("first"))
+    runs = spark.range(40_000).select(F.lit(7).cast("long").alias("key"), F.col("id").cast("int").alias("first"))
     sizes = [r["count"] for r in runs.groupBy(suffix_dedup._piece(F.lit(8).cast("long"))).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 20_000
+
+
+def odd_rows():
+    """Null ids, repeated ids with equal and with other texts, negative ids, fully repeated rows."""
+    rng = random.Random(11)
+    long, other = prose(150, rng), prose(150, rng)
+    rows = [(1, long), (1, long), (1, other), (2, "x " + long), (None, long), (None, None), (None, "alone without an id"), (None, other + " end"), (3, prose(90, rng)), (3, prose(90, rng)), (-5, "y " + other)]
+    return rows + [(4, "short"), (4, "short"), (4, "Short"), (None, "no id twice"), (None, "No Id Twice")]
+
+
+def with_tag(spark, rows):
+    """The rows with a number of their own, in columns that the operators name as well."""
+    return spark.createDataFrame([(i, t, k, "z", -1, -2) for k, (i, t) in enumerate(rows)], "doc_id long, text string, tag long, kept string, row_key long, key long")
+
+
+def test_keyed_tells_all_rows_apart(spark):
+    from strandlake.llm.common import keyed
+
+    rows, key = keyed(with_tag(spark, odd_rows()))
+    got = rows.collect()
+    assert key not in ("row_key", "key") and len({r[key] for r in got}) == len(got) == len(odd_rows())
+    assert {r["tag"] for r in got} == set(range(len(got))) and {r[key] for r in got if r["doc_id"] in (2, -5)} == {2, -5}
+    assert len({r[keyed(with_tag(spark, odd_rows()[3:4]))[1]] for r in keyed(with_tag(spark, odd_rows()[3:4]))[0].collect()}) == 1
+
+
+def test_exact_dedup_keeps_one_row_of_each_text(spark):
+    rows = odd_rows()
+    got = exact_dedup.deduplicate(with_tag(spark, rows), f"ix_{uuid.uuid4().hex[:8]}", 4).collect()
+    texts = Counter(fold(t) for _, t in rows)
+    sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in texts}
+    assert len(got) == len(rows) and Counter(sha[r["text_sha256"]] for r in got if r["kept"]) == Counter(dict.fromkeys(texts, 1))
+    for r in got:
+        ids = [i for i, t in rows if fold(t) == sha[r["text_sha256"]] and i is not None]
+        assert r["keep_id"] == max(ids, default=None) and r["group_size"] == texts[sha[r["text_sha256"]]]
+        assert not r["kept"] or r["doc_id"] == r["keep_id"]
+
+
+def test_suffix_dedup_of_odd_rows(spark):
+    rows = odd_rows()
+    want = slow_repeats(list(enumerate(t for _, t in rows)), 400)
+    got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(with_tag(spark, rows)).collect())
+    assert got == Counter((i, *want[k]) for k, (i, _) in enumerate(rows))
+    out = suffix_dedup.without_repeats(with_tag(spark, rows))
+    texts = {r["tag"]: r["text"] for r in out.collect()}
+    assert out.columns == with_tag(spark, rows).columns and len(texts) == len(rows)
+    assert all(texts[k] == t for k, (_, t) in enumerate(rows) if not want[k][1])
+    assert all(hashlib.sha256(texts[k].encode()).hexdigest() == want[k][3] for k in want if rows[k][1] is not None)
+
+
+@pytest.mark.parametrize("period", [1, 3, 7])
+def test_periodic_texts_send_few_bytes(period):
+    data = np.frombuffer((b"abcdefg"[:period] * 20_000)[:20_000], dtype=np.uint8)
+    _, first, last, _, places = suffix_dedup.anchors(data, np.array([0, len(data)]))
+    assert first[0] == 0 and last[-1] == 20_000 - 400 and (first[1:] == last[:-1] + 1).all() and (last - first < 400).all()
+    assert places.sum() > 20_000 // period - 400 and (last - first + 400).sum() < 3 * len(data) * max(1, period / 2)
+
+
+@pytest.mark.parametrize("period", [1, 2, 300])
+def test_periodic_documents_against_brute_force(spark, period):
+    rng = random.Random(period)
+    unit = "".join(rng.choices("abcdefgh", k=period))
+    rows = [(1, unit * (5000 // period)), (2, "q" + unit * (700 // period)), (3, unit * 2 + prose(100, rng)), (4, prose(80, rng))]
+    for shard_bytes in (1 << 20, 2000):
+        got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame(spark, rows), shard_bytes=shard_bytes).collect()}
+        assert got == slow_repeats(rows, 400)
+
+
+def test_repeats_inside_one_run_of_an_anchor(spark):
+    """Periodic stretches of one document only, as tables hold them: all their repeats lie in neighbouring starts."""
+    rng = random.Random(8)
+    text = "".join(w * rng.randint(30, 200) for w in ("Nd, ", "ed, ", "of the ", "x", "abc", "Nd, ed, "))
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame(spark, [(1, text), (2, "else")]), span=200).collect()}
+    assert got == slow_repeats([(1, text), (2, "else")], 200)
+
+
+@pytest.mark.parametrize("span", [120, 200])
+def test_suffix_dedup_at_other_spans(spark, span):
+    rows = corpus()[:60]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame(spark, rows), span=span).collect()}
+    assert got == slow_repeats(rows, span)
+
+
+def test_simhash_of_odd_rows(spark):
+    rows = odd_rows()
+    got = {r["row_key"]: r for r in simhash.simhash_groups(with_tag(spark, rows), key="tag").collect()}
+    fps = {k: slow_fingerprint(t) for k, (_, t) in enumerate(rows)}
+    want = groups_of([(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= 4], fps)
+    for part in set(want.values()):
+        members = [k for k in want if want[k] == part]
+        lowest = min(members, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+        for k in members:
+            assert got[k]["component_id"] == rows[lowest][0] and got[k]["kept"] == (k == lowest)
+    assert simhash.near_duplicates(with_tag(spark, rows)).count() == len(rows)
+
+
+def test_blocks_never_miss_a_pair():
+    for n in (10, 5_000_000, 2 << 30, 1 << 38):
+        cuts, choices = simhash.block_plan(n)
+        assert cuts[0] == 0 and cuts[-1] == 64
+        for flipped in combinations(range(len(cuts) - 1), 4):
+            assert any(not set(c) & set(flipped) for c in choices)
+        if n < 1 << 36:
+            assert n >> sum(cuts[i + 1] - cuts[i] for i in choices[0]) <= 1024
+
+
+def test_simhash_with_more_blocks(spark, monkeypatch):
+    plan = simhash.block_plan
+    rows = corpus()
+    classes = simhash.fingerprints(frame(spark, rows)).select("fp").distinct()
+    fps = sorted(r["fp"] for r in classes.collect())
+    want = groups_of([(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4], fps)
+    assert len(simhash.block_plan(1 << 30)[1]) == 15
+    monkeypatch.setattr(simhash, "block_plan", lambda *_: plan(1 << 30))
+    edges = [tuple(r) for r in simhash.link_fingerprints(classes).collect()]
+    assert groups_of(edges, fps) == want
+
+
+def test_embedding_rows_without_ids(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.0]
+    rows = [(None, v, 1), (None, v, 1), (7, v, 1), (7, w, 1), (None, w, 2), (None, w, 2), (9, [1.0, 2.0, 3.1], 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = Counter(tuple(r) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == Counter([(None, 3, 7, False)] * 2 + [(7, 3, 7, True), (9, 3, 7, False), (7, 0, 7, True)] + [(None, 1, None, True)] * 2 + [(None, 0, None, True)])

@@ -108,6 +108,25 @@ def test_language(spark, documents):
     assert {r["lang_pred"] for r in language_id.identify(nothing).collect()} == {"und"}
 
 
+def test_texts_of_no_language_score_low(spark):
+    model = language_id.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    names, best = language_id.score(model, ["Привет, как дела сегодня у вас?", "zqxj vkqz xwjq pfzk qxzj wqkx zjqv", "日本語のテキスト", "the of and that with on", "Der Hund und die Katze sind nicht in der", "Ó ciónezez la de los que para"])
+    assert set(names) <= set(model.langs) and (best[:3] < 0.5).all() and (best[3:] > 0.9).all()
+
+
+def test_predict_leaves_columns_alone(spark):
+    docs = spark.createDataFrame([(1, "the of and", 5, "mine")], "doc_id long, text string, score int, lang_pred string")
+    model = language_id.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    row = language_id.predict(docs, model, "l", "c").first()
+    assert (row["score"], row["lang_pred"], row["l"]) == (5, "mine", "en")
+
+
+def test_very_long_text_is_scored_whole(spark):
+    model = language_id.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    names, _ = language_id.score(model, ["the of and " + "der die und nicht " * 200_000, "the of and"])
+    assert names == ["de", "en"]
+
+
 def test_language_scores_match_a_slow_sum(spark):
     model = language_id.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50))
     texts = ["Der Hund, die Katze!", None, "", "the of and"] * 3
@@ -122,6 +141,10 @@ def test_language_scores_match_a_slow_sum(spark):
             for g in language_id._grams(codes, order, model.logs.shape[1]):
                 logs += model.logs[:, g]
         assert name == model.langs[int(np.argmax(logs))]
+        n, buckets = sum(max(len(codes) - order + 1, 0) for order in model.orders), model.logs.shape[1]
+        rest = np.exp(logs - logs.max()).sum() + np.exp(-n * np.log(buckets) - np.log(len(model.langs) + 1) - logs.max())
+        if text == texts[-1]:  # grams that reach over a text's end belong to the text they begin in
+            assert abs(p - 1 / rest) < 0.05
 
 
 # --- packing
@@ -249,6 +272,18 @@ def test_archives_round_trip(spark, min_bytes):
     assert warc.archive(spark, df.limit(0)).count() == 0
 
 
+def test_archives_of_repeated_and_missing_ids(spark):
+    pages = [(1, "A"), (2, "A"), (2, "B"), (2, "B"), (None, "A"), (None, "C"), (None, "C"), (None, None), (3, "B"), (4, "D" * 70_000)]
+    df = spark.createDataFrame([(i, "u", h, b"s", k) for k, (i, h) in enumerate(pages)], "page_id long, url string, html string, sha binary, again_id long")
+    got = Counter(tuple(r) for r in warc.archive(spark, df).collect())
+    want = Counter()
+    for i, h in pages:
+        first = min((j for j, g in pages if (g or "") == (h or "") and j is not None), default=None)
+        again = first is not None and i != first
+        want[(i, len(h or ""), digest((h or "").encode()), "revisit" if again else "response", first if again else None)] += 1
+    assert got == want
+
+
 def test_archive_format():
     records = [warc.record_bytes(i, f"http://x/{i}", (f"<p>{i} page of some words</p>" * 20).encode(), "D", None) for i in range(200)]
     data = warc.archive_bytes(records)
