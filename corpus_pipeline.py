@@ -1,8 +1,11 @@
 """The corpus pipeline: language identification, exact, SimHash and suffix-array de-duplication, packing.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's ``docs``. All but the last
-return the columns of ``documents``. Every stage works on all rows its predecessor kept. Rows without a doc_id pass
-the de-duplicating stages only where their rules keep them (see the operators).
+return the columns of ``documents``. Every stage works on all rows its predecessor kept.
+
+Defined cases, for every stage: rows are told apart by a key of their own, so a null or repeated doc_id neither loses nor doubles
+a row; a null text counts as empty (the language stage drops it); ties are settled by that key; further columns, whatever their
+names, are handed on unchanged; texts of any length are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,35 +17,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import exact_dedup, language_id, packing, simhash, suffix_dedup
-from strandlake.llm.common import stage
+from strandlake.llm.common import fresh_name, keyed, stage
 
 #: SQL has no naive Bayes, SimHash closure, suffix array or tokenizer: tested against brute force instead.
 ORACLE_SQL = None
 
+#: The suffix-array stage cuts passages of 50 words or more that repeat: runs of repeated strings of so many bytes (50 words have more,
+#: also where they are short) that hold so many words.
+REPEAT_BYTES, REPEAT_WORDS = 200, 50
+
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language can't be told: null texts and texts without a letter, and even odds or worse."""
-    model = language_id.fit(docs)
-    scored = language_id.predict(docs, model)
-    return scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") > 0.5)).select(docs.columns)
+    """Rejects documents whose language can't be told: null texts, texts without a letter, and texts that fit no learnt language better than
+    chance or two languages alike (a score of at most 0.5)."""
+    lang, score = fresh_name(docs, "lang_pred"), fresh_name(docs, "lang_score")
+    scored = language_id.predict(docs, language_id.fit(docs), lang, score)
+    return scored.where((F.col(lang) != language_id.UNDETERMINED) & (F.col(score) > 0.5)).select(docs.columns)
+
+
+def _only(rows: DataFrame, key: str, kept: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose key is in ``kept.row_key``."""
+    other = fresh_name(rows, "kept_key")
+    kept = kept.where("kept").select(F.col("row_key").alias(other))
+    return rows.join(kept, rows[key] == kept[other], "left_semi").select(columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (but for A-Z case) the row with the largest doc_id stays."""
-    index = f"pipeline_digests_{uuid.uuid4().hex[:12]}"
-    kept = exact_dedup.DigestIndex(spark, index).ingest(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of equal texts (but for A-Z case) one row stays: the largest doc_id, any before none."""
+    rows, key = keyed(docs)
+    index = exact_dedup.DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex[:12]}")
+    return _only(rows, key, index.ingest(rows, key=key), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the smallest doc_id stays."""
-    kept = simhash.simhash_groups(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Of each SimHash group one row stays: the smallest doc_id, any before none."""
+    rows, key = keyed(docs)
+    return _only(rows, key, simhash.simhash_groups(rows, key=key), docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the bytes of repeated 400-byte strings; ``n_chars`` follows the text."""
-    return suffix_dedup.without_repeats(docs).select(docs.columns)
+    """Removes runs of repeated strings of ``REPEAT_BYTES`` bytes that hold ``REPEAT_WORDS`` words; ``n_chars`` follows the text. No row goes."""
+    return suffix_dedup.without_repeats(docs, words=REPEAT_WORDS, span=REPEAT_BYTES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

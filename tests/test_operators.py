@@ -1,7 +1,9 @@
 """Operators and kernels against brute force on small inputs, plans, and the package's independence."""
 
 import importlib
+import os
 import random
+import shutil
 import subprocess
 import sys
 from collections import Counter
@@ -164,12 +166,14 @@ def test_flagship_plan_prunes_and_pushes_down(spark):
     assert "l_comment" not in plan and "l_extendedprice" not in plan and "Python" not in plan
 
 
-def test_nothing_outside_imports_the_llm_subpackage():
+def test_nothing_outside_imports_the_llm_subpackage(tmp_path):
     for path in (ROOT / "strandlake").rglob("*.py"):
         if "llm" not in path.parts:
             assert "strandlake.llm" not in path.read_text(), path
-    code = "import importlib.util as u, sys; real = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith(('strandlake.llm', 'corpus_pipeline')) else real(n, *a); import __spark_entry__ as e; print(len(e.queries()), any(k[:2] == 'op' and k[2].isdigit() or k == 'pipeline' for k in e.queries()))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.split()
+    bare = tmp_path / "bare"  # the repository as it is without those folders
+    shutil.copytree(ROOT, bare, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k[:2] == 'op' and k[2].isdigit() or k == 'pipeline' for k in q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=bare, capture_output=True, text=True, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}).stdout.split()
     assert int(out[0]) > 50 and out[1] == "False"
     assert importlib.import_module("__spark_entry__").oracle_sql().keys() <= importlib.import_module("__spark_entry__").queries().keys()
 
