@@ -5,14 +5,18 @@ repeats. Compared are the whole text, where the size bounds t / (2 - t) <= r / m
 every region of a text that is as long as the template. Regions with fewer than t x m bigrams of a template, counted with
 running sums, can't reach t and are pruned before any exact comparison. Templates are a fixed, small table.
 
+Relatives share most of their words, so a region is claimed once: of all regions that reach t, those with the largest product of
+common bigrams and coefficient come first, and one of which more than half is claimed already is left out.
+
 Defined cases: words are runs of ASCII letters and digits after lower-casing A-Z; null, empty and one-word texts match nothing; of
-equal scores the licence first in name order is the best; other columns are ignored; repeated rows are scanned each; an empty
-table gives no rows.
+equal claims the licence first in name order, then the first region wins; texts of any length are scanned whole; other columns are ignored,
+whatever their names; repeated rows are scanned each and null ids are returned as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,31 +52,45 @@ class Scanner:
         ids = np.fromiter((self.number.get(w, 0) for w in ws), dtype=np.int64, count=len(ws))
         return np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * self.base + ids[1:], 0)
 
-    def scan(self, text: bytes) -> dict[str, float]:
-        """The best Dice coefficient of each licence that reaches the threshold anywhere in the text."""
-        grams = self._bigrams(words(text))
+    def candidates(self, grams: np.ndarray) -> Iterator[tuple[int, float, str, int, int]]:
+        """(common bigrams, Dice coefficient, licence, first bigram, one after the last) of regions that reach the threshold: the
+        whole text, and of each template the best regions of its length that overlap by half at most."""
         n, t = len(grams), self.threshold
         at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
         hits = np.flatnonzero((self.known[at] == grams) & (grams > 0))
-        best: dict[str, float] = {}
-        if not len(hits):
-            return best
         for k, (name, template) in enumerate(self.templates):
             m = len(template)
+            if len(hits) < t / (2 - t) * m:
+                continue
             own = hits[self.holds[k][at[hits]]]
             if len(own) < t / (2 - t) * m:  # even the shortest region within the bounds needs that many
                 continue
-            top = 0.0
             if t / (2 - t) * m <= n <= (2 - t) / t * m:
-                top = 2 * sum((Counter(grams.tolist()) & self.counts[k]).values()) / (n + m)
+                common = sum((Counter(grams.tolist()) & self.counts[k]).values())
+                if 2 * common >= t * (n + m):
+                    yield common, 2 * common / (n + m), name, 0, n
             if n >= m:
                 sums = np.zeros(n + 1, dtype=np.int64)
                 sums[own + 1] = 1
                 sums = np.cumsum(sums)
-                start = np.flatnonzero(sums[m:] - sums[:-m] >= t * m)
-                top = max([top, *(c / m for c in self._common(grams, start.tolist(), m, self.counts[k]))])
-            if top >= t:
-                best[name] = max(top, best.get(name, 0.0))
+                start = np.flatnonzero(sums[m:] - sums[:-m] >= t * m).tolist()
+                common = list(self._common(grams, start, m, self.counts[k]))
+                taken: list[int] = []
+                for c, s in sorted(((c, s) for c, s in zip(common, start, strict=True) if c >= t * m), key=lambda x: (-x[0], x[1])):
+                    i = bisect_left(taken, s)
+                    if all(abs(s - o) * 2 >= m for o in taken[max(i - 1, 0) : i + 1]):
+                        taken.insert(i, s)
+                        yield c, c / m, name, s, s + m
+
+    def scan(self, text: bytes) -> dict[str, float]:
+        """The Dice coefficient of each licence that claims a region of the text, the best of its regions."""
+        best: dict[str, float] = {}
+        grams = self._bigrams(words(text))
+        claimed = np.zeros(len(grams), dtype=bool)
+        for common, dice, name, a, b in sorted(self.candidates(grams), key=lambda x: (-x[0] * x[1], x[2], x[3])):
+            if claimed[a:b].sum() * 2 <= b - a:
+                claimed[a:b] = True
+                best[name] = max(dice, best.get(name, 0.0))
         return best
 
     @staticmethod
