@@ -13,10 +13,10 @@ def is_contact(same: Column, facing: Column, gap: Column, near: int = 2048) -> C
     return ~(same & facing & gap.between(0, near - 1))
 
 
-def with_sites(pairs: DataFrame, sites: DataFrame, mate: int, key: list[str]) -> DataFrame:
+def with_sites(pairs: DataFrame, sites: DataFrame, mate: int) -> DataFrame:
     """Adds ``site{mate}``: for forward mates the smallest site >= pos + len - 4, for reverse ones the smallest site > pos."""
     at = F.when(F.col(f"rev{mate}"), F.col(f"pos{mate}") + 1).otherwise(F.col(f"pos{mate}") + F.col(f"len{mate}") - 4)
-    return next_site(pairs.withColumn("_q", at), sites, "_q", "site", f"site{mate}", key).drop("_q")
+    return next_site(pairs.withColumn("_q", at), sites, "_q", "site", f"site{mate}").drop("_q")
 
 
 def multiplicity(contacts: DataFrame) -> DataFrame:

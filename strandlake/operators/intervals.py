@@ -30,24 +30,21 @@ def overlap_join(left: DataFrame, right: DataFrame, l_start: str, l_end: str, r_
     return joined.drop("_bin")
 
 
-def next_site(queries: DataFrame, sites: DataFrame, at: str, site: str, out: str, key: list[str], on: str = "chr", width: int = 1 << 16) -> DataFrame:
-    """Forward as-of: for each query the smallest site >= ``at`` on its contig (null if there is none).
-
-    Within tiles a window over the union carries the next site back; the first site behind a tile comes from the much
-    smaller table of first sites per tile, so no window spans a contig's rows."""
-    names = key if on in key else [*key, on]
-    q = queries.withColumn("_tile", F.expr(f"{at} div {width}"))
-    s = sites.select(on, F.col(site).alias("_site")).withColumn("_tile", F.expr(f"_site div {width}"))
+def next_site(queries: DataFrame, sites: DataFrame, at: str, site: str, out: str, on: str = "chr", width: int = 1 << 16) -> DataFrame:
+    """Forward as-of: each row of ``queries`` with the smallest site >= ``at`` on its contig as ``out`` (null if there is none).
+
+    Within tiles a running window over the union, from the last position down, carries the next site back to the rows, which
+    travel in it whole; the first site behind a tile comes from the much smaller table of first sites per tile."""
+    kind = queries.select(F.struct(*queries.columns).alias("_row")).schema["_row"].dataType
+    q = queries.select(on, F.expr(f"{at} div {width}").alias("_tile"), F.col(at).alias("_at"), F.lit(None).cast(sites.schema[site].dataType).alias("_site"), F.struct(*queries.columns).alias("_row"))
+    s = sites.select(on, F.expr(f"{site} div {width}").alias("_tile"), F.col(site).alias("_at"), F.col(site).alias("_site"), F.lit(None).cast(kind).alias("_row"))
     firsts = s.groupBy(on, "_tile").agg(F.min("_site").alias("_first"))
     wanted = q.select(on, "_tile").distinct().join(firsts, [on, "_tile"], "full")
-    ahead = Window.partitionBy(on).orderBy("_tile").rowsBetween(1, Window.unboundedFollowing)
-    behind = wanted.select(on, "_tile", F.first("_first", ignorenulls=True).over(ahead).alias("_behind"))
-    both = q.select(on, "_tile", F.col(at).alias("_at"), F.lit(None).cast(dict(sites.dtypes)[site]).alias("_site"), F.struct(*names).alias("_key")).unionByName(
-        s.select(on, "_tile", F.col("_site").alias("_at"), "_site", F.lit(None).cast(q.select(F.struct(*names).alias("k")).schema["k"].dataType).alias("_key")))
-    within = Window.partitionBy(on, "_tile").orderBy(F.col("_at"), F.col("_site").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_next", F.first("_site", ignorenulls=True).over(within)).where("_key is not null")
-    found = found.join(behind, [on, "_tile"], "left").select(F.col("_key.*"), F.col("_at").alias(at), F.coalesce("_next", "_behind").alias(out))
-    return queries.join(found.distinct(), [*names, at], "left")
+    ahead = Window.partitionBy(on).orderBy(F.desc("_tile")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = wanted.select(on, "_tile", F.last("_first", ignorenulls=True).over(ahead).alias("_behind"))
+    down = Window.partitionBy(on, "_tile").orderBy(F.desc("_at"), F.col("_site").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = q.unionByName(s).withColumn("_next", F.last("_site", ignorenulls=True).over(down)).where("_row is not null")
+    return found.join(behind, [on, "_tile"], "left").select("_row.*", F.coalesce("_next", "_behind").alias(out))
 
 
 def in_any(value: Column, options: list) -> Column:

@@ -21,7 +21,7 @@ def sited(spark: SparkSession, sf_dir: str) -> DataFrame:
     facing = F.when(F.col("pos1") <= F.col("pos2"), ~F.col("rev1") & F.col("rev2")).otherwise(F.col("rev1") & ~F.col("rev2"))
     gap = F.greatest("pos1", "pos2") - F.when(F.col("pos1") <= F.col("pos2"), F.col("pos1") + F.col("len1")).otherwise(F.col("pos2") + F.col("len2"))
     sites = v.sites(spark, sf_dir)
-    return with_sites(with_sites(pairs.withColumn("facing", facing).withColumn("gap", gap), sites, 1, KEY), sites, 2, KEY)
+    return with_sites(with_sites(pairs.withColumn("facing", facing).withColumn("gap", gap), sites, 1), sites, 2)
 
 
 @query(SITED + " select ordinal, l_partkey, l_suppkey, chr, site1, site2 from sited")

@@ -60,7 +60,7 @@ def test_depth_segments(spark):
 def test_next_site_looks_across_tiles(spark):
     rng = random.Random(3)
     sites, asked = sorted({(rng.randint(1, 2), rng.randint(0, 900)) for _ in range(25)}), [(i, rng.randint(1, 3), rng.randint(0, 1000)) for i in range(80)]
-    got = intervals.next_site(spark.createDataFrame(asked, "i long, chr int, at long"), spark.createDataFrame(sites, "chr int, site long"), "at", "site", "found", ["i"], width=64).collect()
+    got = intervals.next_site(spark.createDataFrame(asked, "i long, chr int, at long"), spark.createDataFrame(sites, "chr int, site long"), "at", "site", "found", width=64).collect()
     assert {r["i"]: r["found"] for r in got} == {i: min((s for c2, s in sites if c2 == c and s >= p), default=None) for i, c, p in asked}
 
 
