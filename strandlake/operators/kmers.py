@@ -38,17 +38,6 @@ def unique_prefixes(counts: DataFrame, length: int, most: int = 4) -> DataFrame:
     return grouped.where((F.col("top") == 1) & (F.col("n_ext") <= most)).select("prefix", "n_ext")
 
 
-def seed_hits(reads: DataFrame, seeds: DataFrame, most: int = 16) -> DataFrame:
-    """Hits of reads' 16-mers that begin with A on the seed table (kmer16, chr, pos), the first ``most`` of a read by read
-    position, contig and position. ``hit_no`` counts from 1.
-
-    The table of unique seeds grows with the genome: Spark joins by shuffle unless it is below the session's broadcast limit."""
-    spots = explode_kmers(reads, "seq", 16, ("id",)).withColumnRenamed("kmer", "kmer16").where(F.col("kmer16").startswith("A"))
-    hits = spots.join(seeds, "kmer16")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("off", "chr", "pos"))
-    return hits.withColumn("hit_no", rank).where(F.col("hit_no") <= most)
-
-
 def seed_table(contigs: DataFrame, most: int = 8) -> DataFrame:
     """(kmer16, next2, chr, pos): the 18-mers of (chr, seq) that begin with A and occur once; a 16-mer has ``most`` slots at most."""
     spots = explode_kmers(contigs, "seq", 18, ("chr",)).where(F.col("kmer").startswith("A"))

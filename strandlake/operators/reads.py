@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import AMINO_ACIDS
+from strandlake.functions.sequence import AMINO_ACIDS, revcomp
 
-#: Fixed value: a common sequencing adapter.
-ADAPTER = "AGATCGGAAGAGC"
+#: Fixed value: the sequencing adapter.
+ADAPTER = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
 
 
 def tiles(sequences: DataFrame, width: int, step: int | Column | None = None, seq: str = "seq") -> DataFrame:
@@ -27,29 +27,47 @@ def tiles(sequences: DataFrame, width: int, step: int | Column | None = None, se
     return cut.select("id", F.explode(each).alias("x")).select("id", F.col("x.off").cast("long").alias("off"), F.col("x.b").cast("string").alias("seq"))
 
 
-def trim_point(seq: str, adapter: str = ADAPTER, most: int = 2, least: int = 40) -> int:
-    """Where the adapter begins: the last place of one of its first three 6-mers with at most ``most`` errors behind it and
-    ``least`` bases before, else a prefix of 5 to 1 bases at the read's end; the read's length if there is none."""
-    for k in (0, 1, 2):
-        at = seq.rfind(adapter[k : k + 6])
-        begin = at - k
-        if at >= 0 and begin >= least and sum(a != b for a, b in zip(seq[begin:], adapter, strict=False)) <= most:
-            return begin
-    for n in range(5, 0, -1):
-        if len(seq) - n >= least and seq.endswith(adapter[:n]):
-            return len(seq) - n
-    return len(seq)
+def adapter_cut(seq: Column, adapter: str = ADAPTER, least: int = 40, errors: int = 2) -> Column:
+    """How many bases of a read stay before the adapter (its length, if there is none).
 
+    The adapter begins at the last place of its first 6-mer, else of the one at its second or third base. That place counts from base ``least``
+    on, with ``errors`` differences at most in what follows of read and adapter; otherwise 5 to 1 bases of the adapter at the read's end go."""
 
-def trim_adapters(reads: DataFrame, adapter: str = ADAPTER) -> DataFrame:
-    """(id, off, seq) -> (id, off, seq trimmed, cut)."""
+    def last(k: int) -> Column:
+        six = adapter[k : k + 6]
+        return F.when(F.contains(seq, F.lit(six)), F.length(seq) - F.length(F.substring_index(seq, six, -1)) - 6).otherwise(-1) - k
+
+    place = F.when(last(0) >= 0, last(0)).when(last(1) >= 0, last(1)).otherwise(last(2))
+    most = F.least(F.length(seq) - place, F.lit(len(adapter)))
+    same = F.filter(F.sequence(F.lit(6), most), lambda j: F.substr(seq, place + j + 1, F.lit(1)) == F.substr(F.lit(adapter), j + 1, F.lit(1)))
+    found = (place >= least) & ((most <= 6) | (F.size(F.when(most > 6, same)) + 6 + errors >= most))
+    at_end = F.coalesce(*[F.when(F.endswith(seq, F.lit(adapter[:n])), F.length(seq) - n) for n in range(5, 0, -1)], F.length(seq))
+    return F.when(found, place).otherwise(at_end)
+
+
+def trim_adapters(reads: DataFrame, mate: int = 1, longest: int = 100, adapter: str = ADAPTER, least: int = 40) -> DataFrame:
+    """Reads (seq, qual, other columns) without the adapter, cut at ``longest`` bases; the second mate is turned around first.
+
+    Adds ``cut``. Qualities are cut only where ``least`` bases stay, as the bases of shorter reads are of no use."""
+    turn = (lambda c: revcomp(c), lambda c: F.reverse(c)) if mate == 2 else (lambda c: c, lambda c: c)
+    at = F.col("_at")
+    rows = reads.withColumn("_at", adapter_cut(F.col("seq"), adapter, least))
+    quality = F.when((at >= least) & (at < F.length("seq")), F.substr("qual", F.lit(1), at)).otherwise(F.col("qual"))
+    seq, qual = F.substr(turn[0](F.substr("seq", F.lit(1), at)), F.lit(1), F.lit(longest)), F.substr(turn[1](quality), F.lit(1), F.lit(longest))
+    return rows.select(*[c for c in reads.columns if c not in ("seq", "qual")], seq.alias("seq"), qual.alias("qual"), (at < F.length("seq")).alias("cut"))
+
+
+#: Ligation junctions, and the halves that belong to either fragment.
+LIGATION = {"GATCGATC": "GATC GATC", "TTATAA": "TTAA TTAA", "GATCTAA": "GATC TTAA", "TTAGATC": "TTAA GATC"}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            at = [trim_point(s, adapter) for s in f["seq"]]
-            yield pd.DataFrame({"id": f["id"], "off": f["off"], "seq": [s[:k] for s, k in zip(f["seq"], at, strict=True)], "cut": [k < len(s) for s, k in zip(f["seq"], at, strict=True)]})
 
-    return reads.select("id", "off", "seq").mapInPandas(run, "id long, off long, seq string, cut boolean")
+def ligation_tail(seq: Column, head: int = 28, longest: int = 32) -> Column:
+    """What follows the first ``head`` bases of a read up to the first ligation junction, with the four bases of it that belong to the
+    fragment, ``longest`` bases at most. Junctions within the head aren't looked for."""
+    out = F.substr(seq, F.lit(head + 1))
+    for site, halves in LIGATION.items():
+        out = F.replace(out, F.lit(site), F.lit(halves))
+    return F.substr(F.substring_index(out, " ", 1), F.lit(1), F.lit(longest))
 
 
 #: Amino acid by codon number (T, C, A, G are 0 to 3); X for codons with other letters.

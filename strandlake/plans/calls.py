@@ -160,17 +160,11 @@ def callable_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     BASE
     + LOCI
-    + f""", calls as ({SNPS}), c2 as (select chr, pos from calls group by chr, pos having count(*) = 2 order by chr, pos limit 1024),
+    + f""", calls as ({SNPS}), c2 as (select chr, pos from calls group by chr, pos having count(*) = 2),
 w as (select c2.chr, c2.pos, o, c2.pos + o as at from c2, range(-60, 61) as x(o))
 select w.chr, w.pos, w.o as shift, cast(coalesce(sum(cov_p), 0) as bigint) as cov_p, cast(coalesce(sum(cov_m), 0) as bigint) as cov_m from w left join deep on deep.chr = w.chr and deep.pos = w.at group by 1, 2, 3"""
 )
 def pwm_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth by strand in the 60 bases on either side of up to 1024 positions that are called in both samples."""
-    return _windows(spark, sf_dir, _called_twice(spark, sf_dir).orderBy("chr", "pos").limit(1024))
-
-
-@query()
-def pwm_window_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth by strand in the 60 bases on either side of every position that is called in both samples."""
     return _windows(spark, sf_dir, _called_twice(spark, sf_dir))
 

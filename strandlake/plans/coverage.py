@@ -165,19 +165,6 @@ def transcript_cov_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.join(reads, "gene_id", "left").na.fill(0, ["n_reads"])
 
 
-@query(
-    f"""with {v.ALN}, {v.FEATURES}, el as (select * from features where kind = 'exon' and feature_id % 8 <> 0)
-select feature_id, count(*) as n_reads, string_agg(ordinal || klass, ';' order by ordinal, klass) as reads from el join (select ordinal, klass, chr, pos1 as m_start, pos1 + len1 - 1 as m_end from aln) m on el.chr = m.chr and m_start <= "end" and m_end >= start group by feature_id"""
-)
-def exon_read_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each exon the reads (first mates) that overlap it, as ordinal and class code joined by semicolons."""
-    exons = v.features(spark, sf_dir).where("kind = 'exon' and feature_id % 8 <> 0").select("feature_id", "chr", "start", "end")
-    reads = v.aln(spark, sf_dir).selectExpr("chr", "ordinal", "klass", "pos1 as m_start", "pos1 + len1 - 1 as m_end")
-    hits = overlap_join(reads, exons, "m_start", "m_end", "start", "end")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "klass"))), lambda x: F.concat(x["ordinal"].cast("string"), x["klass"]))
-    return hits.groupBy("feature_id").agg(F.count("*").alias("n_reads"), F.array_join(listed, ";").alias("reads"))
-
-
 def _exon_reads(pairs: DataFrame, exons: DataFrame) -> DataFrame:
     one = pairs.selectExpr("chr", "pos1 as m_start", "pos1 + len1 - 1 as m_end", "ordinal", "case when rev1 then 'l' else 'L' end as code")
     two = pairs.selectExpr("chr", "pos2 as m_start", "pos2 + len2 - 1 as m_end", "ordinal", "case when rev2 then 'R' else 'r' end as code")
@@ -186,8 +173,12 @@ def _exon_reads(pairs: DataFrame, exons: DataFrame) -> DataFrame:
     return hits.groupBy("feature_id").agg(F.count("*").alias("n_reads"), F.array_join(listed, ";").alias("reads"))
 
 
-@query()
-def exon_read_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    f"""with {v.ALN}, {v.FEATURES}, el as (select * from features where kind = 'exon'),
+m as (select ordinal, case when rev1 then 'l' else 'L' end as code, chr, pos1 as m_start, pos1 + len1 - 1 as m_end from aln union all select ordinal, case when rev2 then 'R' else 'r' end, chr, pos2, pos2 + len2 - 1 from aln)
+select feature_id, count(*) as n_reads, string_agg(ordinal || code, ';' order by ordinal, code) as reads from el join m on el.chr = m.chr and m_start <= "end" and m_end >= start group by feature_id"""
+)
+def exon_read_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each exon that reads overlap, the reads of both mates: ordinal and L, l (first mate forward, reverse) or r, R (second)."""
     return _exon_reads(v.aln(spark, sf_dir), v.features(spark, sf_dir).where("kind = 'exon'").select("feature_id", "chr", "start", "end"))
 

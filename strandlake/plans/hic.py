@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.contacts import is_contact, multiplicity, with_sites
-from strandlake.operators.reads import tiles
+from strandlake.operators.reads import LIGATION, ligation_tail, tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
 
@@ -60,24 +60,19 @@ def bed_split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("chr", F.expr("(cum - 1) div 5000").alias("split_no")).agg(F.count("*").alias("n_regions"), F.sum("bp").alias("n_bases"))
 
 
-LIGATION = "(GATCGATC|TTATAA|GATCTAA|TTAGATC)"
+def _ligation_sql() -> str:
+    chain = "substr(seq, 29)"
+    for site, halves in LIGATION.items():
+        chain = f"replace({chain}, '{site}', '{halves}')"
+    return f"with {v.dna_sql()}, {v.tiles_sql(127, 120)}, s as (select id, off, substr(seq, 1, 28) as head, substr(split_part({chain}, ' ', 1), 1, 32) as tail from t) select id, off, head, tail, length(head) + length(tail) as n_kept from s"
 
 
-@query(f"""with {v.dna_sql()}, s as (select id, substr(seq, 1, 127) as seq, regexp_replace(substr(seq, 1, 127), '{LIGATION}.*$', '') as head from dna where length(seq) >= 60)
-select id, head, length(head) < length(seq) as was_cut, length(head) >= 28 as kept from s""")
-def ligation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads cut at the first ligation site; heads below 28 bases aren't kept."""
-    seq = F.substring("seq", 1, 127)
-    s = v.dna(spark, sf_dir).where("length(seq) >= 60").select("id", seq.alias("seq"), F.regexp_replace(seq, LIGATION + ".*$", "").alias("head"))
-    return s.select("id", "head", (F.length("head") < F.length("seq")).alias("was_cut"), (F.length("head") >= 28).alias("kept"))
-
+def _ligation_parts(sequences: DataFrame) -> DataFrame:
+    parts = tiles(sequences, 127, 120).select("id", "off", F.substring("seq", 1, 28).alias("head"), ligation_tail(F.col("seq")).alias("tail"))
+    return parts.withColumn("n_kept", (F.length("head") + F.length("tail")).cast("long"))
 
-def _ligation_heads(sequences: DataFrame) -> DataFrame:
-    s = tiles(sequences, 127, 120).select("id", "off", "seq", F.regexp_replace("seq", LIGATION + ".*$", "").alias("head"))
-    return s.select("id", "off", "head", (F.length("head") < F.length("seq")).alias("was_cut"), (F.length("head") >= 28).alias("kept"))
 
-
-@query()
-def ligation_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for reads of 127 bases from every 120th base of whole texts, so that each site lies in a read."""
-    return _ligation_heads(v.dna(spark, sf_dir))
+@query(_ligation_sql())
+def ligation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads (127 bases from every 120th base of whole texts): the first 28 bases, and what follows up to the first ligation junction."""
+    return _ligation_parts(v.dna(spark, sf_dir))

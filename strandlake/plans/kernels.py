@@ -20,11 +20,6 @@ from strandlake.sources import views as v
 READ = "substr(concat(substr(window, 34, 20 + cast(id % 30 as int)), substr('ACGT', cast(id % 4 + 1 as int), 1), substr(window, 34 + 21 + cast(id % 30 as int) + cast(id % 5 as int), 200)), 1, 100)"
 
 
-def _first_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A read of 100 bases with two changes, and the 256-base window it comes from (from base 33 on), as the SQL of ungapped_shift has them."""
-    return v.dna(spark, sf_dir).where("length(seq) >= 256").select("id", F.substring("seq", 1, 256).alias("window")).select("id", F.expr(READ).alias("read"), "window")
-
-
 def _reads(sequences: DataFrame) -> DataFrame:
     """Reads of 100 bases with two changes, one from every 100th base (``off``) of whole sequences, and their windows of 256 bases,
     which begin 33 bases before. N stands for bases outside a sequence; the last read of a sequence is as long as its bases go."""
@@ -33,16 +28,6 @@ def _reads(sequences: DataFrame) -> DataFrame:
     return windows.select("id", "off", F.expr(READ).alias("read"), F.rpad("window", 256, "N").alias("window"))
 
 
-@query(
-    f"""with {v.dna_sql()}, w as (select id, substr(seq, 1, 256) as win from dna where length(seq) >= 256), r as (select id, win, substr(substr(win, 34, 20 + cast(id % 30 as int)) || substr('ACGT', cast(id % 4 + 1 as int), 1) || substr(win, 34 + 21 + cast(id % 30 as int) + cast(id % 5 as int), 200), 1, 100) as read from w),
-s as (select id, sh, length(list_filter(range(1, 101), lambda i: substr(read, i, 1) <> substr(win, 33 + sh + i - 1, 1))) as wrong from r, range(-16, 16) as x(sh))
-select id, arg_min(sh, (wrong, sh)) as shift, min(wrong) as n_mismatches from s group by id"""
-)
-def ungapped_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best ungapped placement of each text's first read within shifts of -16..15."""
-    return _shifts(_first_reads(spark, sf_dir).withColumn("off", F.lit(0).cast("long"))).drop("off")
-
-
 def _shifts(reads: DataFrame) -> DataFrame:
     """(id, off, shift, n_mismatches) of reads that may be shorter at the end of a sequence."""
 
@@ -55,9 +40,13 @@ def _shifts(reads: DataFrame) -> DataFrame:
     return reads.select("id", "off", "read", "window").mapInPandas(run, "id long, off long, shift long, n_mismatches long")
 
 
-@query()
-def ungapped_shift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best ungapped placement of the reads of whole texts."""
+@query(
+    f"""with {v.dna_sql()}, padded as (select id, repeat('N', 33) || seq as seq from dna where length(seq) > 0), {v.tiles_sql(256, 100, source='padded')}, w as (select id, off, seq as part, rpad(seq, 256, 'N') as win from t where length(seq) > 33),
+r as (select id, off, win, {READ.replace('window', 'part')} as read from w), s as (select id, off, sh, length(list_filter(range(1, length(read) + 1), lambda i: substr(read, i, 1) <> substr(win, 33 + sh + i - 1, 1))) as wrong from r, range(-16, 16) as x(sh))
+select id, off, arg_min(sh, (wrong, sh)) as shift, min(wrong) as n_mismatches from s group by id, off"""
+)
+def ungapped_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best ungapped placement of the reads of whole texts within shifts of -16..15."""
     return _shifts(_reads(v.dna(spark, sf_dir)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as q
-from strandlake.operators.kmers import explode_kmers, kmer_counts, pair_hits, seed_hits, seed_table, strand_hits, unique_prefixes, uniqueness
+from strandlake.operators.kmers import explode_kmers, kmer_counts, pair_hits, seed_table, strand_hits, unique_prefixes, uniqueness
 from strandlake.operators.reads import codon_phases, tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
@@ -16,23 +16,8 @@ COUNTS = f"""with {v.dna_sql()}, e as (select unnest(list_transform(range(1, gre
 counts as (select least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as kmer, count(*) as cnt from e group by 1)"""
 
 
-@query(f"with {v.dna_sql()} select id, reverse(translate(regexp_replace(substr(seq, 1, 60), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) as rc, length(seq) as n_bases from dna")
+@query(f"with {v.dna_sql()} select id, reverse(translate(regexp_replace(seq, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) as rc, length(seq) as n_bases from dna")
 def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reverse complement of the first 60 bases."""
-    return v.dna(spark, sf_dir).select("id", q.revcomp(F.substring("seq", 1, 60)).alias("rc"), F.length("seq").cast("long").alias("n_bases"))
-
-
-@query(
-    f"""with {v.dna_sql()}, s as (select id, substr(seq, 1, 18) as k18 from dna where length(seq) >= 18)
-select id, substr(k18, 17, 2) as next2, list_sum(list_transform(range(1, 17), lambda i: (instr('ACGT', substr(k18, i, 1)) - 1) * (4 ** (16 - i))::bigint))::bigint & 1073741823 as seed_key from s"""
-)
-def kmer16_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table address and the two following bases of the first 18-mer."""
-    return v.dna(spark, sf_dir).where("length(seq) >= 18").select("id", F.substring("seq", 17, 2).alias("next2"), q.seed_key(F.substring("seq", 1, 18)).alias("seed_key"))
-
-
-@query()
-def revcomp_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reverse complement of whole texts."""
     return v.dna(spark, sf_dir).select("id", q.revcomp(F.col("seq")).alias("rc"), F.length("seq").cast("long").alias("n_bases"))
 
@@ -41,20 +26,17 @@ def _encoded(sequences: DataFrame) -> DataFrame:
     return explode_kmers(sequences, "seq", 18, ("id",)).select("id", "off", F.substring("kmer", 17, 2).alias("next2"), q.seed_key(F.col("kmer")).alias("seed_key"))
 
 
-@query()
-def kmer16_encode_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every 18-mer of whole texts."""
+@query(
+    f"""with {v.dna_sql()}, s as (select id, off, substr(seq, off + 1, 18) as k18 from (select id, seq, unnest(range(0, greatest(length(seq) - 17, 0))) as off from dna))
+select id, off, substr(k18, 17, 2) as next2, list_sum(list_transform(range(1, 17), lambda i: (instr('ACGT', substr(k18, i, 1)) - 1) * (4 ** (16 - i))::bigint))::bigint & 1073741823 as seed_key from s"""
+)
+def kmer16_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table address and the two following bases of every 18-mer of whole texts."""
     return _encoded(v.dna(spark, sf_dir))
 
 
-@query(COUNTS + " select kmer, cnt from counts where cnt >= 4")
+@query(COUNTS + " select kmer, cnt from counts")
 def kmer_canonical_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical 11-mers that occur four times or more."""
-    return kmer_counts(v.dna(spark, sf_dir), K).where("cnt >= 4")
-
-
-@query()
-def kmer_canonical_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All canonical 11-mers with their counts."""
     return kmer_counts(v.dna(spark, sf_dir), K)
 
@@ -79,22 +61,6 @@ def kmer_mappability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triple.groupBy("n_unique", "n_dual", "n_multi").agg(F.count("*").alias("n_prefixes"))
 
 
-RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
-
-
-def _step_sql(name: str, expr: str) -> str:
-    return f"{name} as (select unnest(list_transform(range(0, greatest(length(seq) - 12, 0) // 12 + 1), lambda i: substr(seq, i * 12 + 1, 12))) as kmer from (select {expr} as seq from dna where length(seq) >= 12))"
-
-
-@query(f"with {v.dna_sql()}, {_step_sql('fw', 'seq')}, {_step_sql("rv", RC)} select kmer, cast(sum(f) as bigint) as n_fwd, cast(sum(r) as bigint) as n_rev, cast(sum(f + r) as bigint) as n_all from (select kmer, 1 as f, 0 as r from fw union all select kmer, 0, 1 from rv) group by kmer having count(*) >= 3")
-def kmer_merge_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forward and reverse counts of every twelfth 12-mer, merged and added."""
-    seq = v.dna(spark, sf_dir).withColumn("rc", q.revcomp(F.col("seq")))
-    each = lambda s, f, r: explode_kmers(seq, s, 12, step=12).select("kmer", F.lit(f).alias("f"), F.lit(r).alias("r"))
-    both = each("seq", 1, 0).unionByName(each("rc", 0, 1))
-    return both.groupBy("kmer").agg(F.sum("f").alias("n_fwd"), F.sum("r").alias("n_rev"), F.sum(F.col("f") + F.col("r")).alias("n_all")).where("n_all >= 3")
-
-
 def _both_strands(sequences: DataFrame) -> DataFrame:
     """The reverse strand's 12-mers are the reverse complements of the forward ones: counted once, before the merge."""
     forward = explode_kmers(sequences, "seq", 12).groupBy("kmer").agg(F.count("*").alias("n"))
@@ -102,50 +68,32 @@ def _both_strands(sequences: DataFrame) -> DataFrame:
     return both.groupBy("kmer").agg(F.sum("f").alias("n_fwd"), F.sum("r").alias("n_rev"), F.sum(F.col("f") + F.col("r")).alias("n_all"))
 
 
-@query()
-def kmer_merge_add_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    f"""with {v.dna_sql()}, e as (select substr(seq, off + 1, 12) as kmer from (select seq, unnest(range(0, greatest(length(seq) - 11, 0))) as off from dna)),
+strands as (select kmer, 1 as f, 0 as r from e union all select reverse(translate(kmer, 'ACGT', 'TGCA')), 0, 1 from e) select kmer, cast(sum(f) as bigint) as n_fwd, cast(sum(r) as bigint) as n_rev, cast(sum(f + r) as bigint) as n_all from strands group by kmer"""
+)
+def kmer_merge_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forward and reverse counts of all 12-mers, merged and added."""
     return _both_strands(v.dna(spark, sf_dir))
 
 
-SEEDS = f"""{v.dna_sql('benchmark', 'ref')}, sk as (select id as chr, unnest(range(1, greatest(length(seq) - 14, 1))) as pos, seq from ref),
-seeds as (select any_value(kmer16) as kmer16, any_value(chr) as chr, any_value(pos) as pos from (select substr(seq, pos, 16) as kmer16, chr, pos from sk) where starts_with(kmer16, 'A') group by kmer16 having count(*) = 1)"""
-HITS = f"""with {v.dna_sql()}, {SEEDS}, sp as (select id, off, substr(seq, off + 1, 16) as kmer16 from (select id, seq, unnest(range(0, greatest(length(seq) - 15, 0))) as off from dna)),
-h as (select id, off, chr, pos, row_number() over (partition by id order by off, chr, pos) as hit_no from sp join seeds using (kmer16)), hits as (select * from h where hit_no <= 16)"""
-
-
-def unique_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique 16-mers that begin with A, of the benchmark's passages as contigs."""
-    spots = v.dna(spark, sf_dir, "benchmark").withColumnRenamed("id", "chr").transform(lambda d: explode_kmers(d, "seq", 16, ("chr",))).withColumnsRenamed({"off": "p", "kmer": "kmer16"}).where(F.col("kmer16").startswith("A"))
-    return spots.groupBy("kmer16").agg(F.count("*").alias("n"), F.min("chr").alias("chr"), F.min(F.col("p") + 1).cast("long").alias("pos")).where("n = 1").drop("n")
-
-
-@query(HITS + " select id, hit_no, off, chr, pos from hits")
-def seed_join_top16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 16 seed hits of each document's DNA on the passages."""
-    return seed_hits(v.dna(spark, sf_dir), unique_seeds(spark, sf_dir)).select("id", "hit_no", F.col("off").cast("long").alias("off"), "chr", "pos")
+SEEDS = f"""{v.dna_sql('benchmark', 'ref')}, once as (select kmer, any_value(chr) as chr, any_value(pos) as pos from (select substr(seq, pos, 18) as kmer, chr, pos from (select id as chr, seq, unnest(range(1, greatest(length(seq) - 16, 1))) as pos from ref)) where starts_with(kmer, 'A') group by kmer having count(*) = 1),
+seeds as (select substr(kmer, 1, 16) as kmer16, substr(kmer, 17, 2) as next2, chr, pos from once qualify row_number() over (partition by substr(kmer, 1, 16) order by chr, pos) <= 8)"""
 
 
-@query(
-    HITS
-    + """, a as (select id, chr, pos, 3 * hit_no as score from hits where hit_no % 2 = 1), b as (select id, chr, pos, 2 * hit_no as score from hits where hit_no % 2 = 0),
-p as (select id, chr, a.pos as pos1, b.pos as pos2, a.score + b.score as score, row_number() over (partition by id order by a.score + b.score desc, a.pos desc, b.pos desc) as rank from a join b using (id, chr) where abs(a.pos - b.pos) <= 1023)
-select id, chr, pos1, pos2, score, rank from p where rank <= 16"""
-)
-def seed_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd and even hits of a read paired within 1023 bases; the 16 best sums."""
-    hits = seed_hits(v.dna(spark, sf_dir), unique_seeds(spark, sf_dir)).select("id", "chr", "pos", "hit_no")
-    odd = hits.where("hit_no % 2 = 1").withColumn("score", F.col("hit_no") * 3)
-    even = hits.where("hit_no % 2 = 0").withColumn("score", F.col("hit_no") * 2)
-    return pair_hits(odd, even).select("id", "chr", "pos1", "pos2", F.col("score").cast("long").alias("score"), "rank")
+def _hits_sql(reads: str, name: str) -> str:
+    """Hits of ``reads`` (id, at, seq) on both strands, the first 16 of each, forward ones first."""
+    return f"""{name} as (select * from (select *, row_number() over (partition by id, "at" order by rev, off, chr, pos) as hit_no from (select id, "at", rev, case when rev then n - 18 - o else o end as off, chr, pos
+  from (select id, "at", rev, n, o, substr(seq, o + 1, 18) as k from (select *, length(seq) as n, unnest(range(0, greatest(length(seq) - 17, 0))) as o from (select id, "at", false as rev, seq from {reads} union all select id, "at", true, reverse(translate(seq, 'ACGT', 'TGCA')) from {reads})))
+  join seeds on kmer16 = substr(k, 1, 16) and next2 = substr(k, 17, 2))) where hit_no <= 16)"""
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_table(v.dna(spark, sf_dir, "benchmark").withColumnRenamed("id", "chr"))
 
 
-@query()
-def seed_join_top16_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""with {v.dna_sql()}, {v.tiles_sql(100, 83)}, rd as (select id, off as "at", seq from t), {SEEDS}, {_hits_sql('rd', 'h')} select id, "at", rev, off, chr, pos, hit_no from h""")
+def seed_join_top16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 16 seed hits, of both strands, of every read of the whole texts: 100 bases from every 83rd on, so that each 18-mer lies in one."""
     reads = tiles(v.dna(spark, sf_dir), 100, 83).withColumnRenamed("off", "at")
     return strand_hits(reads, _passages(spark, sf_dir), ("id", "at"))
@@ -158,9 +106,13 @@ def _paired(sequences: DataFrame, seeds: DataFrame) -> DataFrame:
     return pair_hits(one, two, by=("id", "at"), opposite=True).select("id", "at", "chr", "pos1", "pos2", F.col("score").cast("long").alias("score"), "rank")
 
 
-@query()
-def seed_pairing_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of two mates (every 200 bases of the whole texts, the second half reversed) paired on opposite strands within 1023 bases."""
+@query(
+    f"""with {v.dna_sql()}, {v.tiles_sql(200)}, r1 as (select id, off as "at", substr(seq, 1, 100) as seq from t), r2 as (select id, off as "at", reverse(translate(substr(seq, 101, 100), 'ACGT', 'TGCA')) as seq from t), {SEEDS}, {_hits_sql('r1', 'h1')}, {_hits_sql('r2', 'h2')},
+p as (select id, "at", chr, h1.pos as pos1, h2.pos as pos2, 3 * h1.hit_no + 2 * h2.hit_no as score from h1 join h2 using (id, "at", chr) where h1.rev <> h2.rev and abs(h1.pos - h2.pos) <= 1023)
+select * from (select *, row_number() over (partition by id, "at" order by score desc, pos1 desc, pos2 desc) as rank from p) where rank <= 16"""
+)
+def seed_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of two mates (every 200 bases of the whole texts, the second half reversed) paired on opposite strands within 1023 bases; the 16 best sums."""
     return _paired(v.dna(spark, sf_dir), _passages(spark, sf_dir))
 
 
@@ -191,37 +143,29 @@ def argmin_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"), best).select("p_brand", "n", "m.p_partkey", "m.p_size")
 
 
-@query(f"""with {v.dna_sql()}, k as (select id, substr(seq, 1, 12) as kmer, seq < reverse(translate(seq, 'ACGT', 'TGCA')) as fwd from (select id, substr(seq, 1, 12) as seq from dna where length(seq) >= 12)) select kmer, fwd, row_number() over (partition by kmer order by id) - 1 as slot, id from k qualify row_number() over (partition by kmer order by id) <= 8""")
-def seed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seed table slots: the occurrences of a prefix numbered from 0, eight at most, with the strand of the smaller form."""
-    k = v.dna(spark, sf_dir).where("length(seq) >= 12").select("id", F.substring("seq", 1, 12).alias("kmer")).withColumn("fwd", F.col("kmer") < q.revcomp(F.col("kmer")))
-    slot = F.row_number().over(Window.partitionBy("kmer").orderBy("id")) - 1
-    return k.withColumn("slot", slot.cast("long")).where("slot < 8").select("kmer", "fwd", "slot", "id")
-
-
 def _slots(sequences: DataFrame) -> DataFrame:
     slot = F.row_number().over(Window.partitionBy("kmer").orderBy("id", "off")) - 1
     k = explode_kmers(sequences, "seq", 12, ("id",)).withColumn("slot", slot.cast("long")).where("slot < 8")
     return k.select("kmer", (F.col("kmer") < q.revcomp(F.col("kmer"))).alias("fwd"), "slot", "id", "off")
 
 
-@query()
-def seed_slots_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots of every 12-mer of whole texts, by text and offset; eight are the table's slots for a k-mer."""
+@query(f"""with {v.dna_sql()}, k as (select id, off, substr(seq, off + 1, 12) as kmer from (select id, seq, unnest(range(0, greatest(length(seq) - 11, 0))) as off from dna)), n as (select *, row_number() over (partition by kmer order by id, off) - 1 as slot from k)
+select kmer, kmer < reverse(translate(kmer, 'ACGT', 'TGCA')) as fwd, slot, id, off from n where slot < 8""")
+def seed_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of every 12-mer of whole texts, by text and offset, with the strand of the smaller form; eight are the table's slots for a k-mer."""
     return _slots(v.dna(spark, sf_dir))
 
 
 CODONS = "[" + ", ".join(f"'{a}'" for a in q.AMINO_ACIDS) + "]"
 
 
-@query(f"""with {v.dna_sql()}, s as (select id, substr(seq, 1, 90) as seq from dna where length(seq) >= 90)
-select id, list_aggregate(list_transform(range(0, 30), lambda i: {CODONS}[1 + 16 * (instr('TCAG', substr(seq, i * 3 + 1, 1)) - 1) + 4 * (instr('TCAG', substr(seq, i * 3 + 2, 1)) - 1) + instr('TCAG', substr(seq, i * 3 + 3, 1)) - 1]), 'string_agg', '') as peptide from s""")
-def codon_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Amino acids of the first 30 codons."""
-    return v.dna(spark, sf_dir).where("length(seq) >= 90").select("id", q.translate_codons(F.substring("seq", 1, 90)).alias("peptide"))
+def peptide_sql(seq: str = "seq", phase: str = "phase") -> str:
+    """Amino acids of the codons of ``seq`` from base ``phase`` (0-based) on."""
+    digit = lambda k: f"instr('TCAG', substr({seq}, {phase} + i * 3 + {k}, 1)) - 1"
+    return f"coalesce(list_aggregate(list_transform(range(0, greatest(length({seq}) - {phase}, 0) // 3), lambda i: {CODONS}[1 + 16 * ({digit(1)}) + 4 * ({digit(2)}) + {digit(3)}]), 'string_agg', ''), '')"
 
 
-@query()
-def codon_translation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"with {v.dna_sql()} select id, cast(phase as int) as phase, {peptide_sql()} as peptide from dna, range(0, 3) as x(phase)")
+def codon_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amino acids of all codons of whole texts, in the three forward phases."""
     return codon_phases(v.dna(spark, sf_dir))

@@ -48,17 +48,9 @@ def clone_filter_umi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {v.ALN_DUP} select sample, chr, klass, {KEYS}, row_number() over (partition by sample, chr, klass order by least(pos1, pos2), greatest(pos1, pos2), umi, {KEYS}) as rank from aln")
 def pair_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of each pair in the order of its store."""
+    """Rank of each pair in the order of its store: numbered inside tiles of positions, with the rows of the tiles before added."""
     keyed = with_order_keys(v.aln(spark, sf_dir, duplicates=True))
-    return keyed.select("sample", "chr", "klass", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy("sample", "chr", "klass").orderBy(*PAIR_ORDER)).alias("rank"))
-
-
-@query(f"with {v.ALN}, r as (select chr, ordinal, row_number() over (partition by chr order by least(pos1, pos2), greatest(pos1, pos2), umi, {KEYS}) as rank from aln) select chr, rank, ordinal from r where rank <= 500")
-def kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stores (even and odd orders) united and merged in pair order; the first 500 pairs of each contig."""
-    pairs = with_order_keys(v.aln(spark, sf_dir))
-    merged = pairs.where("l_orderkey % 2 = 0").unionByName(pairs.where("l_orderkey % 2 <> 0"))
-    return merged.withColumn("rank", F.row_number().over(Window.partitionBy("chr").orderBy(*PAIR_ORDER))).where("rank <= 500").select("chr", "rank", "ordinal")
+    return ranked(keyed, ["sample", "chr", "klass"], F.expr("lo div 4096"), PAIR_ORDER).select("sample", "chr", "klass", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "rank")
 
 
 def _merged(pairs: DataFrame) -> DataFrame:
@@ -67,9 +59,9 @@ def _merged(pairs: DataFrame) -> DataFrame:
     return ranked(merged, ["chr"], F.expr("lo div 4096"), PAIR_ORDER).select("chr", "rank", "ordinal")
 
 
-@query()
-def kway_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stores united and merged in pair order: all pairs of each contig."""
+@query(f"with {v.ALN} select chr, ordinal, row_number() over (partition by chr order by least(pos1, pos2), greatest(pos1, pos2), umi, {KEYS}) as rank from aln")
+def kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stores (even and odd orders) united and merged in pair order: all pairs of each contig."""
     return _merged(v.aln(spark, sf_dir))
 
 
@@ -95,10 +87,11 @@ def chimera_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, sf_dir).where("family = 'C'").groupBy(chimera_bucket(F.col("chr1"), F.col("chr2")).alias("bucket")).agg(F.count("*").alias("n_pairs"), F.sum("ordinal").alias("ordinals"))
 
 
-@query(f"with {v.dna_sql()} select substr(seq, 1, 1) || substr(seq, 101, 1) as bucket, count(*) as n_pairs from dna where length(seq) >= 200 group by 1")
+@query(f"with {v.dna_sql()}, {v.tiles_sql(200)} select substr(seq, 1, 1) || substr(seq, 101, 1) as bucket, count(*) as n_pairs from t group by 1")
 def unmapped_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unmapped pairs by the first base of both mates."""
-    return v.dna(spark, sf_dir).where("length(seq) >= 200").groupBy(unmapped_bucket(F.col("seq"), F.substring("seq", 101, 100)).alias("bucket")).agg(F.count("*").alias("n_pairs"))
+    """Unmapped pairs (every 200 bases of whole texts) by the first base of both mates; a pair at a text's end may lack the second."""
+    pairs = tiles(v.dna(spark, sf_dir), 200)
+    return pairs.groupBy(unmapped_bucket(F.col("seq"), F.substring("seq", 101, 100)).alias("bucket")).agg(F.count("*").alias("n_pairs"))
 
 
 @query(f"""with {v.ALN} select chr, case when abs(delta) > 1023 then 'TooFar' else 'Pair' end as category, count(*) filter (klass = 'p') as n_p, count(*) filter (klass = 'N') as n_only_n, count(*) filter (klass = 'm') as n_m, count(*) filter (klass = 'g') as n_g, count(*) as n_total from aln group by 1, 2""")
@@ -173,36 +166,16 @@ def sam_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sam_rows(v.aln(spark, sf_dir)).select("ordinal", "mate", "flag", "chr", "pos", "mapq", "cigar", "pnext", "tlen")
 
 
-@query(f"""with {v.dna_sql()}, n as (select id, unnest(range(0, 4)) as no, seq from dna where length(seq) >= 200)
-select id, no, case no when 0 then '000 ' || id || ' fixed_len=100' when 1 then '001 Head1 @' || id || '/1' when 2 then '002 Read1 ' || substr(seq, 1, 100) else '003 Read2 ' || reverse(translate(substr(seq, 101, 100), 'ACGT', 'TGCA')) end as line from n""")
-def raw_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered lines of each pair, as in a golden dump."""
-    ident = F.col("id").cast("string")
-    lines = F.array(F.concat(F.lit("000 "), ident, F.lit(" fixed_len=100")), F.concat(F.lit("001 Head1 @"), ident, F.lit("/1")), F.concat(F.lit("002 Read1 "), F.substring("seq", 1, 100)), F.concat(F.lit("003 Read2 "), q.revcomp(F.substring("seq", 101, 100))))
-    return v.dna(spark, sf_dir).where("length(seq) >= 200").select("id", F.posexplode(lines).alias("no", "line")).withColumn("no", F.col("no").cast("long"))
-
-
-@query(f"""with {v.dna_sql()} select id, '@' || id || '/1' || chr(10) || substr(seq, 1, 100) || chr(10) || '+' || chr(10) || repeat('I', 100) as record from dna where length(seq) >= 100""")
-def fastq_export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FASTQ records of the first 100 bases."""
-    return v.dna(spark, sf_dir).where("length(seq) >= 100").select("id", F.concat_ws("\n", F.concat(F.lit("@"), F.col("id").cast("string"), F.lit("/1")), F.substring("seq", 1, 100), F.lit("+"), F.lit("I" * 100)).alias("record"))
-
-
-@query(f"with {v.dna_sql()} select id, '>' || id || chr(10) || substr(seq, 1, 136) as record from dna where length(seq) >= 68")
-def fasta_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FASTA records: reads of 68 bases at least, cut at 136."""
-    return v.dna(spark, sf_dir).where("length(seq) >= 68").select("id", F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), F.substring("seq", 1, 136)).alias("record"))
-
-
 def _dump(sequences: DataFrame) -> DataFrame:
     at, one = F.concat_ws(":", F.col("id").cast("string"), F.col("off").cast("string")), F.substring("seq", 1, 100)
     lines = F.array(F.concat(F.lit("000 "), at, F.lit(" fixed_len="), F.length(one).cast("string")), F.concat(F.lit("001 Head1 @"), at, F.lit("/1")), F.concat(F.lit("002 Read1 "), one), F.concat(F.lit("003 Read2 "), q.revcomp(F.substring("seq", 101, 100))))
     return tiles(sequences, 200).select("id", "off", F.posexplode(lines).alias("no", "line")).withColumn("no", F.col("no").cast("long"))
 
 
-@query()
-def raw_dump_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every 200 bases of whole texts and the rest, named by text and offset."""
+@query(f"""with {v.dna_sql()}, {v.tiles_sql(200)}, n as (select id, off, id || ':' || off as name, unnest(range(0, 4)) as no, seq from t)
+select id, off, no, case no when 0 then '000 ' || name || ' fixed_len=' || length(substr(seq, 1, 100)) when 1 then '001 Head1 @' || name || '/1' when 2 then '002 Read1 ' || substr(seq, 1, 100) else '003 Read2 ' || reverse(translate(substr(seq, 101, 100), 'ACGT', 'TGCA')) end as line from n""")
+def raw_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered lines of each pair, as in a golden dump: every 200 bases of whole texts and the rest, named by text and offset."""
     return _dump(v.dna(spark, sf_dir))
 
 
@@ -211,8 +184,8 @@ def _fastq(sequences: DataFrame) -> DataFrame:
     return tiles(sequences, 100).select("id", "off", F.concat_ws("\n", head, "seq", F.lit("+"), F.repeat(F.lit("I"), F.length("seq"))).alias("record"))
 
 
-@query()
-def fastq_export_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""with {v.dna_sql()}, {v.tiles_sql(100)} select id, off, '@' || id || ':' || off || '/1' || chr(10) || seq || chr(10) || '+' || chr(10) || repeat('I', length(seq)) as record from t""")
+def fastq_export_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FASTQ records of every 100 bases of whole texts and the rest, named by text and offset."""
     return _fastq(v.dna(spark, sf_dir))
 
@@ -221,8 +194,8 @@ def _fasta(sequences: DataFrame) -> DataFrame:
     return tiles(sequences, 136).select("id", "off", F.concat(F.lit(">"), F.col("id").cast("string"), F.lit(":"), F.col("off").cast("string"), F.lit("\n"), "seq").alias("record"))
 
 
-@query()
-def fasta_export_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"with {v.dna_sql()}, {v.tiles_sql(136)} select id, off, '>' || id || ':' || off || chr(10) || seq as record from t")
+def fasta_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FASTA records of every 136 bases of whole texts and the rest, named by text and offset."""
     return _fasta(v.dna(spark, sf_dir))
 

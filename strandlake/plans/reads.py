@@ -8,25 +8,58 @@ from pyspark.sql import functions as F
 from strandlake.functions.sequence import revcomp
 from strandlake.operators import reads as rd
 from strandlake.operators.filters import ranked
+from strandlake.plans.kmer import peptide_sql
 from strandlake.plans.pairs import with_cigar
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
 
 
+def _wrong(*at: int) -> str:
+    return "".join(("G" if b == "T" else "T") if k in at else b for k, b in enumerate(rd.ADAPTER))
+
+
+#: The adapter as derived reads hold it, by id % 6: not at all, whole, with two or three errors, with another first base.
+INSERTED = f"case id % 6 when 0 then '' when 3 then '{_wrong(10, 20)}' when 4 then '{_wrong(10, 15, 20)}' when 5 then 'C{rd.ADAPTER[1:]}' else '{rd.ADAPTER}' end"
+ADAPTED = f"substr(concat(substr(seq, 1, cast(30 + id % 80 as int)), {INSERTED}, substr(seq, 100, 40)), 1, 100)"
+QUALITY = "substr(repeat('FFFFE::,##', 10), 1, length(seq))"
+
+
 def _with_adapter(sequences: DataFrame) -> DataFrame:
-    """Reads of whole sequences, one behind the other: 30 + id % 80 bases (100 at most count), the adapter in two of three, other bases."""
-    size = F.expr("cast(30 + id % 80 as int)")
-    spans = rd.tiles(sequences, 139, F.least(size, F.lit(100)))
-    return spans.select("id", "off", F.expr(f"substr(concat(substr(seq, 1, cast(30 + id % 80 as int)), case when id % 3 = 0 then '' else '{rd.ADAPTER}' end, substr(seq, 100, 40)), 1, 100)").alias("seq"))
+    """Reads of whole sequences, one behind the other: 30 + id % 80 bases (100 at most count), the adapter in five of six, other bases."""
+    spans = rd.tiles(sequences, 139, F.least(F.expr("cast(30 + id % 80 as int)"), F.lit(100)))
+    return spans.select("id", "off", F.expr(ADAPTED).alias("seq")).withColumn("qual", F.expr(QUALITY))
+
 
+def _trim_sql(mate: int, longest: int) -> str:
+    """The rule in SQL: ``p0`` to ``p2`` are the last places of the adapter's 6-mers, ``n`` the read's length, ``m`` what is compared."""
+    last = lambda k: f"case when instr(seq, '{rd.ADAPTER[k : k + 6]}') > 0 then length(seq) - instr(reverse(seq), '{rd.ADAPTER[k : k + 6][::-1]}') - 5 else -1 end - {k} as p{k}"
+    tails = " ".join(f"when ends_with(seq, '{rd.ADAPTER[:k]}') then n - {k}" for k in range(5, 0, -1))
+    turned = "reverse(translate(kept, 'ACGT', 'TGCA'))" if mate == 2 else "kept"
+    quality = "reverse(q)" if mate == 2 else "q"
+    return f"""with {v.dna_sql()}, t as (select id, off, substr(seq, off + 1, 139) as seq from (select id, seq, unnest(range(0, length(seq), least(30 + id % 80, 100))) as off from dna)),
+r as (select id, off, {ADAPTED} as seq from t), a as (select *, length(seq) as n, {QUALITY} as qual, {last(0)}, {last(1)}, {last(2)} from r), b as (select *, case when p0 >= 0 then p0 when p1 >= 0 then p1 else p2 end as p from a), c as (select *, least(n - p, {len(rd.ADAPTER)}) as m from b),
+d as (select *, case when p >= 40 and (m <= 6 or 6 + length(list_filter(range(6, m + 1), lambda j: substr(seq, p + j + 1, 1) = substr('{rd.ADAPTER}', j + 1, 1))) + 2 >= m) then p else case {tails} else n end end as k from c),
+e as (select *, substr(seq, 1, k) as kept, case when k >= 40 and k < n then substr(qual, 1, k) else qual end as q from d)
+select id, off, substr({turned}, 1, {longest}) as seq, substr({quality}, 1, {longest}) as qual, k < n as cut from e"""
 
-@query()
+
+@query(_trim_sql(1, 100))
 def trim_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads of whole texts without the adapter at their end."""
+    """First mates (reads of whole texts) without the adapter."""
     return rd.trim_adapters(_with_adapter(v.dna(spark, sf_dir)))
 
 
-@query()
+@query(_trim_sql(2, 60))
+def trim_adapter_mate2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second mates without the adapter, turned around and cut at 60 bases."""
+    return rd.trim_adapters(_with_adapter(v.dna(spark, sf_dir)), 2, 60)
+
+
+@query(
+    f"""with {v.dna_sql()}, p as (select id, phase, string_split({peptide_sql()}, '*') as parts from dna, range(0, 3) as x(phase)), u as (select id, phase, unnest(parts) as part, generate_subscripts(parts, 1) as i from p),
+o as (select *, coalesce(sum(length(part) + 1) over (partition by id, phase order by i rows between unbounded preceding and 1 preceding), 0) as before from u)
+select id, cast(phase + 3 * (before + instr(part, 'M') - 1) as bigint) as start, substr(part, instr(part, 'M')) as peptide from o where instr(part, 'M') > 0 and length(part) - instr(part, 'M') + 1 >= 20"""
+)
 def open_reading_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peptides of 20 amino acids and more in whole texts."""
     return rd.open_frames(v.dna(spark, sf_dir))
@@ -34,7 +67,7 @@ def open_reading_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EXONS = f"""{v.FEATURES}, raw as (select gene_id as tid, chr, start, "end", row_number() over (partition by gene_id order by start, feature_id) as k from features where kind = 'exon'),
 ex as (select tid, (k - 1) * 20000 + start as start, (k - 1) * 20000 + "end" as "end" from raw), pl as (select *, "end" - start + 1 as bases, sum("end" - start + 1) over (partition by tid order by start) - ("end" - start + 1) as first, lead(start) over (partition by tid order by start) is null as is_last from ex),
-hits as (select o_orderkey as hit, o_custkey as tid, (o_orderkey * 11) % 700 as off, 100 as len from orders where o_orderkey % 5 <> 0)"""
+hits as (select o_orderkey as hit, o_custkey as tid, (o_orderkey * 11) % 700 as off, 100 as len from orders)"""
 
 
 @query(
@@ -44,12 +77,6 @@ select hit, tid, cast(min(g) as bigint) as start, string_agg(case when before is
 )
 def transcript_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits on transcripts as genome starts and CIGARs with introns."""
-    return _lifted(spark, sf_dir, v.table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0"))
-
-
-@query()
-def transcript_lift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for the hits of all orders."""
     return _lifted(spark, sf_dir, v.table(spark, sf_dir, "orders"))
 
 
@@ -60,23 +87,15 @@ def _lifted(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
     return rd.lift(hits, exons)
 
 
-@query(f"with {v.dna_sql()}, p as (select id, substr(seq, 1, 60) as s1, substr(seq, 61, 60) as s2 from dna where length(seq) >= 120) select id, row_number() over (partition by substr(s1, 1, 1) || substr(s2, 1, 1) order by s1 || s2, length(s1 || s2), id) as rank from p")
-def unmapped_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank of unmapped pairs in their bucket: by bases, length and name."""
-    p = v.dna(spark, sf_dir).where("length(seq) >= 120").select("id", F.substring("seq", 1, 60).alias("s1"), F.substring("seq", 61, 60).alias("s2"))
-    w = Window.partitionBy(F.concat(F.substring("s1", 1, 1), F.substring("s2", 1, 1))).orderBy(F.concat("s1", "s2"), F.length(F.concat("s1", "s2")), "id")
-    return p.select("id", F.row_number().over(w).alias("rank"))
-
-
 def _pair_ranks(sequences: DataFrame) -> DataFrame:
     p = rd.tiles(sequences, 120).select("id", "off", F.substring("seq", 1, 60).alias("s1"), F.substring("seq", 61, 60).alias("s2"))
     p = p.select("id", "off", F.concat(F.substring("s1", 1, 1), F.substring("s2", 1, 1)).alias("bucket"), F.concat("s1", "s2").alias("s"), F.length(F.concat("s1", "s2")).alias("n"))
     return ranked(p, ["bucket"], F.substring("s", 1, 6), ["s", "n", "id", "off"]).select("id", "off", "rank")
 
 
-@query()
-def unmapped_sort_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for pairs of 120 bases of whole texts; the last pair of a text is shorter."""
+@query(f"with {v.dna_sql()}, {v.tiles_sql(120)} select id, off, row_number() over (partition by substr(seq, 1, 1) || substr(seq, 61, 1) order by seq, length(seq), id, off) as rank from t")
+def unmapped_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of unmapped pairs (every 120 bases of whole texts) in their bucket: by bases, length and name."""
     return _pair_ranks(v.dna(spark, sf_dir))
 
 
@@ -105,18 +124,11 @@ def cigar_template_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("klass").agg(F.count("*").alias("n"), F.sum(tlen).alias("tlen_sum"))
 
 
-@query(f"with {v.dna_sql()} select id, substr(seq, 1, 50) as fwd, reverse(translate(substr(seq, 1, 50), 'ACGT', 'TGCA')) < substr(seq, 1, 50) as is_reverse from dna where length(seq) >= 50")
-def canonical_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a sequence belongs to the forward or the reverse output of the canonical split."""
-    s = F.substring("seq", 1, 50)
-    return v.dna(spark, sf_dir).where("length(seq) >= 50").select("id", s.alias("fwd"), (revcomp(s) < s).alias("is_reverse"))
-
-
 def _canonical_reads(sequences: DataFrame) -> DataFrame:
     return rd.tiles(sequences, 50).select("id", "off", F.col("seq").alias("fwd"), (revcomp(F.col("seq")) < F.col("seq")).alias("is_reverse"))
 
 
-@query()
-def canonical_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every 50 bases of whole texts and the rest."""
+@query(f"with {v.dna_sql()}, {v.tiles_sql(50)} select id, off, seq as fwd, reverse(translate(seq, 'ACGT', 'TGCA')) < seq as is_reverse from t")
+def canonical_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each 50 bases of whole texts belong to the forward or the reverse output of the canonical split."""
     return _canonical_reads(v.dna(spark, sf_dir))

@@ -87,3 +87,8 @@ def dna(spark: SparkSession, sf_dir: str, source: str = "documents") -> DataFram
 def dna_sql(source: str = "documents", name: str = "dna") -> str:
     key = "item_id" if source == "benchmark" else "doc_id"
     return f"{name} as (select {key} as id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}') as seq from {source})"
+
+
+def tiles_sql(width: int, step: int | None = None, name: str = "t", source: str = "dna") -> str:
+    """Pieces of ``width`` bases from every ``step``-th base of whole sequences, as ``operators.reads.tiles`` cuts them."""
+    return f"{name} as (select id, off, substr(seq, off + 1, {width}) as seq from (select id, seq, unnest(range(0, length(seq), {step or width})) as off from {source}))"

@@ -97,15 +97,28 @@ def test_frames_and_codons_of_whole_texts(spark, texts, seqs):
     assert rows(rd.codon_phases(seqs), "id", "phase", "peptide") == sorted((i, p, translated(s[p:])) for i, s in texts for p in range(3))
 
 
-def test_trimmed_reads_of_whole_texts(seqs, texts):
-    want = []
-    for i, s in texts:
-        size = 30 + i % 80
-        for off in range(0, len(s), min(size, 100)):
-            read = (s[off : off + size] + ("" if i % 3 == 0 else rd.ADAPTER) + s[off + 99 : off + 139])[:100]
-            k = rd.trim_point(read)
-            want.append((i, off, read[:k], k < len(read)))
-    assert rows(rd.trim_adapters(plan_reads._with_adapter(seqs)), "id", "off", "seq", "cut") == sorted(want)
+def trimmed(seq, qual, mate):
+    """The rule base by base."""
+    adapter, n = rd.ADAPTER, len(seq)
+    at = next((p - k for k in (0, 1, 2) if (p := seq.rfind(adapter[k : k + 6])) - k >= 0), -1)
+    most = min(n - at, len(adapter))
+    if at < 40 or (most > 6 and 6 + sum(seq[at + j : at + j + 1] == adapter[j : j + 1] for j in range(6, most + 1)) + 2 < most):
+        at = next((n - k for k in (5, 4, 3, 2, 1) if seq.endswith(adapter[:k])), n)
+    kept, q = seq[:at], qual[:at] if 40 <= at < n else qual
+    return (rc(kept), q[::-1], at < n) if mate == 2 else (kept, q, at < n)
+
+
+@pytest.mark.parametrize("mate, longest", [(1, 100), (2, 60)])
+def test_trimmed_reads_of_whole_texts(spark, seqs, mate, longest):
+    reads = plan_reads._with_adapter(seqs)
+    rng = random.Random(3)
+    a = rd.ADAPTER
+    odd = ["", "A", a, a * 2, "C" * 39 + a, "C" * 40 + a, "C" * 50 + a[1:], "C" * 50 + "T" + a[1:], "C" * 50 + "TT" + a[2:], "C" * 60 + a[:4], "C" * 10 + "AG", "C" * 67 + a[:20] + "TTT" + a[23:], "C" * 60 + a + a[:6]]
+    odd += ["".join(rng.choices("ACGT", k=60)) + "".join(b if rng.random() > 0.06 else "T" for b in a) + "ACGT" * rng.randint(0, 3) for _ in range(60)]
+    reads = reads.unionByName(spark.createDataFrame([(1000 + i, 0, s, ("FFE:,#" * 30)[: len(s)]) for i, s in enumerate(odd)], "id long, off long, seq string, qual string"))
+    want = sorted((r["id"], r["off"], t[0][:longest], t[1][:longest], t[2]) for r in reads.collect() for t in [trimmed(r["seq"], r["qual"], mate)])
+    assert rows(rd.trim_adapters(reads, mate, longest), "id", "off", "seq", "qual", "cut") == want
+    assert 20 < sum(w[4] for w in want) < len(want)
 
 
 def test_exports_and_orders_of_whole_texts(spark, seqs, texts):
@@ -120,13 +133,16 @@ def test_exports_and_orders_of_whole_texts(spark, seqs, texts):
         by_bucket.setdefault((s[:1], s[60:61]), []).append((s, len(s), i, off))
     assert rows(plan_reads._pair_ranks(seqs), "id", "off", "rank") == sorted((i, off, k) for group in by_bucket.values() for k, (_, _, i, off) in enumerate(sorted(group), 1))
     sites = [(90, "C" * 123 + "GATCGATC" + "C" * 300 + "TTATAA" + "C" * 50)]
-    heads = []
+    sites += [(91, "GATCGATC" + "C" * 30 + "TTAGATCTAA" + "C" * 90), (92, "C" * 40 + "GATCTTATAATTAGATCGATC" + "C" * 60)]
+    parts = []
     for i, s in texts + sites:
         for off in range(0, len(s), 120):
-            head = re.sub(hic.LIGATION + ".*$", "", s[off : off + 127])
-            heads.append((i, off, head, len(head) < len(s[off : off + 127]), len(head) >= 28))
-    got = rows(hic._ligation_heads(spark.createDataFrame(texts + sites, "id long, seq string")), "id", "off", "head", "was_cut", "kept")
-    assert got == sorted(heads) and sum(c for i, _, _, c, _ in got if i == 90) == 2
+            head, rest = s[off : off + 127][:28], s[off : off + 127][28:]
+            first = re.search("GATCGATC|TTATAA|GATCTAA|TTAGATC", rest)
+            tail = (rest[: first.start()] + {"G": "GATC", "T": "TTAA"}[first[0][0]] if first else rest)[:32]
+            parts.append((i, off, head, tail, len(head) + len(tail)))
+    got = rows(hic._ligation_parts(spark.createDataFrame(texts + sites, "id long, seq string")), "id", "off", "head", "tail", "n_kept")
+    assert got == sorted(parts) and any(t.endswith("TTAA") and len(t) < 32 for _, _, _, t, _ in got)
 
 
 def test_keys_and_slots_of_whole_texts(seqs, texts):
@@ -155,7 +171,7 @@ def test_merged_order_has_no_row_limit(spark):
 def test_windows_of_more_than_1024_positions(spark):
     chosen = spark.range(1, 1101).selectExpr("cast(id % 24 + 1 as int) as chr", "id * 10 as pos")
     assert calls._windows(spark, FOLDER, chosen).count() == 1100 * 121
-    assert calls.pwm_window_whole(spark, FOLDER).count() == calls._called_twice(spark, FOLDER).count() * 121
+    assert calls.pwm_window(spark, FOLDER).count() == calls._called_twice(spark, FOLDER).count() * 121
 
 
 def test_every_kmer_is_counted_on_both_strands(seqs, texts):
@@ -165,7 +181,7 @@ def test_every_kmer_is_counted_on_both_strands(seqs, texts):
 
 
 def test_rare_kmers_stay(spark):
-    got = {r["kmer"]: r["cnt"] for r in kmer.kmer_canonical_counts_whole(spark, FOLDER).collect()}
+    got = {r["kmer"]: r["cnt"] for r in kmer.kmer_canonical_counts(spark, FOLDER).collect()}
     want = Counter(min(s[k : k + 11], rc(s[k : k + 11])) for (s,) in v.dna(spark, FOLDER).select("seq").collect() for k in range(len(s) - 10))
     assert got == want and min(got.values()) < 4
 
@@ -182,6 +198,5 @@ def test_exons_list_both_mates(spark):
 
 
 def test_all_hits_are_lifted(spark):
-    part = {r["hit"]: (r["start"], r["cigar"]) for r in plan_reads.transcript_lift(spark, FOLDER).collect()}
-    all_ = {r["hit"]: (r["start"], r["cigar"]) for r in plan_reads.transcript_lift_whole(spark, FOLDER).collect()}
-    assert part.items() <= all_.items() and any(k % 5 == 0 for k in all_)
+    hits = {r["hit"] for r in plan_reads.transcript_lift(spark, FOLDER).collect()}
+    assert any(k % 5 == 0 for k in hits)
