@@ -106,11 +106,12 @@ def _paired(sequences: DataFrame, seeds: DataFrame) -> DataFrame:
     return pair_hits(one, two, by=("id", "at"), opposite=True).select("id", "at", "chr", "pos1", "pos2", F.col("score").cast("long").alias("score"), "rank")
 
 
-@query(
-    f"""with {v.dna_sql()}, {v.tiles_sql(200)}, r1 as (select id, off as "at", substr(seq, 1, 100) as seq from t), r2 as (select id, off as "at", reverse(translate(substr(seq, 101, 100), 'ACGT', 'TGCA')) as seq from t), {SEEDS}, {_hits_sql('r1', 'h1')}, {_hits_sql('r2', 'h2')},
+ORACLE_PAIRING = f"""with {v.dna_sql()}, {v.tiles_sql(200)}, r1 as (select id, off as "at", substr(seq, 1, 100) as seq from t), r2 as (select id, off as "at", reverse(translate(substr(seq, 101, 100), 'ACGT', 'TGCA')) as seq from t), {SEEDS}, {_hits_sql('r1', 'h1')}, {_hits_sql('r2', 'h2')},
 p as (select id, "at", chr, h1.pos as pos1, h2.pos as pos2, 3 * h1.hit_no + 2 * h2.hit_no as score from h1 join h2 using (id, "at", chr) where h1.rev <> h2.rev and abs(h1.pos - h2.pos) <= 1023)
 select * from (select *, row_number() over (partition by id, "at" order by score desc, pos1 desc, pos2 desc) as rank from p) where rank <= 16"""
-)
+
+
+@query(ORACLE_PAIRING)
 def seed_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of two mates (every 200 bases of the whole texts, the second half reversed) paired on opposite strands within 1023 bases; the 16 best sums."""
     return _paired(v.dna(spark, sf_dir), _passages(spark, sf_dir))
