@@ -49,12 +49,12 @@ def merged_runs(segments: DataFrame, keys: tuple[str, ...] = ("chr",), value: st
 
 def depth_quartiles(segments: DataFrame, keys: tuple[str, ...] = ("chr",), clamp: int = 65535) -> DataFrame:
     """Covered bases and quartiles of depth by index: the first depth whose cumulative count reaches n div 4, n div 2 and
-    3 n div 4 (0 where that is 0), from a histogram clamped at ``clamp``."""
-    histogram = segments.groupBy(*keys, F.least("depth", F.lit(clamp)).alias("depth")).agg(F.sum(F.expr("seg_end - seg_start")).alias("bases"))
+    3 n div 4 (0 where that is 0), from a histogram clamped at ``clamp``; the maximum isn't clamped."""
+    histogram = segments.groupBy(*keys, F.least("depth", F.lit(clamp)).alias("depth")).agg(F.sum(F.expr("seg_end - seg_start")).alias("bases"), F.max("depth").alias("top"))
     w = Window.partitionBy(*keys)
     cum = histogram.withColumn("cum", F.sum("bases").over(w.orderBy("depth"))).withColumn("n", F.sum("bases").over(w))
     pick = lambda mark, name: F.when(F.expr(f"first(n) {mark}") == 0, 0).otherwise(F.min(F.when(F.col("cum") >= F.expr(f"n {mark}"), F.col("depth")))).alias(name)
-    return cum.groupBy(*keys).agg(F.first("n").alias("covered"), pick("div 4", "q25"), pick("div 2", "median"), pick("* 3 div 4", "q75"), F.max("depth").alias("max_depth"))
+    return cum.groupBy(*keys).agg(F.first("n").alias("covered"), pick("div 4", "q25"), pick("div 2", "median"), pick("* 3 div 4", "q75"), F.max("top").alias("max_depth"))
 
 
 def windowed(segments: DataFrame, width: int, step: int, values: list[str], keys: tuple[str, ...] = ("chr",)) -> DataFrame:

@@ -6,7 +6,7 @@ looked up at those loci, so reads aren't expanded to bases.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators.coverage import depth_segments
@@ -21,6 +21,38 @@ def read_spans(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return pairs.select(*keys, F.explode(parts).alias("x")).select(*keys, "x.*").where("s <= e")
 
 
+def good_runs(quality: Column, least: int) -> Column:
+    """array<struct<a, b>> (0-based cycles, inclusive) of the runs of bases with a quality of ``least`` and more; '#' is 0.
+
+    The qualities become 0 or 1 and are split where that changes, so the fold has a step for a run and not for a base."""
+    letters = "".join(map(chr, range(33, 127)))
+    mask = F.translate(quality, letters, "".join("1" if ord(x) - ord("#") >= least else "0" for x in letters))
+    none = F.array().cast("array<struct<a: int, b: int>>")
+
+    def step(state: Column, run: Column) -> Column:
+        end = state["at"] + F.length(run)
+        more = F.concat(state["runs"], F.array(F.struct(state["at"].alias("a"), (end - 1).alias("b"))))
+        return F.struct(end.alias("at"), F.when(F.startswith(run, F.lit("1")), more).otherwise(state["runs"]).alias("runs"))
+
+    return F.aggregate(F.split(mask, "(?<=0)(?=1)|(?<=1)(?=0)"), F.struct(F.lit(0).alias("at"), none.alias("runs")), step)["runs"]
+
+
+def good_spans(pairs: DataFrame, least: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, s, e, rev): the bases of both mates with a quality of ``least`` and more, inside the fragment (frag_start, frag_end), of mate 2 only
+    those outside mate 1. Runs of bases stay runs: reads aren't expanded to bases."""
+
+    def runs(k: int) -> Column:
+        pos, size, rev = F.col(f"pos{k}"), F.col(f"len{k}"), F.col(f"rev{k}")
+        place = lambda r: F.struct(F.when(rev, pos + size - 1 - r["b"]).otherwise(pos + r["a"]).alias("s"), F.when(rev, pos + size - 1 - r["a"]).otherwise(pos + r["b"]).alias("e"), rev.alias("rev"))
+        return F.transform(good_runs(F.col(f"qual{k}"), least), place)
+
+    last1 = F.expr("pos1 + len1 - 1")
+    left = F.transform(runs(2), lambda r: F.struct(r["s"].alias("s"), F.least(r["e"], F.col("pos1") - 1).alias("e"), r["rev"].alias("rev")))
+    right = F.transform(runs(2), lambda r: F.struct(F.greatest(r["s"], last1 + 1).alias("s"), r["e"].alias("e"), r["rev"].alias("rev")))
+    every = pairs.select(*keys, "frag_start", "frag_end", F.explode(F.concat(runs(1), left, right)).alias("x"))
+    return every.select(*keys, F.greatest("x.s", "frag_start").cast("long").alias("s"), F.least("x.e", "frag_end").cast("long").alias("e"), "x.rev").where("s <= e")
+
+
 def alleles(events: DataFrame, keys: tuple[str, ...] = ("sample", "chr")) -> DataFrame:
     """Counts by strand of each allele: events (keys, pos, kind M|D|I, allele, rev)."""
     return events.groupBy(*keys, "pos", "kind", "allele").agg(F.count_if(~F.col("rev")).alias("cnt_p"), F.count_if("rev").alias("cnt_m"))

@@ -17,8 +17,8 @@ LEAST, PERCENT = 2, 8
 KEYS = ("sample", "chr")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.aln(spark, sf_dir, duplicates=True).where(well_behaved())
+def _pairs(spark: SparkSession, sf_dir: str, deep: bool = False) -> DataFrame:
+    return v.aln(spark, sf_dir, duplicates=not deep, deep=deep).where(well_behaved())
 
 
 def _events(pairs: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ deep as (select sample, chr, pos, count(*) filter (not rev) as cov_p, count(*) f
 evt as (select * from (select sample, chr, pos1 + mm_off as pos, 'M' as kind, mm_nt as allele, rev1 as rev from f where klass in ('m', 'g')) where allele <> {v.base_sql()}
   union all select sample, chr, pos1 + mm_off + 1, case when is_del then 'D' else 'I' end, case when is_del then cast(l_linenumber as varchar) else repeat(mm_nt, cast(l_linenumber % 3 + 1 as int)) end, rev1 from f where klass = 'g'),
 al as (select sample, chr, pos, kind, allele, count(*) filter (not rev) as cnt_p, count(*) filter (rev) as cnt_m from evt group by all)"""
+DEEP = BASE.replace(v.ALN_DUP, v.ALN_DEEP)
 LOCI = """, b as (select sample, chr, pos, sum(cnt_p + cnt_m) as mm, sum(case when allele = 'A' then cnt_p + cnt_m else 0 end) as a, sum(case when allele = 'C' then cnt_p + cnt_m else 0 end) as c, sum(case when allele = 'G' then cnt_p + cnt_m else 0 end) as g, sum(case when allele = 'T' then cnt_p + cnt_m else 0 end) as t from al where kind = 'M' group by 1, 2, 3),
 loc as (select b.sample, b.chr, b.pos, {base} as ref, cast(cov_p + cov_m as bigint) as total, cast(a + case when {base} = 'A' then cov_p + cov_m - mm else 0 end as bigint) as n_a, cast(c + case when {base} = 'C' then cov_p + cov_m - mm else 0 end as bigint) as n_c,
   cast(g + case when {base} = 'G' then cov_p + cov_m - mm else 0 end as bigint) as n_g, cast(t + case when {base} = 'T' then cov_p + cov_m - mm else 0 end as bigint) as n_t from b join deep using (sample, chr, pos)),
@@ -105,7 +106,7 @@ j as (select two.*, coalesce(t_depth, 0) as t_depth, coalesce(n_depth, 0) as n_d
 
 def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alleles of both samples side by side: one grouping by locus and allele instead of a full outer join."""
-    pairs = _pairs(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir, deep=True)
     part = lambda s, c: F.sum(F.when(F.col("sample") == s, F.col(c)).otherwise(0)).alias(f"{s.lower()}_{c[-1]}")
     both = alleles(_events(pairs)).groupBy("chr", "pos", "kind", "allele").agg(part("T", "cnt_p"), part("T", "cnt_m"), part("N", "cnt_p"), part("N", "cnt_m"))
     loci = overlap_join(both, _sample_segments(pairs), "pos", "pos", "seg_start", "seg_last").select("chr", "pos", "kind", "allele", "t_depth", "n_depth")
@@ -122,7 +123,7 @@ def _sample_segments(pairs: DataFrame) -> DataFrame:
 DIFF = "((({a}_p > 1 and {a}_m > 1) or ({a}_p + {a}_m) * 100 >= {a}_depth * 33) and {a}_p + {a}_m >= 4 and ({a}_p + {a}_m) * 100 >= {a}_depth * 8 and {b}_depth >= 8 and {b}_p + {b}_m = 0)"
 
 
-@query(BASE + TWO + f" select *, {DIFF.format(a='t', b='n')} as only_t, {DIFF.format(a='n', b='t')} as only_n from j where {DIFF.format(a='t', b='n')} or {DIFF.format(a='n', b='t')}")
+@query(DEEP + TWO + f" select *, {DIFF.format(a='t', b='n')} as only_t, {DIFF.format(a='n', b='t')} as only_n from j where {DIFF.format(a='t', b='n')} or {DIFF.format(a='n', b='t')}")
 def paired_diff_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alleles that one of the two samples has and the other lacks."""
     c = F.col
@@ -132,7 +133,7 @@ def paired_diff_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    BASE
+    DEEP
     + TWO
     + f""" select chr, pos, kind, t_depth, n_depth, string_agg(allele, ',' order by t_p + t_m desc, allele) as alts, string_agg(cast(t_p + t_m as varchar), ',' order by t_p + t_m desc, allele) as t_ad, string_agg(cast(n_p + n_m as varchar), ',' order by t_p + t_m desc, allele) as n_ad,
   bool_or(t_p + t_m >= {LEAST} and t_p + t_m >= t_depth * {PERCENT} // 100 and n_p + n_m <= n_depth * 1 // 100 and n_depth >= 8) as somatic
@@ -149,11 +150,11 @@ def paired_somatic_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chr", "pos", "kind", "t_depth", "n_depth", text("allele").alias("alts"), text("t").alias("t_ad"), text("n").alias("n_ad"), "somatic")
 
 
-@query(BASE + TWO + " select chr, count(*) as n_covered, count(*) filter (t_depth >= 8 and n_depth >= 8) as n_callable, cast(count(*) filter (t_depth >= 8 and n_depth >= 8) * 10000 // count(*) as bigint) as callable_x10000 from d2 group by chr")
+@query(DEEP + TWO + " select chr, count(*) as n_covered, count(*) filter (t_depth >= 8 and n_depth >= 8) as n_callable, cast(count(*) filter (t_depth >= 8 and n_depth >= 8) * 10000 // count(*) as bigint) as callable_x10000 from d2 group by chr")
 def callable_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions that any sample covers, and those with depth 8 in both."""
     size = F.expr("seg_end - seg_start")
-    out = _sample_segments(_pairs(spark, sf_dir)).groupBy("chr").agg(F.sum(size).alias("n_covered"), F.sum(F.when(F.expr("t_depth >= 8 and n_depth >= 8"), size).otherwise(0)).alias("n_callable"))
+    out = _sample_segments(_pairs(spark, sf_dir, deep=True)).groupBy("chr").agg(F.sum(size).alias("n_covered"), F.sum(F.when(F.expr("t_depth >= 8 and n_depth >= 8"), size).otherwise(0)).alias("n_callable"))
     return out.withColumn("callable_x10000", F.expr("n_callable * 10000 div n_covered"))
 
 

@@ -11,6 +11,8 @@ from strandlake.operators.mapping import chimera_bucket, mapping_statistics, rou
 from strandlake.operators.reads import tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
+from strandlake.sources.formats import read_store, write_store
+from strandlake.sources.shared import new_folder
 
 KEYS = "l_partkey, l_suppkey, l_orderkey, l_linenumber"
 
@@ -108,10 +110,14 @@ def store_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {v.ALN} select chr, klass, count(*) as n_in, count(*) as n_out, true as intact from aln group by chr, klass")
 def store_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows before and after the clone marker of each partition; they must be equal."""
-    pairs = v.aln(spark, sf_dir)
-    before, after = pairs.groupBy("chr", "klass").agg(F.count("*").alias("n_in")), mark_clones(pairs).groupBy("chr", "klass").agg(F.count("*").alias("n_out"))
-    return before.join(after, ["chr", "klass"], "full").withColumn("intact", F.col("n_in").eqNullSafe(F.col("n_out")))
+    """Pairs are written to a store and read again: rows in and out of each partition, and whether the rows are the same."""
+    pairs, path = v.aln(spark, sf_dir), new_folder(spark, "store")
+    write_store(pairs, path)
+    columns = [c for c in pairs.columns if c not in ("chr", "klass")]
+    digest = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    count = lambda df, n, h: df.groupBy(F.col("chr").cast("int").alias("chr"), "klass").agg(F.count("*").alias(n), digest.alias(h))
+    both = count(pairs, "n_in", "h_in").join(count(read_store(spark, path), "n_out", "h_out"), ["chr", "klass"], "full")
+    return both.select("chr", "klass", "n_in", "n_out", (F.col("n_in").eqNullSafe(F.col("n_out")) & F.col("h_in").eqNullSafe(F.col("h_out"))).alias("intact"))
 
 
 CIGAR = """c as (select *, case when klass <> 'g' then cast(len1 as varchar) || 'M' when is_del then cast(mm_off + 1 as varchar) || 'M' || cast(l_linenumber * 9 as varchar) || 'D' || cast(len1 - mm_off - 1 as varchar) || 'M'

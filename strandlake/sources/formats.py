@@ -29,15 +29,17 @@ def read_fastq(spark: SparkSession, path: str, mate: int = 1) -> DataFrame:
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = lines.join(F.broadcast(before.select("file", "block", "before", "first")), ["file", "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first"))
+    numbered = lines.join(before.select("file", "block", "before", "first"), ["file", "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first"))
     part = lambda k, name: F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(name)
     records = numbered.groupBy("file", F.expr("line div 4").alias("record")).agg(part(0, "header"), part(1, "seq"), part(3, "qual"))
-    stated = header_ordinal(F.col("header"))
-    w = Window.partitionBy("file").orderBy("record").rowsBetween(Window.unboundedPreceding, 0)
-    restart = records.withColumn("_stated", stated)
-    # only files whose headers state ordinals need the ordered pass
-    shift = F.coalesce(F.last(F.when(F.col("_stated").isNotNull(), F.col("_stated") - F.col("record")), ignorenulls=True).over(w), F.lit(0))
-    return restart.withColumn("ordinal", F.col("record") + shift).select("file", "ordinal", F.lit(mate).alias("mate"), "header", "seq", "qual")
+    # a stated ordinal holds until the next one: found inside tiles of records, and carried over from tile to tile in a small table
+    stated = records.withColumn("_tile", F.expr("record div 65536")).withColumn("_shift", header_ordinal(F.col("header")) - F.col("record"))
+    tiles = stated.groupBy("file", "_tile").agg(F.max(F.when(F.col("_shift").isNotNull(), F.struct("record", "_shift"))).alias("_last"))
+    so_far = Window.partitionBy("file").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tiles.select("file", "_tile", F.last("_last", ignorenulls=True).over(so_far)["_shift"].alias("_carried"))
+    inside = Window.partitionBy("file", "_tile").orderBy("record").rowsBetween(Window.unboundedPreceding, 0)
+    shift = F.coalesce(F.last("_shift", ignorenulls=True).over(inside), "_carried", F.lit(0))
+    return stated.join(carried, ["file", "_tile"]).withColumn("ordinal", F.col("record") + shift).select("file", "ordinal", F.lit(mate).alias("mate"), "header", "seq", "qual")
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
@@ -130,9 +132,17 @@ def fetch(genome: DataFrame, contig: int, first: int, last: int, width: int = 1
 
 
 def write_store(pairs: DataFrame, path: str, codec: str = "zstd", rows: int = 65_536) -> None:
-    """Pairs as Parquet by class, contig and part, sorted by position, at most ``rows`` rows in a file's block."""
+    """Pairs as Parquet by class, contig and part, sorted by position, at most ``rows`` rows in a file's block.
+
+    Ranges of positions are dealt, so that a hot part becomes several files with positions that follow each other."""
     keyed = pairs.withColumn("part", F.expr("least(pos1, pos2) div 67108864"))
-    keyed.repartition("klass", "chr", "part").sortWithinPartitions("klass", "chr", "part", F.least("pos1", "pos2")).write.partitionBy("klass", "chr", "part").option("compression", codec).option("parquet.block.row.count.limit", rows).parquet(path)
+    order = ["klass", "chr", "part", F.least("pos1", "pos2")]
+    keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("klass", "chr", "part").option("compression", codec).option("parquet.block.row.count.limit", rows).parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """A store as it was written; class, contig and part prune its files."""
+    return spark.read.parquet(path)
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:

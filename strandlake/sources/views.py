@@ -16,16 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def aln(spark: SparkSession, sf_dir: str, duplicates: bool = False) -> DataFrame:
-    """Mapped pairs from lineitem. ``duplicates``: positions on a coarse grid, so that PCR duplicates occur."""
-    pos1 = "(l_partkey % 400) * 25 + 1" if duplicates else "l_partkey * 5 + cast(floor(l_quantity) as bigint)"
-    delta = "(l_orderkey % 8) * 40" if duplicates else "(l_orderkey * 37 + l_linenumber * 101) % 1200 - 100"
+def aln(spark: SparkSession, sf_dir: str, duplicates: bool = False, deep: bool = False) -> DataFrame:
+    """Mapped pairs from lineitem. ``duplicates``: positions on a coarse grid, so that PCR duplicates occur. ``deep``: on a grid of 40 places, with
+    one place of changes for each, where at a third of them the samples have different bases."""
+    pos1 = "(l_partkey % 40) * 25 + 1" if deep else "(l_partkey % 400) * 25 + 1" if duplicates else "l_partkey * 5 + cast(floor(l_quantity) as bigint)"
+    mm_off = "(l_partkey % 40) * 7 % 90" if deep else "(l_partkey * 3 + l_linenumber) % 90"
+    own = "case when l_orderkey % 2 = 0 and l_partkey % 40 % 3 = 0 then 1 else 0 end" if deep else "0"
+    delta = "(l_orderkey % 8) * 40" if duplicates or deep else "(l_orderkey * 37 + l_linenumber * 101) % 1200 - 100"
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey * 8 + l_linenumber as ordinal", "case when l_orderkey % 2 = 0 then 'T' else 'N' end as sample", "cast(l_suppkey % 24 + 1 as int) as chr",
         f"{pos1} as pos1", f"{delta} as delta", f"({pos1}) + ({delta}) as pos2", "l_returnflag = 'R' as rev1", "l_linestatus = 'O' as rev2",
         "100 - l_linenumber as len1", "100 as len2", "substr('pNmg', cast(l_linenumber % 4 + 1 as int), 1) as klass",
         "substr('ACGT', cast(l_partkey % 4 + 1 as int), 1) || substr('ACGT', cast(l_suppkey % 4 + 1 as int), 1) as umi",
-        "cast((l_partkey * 3 + l_linenumber) % 90 as int) as mm_off", "substr('ACGT', cast(l_suppkey % 4 + 1 as int), 1) as mm_nt", "l_suppkey % 2 = 0 as is_del",
+        f"cast({mm_off} as int) as mm_off", f"substr('ACGT', cast((l_suppkey + {own}) % 4 + 1 as int), 1) as mm_nt", "l_suppkey % 2 = 0 as is_del",
         "l_linenumber", "l_partkey", "l_suppkey", "l_orderkey")
 
 
@@ -38,6 +41,8 @@ ALN = """aln as (select l_orderkey * 8 + l_linenumber as ordinal, case when l_or
   l_linenumber, l_partkey, l_suppkey, l_orderkey from lineitem)"""
 ALN_DUP = ALN.replace("l_partkey * 5 + cast(floor(l_quantity) as bigint) + (l_orderkey * 37 + l_linenumber * 101) % 1200 - 100", "(l_partkey % 400) * 25 + 1 + (l_orderkey % 8) * 40").replace("l_partkey * 5 + cast(floor(l_quantity) as bigint)", "(l_partkey % 400) * 25 + 1").replace("(l_orderkey * 37 + l_linenumber * 101) % 1200 - 100", "(l_orderkey % 8) * 40")
 
+ALN_DEEP = ALN_DUP.replace("l_partkey % 400", "l_partkey % 40").replace("(l_partkey * 3 + l_linenumber) % 90", "(l_partkey % 40) * 7 % 90").replace("cast(l_suppkey % 4 + 1 as int), 1) as mm_nt", "cast((l_suppkey + case when l_orderkey % 2 = 0 and l_partkey % 40 % 3 = 0 then 1 else 0 end) % 4 + 1 as int), 1) as mm_nt")
+
 
 def base_at(chrom: str = "chr", pos: str = "pos") -> Column:
     """The reference base at a position of the synthetic genome."""

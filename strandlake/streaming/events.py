@@ -5,12 +5,11 @@ Each builder takes any DataFrame, streaming or not; ``run_to_table`` drives a bo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.sources.shared import new_folder
+
 
 def tumbling(events: DataFrame, width: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """Events and their value sum per window and type."""
@@ -48,8 +47,7 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     In complete mode each micro-batch replaces the result; in append mode it is one more part of it."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/strandlake-{spark.sparkContext.applicationId}"
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    base = new_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch that runs again replaces its own part
