@@ -103,6 +103,18 @@ def encode(read: str, window: str, cigar: str, start: int) -> list[tuple[int, st
     return out
 
 
+def count_changes(read: str, window: str, cigar: str, start: int) -> tuple[int, bool]:
+    """(mismatches, whether the alignment lies on N of the reference). N in the read matches all."""
+    wrong, outside, i, j = 0, False, 0, start
+    for n, op in _parse(cigar):
+        if op == "M":
+            wrong += sum(a not in (b, "N") for a, b in zip(read[i : i + n], window[j : j + n], strict=False))
+        if op in "MD":
+            outside |= "N" in window[j : j + n] or j + n > len(window)
+        i, j = i + n * (op in "MI"), j + n * (op in "MD")
+    return wrong, outside
+
+
 def decode(window: str, cigar: str, start: int, changes: list[tuple[int, str]]) -> str:
     """The read rebuilt from the reference, its CIGAR and the changes."""
     bases, j = [], start

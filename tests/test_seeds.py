@@ -39,3 +39,44 @@ def test_seeds_of_both_strands_and_pairs_on_opposite_ones(spark):
             pairs = [(3 * n1 + 2 * n2, p1, p2, c1) for r1, _, c1, p1, n1 in one for r2, _, c2, p2, n2 in two if c1 == c2 and r1 != r2 and abs(p1 - p2) <= 1023]
             want += [(i, at, c, p1, p2, x, k) for k, (x, p1, p2, c) in enumerate(sorted(pairs, reverse=True)[:16], 1)]
     assert want and sorted(tuple(r) for r in kmer._paired(sequences, seeds).collect()) == sorted(want)
+
+
+def test_pairs_are_mapped_back(spark):
+    """Simulated pairs come back to where they are from: by seeds, by rescue of the second mate, or alone."""
+    from strandlake.operators import mapper
+    from strandlake.plans import kernels
+
+    rng = random.Random(21)
+    contigs = spark.createDataFrame([(c, "".join(rng.choices("ACGT", k=n))) for c, n in ((1, 900), (2, 5200), (3, 160))], "chr long, seq string")
+    pairs = kernels._simulated_pairs(contigs).cache()
+    cases = {(r["from_chr"], r["at"]): r for r in pairs.collect()}
+    got = {(r["from_chr"], r["at"]): r for r in mapper.map_pairs(pairs, contigs, ["from_chr", "at"]).collect()}
+    assert got.keys() == cases.keys()
+    seen = set()
+    for key, r in got.items():
+        kind, chrom, at = key[1] // 40 % 5, key[0], key[1] + 1
+        if kind == 4:
+            assert r["family"] in ("HM", "UM") and (r["family"] == "UM" or (r["chr1"], r["pos1"], r["rev1"], r["chr2"]) == (chrom, at, False, None))
+        elif r["chr1"] is not None:
+            last = at + cases[key]["ins_len"] - 1
+            assert (r["chr1"], r["pos1"], r["rev1"], r["cigar1"], r["chr2"], r["rev2"]) == (chrom, at, False, "70M", chrom, True), (key, r)
+            better = kind == 3 and "D" in r["cigar2"] and r["score"] >= 2 * 210 - 4 * 6  # a long deletion that saves a change near the end
+            assert better or r["cigar2"] == "70M" and r["pos2"] == last - 69 or kind == 2 and "D" in r["cigar2"] and abs(r["pos2"] - (last - 71)) <= 2, (key, r)
+            assert better or r["family"] == {0: "p", 1: "m", 2: "g", 3: "m"}[kind] and r["n_matches"] == 1
+        seen.add((kind, r["family"]))
+    assert {(0, "p"), (1, "m"), (2, "g"), (3, "m"), (4, "HM")} <= seen
+    assert sum(r["family"] == "UM" for r in got.values()) < 0.1 * len(got)
+
+
+def test_mates_apart_and_equal_places(spark):
+    from strandlake.functions.sequence import revcomp  # noqa: F401
+    from strandlake.operators import mapper
+
+    rng = random.Random(22)
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    one, two = ("".join(rng.choices("ACGT", k=6000)) for _ in range(2))
+    contigs = spark.createDataFrame([(1, one), (2, two)], "chr long, seq string")
+    rows = [(1, one[100:170], turn(one[4000:4070])), (2, one[200:270], turn(two[300:370])), (3, one[500:570], one[600:670]), (4, "AC" * 35, "GT" * 35), (5, one[50:60], one[70:80]), (6, one[1000:1070], turn(one[1100:1170]))]
+    got = {r["id"]: r for r in mapper.map_pairs(spark.createDataFrame(rows, "id long, seq1 string, seq2 string"), contigs, ["id"]).collect()}
+    assert [got[i]["family"] for i in range(1, 7)] == ["C", "C", "C", "UM", "UM", "p"]
+    assert (got[2]["chr1"], got[2]["pos1"], got[2]["chr2"], got[2]["pos2"], got[2]["rev2"]) == (1, 201, 2, 301, True)
