@@ -2,8 +2,8 @@
 
 A page is read as a sequence of tokens. Words score positive and tags negative, each by the log odds, learnt from labelled pages, of
 lying in the article: a word by the innermost named container around it, a tag by its name. One linear scan finds the contiguous
-region of the largest score. Inside the region, subtrees that are no article text (menus, notices, adverts, forms, reader
-comments, scripts ...) stay out, and the rest is joined block by block.
+region of the largest score. Inside the region, containers whose names the labelled pages have mostly around other text (menus, notices,
+adverts, forms, reader comments ...) stay out, with scripts and styles, and the rest is joined block by block.
 
 Defined cases: null or empty html gives an empty text; a page without words, or whose best score isn't positive, gives an empty text; of
 equal regions the first one counts; unclosed and stray tags, cut-off pages, unknown references and very long pages
@@ -29,13 +29,10 @@ from strandlake.llm.labelled_pages import LABELLED
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "canvas"}
-BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "head", "button", "dialog", "menu", "label"}
-BOILER_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "newsletter", "subscribe", "signup",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "side", "aside", "widget", "related", "recommended", "share", "sharing", "social", "comment", "comments", "reply", "replies", "disqus", "form", "login", "search", "pagination", "pager", "copyright", "complementary", "contentinfo", "toolbar", "hidden",
-}
-MAIN_NAMES = {"article", "content", "main", "post", "entry", "story", "body", "text"}
+#: Elements that make a part of a page; what they hold is learnt, like that of the words of class, id and role.
+SECTIONS = {"article", "main", "nav", "header", "footer", "aside", "form", "head", "button", "dialog", "menu", "label"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "article", "section", "main", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "blockquote", "pre", "figure", "figcaption", "address", "hr", "details", "summary", "fieldset", "body", "html", "center", "nav", "header", "footer", "aside", "form", "head", "title", "dialog", "menu", "hgroup", "option"}
 CLOSES_P = BLOCKS - {"body", "html", "head"}
@@ -56,25 +53,34 @@ class Token:
     block: int
 
 
-def _kind(tag: str, attributes: str) -> str:
-    """``boiler``, ``main`` or empty, by the tag and by the words of class, id and role."""
-    if tag in BOILER_TAGS or tag in RAW:
-        return "form" if tag == "form" else "boiler"
+def names_of(tag: str, attributes: str) -> set[str]:
+    """What a container is called: its element, if that makes a part of a page, and the words of class, id and role."""
     if tag in ("html", "body"):
-        return ""
-    names = {w for m in NAMED.finditer(attributes) for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", m[1] or m[2] or m[3] or "")}
-    names = {w.lower() for w in names}
-    if names & BOILER_NAMES:
-        return "boiler"
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes, re.I):
+        return set()
+    words = {w.lower() for m in NAMED.finditer(attributes) for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", m[1] or m[2] or m[3] or "")}
+    return words | ({tag} & SECTIONS)
+
+
+def _kind(tag: str, attributes: str, parts: dict[str, str]) -> str:
+    """``boiler`` (``form`` for a form), ``main`` or empty, by what is learnt of a container's names: one that stands for no article text decides."""
+    if tag in RAW or (tag not in ("html", "body") and HIDDEN.search(attributes)):
         return "boiler"
-    return "main" if tag in ("article", "main") or names & MAIN_NAMES else ""
+    known = {parts.get(x) for x in names_of(tag, attributes)}
+    return ("form" if tag == "form" else "boiler") if "boiler" in known else "main" if "main" in known else ""
 
 
-def tokens(page: str) -> list[Token]:
-    """The page as tags and text runs, in page order."""
+def tokens(page: str, parts: dict[str, str], around: list[set[str]] | None = None) -> list[Token]:
+    """The page as tags and text runs, in page order. ``parts``: boiler or main by container name. ``around``: takes for each
+    token the names of its innermost container that has any."""
     out: list[Token] = []
     stack: list[tuple[str, str]] = []
+    called: list[set[str]] = []  # as long as ``stack``
+
+    def put(token: Token) -> None:
+        out.append(token)
+        if around is not None:
+            around.append(next((x for x in reversed(called) if x), set()))
+
     block, at, end = 0, 0, len(page)
 
     def where() -> str:
@@ -90,7 +96,7 @@ def tokens(page: str) -> list[Token]:
         if b > a:
             run = page[a:b]
             inside = where()
-            out.append(Token("text", len(run.split()), run, inside, inside in ("inner", "boiler"), block))
+            put(Token("text", len(run.split()), run, inside, inside in ("inner", "boiler"), block))
 
     while at < end:
         m = TOKEN.search(page, at)
@@ -106,23 +112,26 @@ def tokens(page: str) -> list[Token]:
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
+                del called[len(stack) :]
         elif tag not in VOID:
             if tag in CLOSES_P:  # an unclosed paragraph ends where a block begins
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in CLOSES_P), -1)
                 if k >= 0 and stack[k][0] == "p":
-                    del stack[k:]
+                    del stack[k:], called[k:]
             if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
-            kind = _kind(tag, m[3] or "")
+                called.pop()
+            kind = _kind(tag, m[3] or "", parts)
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)|\Z", re.I).search(page, at)
                 at = close.end()
             elif not (m[3] or "").rstrip().endswith("/") or tag in BLOCKS:
                 stack.append((tag, kind))
+                called.append(names_of(tag, m[3] or ""))
                 inside = where()
         if tag in BLOCKS:
             block += 1
-        out.append(Token(tag, 0, " " if tag == "br" else "", inside, inside in ("inner", "boiler"), block))
+        put(Token(tag, 0, " " if tag == "br" else "", inside, inside in ("inner", "boiler"), block))
     plain = "beside" if any(t.where == "main" for t in out) else "bare"
     for t in out:
         t.where = t.where.replace("none", plain)
@@ -133,23 +142,45 @@ def tokens(page: str) -> list[Token]:
 class Weights:
     word: dict[str, float]
     tag: dict[str, float]
+    parts: dict[str, str]
     other_word: float = -1.0
     other_tag: float = -1.0
 
 
+def _blocks(seen: list[Token], main: str) -> set[int]:
+    """The blocks of a labelled page that are lines of its main text."""
+    lines = {" ".join(x.split()) for x in main.split("\n")} - {""}
+    rows: dict[int, list[str]] = {}
+    for t in seen:
+        rows.setdefault(t.block, []).append(t.text)
+    return {b for b, texts in rows.items() if " ".join(html.unescape("".join(texts)).split()) in lines}
+
+
+def learn_parts(pages: list[tuple[str, str]], smooth: float = 0.5, clear: float = 0.5) -> dict[str, str]:
+    """Container names with clear log odds: ``main`` where their words are mostly article text, ``boiler`` where they mostly aren't."""
+    inside, outside = Counter(), Counter()
+    for page, main in pages:
+        around: list[set[str]] = []
+        seen = tokens(page, {}, around)
+        good = _blocks(seen, main)
+        for t, names in zip(seen, around, strict=True):
+            if t.words:
+                (inside if t.block in good else outside).update(dict.fromkeys(names, t.words))
+    odds = {x: math.log((inside[x] + smooth) / (outside[x] + smooth)) for x in inside | outside}
+    return {x: "main" if o > 0 else "boiler" for x, o in odds.items() if abs(o) >= clear}
+
+
 def learn(pages: list[tuple[str, str]], smooth: float = 0.5) -> Weights:
-    """Weights from labelled pages (html, main text): log odds of a word's container, and of a tag's name less one.
+    """Weights from labelled pages (html, main text): what container names stand for, then log odds of a word's container, and of a tag's
+    name less one.
 
     A tag never adds to a region: its weight is capped at a small negative value."""
+    parts = learn_parts(pages, smooth)
     inside: dict[str, Counter] = {"word": Counter(), "tag": Counter()}
     outside: dict[str, Counter] = {"word": Counter(), "tag": Counter()}
     for page, main in pages:
-        lines = {" ".join(x.split()) for x in main.split("\n")}
-        seen = tokens(page)
-        rows: dict[int, list[Token]] = {}
-        for t in seen:
-            rows.setdefault(t.block, []).append(t)
-        good = {b for b, ts in rows.items() if " ".join(html.unescape("".join(t.text for t in ts)).split()) in lines - {""}}
+        seen = tokens(page, parts)
+        good = _blocks(seen, main)
         first = next((i for i, t in enumerate(seen) if t.block in good), 0)
         last = max((i for i, t in enumerate(seen) if t.block in good), default=-1)
         for i, t in enumerate(seen):
@@ -160,7 +191,7 @@ def learn(pages: list[tuple[str, str]], smooth: float = 0.5) -> Weights:
     score = lambda kind, x: math.log((inside[kind][x] + smooth) / (outside[kind][x] + smooth))
     words = {x: score("word", x) for x in inside["word"] | outside["word"]}
     tags = {x: min(score("tag", x) - 1, -0.1) for x in inside["tag"] | outside["tag"]}
-    return Weights(words, tags)
+    return Weights(words, tags, parts)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -179,7 +210,7 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text of a page: blocks of the best region in page order, joined by one line feed."""
     if not page:
         return ""
-    seen = tokens(page)
+    seen = tokens(page, weights.parts)
     first, last = best_region([t.words * weights.word.get(t.where, weights.other_word) if t.kind == "text" else weights.tag.get(t.kind, weights.other_tag) for t in seen])
     rows: dict[int, list[str]] = {}
     for t in seen[first:last]:
