@@ -33,7 +33,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), cache_chunks=800_000)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), cache_chunks=800_000, keep_cache=True)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -380,3 +380,19 @@ def test_archives_of_few_or_long_records_have_a_dictionary():
         wrapped = [warc.record_bytes(i, "http://x/", r, "", None) for i, r in enumerate(records)]
         assert [block for _, block in warc.read_archive(io.BytesIO(warc.archive_bytes(wrapped)))] == records
     assert warc.build_dictionary([b"<p>short</p>"]) == b""
+
+
+@pytest.mark.parametrize("split", [None, packing.word_parts])
+def test_thinned_caches_give_the_same_ids(split):
+    from strandlake.llm.tokens import ChunkCache
+
+    rng = random.Random(14)
+    encode = packing.word_encoder(WORD_FILE)
+    cache = ChunkCache(encode, split, limit=60)
+    common = ["the", "of", "Apple,", "x1"]
+    for _ in range(40):
+        texts = [[w.encode() for w in rng.choices(common, k=20) + ["".join(rng.choices("abcDE,.", k=5)) for _ in range(rng.randint(0, 30))]] for _ in range(3)]
+        ids, bounds = cache(texts)
+        for chunks, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == [i for c in chunks for own in encode([c.decode()]) for i in own]
+        assert all(c.encode() in cache.index for c in common)
