@@ -18,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -201,6 +202,12 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
+@lru_cache(maxsize=1)
+def kept_codec(path: str, threads: int) -> Codec:
+    """The codec of a Python worker, for all tasks that it runs."""
+    return Codec(path, threads)
+
+
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, verify: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256, round_trip (decoded text equals the input), and
     with ``verify`` parity (ids and decoded text equal the sentencepiece library's; else null)."""
@@ -208,7 +215,7 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, verify:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        codec, other = Codec(model_path, threads), None
+        codec, other = kept_codec(model_path, threads), None
         if verify:
             import sentencepiece
 
