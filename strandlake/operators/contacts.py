@@ -13,6 +13,11 @@ def is_contact(same: Column, facing: Column, gap: Column, near: int = 2048) -> C
     return ~(same & facing & gap.between(0, near - 1))
 
 
+def few_mismatches(mapq: Column, length: Column, most: int) -> Column:
+    """Mismatches as the quality tells them: 254 for none, less in proportion to the read."""
+    return (254 - mapq) * length <= most * 254
+
+
 def with_sites(pairs: DataFrame, sites: DataFrame, mate: int) -> DataFrame:
     """Adds ``site{mate}``: for forward mates the smallest site >= pos + len - 4, for reverse ones the smallest site > pos."""
     at = F.when(F.col(f"rev{mate}"), F.col(f"pos{mate}") + 1).otherwise(F.col(f"pos{mate}") + F.col(f"len{mate}") - 4)

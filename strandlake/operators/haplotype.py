@@ -79,3 +79,41 @@ def call_haplotypes(groups: DataFrame, share: float = 0.1, least: int = 4, sampl
         return pd.DataFrame(rows, columns=["win", "sample", "n_reads", "haps", "counts", "gt", "trash"])
 
     return groups.select(*by, "hap", "n").groupBy("win").applyInPandas(run, "win long, sample string, n_reads long, haps string, counts string, gt string, trash long")
+
+
+def islands(columns: DataFrame) -> DataFrame:
+    """(win, at, col, size): runs of neighbouring informative columns; ``at`` is the 0-based place in the window's haplotype strings."""
+    order = columns.select("win", "col").distinct().groupBy("win").agg(F.array_sort(F.collect_list("col")).alias("cols"))
+    each = order.select("win", F.posexplode("cols").alias("i", "col"))
+    return each.groupBy("win", (F.col("col") - F.col("i")).alias("run")).agg(F.min("i").alias("at"), F.min("col").alias("col"), F.count("*").cast("int").alias("size")).drop("run")
+
+
+def region_calls(called: DataFrame, columns: DataFrame) -> DataFrame:
+    """The alleles of each region (a run of informative columns) of the called windows.
+
+    ``called``: win, n_reads, haps and counts as ``call_haplotypes`` gives them. The first two haplotypes give the alleles; columns at the
+    region's ends where both are the reference go; a region without any other base gives no row. ``first_col`` is its first column then, ``alleles``
+    are the two as strings over its columns, gt is 0 for the reference and else counts the alleles, ad has the reads of the reference and of each
+    other allele, over all kept haplotypes. ``freqs`` lists the first ten haplotype shares in hundredths, ``unexplained`` says that a
+    later haplotype fits neither of the first two nor the reference."""
+    haps = called.select("win", "n_reads", "trash", F.split("haps", ",").alias("h"), F.split("counts", ",").cast("array<long>").alias("n")).where("size(h) > 0 and h[0] <> ''")
+    at = haps.join(islands(columns), "win").withColumn("p", F.transform("h", lambda x: F.substr(x, F.col("at") + 1, F.col("size"))))
+    first, second = F.col("p")[0], F.coalesce(F.get("p", F.lit(1)), F.col("p")[0])
+    letters = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substr(x, i, F.lit(1)))
+    against = lambda x, y: F.exists(F.zip_with(letters(x), letters(y), lambda a, b: (a != b) & (a != " ") & (b != " ")), lambda d: d)
+    whole = F.repeat(F.lit("."), F.col("size"))
+    at = at.withColumn("unexplained", F.exists(F.slice("p", 3, 1000), lambda x: against(x, first) & against(x, second) & against(x, whole)))
+    both = F.zip_with(letters(first), letters(second), lambda a, b: (a != ".") | (b != "."))
+    lead = F.array_position(both, True)
+    tail = F.array_position(F.reverse(both), True)
+    cut = at.withColumns({"lead": lead, "keep": F.size(both) - lead - tail + 2}).where("lead > 0")
+    cut = cut.withColumn("p", F.transform("p", lambda x: F.substr(x, F.col("lead").cast("int"), F.col("keep").cast("int"))))
+    plain = F.repeat(F.lit("."), F.col("keep").cast("int"))
+    pair = F.array(F.col("p")[0], F.coalesce(F.get("p", F.lit(1)), F.col("p")[0]))
+    cut = cut.withColumn("plain", plain).withColumn("pair", pair).withColumn("alts", F.array_except(F.array_distinct("pair"), F.array("plain")))
+    index = lambda x: F.array_position("alts", x)
+    gt = F.array_join(F.array_sort(F.transform("pair", index)).cast("array<string>"), "/")
+    reads = lambda allele: F.aggregate(F.filter(F.arrays_zip("p", "n"), lambda z: z["p"] == allele), F.lit(0).cast("long"), lambda s, z: s + z["n"])
+    ad = F.concat(F.array(reads(F.col("plain"))), F.transform("alts", reads))
+    freqs = F.array_join(F.transform(F.slice("n", 1, 10), lambda x: F.floor(x * 100 / F.col("n_reads"))).cast("array<string>"), ",")
+    return cut.select("win", (F.col("col") + F.col("lead") - 1).alias("first_col"), F.array_join("pair", "/").alias("alleles"), gt.alias("gt"), F.col("n_reads").alias("dp"), F.array_join(ad.cast("array<string>"), ",").alias("ad"), F.size("h").alias("n_haps"), freqs.alias("freqs"), "trash", "unexplained")

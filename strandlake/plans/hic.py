@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators.contacts import is_contact, multiplicity, with_sites
+from strandlake.functions.sequence import pseudo_mapq
+from strandlake.operators.contacts import few_mismatches, is_contact, multiplicity, with_sites
 from strandlake.operators.reads import LIGATION, ligation_tail, tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
@@ -44,6 +45,14 @@ def hic_noncontacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("chr").agg(F.count("*").alias("n"), F.count("site1").alias("n_site1"), F.sum("site2").alias("sum_site2"))
 
 
+@query(SITED + " select chr, count(*) as n, cast(sum(site1) as bigint) as sum_site1 from sited where not (facing and gap between 0 and 2047) and (254 - case when klass = 'm' then 254 * (len1 - 1) // len1 else 254 end) * len1 <= 254 group by chr")
+def hic_strict_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts per contig whose first mate has one mismatch at most by its mapping quality (which rounds down)."""
+    s = sited(spark, sf_dir).where(is_contact(F.lit(True), F.col("facing"), F.col("gap")))
+    mapq = pseudo_mapq(F.col("len1"), F.when(F.col("klass") == "m", 1).otherwise(0))
+    return s.where(few_mismatches(mapq, F.col("len1"), 1)).groupBy("chr").agg(F.count("*").alias("n"), F.sum("site1").alias("sum_site1"))
+
+
 @query(SITED + ", d as (select distinct chr as chr1, pos1, site1, chr as chr2, pos2, site2 from sited where not (facing and gap between 0 and 2047)) select chr1, site1, chr2, site2, count(*) as n from d group by 1, 2, 3, 4 having count(*) > 1")
 def hic_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site pairs with more than one distinct contact."""

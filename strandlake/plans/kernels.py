@@ -156,3 +156,21 @@ def paired_haplotype_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = hp.informative(bases)
     groups = [hp.exact_groups(bases.where(F.col("sample") == s), columns).withColumn("sample", F.lit(s)) for s in ("N", "T")]
     return hp.call_haplotypes(groups[0].unionByName(groups[1]), samples=True)
+
+
+@query()
+def window_region_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions of each window with the alleles of its first two haplotypes."""
+    bases = _bases(spark, sf_dir)
+    columns = hp.informative(bases)
+    return hp.region_calls(hp.call_haplotypes(hp.exact_groups(bases, columns)), columns)
+
+
+@query()
+def window_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as lines of a call file, with what is known of the window: kept haplotypes, their shares, reads left over, and the region's warning."""
+    r = window_region_calls(spark, sf_dir).withColumn("chr", F.expr("cast(win div 1000 as int)")).withColumn("pos", F.expr("win % 1000 * 200 + first_col * 13"))
+    text = lambda c: F.col(c).cast("string")
+    info = F.concat(F.lit("WA="), text("n_haps"), F.lit(";WAF="), "freqs", F.lit(";WTRASH="), text("trash"), F.lit(";WND="), text("win"), F.when(F.col("unexplained"), ";REGWRN").otherwise(""))
+    line = F.concat_ws("\t", F.concat(F.lit("chr"), text("chr")), text("pos"), F.lit("."), F.lit("."), "alleles", F.lit("."), F.lit("PASS"), info, F.lit("GT:DP:AD"), F.concat_ws(":", "gt", text("dp"), "ad"))
+    return r.select("win", "first_col", line.alias("line"))
