@@ -7,8 +7,9 @@ Sequences of a tier are dealt to step groups of equal token budget, balanced by
 
 Each partition packs its own documents in shards of bounded tokens while it tokenises them: nothing is shuffled.
 
-Defined cases: a null text counts as empty; an empty text is the end id alone; repeated rows are packed each; an empty table gives no
-rows; other columns of the input are ignored.
+Defined cases: a null text counts as empty; an empty text is the end id alone; repeated rows are packed each, and a null doc_id is returned
+as it is; a very long text is tokenised whole and cut into full windows; of documents of equal length the order of the partition decides; an
+empty table gives no rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ marker run, which no piece crosses (checked; else texts are encoded whole); dist
 multithreaded batches. ``verify`` compares ids and decoded text with the sentencepiece library.
 
 Defined cases: a null text counts as empty and has no ids; pieces of control type are never matched in a text; characters
-without a piece fall back to bytes, or to the unknown id where the model has no byte pieces; other columns are ignored; repeated
-rows are encoded each; an empty table gives no rows. Models with white space as suffix raise ValueError.
+without a piece fall back to bytes, or to the unknown id where the model has no byte pieces; other columns are ignored, whatever their
+names; repeated rows are encoded each and a null doc_id is returned as it is; texts of any length are encoded whole; an empty table gives no rows. Models with white space as suffix raise ValueError.
 """
 
 from __future__ import annotations

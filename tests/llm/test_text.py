@@ -88,6 +88,12 @@ def test_pages_of_the_tables(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_pages_with_clashing_columns_and_repeated_rows(spark):
+    page = "<nav>Home</nav><article><p>words of the text</p></article>"
+    df = spark.createDataFrame([(1, "u", page, "x", -1), (1, "u", page, "x", -1), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    assert Counter(tuple(r) for r in html_extract.main_text(df).collect()) == Counter({(1, "u", "words of the text", 17): 2, (None, None, "", 0): 1})
+
+
 # --- language
 
 
