@@ -47,16 +47,15 @@ def two_sample_lines(rows: DataFrame, samples: tuple[str, str], percent: int) ->
     return at.select("chr", "pos", F.concat_ws("\t", *text).alias("line"))
 
 
-def validate(records: DataFrame, found: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
-    """Call records held against a pile-up: the verdict on the genotype's alleles, the second first.
+def validate(records: DataFrame, found: DataFrame, spans: DataFrame, sample: str, percent: int) -> DataFrame:
+    """Call records held against the pile-up of ``sample``: the verdict on the genotype's alleles, the second first.
 
     ``records``: chr, pos, type, gt, alts (bases, or D with a length, or I with bases), locus, base (of the reference there). ``found``: alleles of
     the pile-up (sample, chr, pos, kind, allele, cnt_p, cnt_m), ``spans``: its reads. An allele's reads must reach ``percent`` of all that
     the locus has. The alleles of a locus make one map."""
     named = found.select("chr", F.col("pos").alias("locus"), F.when(F.col("kind") == "M", F.col("allele")).otherwise(F.concat("kind", "allele")).alias("name"), "kind", (F.col("cnt_p") + F.col("cnt_m")).alias("n"))
     pile = named.groupBy("chr", "locus").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("has"), F.sum(F.when(F.col("kind") == "M", F.col("n")).otherwise(0)).alias("mm"), F.sum(F.when(F.col("kind") != "M", F.col("n")).otherwise(0)).alias("indels"))
-    sample = found.select("sample").distinct()
-    loci = records.select("chr", F.col("locus").alias("pos")).distinct().crossJoin(F.broadcast(sample.limit(1)))
+    loci = records.select(F.lit(sample).alias("sample"), "chr", F.col("locus").alias("pos")).distinct()
     depth = depth_at(loci, spans).select("chr", F.col("pos").alias("locus"), (F.col("cov_p") + F.col("cov_m")).alias("depth"))
     rows = records.join(depth, ["chr", "locus"], "left").join(pile, ["chr", "locus"], "left").na.fill(0, ["depth", "mm", "indels"])
     rows = rows.withColumn("n_seen", F.col("depth") + F.col("indels")).withColumn("least", F.floor(F.col("n_seen") * percent / 100))

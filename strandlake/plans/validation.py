@@ -118,7 +118,7 @@ def vcf_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     indels = c.germline_indel_calls(spark, sf_dir).where("sample = 'N'").select("chr", "pos", F.when(F.col("kind") == "D", "DELETION").otherwise("INSERTION").alias("type"), "gt", F.array(F.concat("kind", "allele")).alias("alts"), (F.col("pos") + 1).alias("locus"))
     records = snps.unionByName(indels).withColumn("base", v.base_at("chr", "locus"))
     pairs = c._pairs(spark, sf_dir).where("sample = 'T'")
-    return val.validate(records, alleles(c._events(pairs)), read_spans(pairs, c.KEYS), c.PERCENT)
+    return val.validate(records, alleles(c._events(pairs)), read_spans(pairs, c.KEYS), "T", c.PERCENT)
 
 
 @query(
