@@ -68,3 +68,13 @@ def ranked(rows: DataFrame, by: list[str], tile: Column, order: list[str]) -> Da
     before = sizes.select(*by, "_tile", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_tile")) - F.col("_n")).alias("_before"))
     number = F.row_number().over(Window.partitionBy(*by, "_tile").orderBy(*order))
     return tiled.withColumn("_k", number).join(before, [*by, "_tile"]).withColumn("rank", F.col("_before") + F.col("_k")).drop("_tile", "_k", "_before")
+
+
+#: The letters that choose classes and families of a store.
+CHOICES = {"p": "p", "m": "m", "n": "N", "a": "g", "u": "UM", "h": "HM", "c": "C"}
+
+
+def chosen(family: Column, letters: str) -> Column:
+    """Whether a pair's family is one of those that the letters choose (p perfect, m mismatches, n only N, a gaps, u unmapped, h half-mapped,
+    c chimeric)."""
+    return family.isin([CHOICES[x] for x in letters])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as q
+from strandlake.operators.intervals import overlap_join
 from strandlake.operators.kmers import explode_kmers, kmer_counts, pair_hits, seed_table, strand_hits, unique_prefixes, uniqueness
 from strandlake.operators.reads import codon_phases, tiles
 from strandlake.plans.registry import query
@@ -81,6 +82,17 @@ SEEDS = f"""{v.dna_sql('benchmark', 'ref')}, once as (select kmer, any_value(chr
 seeds as (select substr(kmer, 1, 16) as kmer16, substr(kmer, 17, 2) as next2, chr, pos from once qualify row_number() over (partition by substr(kmer, 1, 16) order by chr, pos) <= 8)"""
 
 
+PAR = "par as (select id as chr, id % 7 * 10 + 1 as par_start, id % 7 * 10 + 60 as par_end from ref)"
+
+
+@query(f"with {SEEDS}, {PAR} select kmer16, next2, chr, pos from seeds s where not exists (select 1 from par p where p.chr = s.chr and s.pos between par_start and par_end)")
+def seeds_outside_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seed table without the seeds that begin in excluded regions (as those that two contigs share)."""
+    contigs = v.dna(spark, sf_dir, "benchmark")
+    excluded = contigs.selectExpr("id as chr", "id % 7 * 10 + 1 as par_start", "id % 7 * 10 + 60 as par_end")
+    return overlap_join(_passages(spark, sf_dir), excluded, "pos", "pos", "par_start", "par_end", how="left_anti").select("kmer16", "next2", "chr", "pos")
+
+
 def _hits_sql(reads: str, name: str) -> str:
     """Hits of ``reads`` (id, at, seq) on both strands, the first 16 of each, forward ones first."""
     return f"""{name} as (select * from (select *, row_number() over (partition by id, "at" order by rev, off, chr, pos) as hit_no from (select id, "at", rev, case when rev then n - 18 - o else o end as off, chr, pos

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as q
-from strandlake.operators.filters import PAIR_ORDER, few_indels, mark_clones, on_contig, ranked, well_behaved, with_order_keys
+from strandlake.operators.filters import PAIR_ORDER, chosen, few_indels, mark_clones, on_contig, ranked, well_behaved, with_order_keys
 from strandlake.operators.mapping import chimera_bucket, mapping_statistics, route, unmapped_bucket
 from strandlake.operators.reads import tiles
 from strandlake.plans.registry import query
@@ -83,6 +83,13 @@ def class_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, sf_dir).groupBy("family", "chr1", "part").agg(F.count("*").alias("n_pairs"))
 
 
+@query(ROUTED + " select chr1, count(*) as n_all, count(*) filter (family in ('p', 'N')) as n_pn, count(*) filter (family in ('m', 'g', 'C')) as n_mac, count(*) filter (family in ('UM', 'HM')) as n_uh from f group by 1")
+def class_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs per contig that three choices of classes keep."""
+    count = lambda letters: F.count_if(chosen(F.col("family"), letters)).alias(f"n_{letters}")
+    return routed(spark, sf_dir).groupBy("chr1").agg(F.count("*").alias("n_all"), count("pn"), count("mac"), count("uh"))
+
+
 @query(ROUTED + " select case when chr1 = chr2 then chr1 else least(abs(chr1 - chr2), 8) + 24 end as bucket, count(*) as n_pairs, cast(sum(ordinal) as bigint) as ordinals from f where family = 'C' group by 1")
 def chimera_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chimeric pairs by contig or by the distance of their contigs."""

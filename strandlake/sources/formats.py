@@ -54,6 +54,21 @@ def read_bed(spark: SparkSession, path: str, pad: int = 0) -> DataFrame:
     return rows.select(chromosome_number(_column(0)).alias("chr"), F.greatest(_column(1).cast("long") - pad, F.lit(0)).alias("start"), (_column(2).cast("long") + pad).alias("end"), F.get(F.split("value", "\t"), F.lit(3)).alias("name"))
 
 
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    """Region table: contig, start and end in the first three columns, as they stand; lines without numbers there (headers) are skipped."""
+    rows = spark.read.text(path).select(chromosome_number(_column(0)).alias("chr"), F.get(F.split("value", "\t"), F.lit(1)).try_cast("long").alias("start"), F.get(F.split("value", "\t"), F.lit(2)).try_cast("long").alias("end"))
+    return rows.where("start is not null and end is not null")
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Transcript table: gene, chr (column 6), strand (7), exons ``a..b,c..d`` (8) as array<struct<start, end>>, and the RNA's bases (12); lines
+    with fewer columns are skipped."""
+    part = lambda i: F.get(F.split("value", "\t"), F.lit(i))
+    exons = F.transform(F.split(part(7), ","), lambda x: F.struct(F.split_part(x, F.lit(".."), F.lit(1)).try_cast("long").alias("start"), F.split_part(x, F.lit(".."), F.lit(2)).try_cast("long").alias("end")))
+    rows = spark.read.text(path).where(F.size(F.split("value", "\t")) >= 12)
+    return rows.select(part(0).alias("gene"), chromosome_number(part(5)).alias("chr"), part(6).alias("strand"), exons.alias("exons"), part(11).alias("rna")).where("chr is not null")
+
+
 def shifted_starts(regions: DataFrame, by: int = 20) -> DataFrame:
     """Region starts moved left by ``by`` where that doesn't run into the region before."""
     w = Window.partitionBy("chr").orderBy("start", "end")

@@ -76,3 +76,13 @@ def test_genome_and_store(spark, tmp_path):
     pairs = spark.createDataFrame([(k, c, p, p + 50) for k in "pm" for c in (1, 2) for p in (5, 70_000_000)], "klass string, chr int, pos1 int, pos2 int")
     fm.write_store(pairs, str(tmp_path / "store"))
     assert spark.read.parquet(str(tmp_path / "store")).where("klass = 'p' and chr = 1 and part = 1").count() == 1
+
+
+def test_region_and_transcript_tables(spark, tmp_path):
+    (tmp_path / "regions.tsv").write_text("chrom\tstart\tend\nchr3\t10\t20\tx\nX\t5\t6\nchr4\t\t9\nlonely\n")
+    assert sorted(tuple(r) for r in fm.read_regions(spark, str(tmp_path / "regions.tsv")).collect()) == [(3, 10, 20), (23, 5, 6)]
+    line = lambda chrom, exons: "\t".join(["g1", "a", "b", "c", "d", chrom, "+", exons, "e", "f", "g", "ACGU"])
+    (tmp_path / "rna.tsv").write_text(line("chr7", "10..20,30..44") + "\nshort\tline\n" + line("chrY", "1..2") + "\n")
+    got = {r["chr"]: r for r in fm.read_transcripts(spark, str(tmp_path / "rna.tsv")).collect()}
+    assert [tuple(x) for x in got[7]["exons"]] == [(10, 20), (30, 44)] and got.keys() == {7, 24}
+    assert (got[7]["gene"], got[7]["strand"], got[7]["rna"]) == ("g1", "+", "ACGU")
