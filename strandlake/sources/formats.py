@@ -60,7 +60,7 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("start is not null and end is not null")
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+def read_transcript_table(spark: SparkSession, path: str) -> DataFrame:
     """Transcript table: gene, chr (column 6), strand (7), exons ``a..b,c..d`` (8) as array<struct<start, end>>, and the RNA's bases (12); lines
     with fewer columns are skipped."""
     part = lambda i: F.get(F.split("value", "\t"), F.lit(i))

@@ -83,6 +83,6 @@ def test_region_and_transcript_tables(spark, tmp_path):
     assert sorted(tuple(r) for r in fm.read_regions(spark, str(tmp_path / "regions.tsv")).collect()) == [(3, 10, 20), (23, 5, 6)]
     line = lambda chrom, exons: "\t".join(["g1", "a", "b", "c", "d", chrom, "+", exons, "e", "f", "g", "ACGU"])
     (tmp_path / "rna.tsv").write_text(line("chr7", "10..20,30..44") + "\nshort\tline\n" + line("chrY", "1..2") + "\n")
-    got = {r["chr"]: r for r in fm.read_transcripts(spark, str(tmp_path / "rna.tsv")).collect()}
+    got = {r["chr"]: r for r in fm.read_transcript_table(spark, str(tmp_path / "rna.tsv")).collect()}
     assert [tuple(x) for x in got[7]["exons"]] == [(10, 20), (30, 44)] and got.keys() == {7, 24}
     assert (got[7]["gene"], got[7]["strand"], got[7]["rna"]) == ("g1", "+", "ACGU")
