@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 MATCH, MISMATCH, INSERT, DELETE = 3, -1, -15, -3
-LOW = -(1 << 20)
+LOW = -(1 << 14)  # matrices hold 16-bit numbers, which reads below 5000 bases don't leave
 
 
 def codes(seqs: list[str]) -> np.ndarray:
@@ -40,10 +40,10 @@ def gapped(read: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, list[str],
     running maximum. Of equal ends the first column wins; traceback prefers match, then deletion, then insertion."""
     n, length = read.shape
     width = window.shape[1]
-    m = np.zeros((length + 1, n, width + 1), dtype=np.int32)
+    m = np.zeros((length + 1, n, width + 1), dtype=np.int16)
     ins, dele = np.full_like(m, LOW), np.full_like(m, LOW)
     for i in range(1, length + 1):
-        pair = np.where((window == read[:, i - 1 : i]) | (read[:, i - 1 : i] == ord("N")), MATCH, MISMATCH)
+        pair = np.where((window == read[:, i - 1 : i]) | (read[:, i - 1 : i] == ord("N")), np.int16(MATCH), np.int16(MISMATCH))
         before = np.maximum(np.maximum(m[i - 1], ins[i - 1]), dele[i - 1])
         m[i, :, 0] = LOW
         m[i, :, 1:] = before[:, :-1] + pair
@@ -168,16 +168,20 @@ def overlap(seq1: str, seq2: str, probes: tuple[int, ...] = (5, 10, 17), size: i
 
 def align_pairs(reads: DataFrame) -> DataFrame:
     """Columns id, off, read, window (of one length; reads may be shorter at the end of a sequence) -> id, off, score, cigar, start,
-    n_changes, rebuilt (equals the read)."""
+    n_changes, rebuilt (equals the read).
+
+    Reads are dealt anew before they are aligned: that costs far less than aligning them, and few long sequences in few files would
+    otherwise be the work of as few tasks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, alike in frame.groupby(frame["read"].str.len()):
-                for k in range(0, len(alike), 64):
-                    part = alike.iloc[k : k + 64]
+                for k in range(0, len(alike), 32):
+                    part = alike.iloc[k : k + 32]
                     score, cigar, start = gapped(codes(part["read"].tolist()), codes(part["window"].tolist()))
                     changes = [encode(r, w, c, s) for r, w, c, s in zip(part["read"], part["window"], cigar, start, strict=True)]
                     same = [decode(w, c, s, x) == r for r, w, c, s, x in zip(part["read"], part["window"], cigar, start, changes, strict=True)]
                     yield pd.DataFrame({"id": part["id"], "off": part["off"], "score": score, "cigar": cigar, "start": start, "n_changes": [len(x) for x in changes], "rebuilt": same})
 
-    return reads.select("id", "off", "read", "window").mapInPandas(run, "id long, off long, score int, cigar string, start long, n_changes int, rebuilt boolean")
+    dealt = reads.select("id", "off", "read", "window").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "off")
+    return dealt.mapInPandas(run, "id long, off long, score int, cigar string, start long, n_changes int, rebuilt boolean")
