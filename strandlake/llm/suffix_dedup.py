@@ -10,7 +10,8 @@ Every byte covered by a string of ``span`` bytes that also starts anywhere else
 3. A shard's suffix array is built by Larsson-Sadakane refinement in numpy and its common prefixes by Kasai's method (in
    passes over all positions of the permuted array). A start whose neighbour shares ``span`` bytes repeats.
 4. Cross-shard merging, for hot anchors alone: the shards exchange their sorted distinct strings, as 128-bit digests cut
-   in ranges, and look them up in each other by binary search.
+   in ranges, and look them up in each other by binary search. The digests' tables are drawn anew for each run, so no text can be
+   made to meet another one; that two strings of n meet by chance has a probability of about n * n / 2**129.
 
 Runs of starts with one anchor that lie next to each other go as one segment (cut every ``span`` starts), so a periodic text of n bytes sends
 about 2n bytes. A document's list of runs or ranges is one row and grows with its text alone.
@@ -24,6 +25,7 @@ empty table gives no rows; other columns stay out of the search, whatever their
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,9 +105,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, span: int = SPAN, gram: int = GR
 END = 0xFF  # closes a segment; never a byte of UTF-8
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffix array of bytes, exact to the first ``depth`` of them, by Larsson-Sadakane refinement: only groups
-    that are still unsorted are sorted again, by the rank ``h`` bytes on, and h doubles."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The suffix array of bytes by Larsson-Sadakane refinement: only groups that are still unsorted are sorted again, by the rank
+    ``h`` bytes on, and h doubles until every suffix is alone (Kasai's method needs the exact order)."""
     n = len(text)
     bits = np.uint64(max(n, 1).bit_length())
     low = (np.uint64(1) << bits) - np.uint64(1)
@@ -119,7 +121,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     new = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.zeros(n + 1, dtype=np.int64)  # the first place of a suffix's group, plus 1; 0 beyond the end
     rank[sa] = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
-    while h < depth:
+    while True:
         place = np.flatnonzero(~(new & np.append(new[1:], True)))
         if not len(place):
             break
@@ -142,7 +144,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int, stride: int = 64) -> np.ndarray:
     """For each place of the suffix array the prefix shared with the place before, at most ``depth`` (Kasai).
 
-    Kasai walks the text: a position shares at least one byte less than the position on its left. Here every
+    Kasai walks the text: a position shares at least one byte less than the position on its left (true of the exact order only). Here every
     ``stride``-th position starts a walk and all walks go on together, comparing eight bytes at a time."""
     n = len(sa)
     before = np.full(n, -1)
@@ -169,7 +171,7 @@ def repeated_starts(segments: list[bytes], span: int = SPAN) -> tuple[np.ndarray
     byte of each segment, which bytes start a string of ``span`` bytes that also starts elsewhere, one of each such set)."""
     text = np.frombuffer(b"\xff".join(segments) + b"\xff", dtype=np.uint8)
     sizes = np.array([len(s) + 1 for s in segments])
-    sa = suffix_array(text, span)
+    sa = suffix_array(text)
     shared = common_prefixes(text, sa, span) >= span
     hit, lead = np.zeros(len(text), dtype=bool), np.zeros(len(text), dtype=bool)
     hit[sa[1:][shared[1:]]] = True
@@ -215,7 +217,7 @@ def _segments(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
 _FOUND = "key long, a long, b long, hot long, range int, piece int, digests binary, docs binary, starts binary"
 
 
-def _shard(span: int):
+def _shard(span: int, seeds: tuple[int, int]):
     """Repeats within a shard as byte ranges (key, a, b); for a piece of a hot anchor also its sorted distinct strings."""
 
     def run(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -252,7 +254,7 @@ def _shard(span: int):
                 d, a, b = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
                 yield _found(d, a, b)
             if rest:
-                yield _export(text, *(np.concatenate(x) for x in zip(*rest, strict=True)), span, int(hot[low]), int(piece[low]), int(pieces[low]))
+                yield _export(text, *(np.concatenate(x) for x in zip(*rest, strict=True)), span, seeds, int(hot[low]), int(piece[low]), int(pieces[low]))
 
     return run
 
@@ -262,9 +264,9 @@ def _found(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(d), pa.array(a), pa.array(b), *none], names=[x.split()[0] for x in _FOUND.split(", ")])
 
 
-def _export(text: np.ndarray, at: np.ndarray, docs: np.ndarray, starts: np.ndarray, span: int, hot: int, piece: int, pieces: int) -> pa.RecordBatch:
+def _export(text: np.ndarray, at: np.ndarray, docs: np.ndarray, starts: np.ndarray, span: int, seeds: tuple[int, int], hot: int, piece: int, pieces: int) -> pa.RecordBatch:
     """The distinct strings of a piece in digest order, cut in ranges by binary search; docs is REPEATED where a string repeats in the piece."""
-    digest = np.stack([window_hashes(text, span, seed)[at] for seed in (11, 13)], axis=1).byteswap()
+    digest = np.stack([window_hashes(text, span, seed)[at] for seed in seeds], axis=1).byteswap()
     digest = np.ascontiguousarray(digest).view("S16").ravel()
     # equal strings of one piece that were found as copies of a segment and as starts of another one count once
     order = np.lexsort((docs, digest))
@@ -353,7 +355,7 @@ def find_repeats(docs: DataFrame, key: str, span: int = SPAN, gram: int | None =
     chosen = texts.join(by_doc, "key").select("key", "text", "runs")
     segments = arrow_map(chosen, lambda batches: _segments(batches, span), "shard long, hot long, piece int, pieces int, first int, key long, bytes binary")
     number = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(group_number(F.col("piece"), "hot"))
-    found = stage(by_groups(segments, ["shard", "hot", "piece"], _shard(span), _FOUND, number), "suffix-found")
+    found = stage(by_groups(segments, ["shard", "hot", "piece"], _shard(span, (secrets.randbits(63), secrets.randbits(63))), _FOUND, number), "suffix-found")
     exchanged = found.where("digests is not null").select("hot", "range", "piece", "digests", "docs", "starts")
     merged = by_groups(exchanged, ["hot", "range"], _merge(span), "key long, a long, b long", group_number(F.col("range"), "hot"))
     ranges = found.where("key is not null").select("key", "a", "b").unionByName(merged).join(survey.where("whole").select("key"), "key", "left_anti")

@@ -162,10 +162,8 @@ def test_suffix_array_and_prefixes():
     for letters in (1, 2, 20):
         text = rng.integers(97, 97 + letters, 700).astype(np.uint8)
         data = text.tobytes()
-        sa = suffix_dedup.suffix_array(text, 60)
-        assert sorted(sa.tolist()) == list(range(700))
-        cut = [data[i : i + 60] for i in sa]
-        assert cut == sorted(cut)
+        sa = suffix_dedup.suffix_array(text)
+        assert sa.tolist() == sorted(range(700), key=lambda i: data[i:])
         shared = suffix_dedup.common_prefixes(text, sa, 60, stride=7)
         for k in range(1, 700):
             a, b = data[sa[k - 1] : sa[k - 1] + 60], data[sa[k] : sa[k] + 60]
@@ -173,6 +171,27 @@ def test_suffix_array_and_prefixes():
             assert shared[k] == n
 
 
+def test_prefixes_of_texts_that_share_more_than_the_depth():
+    """Copies longer than the depth and its next powers of two, in several orders: every prefix against a slow one, every hit against a count."""
+    rng = random.Random(5)
+    shared = [prose(n, rng).encode() for n in (150, 260, 400)]
+    pieces = [prose(3, rng).encode() + s[k:] + prose(4, rng).encode() + s[: -k or None] for s in shared for k in (0, 1, 37, 300)]
+    for order in range(4):
+        random.Random(order).shuffle(pieces)
+        segments = list(dict.fromkeys(p[a : a + 799] for p in pieces for a in range(0, max(1, len(p) - 398), 400)))
+        text, begins, hit, _ = suffix_dedup.repeated_starts(segments, 400)
+        data = text.tobytes()
+        sa = suffix_dedup.suffix_array(text)
+        assert sa.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+        shared_bytes = suffix_dedup.common_prefixes(text, sa, 400)
+        for k in range(1, len(sa)):
+            a, b = data[sa[k - 1] : sa[k - 1] + 400], data[sa[k] : sa[k] + 400]
+            assert shared_bytes[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        counts = Counter(s[k : k + 400] for s in segments for k in range(len(s) - 399))
+        for s, begin in zip(segments, begins, strict=True):
+            assert hit[begin : begin + len(s) - 399].tolist() == [counts[s[k : k + 400]] > 1 for k in range(len(s) - 399)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, k) for k in range(2, 60)] + [(5, 5), (None, 3), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
