@@ -94,16 +94,16 @@ def arrow_map(df: DataFrame, fn: Callable, schema, rows: int = 1000) -> DataFram
     return df.mapInArrow(fn, schema)
 
 
-def by_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, number: Column) -> DataFrame:
+def by_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, number: Column, order: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``fn(table, bounds)`` to whole groups of ``keys``.
 
     ``number`` (not null, the same for all rows of a group) deals the groups: number modulo partitions, so that bounded groups with
-    consecutive numbers lie in different tasks. Rows are sorted inside each partition; ``fn`` gets an Arrow table of
+    consecutive numbers lie in different tasks. Rows are sorted by ``keys`` and ``order`` inside each partition; ``fn`` gets an Arrow table of
     complete groups and their boundaries (``bounds[i]:bounds[i+1]`` is a group) and yields record
     batches. Only the rows of the groups that meet one Arrow batch are in memory; callers bound groups.
     """
     n = partitions(df.sparkSession)
-    dealt = df.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).sortWithinPartitions(*keys)
+    dealt = df.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import embedding_dedup, exact_dedup, html_extract, language_id, licences, packing, sentencepiece_codec, simhash, suffix_dedup, warc
+from strandlake.llm import embedding_dedup, exact_dedup, html_extract, language_id, licences, packing, sentencepiece_codec, simhash, spelling, suffix_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op13_spelling": spelling.ORACLE}
