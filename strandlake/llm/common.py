@@ -100,7 +100,7 @@ def by_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, number:
     ``number`` (not null, the same for all rows of a group) deals the groups: number modulo partitions, so that bounded groups with
     consecutive numbers lie in different tasks. Rows are sorted by ``keys`` and ``order`` inside each partition; ``fn`` gets an Arrow table of
     complete groups and their boundaries (``bounds[i]:bounds[i+1]`` is a group) and yields record
-    batches. Only the rows of the groups that meet one Arrow batch are in memory; callers bound groups.
+    batches; where it has a method ``finish``, what that yields follows at the end of a task (each task has a copy of ``fn``). Only the rows of the groups that meet one Arrow batch are in memory; callers bound groups.
     """
     n = partitions(df.sparkSession)
     dealt = df.repartitionById(n, F.pmod(number, F.lit(n)).cast("int")).sortWithinPartitions(*keys, *order)
@@ -121,6 +121,7 @@ def by_groups(df: DataFrame, keys: list[str], fn: Callable, schema: str, number:
         if held:
             table = pa.Table.from_batches(held).combine_chunks()
             yield from fn(table, _bounds(table, keys))
+        yield from getattr(fn, "finish", tuple)()
 
     return arrow_map(dealt, run, schema)
 
