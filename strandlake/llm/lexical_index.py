@@ -35,7 +35,7 @@ from strandlake.llm.common import arrow_map, by_groups, drop_path, new_path, sta
 
 #: In UTF-8: digits, Latin letters (lower-cased by then) and all bytes of other characters.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
-CUTS = (2_000_000_000, 800_000_000)
+CUTS = (1_200_000_000, 400_000_000)
 _LISTS = "shard long, term string, at array<int>, impact array<int>, ids array<long>"
 
 
