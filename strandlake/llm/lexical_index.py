@@ -7,8 +7,8 @@ sent to the tasks; other terms count with the least weight they can have. Tiers
 
 Searching goes tier by tier. After tier k a document's score is known from below (its postings up to k) and from above (for each other term of
 the item, the greatest impact that the term has in a lower tier). Each task keeps the documents with the highest upper bounds and the greatest
-bound among all it left out. Where that is below the tenth best lower bound, no other document can come in: the item is proven, and the
-documents that were kept are scored whole. All other items fall through to the next tier; in the last one every score is whole.
+bound among all it left out. Where that is below the tenth best lower bound, no other document can come in: the item is proven. All other
+items fall through to the next tier. At the end whole scores are taken: of proven items in the shards that hold what was kept, of others everywhere.
 
 Items are taken in blocks of about ``block_items``, whose terms and weights go to every task.
 
@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import arrow_map, by_groups, drop_path, new_path, stage, text_bytes
+from strandlake.llm.common import arrow_map, by_groups, drop_path, new_path, stage
 
 #: In UTF-8: digits, Latin letters (lower-cased by then) and all bytes of other characters.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 CUTS = (1_200_000_000, 400_000_000)
-_LISTS = "shard long, term string, at array<int>, impact array<int>, ids array<long>"
+_LISTS = "shard long, term string, top int, at binary, tf binary, ids array<long>, sizes array<int>"
 
 
 def terms_of(text: pa.Scalar) -> list[bytes]:
@@ -49,28 +49,41 @@ def weight(n_docs: int, df: int) -> int:
 
 @dataclass
 class TieredIndex:
-    """``lists``: shard, term, at (document's place in its shard), impact, ids (only in a shard's row without a term), tier. ``terms``: term, df."""
+    """``lists``: shard, term, top (greatest impact), at (places in the shard, 16 bits), tf (32 bits), tier; a row without a term (tier -1) has the ids and
+    sizes of the shard's documents. ``terms``: term, df."""
 
     lists: DataFrame
     terms: DataFrame
     n_docs: int
+    n_terms: int
     tiers: int
 
 
-def _term_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that have a term, and terms, of each batch."""
-    inside = np.zeros(256, dtype=bool)
-    inside[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-    for batch in batches:
-        data, ends = text_bytes(batch.column(0))
-        kind = inside[data]
-        begins = kind.copy()
-        begins[1:] &= ~kind[:-1]
-        first = ends[:-1][ends[:-1] < len(data)]
-        begins[first] = kind[first]
-        total = np.append(0, np.cumsum(begins))
-        each = total[ends[1:]] - total[ends[:-1]]
-        yield pa.record_batch([pa.array([int((each > 0).sum())], pa.int64()), pa.array([int(each.sum())], pa.int64())], names=["docs", "terms"])
+def impacts(tf: np.ndarray, size: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
+    """Of ``tf`` occurrences in a document of ``size`` terms."""
+    return 1_000_000_000 * tf // (1000 * tf + 8 * (100 - 75 + 75 * size * n_docs // n_terms))
+
+
+def _frequencies(held: int):
+    """(term, documents, occurrences), summed over a bounded number of terms; the empty term stands for all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, total, df = 0, 0, Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([b"", *df], pa.binary()).cast(pa.string()), pa.array([docs, *df.values()], pa.int64()), pa.array([total, *[0] * len(df)], pa.int64())], names=["term", "df", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                if words := terms_of(text):
+                    docs, total = docs + 1, total + len(words)
+                    df.update(set(words))
+                if len(df) > held:
+                    yield rows()
+                    docs, total, df = 0, 0, Counter()
+        yield rows()
+
+    return run
 
 
 class _Shard:
@@ -88,29 +101,38 @@ class _Shard:
         self.distinct.append(len(counts))
         self.ids.append(doc_id)
 
-    def rows(self, shard: int, n_docs: int, n_terms: int, most: int = 20_000) -> Iterator[pa.RecordBatch]:
-        term, tf = np.array(self.term, dtype=np.int32), np.array(self.tf, dtype=np.int64)
-        size = np.array(self.size, dtype=np.int64)
-        m = 100 - 75 + 75 * size * n_docs // n_terms
-        at = np.repeat(np.arange(len(size), dtype=np.int32), self.distinct)
-        impact = (1_000_000_000 * tf // (1000 * tf + 8 * m[at])).astype(np.int32)
-        order = np.argsort(term, kind="stable")
-        ends = np.append(0, np.cumsum(np.bincount(term, minlength=len(self.number))))
-        names = [w.decode() for w in self.number]
-        yield _rows(shard, [""], None, None, None, self.ids)
-        for a in range(0, len(names), most):
-            b = min(a + most, len(names))
-            part = order[ends[a] : ends[b]]
-            yield _rows(shard, names[a:b], ends[a : b + 1] - ends[a], at[part], impact[part])
-
-
-def _rows(shard: int, names: list[str], ends: np.ndarray | None, at: np.ndarray | None, impact: np.ndarray | None, ids: list[int | None] | None = None) -> pa.RecordBatch:
+    def rows(self, shard: int, n_docs: int, n_terms: int, weights: dict[bytes, int], least: int, cuts: tuple[int, ...], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+        term, tf, size = (np.array(x, dtype=np.int64) for x in (self.term, self.tf, self.size))
+        at = np.repeat(np.arange(len(size)), self.distinct)
+        impact = impacts(tf, size[at], n_docs, n_terms)
+        names = list(self.number)
+        own = np.array([weights.get(w, least) for w in names], dtype=np.int64)
+        tier = np.searchsorted(-np.array(cuts, dtype=np.int64), -own[term] * impact, side="left")
+        order = np.lexsort((term, tier))
+        new = np.flatnonzero(np.diff(term[order], prepend=-1) | np.diff(tier[order], prepend=-1))
+        ends = np.append(new, len(order))
+        first = order[new]
+        top = np.maximum.reduceat(impact[order], new)
+        yield _rows(shard, [b""], [-1], [0], None, None, self.ids, self.size)
+        for a in range(0, len(new), most):
+            b = min(a + most, len(new))
+            part, cut = order[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+            yield _rows(shard, [names[t] for t in term[first[a:b]].tolist()], tier[first[a:b]], top[a:b], _packed(at[part], "<u2", cut), _packed(tf[part], "<u4", cut))
+
+
+def _packed(values: np.ndarray, kind: str, ends: np.ndarray) -> pa.Array:
+    """The values as the bytes of one binary value for each list."""
+    data = values.astype(kind)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _rows(shard: int, names: list[bytes], tier, top, at: pa.Array | None, tf: pa.Array | None, ids: list[int | None] | None = None, sizes: list[int] | None = None) -> pa.RecordBatch:
     n = len(names)
-    lists = [pa.nulls(n, pa.list_(pa.int32()))] * 2 if ends is None else [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (at, impact)]
-    return pa.record_batch([pa.array(np.full(n, shard)), pa.array(names, pa.string()), *lists, pa.array([ids] * n, pa.list_(pa.int64()))], names=["shard", "term", "at", "impact", "ids"])
+    head = pa.array([ids] * n, pa.list_(pa.int64())), pa.array([sizes] * n, pa.list_(pa.int32()))
+    return pa.record_batch([pa.array(np.full(n, shard)), pa.array(names, pa.binary()).cast(pa.string()), pa.array(top, pa.int32()), at or pa.nulls(n, pa.binary()), tf or pa.nulls(n, pa.binary()), *head, pa.array(tier, pa.int32())], names=["shard", "term", "top", "at", "tf", "ids", "sizes", "tier"])
 
 
-def _postings(n_docs: int, n_terms: int, shard_docs: int, shard_bytes: int):
+def _postings(shard_docs: int, shard_bytes: int, *how):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, number = _Shard(), 0, TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -119,54 +141,28 @@ def _postings(n_docs: int, n_terms: int, shard_docs: int, shard_bytes: int):
                     shard.add(doc_id, words)
                     held += text.as_buffer().size
                 if held >= shard_bytes or len(shard.ids) >= shard_docs:
-                    yield from shard.rows(number, n_docs, n_terms)
+                    yield from shard.rows(number, *how)
                     shard, held, number = _Shard(), 0, number + 1
         if shard.ids:
-            yield from shard.rows(number, n_docs, n_terms)
-
-    return run
-
-
-def _tiers(weights: dict[str, int], least: int, cuts: tuple[int, ...]):
-    """Lists split by tier."""
-    edges = -np.array(cuts, dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            at, impact = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
-            own = np.array([weights.get(t, least) for t in batch.column(1).to_pylist()], dtype=np.int64)
-            tier = np.searchsorted(edges, -own[of] * impact, side="left")
-            for k in range(len(cuts) + 1):
-                mine = tier == k
-                n = np.bincount(of[mine], minlength=batch.num_rows)
-                rows = np.flatnonzero(n)
-                ends = pa.array(np.append(0, np.cumsum(n[rows])).astype(np.int32))
-                pick = pa.array(rows)
-                yield pa.record_batch([batch.column(0).take(pick), batch.column(1).take(pick), pa.ListArray.from_arrays(ends, pa.array(at[mine])), pa.ListArray.from_arrays(ends, pa.array(impact[mine])), pa.nulls(len(rows), pa.list_(pa.int64())), pa.array(np.full(len(rows), k, dtype=np.int32))], names=["shard", "term", "at", "impact", "ids", "tier"])
+            yield from shard.rows(number, *how)
 
     return run
 
 
 def build(docs: DataFrame, cuts: tuple[int, ...] = CUTS, shard_docs: int = 4096, shard_bytes: int = 8 << 20, rare_below: int = 1000) -> TieredIndex:
-    """Index all ``docs`` (doc_id, text). ``cuts``: falling bounds of weight * impact between the tiers."""
-    spark, made = docs.sparkSession, []
+    """Index all ``docs`` (doc_id, text). ``cuts``: falling bounds of weight * impact between the tiers; ``shard_docs``: at most 65536."""
+    spark = docs.sparkSession
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = arrow_map(texts.select("text"), _term_starts, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
-    n_docs, n_terms = sizes[0] or 0, max(sizes[1] or 0, 1)
-    raw = stage(arrow_map(texts, _postings(n_docs, n_terms, shard_docs, shard_bytes), _LISTS), "lexical-lists", made)
-    postings = raw.where("term <> ''")
-    terms = stage(postings.groupBy("term").agg(F.sum(F.size("at")).alias("df")), "lexical-terms")
+    terms = stage(arrow_map(texts.select("text"), _frequencies(200_000), "term string, df long, n long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")), "lexical-terms")
+    sizes = terms.where("term = ''").first()
+    n_docs, n_terms = (sizes["df"], max(sizes["n"], 1)) if sizes else (0, 1)
+    terms = terms.where("term <> ''").select("term", "df")
     # Terms in one of ``rare_below`` documents or more: at most as many (and as long) as those of ``rare_below`` average documents.
-    frequent = {r["term"]: weight(n_docs, r["df"]) for r in terms.where(F.col("df") * rare_below >= n_docs).toLocalIterator()}
-    tiers = arrow_map(postings, _tiers(frequent, weight(n_docs, n_docs // rare_below), cuts), _LISTS + ", tier int")
-    heads = raw.where("term = ''").withColumn("tier", F.lit(-1))
+    frequent = {r["term"].encode(): weight(n_docs, r["df"]) for r in terms.where(F.col("df") * rare_below >= n_docs).toLocalIterator()}
+    lists = arrow_map(texts, _postings(shard_docs, shard_bytes, n_docs, n_terms, frequent, weight(n_docs, n_docs // rare_below), cuts), _LISTS + ", tier int")
     path = new_path(spark, "lexical-index")
-    tiers.unionByName(heads).write.partitionBy("tier").option("compression", "zstd").parquet(path)
-    for x in made:
-        drop_path(spark, x)
-    return TieredIndex(spark.read.schema(_LISTS + ", tier int").parquet(path), terms, n_docs, len(cuts) + 1)
+    lists.write.partitionBy("tier").option("compression", "zstd").parquet(path)
+    return TieredIndex(spark.read.schema(_LISTS + ", tier int").parquet(path), terms, n_docs, n_terms, len(cuts) + 1)
 
 
 class _Scorer:
@@ -175,8 +171,8 @@ class _Scorer:
     ``entries``: term -> (items, their number of it times its weight, greatest impact in the tiers not read). Exact scores are kept by score and id,
     others by their upper bounds."""
 
-    def __init__(self, entries: dict[str, tuple[np.ndarray, np.ndarray, int]], items: int, most: int, exact: bool):
-        self.entries, self.most, self.exact = entries, most, exact
+    def __init__(self, entries: dict[str, tuple[np.ndarray, np.ndarray, int]], items: int, totals: tuple[int, int], most: int, exact: bool):
+        self.entries, self.totals, self.most, self.exact = entries, totals, most, exact
         self.unseen = np.zeros(items, dtype=np.int64)
         for of, value, left in entries.values():
             self.unseen[of] += value * left
@@ -185,14 +181,15 @@ class _Scorer:
 
     def __call__(self, table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
         terms, shards = table["term"].to_pylist(), table["shard"].to_numpy()
-        at, impact, ids = (table[x].combine_chunks() for x in ("at", "impact", "ids"))
+        at, tf, ids, sizes = (table[x].combine_chunks() for x in ("at", "tf", "ids", "sizes"))
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            own = ids[low].values  # a shard's row without a term comes first
+            own, size = ids[low].values, sizes[low].values.to_numpy().astype(np.int64)  # a shard's row without a term comes first
             score = np.zeros((len(self.unseen), len(own)), dtype=np.int64)
             upper = np.repeat(self.unseen[:, None], len(own), axis=1)
             for i in range(low + 1, high):
                 of, value, left = self.entries[terms[i]]
-                place, gain = at[i].values.to_numpy(), impact[i].values.to_numpy().astype(np.int64)
+                place = np.frombuffer(at[i].as_buffer(), "<u2")
+                gain = impacts(np.frombuffer(tf[i].as_buffer(), "<u4").astype(np.int64), size[place], *self.totals)
                 cells = np.ix_(of, place)
                 score[cells] += value[:, None] * gain
                 upper[cells] += value[:, None] * (gain - left)
@@ -268,10 +265,10 @@ class _Block:
 def _block(index: TieredIndex, items: DataFrame) -> _Block:
     spark = items.sparkSession
     found = arrow_map(items.select("number", "text"), _item_terms, "number long, term string, q long").collect()
-    vocabulary = spark.createDataFrame([(t,) for t in sorted({r["term"] for r in found})], "term string")
+    vocabulary = _terms(spark, sorted({r["term"] for r in found}))
     weights = {r["term"]: weight(index.n_docs, r["df"]) for r in index.terms.join(vocabulary, "term").collect()}
     tops = {t: [0] * index.tiers for t in weights}
-    for r in index.lists.where("tier >= 0").join(vocabulary, "term", "left_semi").groupBy("term", "tier").agg(F.max(F.array_max("impact")).alias("top")).collect():
+    for r in index.lists.where("tier >= 0").join(vocabulary, "term", "left_semi").groupBy("term", "tier").agg(F.max("top").alias("top")).collect():
         tops[r["term"]][r["tier"]] = r["top"]
     numbers = sorted({r["number"] for r in found})
     place = {n: i for i, n in enumerate(numbers)}
@@ -282,17 +279,28 @@ def _block(index: TieredIndex, items: DataFrame) -> _Block:
     return _Block(numbers, uses, tops)
 
 
-def _score(index: TieredIndex, block: _Block, items: set[int], tier: int, most: int, exact: bool, only: DataFrame | None = None) -> DataFrame:
-    """Scores of ``items`` by the tiers up to ``tier``; ``only``: in these (shard, term)."""
+def _terms(spark: SparkSession, terms) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in terms], "term string")
+
+
+def _score(index: TieredIndex, block: _Block, items: set[int], tier: int, most: int, exact: bool, kept: list[DataFrame] = ()) -> DataFrame:
+    """Scores of ``items`` by the tiers up to ``tier``. ``kept``, for whole scores: (item, shard) that may hold a proven item's best documents; of other
+    shards such an item's lists aren't read but for terms of ``items``, so what its documents get there is too low, and they don't come in."""
     spark = index.lists.sparkSession
     entries = block.entries(items, tier)
-    lists, heads = index.lists.where((F.col("tier") >= 0) & (F.col("tier") <= tier)), index.lists.where("tier = -1")
-    if only is None:
-        lists = lists.join(spark.createDataFrame([(t,) for t in entries], "term string"), "term", "left_semi")
-    else:
-        lists, heads = lists.join(only, ["shard", "term"], "left_semi"), heads.join(only, "shard", "left_semi")
-    columns = ["shard", "term", "at", "impact", "ids"]
-    scorer = _Scorer(entries, len(block.numbers), most, exact)
+    every = index.lists.where((F.col("tier") >= 0) & (F.col("tier") <= tier))
+    lists, heads = every.join(_terms(spark, entries), "term", "left_semi"), index.lists.where("tier = -1")
+    if kept:
+        pairs = kept[0]
+        for more in kept[1:]:
+            pairs = pairs.unionByName(more)
+        uses = spark.createDataFrame([(i, t) for t, u in block.uses.items() if t not in entries for i, _ in u], "item int, term string")
+        only = pairs.join(uses, "item").select("shard", "term").distinct()
+        lists = lists.unionByName(every.join(_terms(spark, block.uses.keys() - entries.keys()), "term", "left_semi").join(only, ["shard", "term"], "left_semi").select(lists.columns))
+        heads = heads if items else heads.join(pairs.select("shard").distinct(), "shard", "left_semi")
+        entries = block.entries(set(range(len(block.numbers))), tier)
+    columns = ["shard", "term", "at", "tf", "ids", "sizes"]
+    scorer = _Scorer(entries, len(block.numbers), (index.n_docs, index.n_terms), most, exact)
     return by_groups(heads.select(columns).unionByName(lists.select(columns)), ["shard"], scorer, _SCORED, F.xxhash64("shard"), ("term",))
 
 
@@ -311,35 +319,25 @@ def search(index: TieredIndex, items: DataFrame, k: int = 10, block_items: int =
     blocks = max(1, -(-items.count() // block_items))
     numbered = items.select("item_id", F.col("text").cast("string").alias("text")).repartition(blocks)
     numbered = stage(numbered.select(F.monotonically_increasing_id().alias("number"), F.spark_partition_id().alias("block"), "item_id", "text"), "lexical-items")
-    results = [spark.createDataFrame([], "number long, doc_id long, score long, tier int")]
+    every = spark.createDataFrame([], "number long, doc_id long, score long, tier int")
     for number in range(blocks):
         block = _block(index, numbered.where(F.col("block") == number).where("text is not null"))
         open_ = {i for uses in block.uses.values() for i, _ in uses}
-        names = spark.createDataFrame(list(enumerate(block.numbers)), "item int, number long")
-        for tier in range(index.tiers):
-            if not open_:
-                break
-            made: list[str] = []
-            if tier == index.tiers - 1:
-                exact, done = _score(index, block, open_, tier, k, True), open_
-            else:
+        kept_pairs, made, last = [], [], dict.fromkeys(open_, index.tiers - 1)
+        for tier in range(index.tiers - 1):
+            if open_:
                 found = stage(_score(index, block, open_, tier, kept, False), "lexical-bounds", made)
-                floor = _proven(found, open_, k)
-                done = set(floor)
-                if not done:
-                    drop_path(spark, made[0])
-                    continue
-                floors = spark.createDataFrame(list(floor.items()), "item int, floor long")
-                uses = spark.createDataFrame([(i, t) for t, u in block.uses.items() for i, _ in u if i in done], "item int, term string")
-                only = found.where("shard is not null").join(floors, "item").where("upper >= floor").select("item", "shard").distinct().join(uses, "item").select("shard", "term").distinct()
-                exact = _score(index, block, done, index.tiers - 1, k, True, only)
-            results.append(stage(exact.join(names, "item").select("number", "doc_id", "score", F.lit(tier).alias("tier")), "lexical-best"))
-            for path in made:
-                drop_path(spark, path)
-            open_ = open_ - done
-    every = results[0]
-    for more in results[1:]:
-        every = every.unionByName(more)
+                if floor := _proven(found, open_, k):
+                    floors = spark.createDataFrame(list(floor.items()), "item int, floor long")
+                    kept_pairs.append(found.where("shard is not null").join(floors, "item").where("upper >= floor").select("item", "shard").distinct())
+                    last |= dict.fromkeys(floor, tier)
+                    open_ = open_ - set(floor)
+        if last:
+            best = _score(index, block, open_, index.tiers - 1, k, True, kept_pairs)
+            names = spark.createDataFrame([(i, block.numbers[i], t) for i, t in last.items()], "item int, number long, tier int")
+            every = every.unionByName(stage(best.join(names, "item").select("number", "doc_id", "score", "tier"), "lexical-best"))
+        for path in made:
+            drop_path(spark, path)
     rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).join(numbered.select("number", "item_id"), "number").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score", "tier")
 
