@@ -280,7 +280,8 @@ def _block(index: TieredIndex, items: DataFrame) -> _Block:
 
 
 def _terms(spark: SparkSession, terms) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in terms], "term string")
+    """Terms of a block of items, so bounded by these; sent to the tasks lest lists are shuffled to meet them."""
+    return F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))
 
 
 def _score(index: TieredIndex, block: _Block, items: set[int], tier: int, most: int, exact: bool, kept: list[DataFrame] = ()) -> DataFrame:
@@ -295,7 +296,7 @@ def _score(index: TieredIndex, block: _Block, items: set[int], tier: int, most:
         for more in kept[1:]:
             pairs = pairs.unionByName(more)
         uses = spark.createDataFrame([(i, t) for t, u in block.uses.items() if t not in entries for i, _ in u], "item int, term string")
-        only = pairs.join(uses, "item").select("shard", "term").distinct()
+        only = pairs.join(F.broadcast(uses), "item").select("shard", "term").distinct()
         lists = lists.unionByName(every.join(_terms(spark, block.uses.keys() - entries.keys()), "term", "left_semi").join(only, ["shard", "term"], "left_semi").select(lists.columns))
         heads = heads if items else heads.join(pairs.select("shard").distinct(), "shard", "left_semi")
         entries = block.entries(set(range(len(block.numbers))), tier)
@@ -329,13 +330,13 @@ def search(index: TieredIndex, items: DataFrame, k: int = 10, block_items: int =
                 found = stage(_score(index, block, open_, tier, kept, False), "lexical-bounds", made)
                 if floor := _proven(found, open_, k):
                     floors = spark.createDataFrame(list(floor.items()), "item int, floor long")
-                    kept_pairs.append(found.where("shard is not null").join(floors, "item").where("upper >= floor").select("item", "shard").distinct())
+                    kept_pairs.append(found.where("shard is not null").join(F.broadcast(floors), "item").where("upper >= floor").select("item", "shard").distinct())
                     last |= dict.fromkeys(floor, tier)
                     open_ = open_ - set(floor)
         if last:
             best = _score(index, block, open_, index.tiers - 1, k, True, kept_pairs)
             names = spark.createDataFrame([(i, block.numbers[i], t) for i, t in last.items()], "item int, number long, tier int")
-            every = every.unionByName(stage(best.join(names, "item").select("number", "doc_id", "score", "tier"), "lexical-best"))
+            every = every.unionByName(stage(best.join(F.broadcast(names), "item").select("number", "doc_id", "score", "tier"), "lexical-best"))
         for path in made:
             drop_path(spark, path)
     rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
