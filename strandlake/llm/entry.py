@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import embedding_dedup, exact_dedup, html_extract, language_id, lexical_index, licences, packing, sentencepiece_codec, simhash, spelling, suffix_dedup, warc
+from strandlake.llm import embedding_dedup, exact_dedup, html_extract, language_id, lexical_index, licences, packing, sentencepiece_codec, simhash, spelling, suffix_dedup, suffix_trees, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.remove_earlier(_table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical_index.search(lexical_index.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
     return found.select("item_id", "rank", "doc_id", "score")
@@ -75,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op12_lexical_search": lexical_index.ORACLE, "op13_spelling": spelling.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op11_substring_dedup": suffix_trees.ORACLE, "op12_lexical_search": lexical_index.ORACLE, "op13_spelling": spelling.ORACLE}

@@ -46,9 +46,10 @@ def _tables(seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(data: np.ndarray, width: int, seed: int = 7) -> np.ndarray:
-    """A 64-bit hash of each window of ``width`` bytes, by doubling (and one overlap where width is no power of two)."""
+    """A 64-bit hash of each window of ``width`` bytes (or items that are hashes themselves), by doubling (and one overlap where width is no
+    power of two)."""
     letters, factors = _tables(seed)
-    h, size, k = letters[data], 1, 0
+    h, size, k = letters[data] if data.dtype == np.uint8 else data, 1, 0
     while size < width:
         step = min(size, width - size)
         mixed = h[:-step] if step else h
