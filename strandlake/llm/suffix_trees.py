@@ -5,13 +5,16 @@ is removed; the first occurrence stays.
 
 1. Anchors. Among the ``gram``-word windows inside a window of ``span`` words the one with the smallest hash is its anchor, so equal windows have
    equal anchors. Suffixes whose anchor occurs once in the corpus start no repeat and stay at home. Of documents with equal words only the first
-   is searched: all of its copies' windows start earlier.
-2. Prefixes. The other suffixes, cut at ``span`` words (what is deeper changes nothing), are split by their first word; a prefix with more than
-   ``group_suffixes`` suffixes is lengthened to 2, 4, 8 ... words, so each group fits in memory.
-3. Trees. Each group's suffixes come sorted. The words that neighbours share give the tree's internal nodes; a topmost node that is ``span`` words
-   deep or more is a repeat, and all its leaves but the earliest are starts to remove. Maximal repeats are runs of such starts.
-4. A whole window that is frequent beyond the bound can't be split by prefix: its earliest start is found by partial aggregation, and its
-   suffixes are joined with that.
+   is searched: all of its copies' windows start earlier. Neighbouring suffixes with one anchor travel as one segment, cut where no window
+   of ``span`` words begins any more.
+2. Prefixes. Segments are split by the first word at their anchor; a prefix with more than ``group_size`` segments is lengthened to 2, 4, 8 words,
+   so each group fits in memory.
+3. Trees. Each group's suffixes are sorted to ``span`` words (what is deeper changes nothing); the words that neighbours share give the tree's
+   internal nodes. A topmost node that is ``span`` words deep is a repeat, and all its leaves but the earliest are starts to remove. Maximal
+   repeats are runs of such starts.
+4. Frequent anchors. Of equal segments the first stays (found by partial aggregation; all windows of the others start earlier). What is left is cut
+   in single suffixes, which are split by prefixes of their own, up to ``span`` words, and meet in trees likewise. Only a whole window that is
+   frequent can't be split by prefix: its earliest start is found by partial aggregation, and its suffixes are joined with that.
 
 Order: documents by doc_id, those without one last; rows of equal (or no) id by a key of their own (``common.keyed``).
 Defined cases: a null text has no words; documents of fewer than ``span`` words lose nothing; repeated rows are documents of their own, of which the
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import arrow_map, by_groups, drop_path, keyed, stage, text_bytes
+from strandlake.llm.common import arrow_map, by_groups, drop_path, keyed, stage
 from strandlake.llm.suffix_dedup import _tables, anchors, window_hashes
 
 SPAN, GRAM = 20, 8
@@ -88,60 +91,95 @@ def _survey(span: int, gram: int):
     return run
 
 
-def _suffixes(span: int, depths: tuple[int, ...]):
-    """Columns key, doc_id, text, runs -> a row per start: key, doc_id, start, the hash of its prefix of each depth, its words."""
+def _segments(span: int, gram: int):
+    """Columns key, doc_id, text, runs -> a row per run: key, doc_id, first, hot, the hash of the prefix of each depth at its anchor, its words."""
+    depths = _depths(gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column(3).to_pylist()
+            lists = batch.column(3)
             for begin, texts, ends in _parts(batch.column(2)):
                 h = _hashes(texts)
                 prefix = [window_hashes(h, d).view(np.int64) for d in depths]
                 for i, text in enumerate(texts):
-                    starts = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in runs[begin + i]])
+                    runs = lists[begin + i].values
+                    first, last, anchor = (runs.field(x).to_numpy() for x in ("first", "last", "anchor"))
                     gaps = np.concatenate([[-1], np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 0x20), [len(text)]])
-                    for k in range(0, len(starts), 20_000):
-                        part = starts[k : k + 20_000]
-                        words = [text[a:b] for a, b in zip((gaps[part] + 1).tolist(), gaps[part + span].tolist(), strict=True)]
-                        n = len(part)
-                        own = [batch.column(c).take(pa.array(np.full(n, begin + i))) for c in (0, 1)]
-                        yield pa.record_batch([*own, pa.array(part), *[pa.array(p[ends[i] + part]) for p in prefix], pa.array(words, pa.binary())], names=["key", "doc_id", "start", *[f"p{d}" for d in depths], "words"])
+                    at = _anchor_places(prefix[-1][ends[i] : ends[i + 1]], anchor, last) + ends[i]
+                    for k in range(0, len(first), 20_000):
+                        part = slice(k, k + 20_000)
+                        words = [text[x:y] for x, y in zip((gaps[first[part]] + 1).tolist(), gaps[last[part] + span].tolist(), strict=True)]
+                        same = [batch.column(c).take(pa.array(np.full(len(words), begin + i))) for c in (0, 1)]
+                        yield pa.record_batch([*same, pa.array(first[part], pa.int64()), runs.field("hot").slice(k, 20_000), *[pa.array(p[at[part]]) for p in prefix], pa.array(words, pa.binary())], names=["key", "doc_id", "start", "hot", *[f"p{d}" for d in depths], "words"])
 
     return run
 
 
-def shared_words(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each suffix but the first the number of words it shares with the one before. ``data``: the suffixes behind each other, words joined by one
-    space, bounded by ``ends``."""
-    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
-    eight = np.ndarray(len(data) + 8, dtype="<u8", buffer=padded.data, strides=(1,))
-    size = np.diff(ends)
-    x, y, most = ends[:-2], ends[1:-1], np.minimum(size[:-1], size[1:])
-    got, live = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
-    while len(live):
-        differ = eight[x[live] + got[live]] ^ eight[y[live] + got[live]]
-        same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) >> 3)
-        got[live] += same
-        live = live[(same == 8) & (got[live] < most[live])]
-    got = np.minimum(got, most)
-    spaces = np.append(0, np.cumsum(data == 0x20))
-    # the last word is shared where both suffixes end there, or one ends and the other goes on with a space
-    at_end = lambda begin, n: (n == got) | (padded[begin + got] == 0x20)
-    whole = at_end(x, size[:-1]) & at_end(y, size[1:]) & (got > 0)
-    return spaces[x + got] - spaces[x] + whole
+def _anchor_places(h: np.ndarray, anchor: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Where the anchor of each run lies: its first place at or behind the last start, as it lies in every window of the run."""
+    by_hash = np.argsort(h, kind="stable")
+    first = np.searchsorted(h[by_hash], h[by_hash])
+    place = np.searchsorted(first * len(h) + by_hash, np.searchsorted(h[by_hash], anchor) * len(h) + last)
+    return by_hash[place]
+
+
+def _suffixes(span: int):
+    """Segments -> their single suffixes, each with the hash of its prefix of each depth."""
+    depths = _depths(span)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, start, words, prefix = [], [], [], [[] for _ in depths]
+            for i, (first, segment) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                own, h = segment.split(), word_hashes(segment)
+                n = len(own) - span + 1
+                of += [i] * n
+                start += range(first, first + n)
+                words += [b" ".join(own[k : k + span]) for k in range(n)]
+                for d, values in zip(depths, prefix, strict=True):
+                    values.append(window_hashes(h, d).view(np.int64)[:n])
+            if of:
+                yield pa.record_batch([*[batch.column(c).take(pa.array(of)) for c in (0, 1)], pa.array(start, pa.int64()), *[pa.array(np.concatenate(p)) for p in prefix], pa.array(words, pa.binary())], names=["key", "doc_id", "start", *[f"p{d}" for d in depths], "words"])
+
+    return run
+
+
+def _depths(most: int) -> tuple[int, ...]:
+    return (*(1 << k for k in range(most.bit_length()) if 1 << k < most), most)
+
+
+def sorted_suffixes(segments: pa.Array, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start in it, words shared with the one before) of all suffixes of at least ``depth`` words, sorted by group and words to that depth;
+    suffixes of different groups share none."""
+    words = [s.split() for s in segments.to_pylist()]
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    code = pa.array([w for s in words for w in s], pa.binary()).dictionary_encode().indices.to_numpy().astype(">u4")
+    starts = np.maximum(size - depth + 1, 0)
+    of = np.repeat(np.arange(len(size)), starts)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
+    rows = np.empty((len(of), depth + 1), dtype=">u4")
+    rows[:, 0] = group[of]
+    rows[:, 1:] = np.lib.stride_tricks.sliding_window_view(code, depth)[(np.cumsum(size) - size)[of] + at] if len(of) else 0
+    order = np.argsort(rows.view(f"V{4 * depth + 4}").ravel(), kind="stable")
+    rows = rows[order]
+    shared = np.zeros(len(of), dtype=np.int64)
+    same = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1)
+    shared[1:] = np.maximum(same.sum(axis=1) - 1, 0)
+    return of[order], at[order], shared
 
 
 def deep_nodes(shared: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first leaf, last leaf) of each topmost internal node of at least ``depth`` words; ``shared[i]`` lies between the leaves i and i + 1."""
-    deep = np.concatenate([[False], shared >= depth, [False]])
+    """(first leaf, last leaf) of each topmost internal node of at least ``depth`` words; ``shared[i]`` lies between the leaves i - 1 and i."""
+    deep = np.append(shared >= depth, False)
     return np.flatnonzero(deep[1:] & ~deep[:-1]), np.flatnonzero(deep[:-1] & ~deep[1:])
 
 
 def _subtrees(depth: int):
+    """Groups of segments -> ranges of starts that are no earliest leaf of a deep node."""
+
     def run(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        data, ends = text_bytes(table["words"])
-        shared = shared_words(data, ends)
-        shared[bounds[1:-1] - 1] = 0
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        of, at, shared = sorted_suffixes(table["words"].combine_chunks(), group, depth)
         first, last = deep_nodes(shared, depth)
         if not len(first):
             return
@@ -149,40 +187,72 @@ def _subtrees(depth: int):
         node = np.repeat(np.arange(len(first)), size)
         leaf = np.repeat(first - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(len(node))
         ids = table["doc_id"].combine_chunks()
-        none, number = np.asarray(ids.is_null())[leaf], ids.fill_null(0).to_numpy()[leaf]
-        key, start = table["key"].to_numpy()[leaf], table["start"].to_numpy()[leaf]
+        none, number = np.asarray(ids.is_null())[of[leaf]], ids.fill_null(0).to_numpy()[of[leaf]]
+        key, start = table["key"].to_numpy()[of[leaf]], table["start"].to_numpy()[of[leaf]] + at[leaf]
         order = np.lexsort((start, key, number, none, node))
         late = order[np.append(False, node[order][1:] == node[order][:-1])]
-        yield pa.record_batch([pa.array(key[late]), pa.array(start[late])], names=["key", "start"])
+        key, start = key[late], start[late]
+        order = np.lexsort((start, key))
+        key, start = key[order], start[order]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)]))
+        if len(key):
+            yield pa.record_batch([pa.array(key[new]), pa.array(start[new]), pa.array(start[np.append(new[1:], len(key)) - 1])], names=["key", "a", "b"])
 
     return run
 
 
-def _grouped(suffixes: DataFrame, depths: tuple[int, ...], most: int, made: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """(suffixes with the ``group`` of the shortest prefix that ``most`` suffixes or fewer have, those of windows that more have)."""
-    left, groups, rest = suffixes.select(*[f"p{d}" for d in depths]), None, suffixes
-    columns = ["key", "doc_id", "start", "words"]
+_COLUMNS = ["key", "doc_id", "start", "words"]
+
+
+def _grouped(rows: DataFrame, depths: tuple[int, ...], most: int, made: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with the ``group`` of the shortest prefix that ``most`` of them or fewer have, rows whose longest prefix more have)."""
+    left, groups, rest = rows.select(*[f"p{d}" for d in depths]), None, rows
     for depth in depths:
         prefix, mark = f"p{depth}", f"hot{depth}"
         hot = stage(left.groupBy(prefix).count().where(F.col("count") > most).select(F.col(prefix).alias(mark)), "tree-prefixes", made)
         group = F.xxhash64(F.lit(depth), prefix).alias("group")
         if not hot.limit(1).count():
-            fits = rest.select(group, *columns)
+            fits = rest.select(group, *_COLUMNS)
             return fits if groups is None else groups.unionByName(fits), None
         same = F.col(prefix) == F.col(mark)
-        fits = rest.join(hot, same, "left_anti").select(group, *columns)
+        fits = rest.join(hot, same, "left_anti").select(group, *_COLUMNS)
         groups = fits if groups is None else groups.unionByName(fits)
         left, rest = left.join(hot, same, "left_semi"), rest.join(hot, same, "left_semi")
-    return groups, rest.select(*columns)
+    return groups, rest.select(group, *_COLUMNS)
+
+
+def _trees(groups: DataFrame, span: int) -> DataFrame:
+    return by_groups(groups, ["group"], _subtrees(span), "key long, a long, b long", F.pmod("group", F.lit(1 << 40)))
+
+
+def _leads(rows: DataFrame, made: list[str]) -> DataFrame:
+    """Rows with the mark whether they are the first of those with equal words."""
+    first = stage(rows.groupBy("words").agg(F.min(F.struct(*_order(), "start")).alias("lead")).select(F.col("words").alias("lead_words"), F.col("lead.key").alias("lead_key"), F.col("lead.start").alias("lead_start")), "tree-leads", made)
+    return stage(rows.join(first, F.col("words") == F.col("lead_words")).select(*_COLUMNS, ((F.col("key") == F.col("lead_key")) & (F.col("start") == F.col("lead_start"))).alias("lead")), "tree-marked", made)
+
+
+def _late_words(rows: DataFrame, span: int) -> DataFrame:
+    return rows.select("key", F.col("start").alias("a"), (F.col("start") + F.size(F.split(F.col("words").cast("string"), " ")) - span).alias("b"))
+
+
+def _frequent(segments: DataFrame, span: int, group_size: int, made: list[str]) -> DataFrame:
+    """Late starts of segments with frequent anchors."""
+    marked = _leads(segments, made)
+    depths = _depths(span)
+    schema = f"key long, doc_id long, start long, {', '.join(f'p{d} long' for d in depths)}, words binary"
+    suffixes = stage(arrow_map(marked.where("lead").select(*_COLUMNS), _suffixes(span), schema), "tree-suffixes", made)
+    groups, hot = _grouped(suffixes, depths, group_size, made)
+    late = _late_words(marked.where("not lead"), span).unionByName(_trees(groups, span))
+    return late if hot is None else late.unionByName(_late_words(_leads(hot, made).where("not lead"), span))
 
 
 def _order(key: str = "key") -> list:
     return [F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(key).alias("key")]
 
 
-def earlier_starts(docs: DataFrame, key: str, span: int = SPAN, gram: int = GRAM, group_suffixes: int = 4096) -> tuple[DataFrame, DataFrame]:
+def earlier_starts(docs: DataFrame, key: str, span: int = SPAN, gram: int = GRAM, group_size: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(survey, starts) of ``docs``, whose column ``key`` is unique. survey: key, doc_id, n_words, sha, whole (a document before has the same words).
-    starts: late_key, starts (those of windows that also start earlier) of each other document that has some."""
+    starts: late_key, ranges (a to b: starts of windows that also start earlier) of each other document that has some."""
     spark, made = docs.sparkSession, []
     gram = min(gram, span)
     texts = docs.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -191,35 +261,33 @@ def earlier_starts(docs: DataFrame, key: str, span: int = SPAN, gram: int = GRAM
     known = stage(seen.join(leads, F.col("key") == F.col("lead"), "left"), "tree-known", made)
     survey = stage(known.select("key", "doc_id", "n_words", "sha", (F.col("lead").isNull() & (F.col("n_words") >= span)).alias("whole")), "tree-docs")
     runs = known.where("lead is not null").select("key", F.explode(F.arrays_zip("first", "last", "anchor", "places")).alias("r")).select("key", "r.*")
-    repeated = stage(runs.groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor"), "tree-anchors", made)
-    by_doc = runs.join(repeated, "anchor").groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    depths = tuple(2**k for k in range(span.bit_length()) if 2**k < span) + (span,)
+    repeated = stage(runs.groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor", (F.col("n") > group_size).alias("hot")), "tree-anchors", made)
+    by_doc = runs.join(repeated, "anchor").groupBy("key").agg(F.collect_list(F.struct("first", "last", "anchor", "hot")).alias("runs"))
     chosen = texts.join(stage(by_doc, "tree-runs", made), "key").select("key", "doc_id", "text", "runs")
-    schema = f"key long, doc_id long, start long, {', '.join(f'p{d} long' for d in depths)}, words binary"
-    suffixes = stage(arrow_map(chosen, _suffixes(span, depths), schema), "tree-suffixes", made)
-    groups, hot = _grouped(suffixes, depths, group_suffixes, made)
-    late = by_groups(groups, ["group"], _subtrees(span), "key long, start long", F.pmod("group", F.lit(1 << 40)), ("words",))
-    if hot is not None:
-        first = stage(hot.groupBy("words").agg(F.min(F.struct(*_order(), "start")).alias("lead")).select(F.col("words").alias("window"), F.col("lead.key").alias("lead_key"), F.col("lead.start").alias("lead_start")), "tree-hot", made)
-        late = late.unionByName(hot.join(first, F.col("words") == F.col("window")).where("key <> lead_key or start <> lead_start").select("key", "start"))
-    starts = stage(late.groupBy(F.col("key").alias("late_key")).agg(F.collect_list("start").alias("starts")), "tree-starts")
+    depths = _depths(gram)
+    schema = f"key long, doc_id long, start long, hot boolean, {', '.join(f'p{d} long' for d in depths)}, words binary"
+    segments = stage(arrow_map(chosen, _segments(span, gram), schema), "tree-segments", made)
+    groups, rest = _grouped(segments.where("not hot"), depths, group_size, made)
+    late = _trees(groups if rest is None else groups.unionByName(rest), span)
+    if repeated.where("hot").limit(1).count():
+        late = late.unionByName(_frequent(segments.where("hot"), span, group_size, made))
+    starts = stage(late.groupBy(F.col("key").alias("late_key")).agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "tree-starts")
     for path in made:
         drop_path(spark, path)
     return survey, starts
 
 
 def _kept(span: int):
-    """Columns key, text, starts -> what stays of each text."""
+    """Columns key, text, ranges -> what stays of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, text, starts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for key, text, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 words = words_of(text.as_py())
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
-                at = starts.values.to_numpy()
-                edge[at] += 1
-                edge[at + span] -= 1
+                np.add.at(edge, ranges.values.field("a").to_numpy(), 1)
+                np.add.at(edge, ranges.values.field("b").to_numpy() + span, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 stays = b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x])
                 rows.append((key, int(gone.sum()), hashlib.sha256(stays).digest()))
@@ -232,7 +300,7 @@ def remove_earlier(docs: DataFrame, span: int = SPAN, **options) -> DataFrame:
     """The result of the query: doc_id, n_words, n_removed, kept_sha256."""
     rows, key = keyed(docs.select("doc_id", "text"))
     survey, starts = earlier_starts(rows, key, span, **options)
-    cuts = arrow_map(rows.join(starts, F.col(key) == F.col("late_key")).select(key, "text", "starts"), _kept(span), "cut_key long, n_removed long, kept_sha binary")
+    cuts = arrow_map(rows.join(starts, F.col(key) == F.col("late_key")).select(key, "text", "ranges"), _kept(span), "cut_key long, n_removed long, kept_sha binary")
     empty = F.unhex(F.sha2(F.lit(b""), 256))
     pick = lambda whole, cut, none: F.when(F.col("whole"), whole).otherwise(F.coalesce(F.col(cut), none))
     return survey.join(cuts, F.col("key") == F.col("cut_key"), "left").select(
