@@ -204,21 +204,18 @@ def _subtrees(depth: int):
 _COLUMNS = ["key", "doc_id", "start", "words"]
 
 
-def _grouped(rows: DataFrame, depths: tuple[int, ...], most: int, made: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """(rows with the ``group`` of the shortest prefix that ``most`` of them or fewer have, rows whose longest prefix more have)."""
-    left, groups, rest = rows.select(*[f"p{d}" for d in depths]), None, rows
-    for depth in depths:
-        prefix, mark = f"p{depth}", f"hot{depth}"
-        hot = stage(left.groupBy(prefix).count().where(F.col("count") > most).select(F.col(prefix).alias(mark)), "tree-prefixes", made)
-        group = F.xxhash64(F.lit(depth), prefix).alias("group")
-        if not hot.limit(1).count():
-            fits = rest.select(group, *_COLUMNS)
-            return fits if groups is None else groups.unionByName(fits), None
-        same = F.col(prefix) == F.col(mark)
-        fits = rest.join(hot, same, "left_anti").select(group, *_COLUMNS)
-        groups = fits if groups is None else groups.unionByName(fits)
-        left, rest = left.join(hot, same, "left_semi"), rest.join(hot, same, "left_semi")
-    return groups, rest.select(group, *_COLUMNS)
+def _grouped(rows: DataFrame, depths: tuple[int, ...], most: int, made: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with the ``group`` of the shortest prefix that ``most`` of them or fewer have, rows whose longest prefix more have). The tables of
+    longer prefixes hold at most a ``most``-th of the rows."""
+    depth, columns = F.lit(None).cast("int"), [f"p{d}" for d in depths]
+    marked = rows
+    for d in depths:
+        frequent = rows.groupBy(f"p{d}").count().where(F.col("count") > most).select(F.col(f"p{d}").alias(f"frequent{d}"))
+        marked = marked.join(stage(frequent, "tree-prefixes", made), F.col(f"p{d}") == F.col(f"frequent{d}"), "left")
+        depth = F.coalesce(depth, F.when(F.col(f"frequent{d}").isNull(), F.lit(d)))
+    group = F.xxhash64("depth", F.element_at(F.array(*columns), F.array_position(F.array(*map(F.lit, depths)), F.col("depth")).cast("int"))).alias("group")
+    marked = marked.withColumn("depth", depth)
+    return marked.where("depth is not null").select(group, *_COLUMNS), marked.where("depth is null").select(F.xxhash64(columns[-1]).alias("group"), *_COLUMNS)
 
 
 def _trees(groups: DataFrame, span: int) -> DataFrame:
@@ -243,14 +240,14 @@ def _frequent(segments: DataFrame, span: int, group_size: int, made: list[str])
     suffixes = stage(arrow_map(marked.where("lead").select(*_COLUMNS), _suffixes(span), schema), "tree-suffixes", made)
     groups, hot = _grouped(suffixes, depths, group_size, made)
     late = _late_words(marked.where("not lead"), span).unionByName(_trees(groups, span))
-    return late if hot is None else late.unionByName(_late_words(_leads(hot, made).where("not lead"), span))
+    return late.unionByName(_late_words(_leads(hot, made).where("not lead"), span))
 
 
 def _order(key: str = "key") -> list:
     return [F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col(key).alias("key")]
 
 
-def earlier_starts(docs: DataFrame, key: str, span: int = SPAN, gram: int = GRAM, group_size: int = 4096) -> tuple[DataFrame, DataFrame]:
+def earlier_starts(docs: DataFrame, key: str, span: int = SPAN, gram: int = GRAM, group_size: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(survey, starts) of ``docs``, whose column ``key`` is unique. survey: key, doc_id, n_words, sha, whole (a document before has the same words).
     starts: late_key, ranges (a to b: starts of windows that also start earlier) of each other document that has some."""
     spark, made = docs.sparkSession, []
@@ -268,7 +265,7 @@ def earlier_starts(docs: DataFrame, key: str, span: int = SPAN, gram: int = GRAM
     schema = f"key long, doc_id long, start long, hot boolean, {', '.join(f'p{d} long' for d in depths)}, words binary"
     segments = stage(arrow_map(chosen, _segments(span, gram), schema), "tree-segments", made)
     groups, rest = _grouped(segments.where("not hot"), depths, group_size, made)
-    late = _trees(groups if rest is None else groups.unionByName(rest), span)
+    late = _trees(groups.unionByName(rest), span)  # anchors that aren't hot: none has more than group_size segments
     if repeated.where("hot").limit(1).count():
         late = late.unionByName(_frequent(segments.where("hot"), span, group_size, made))
     starts = stage(late.groupBy(F.col("key").alias("late_key")).agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "tree-starts")
