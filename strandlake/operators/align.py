@@ -185,3 +185,39 @@ def align_pairs(reads: DataFrame) -> DataFrame:
 
     dealt = reads.select("id", "off", "read", "window").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "off")
     return dealt.mapInPandas(run, "id long, off long, score int, cigar string, start long, n_changes int, rebuilt boolean")
+
+
+def changes_of(read: str, window: str, cigar: str, start: int, first: int) -> list[tuple[str, int, str]]:
+    """(kind, position, allele) of an alignment whose window begins at position ``first``: M other bases, D deletions (first deleted position, length), I
+    insertions (position behind them, bases). N of a read is no change."""
+    out, i, j = [], 0, start
+    for n, op in _parse(cigar):
+        if op == "M":
+            out += [("M", first + j + k, read[i + k]) for k in range(n) if read[i + k] not in (window[j + k], "N")]
+        elif op == "I":
+            out.append(("I", first + j, read[i : i + n]))
+        elif op == "D":
+            out.append(("D", first + j, str(n)))
+        i, j = i + n * (op in "MI"), j + n * (op in "MD")
+    return out
+
+
+def realign(reads: DataFrame, keys: list[str]) -> DataFrame:
+    """Reads aligned anew: columns ``keys``, seq, window (reference bases around the read), first (their first position) -> keys, score, pos, cigar, span
+    (reference bases) and changes (kind, pos, allele).
+
+    Reads are dealt anew before: aligning costs far more than sending them."""
+    schema = reads.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, alike in frame.groupby([frame["seq"].str.len(), frame["window"].str.len()]):
+                for k in range(0, len(alike), 32):
+                    part = alike.iloc[k : k + 32]
+                    score, cigar, start = gapped(codes(part["seq"].tolist()), codes(part["window"].tolist()))
+                    found = [[{"kind": a, "pos": b, "allele": c} for a, b, c in changes_of(*x)] for x in zip(part["seq"], part["window"], cigar, start, part["first"], strict=True)]
+                    span = [sum(n for n, op in _parse(c) if op != "I") for c in cigar]
+                    yield part[keys].assign(score=score, pos=part["first"].to_numpy() + start, cigar=cigar, span=span, changes=found)
+
+    dealt = reads.select(*dict.fromkeys([*keys, "seq", "window", "first"])).repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInPandas(run, f"{schema}, score int, pos long, cigar string, span long, changes array<struct<kind: string, pos: bigint, allele: string>>")
