@@ -87,6 +87,45 @@ def test_exact_dedup_is_incremental_and_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_exact_dedup_of_a_batch_that_runs_again(spark, monkeypatch):
+    """The run fails between the append and its result; the next one keeps the same rows, and the index has each digest once."""
+    index = exact_dedup.DigestIndex(spark, f"ix_{uuid.uuid4().hex[:8]}", 4)
+    index.ingest(frame(spark, [(1, "a"), (2, "b")]), "one")
+    batch = frame(spark, [(3, "b"), (4, "c"), (5, "C"), (6, "d")])
+
+    def fail(self):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup.DigestIndex, "compact", fail)
+        with pytest.raises(RuntimeError):
+            index.ingest(batch, "two")
+    assert spark.table(index.name).count() == 4
+    for _ in range(2):
+        got = {r["doc_id"]: r["kept"] for r in index.ingest(batch, "two").collect()}
+        assert got == {3: False, 4: False, 5: True, 6: True} and spark.table(index.name).count() == 4
+    assert not any(r["kept"] for r in index.ingest(batch, "three").collect()) and not any(r["kept"] for r in index.ingest(batch).collect())
+    index.drop()
+    assert not index.exists()
+
+
+def test_digest_index_grows_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "ROWS_PER_BUCKET", 5)
+    index = exact_dedup.DigestIndex(spark, f"ix_{uuid.uuid4().hex[:8]}", 2)
+    index.ingest(frame(spark, [(i, f"text {i}") for i in range(8)]), "one")
+    assert index.bucket_count() == 2
+    index.ingest(frame(spark, [(i, f"text {i}") for i in range(4, 40)]), "two")
+    assert index.bucket_count() == 8 and spark.table(index.name).count() == 40 and spark.table(index.name).select("digest").distinct().count() == 40
+    assert not any(r["kept"] for r in index.ingest(frame(spark, [(90, "text 7"), (91, "TEXT 39")]), "three").collect())
+    monkeypatch.setattr(exact_dedup, "ROWS_PER_BUCKET", 4_000_000)
+    for k in range(3):
+        index.ingest(frame(spark, [(200 + k, f"more {k}")]), f"four {k}")
+    files = len(spark.table(index.name).inputFiles())
+    assert index.compact(appends=1) and len(spark.table(index.name).inputFiles()) < files and spark.table(index.name).count() == 43
+    spark.sql(f"ALTER TABLE {index.name} RENAME TO {index.name}_next")  # a compaction that stopped halfway
+    assert index.exists() and spark.table(index.name).count() == 43
+
+
 def slow_fingerprint(text):
     words = [w for w in re.split("[\x20\x09-\x0d]+", fold(text)) if w]
     shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
