@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import exact_dedup, language_id, packing, simhash, suffix_dedup
-from strandlake.llm.common import fresh_name, keyed, stage
+from strandlake.llm.common import drop_path, fresh_name, keyed, stage
 
 #: SQL has no naive Bayes, SimHash closure, suffix array or tokenizer: tested against brute force instead.
 ORACLE_SQL = None
@@ -46,7 +46,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of equal texts (but for A-Z case) one row stays: the largest doc_id, any before none."""
     rows, key = keyed(docs)
     index = exact_dedup.DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex[:12]}")
-    return _only(rows, key, index.ingest(rows, key=key), docs.columns)
+    kept = index.ingest(rows, key=key)
+    index.drop()  # made for this run alone; ``kept`` doesn't read it
+    return _only(rows, key, kept, docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,6 +78,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made: list[str] = []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}", made)
+        for path in made[:-1]:  # only the last stage's table is read from here on
+            drop_path(spark, path)
+        del made[:-1]
     return STAGES[-1][1](spark, docs, sf_dir)
