@@ -102,7 +102,7 @@ def region_calls(called: DataFrame, columns: DataFrame) -> DataFrame:
     letters = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substr(x, i, F.lit(1)))
     against = lambda x, y: F.exists(F.zip_with(letters(x), letters(y), lambda a, b: (a != b) & (a != " ") & (b != " ")), lambda d: d)
     whole = F.repeat(F.lit("."), F.col("size"))
-    at = at.withColumn("unexplained", F.exists(F.slice("p", 3, 1000), lambda x: against(x, first) & against(x, second) & against(x, whole)))
+    at = at.withColumn("unexplained", F.exists(F.slice("p", F.lit(3), F.size("p")), lambda x: against(x, first) & against(x, second) & against(x, whole)))
     both = F.zip_with(letters(first), letters(second), lambda a, b: (a != ".") | (b != "."))
     lead = F.array_position(both, True)
     tail = F.array_position(F.reverse(both), True)

@@ -157,9 +157,10 @@ def argmin_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slots(sequences: DataFrame) -> DataFrame:
-    slot = F.row_number().over(Window.partitionBy("kmer").orderBy("id", "off")) - 1
-    k = explode_kmers(sequences, "seq", 12, ("id",)).withColumn("slot", slot.cast("long")).where("slot < 8")
-    return k.select("kmer", (F.col("kmer") < q.revcomp(F.col("kmer"))).alias("fwd"), "slot", "id", "off")
+    # the limit on the row number itself, so that Spark keeps eight rows of a frequent k-mer in each task before the shuffle
+    nth = F.row_number().over(Window.partitionBy("kmer").orderBy("id", "off"))
+    k = explode_kmers(sequences, "seq", 12, ("id",)).withColumn("nth", nth).where("nth <= 8")
+    return k.select("kmer", (F.col("kmer") < q.revcomp(F.col("kmer"))).alias("fwd"), (F.col("nth") - 1).cast("long").alias("slot"), "id", "off")
 
 
 @query(f"""with {v.dna_sql()}, k as (select id, off, substr(seq, off + 1, 12) as kmer from (select id, seq, unnest(range(0, greatest(length(seq) - 11, 0))) as off from dna)), n as (select *, row_number() over (partition by kmer order by id, off) - 1 as slot from k)

@@ -80,7 +80,7 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """Variants with INFO as a map and the samples as arrays of format values."""
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("c"))
     info = F.map_from_entries(F.transform(F.split(F.col("c")[7], ";"), lambda x: F.struct(F.split(x, "=")[0], F.coalesce(F.get(F.split(x, "=", 2), F.lit(1)), F.lit("")))))
-    samples = F.transform(F.slice("c", 10, 1000), lambda s: F.map_from_arrays(F.slice(F.split(F.col("c")[8], ":"), F.lit(1), F.size(F.split(s, ":"))), F.split(s, ":")))
+    samples = F.transform(F.slice("c", F.lit(10), F.size("c")), lambda s: F.map_from_arrays(F.slice(F.split(F.col("c")[8], ":"), F.lit(1), F.size(F.split(s, ":"))), F.split(s, ":")))
     return rows.select(chromosome_number(F.col("c")[0]).alias("chr"), F.col("c")[1].cast("long").alias("pos"), F.col("c")[2].alias("id"), F.col("c")[3].alias("ref"), F.split(F.col("c")[4], ",").alias("alt"), F.col("c")[5].alias("qual"), F.col("c")[6].alias("filter"), info.alias("info"), F.when(F.size("c") > 9, samples).otherwise(F.array().cast("array<map<string,string>>")).alias("samples"))
 
 

@@ -86,3 +86,10 @@ def test_region_and_transcript_tables(spark, tmp_path):
     got = {r["chr"]: r for r in fm.read_transcript_table(spark, str(tmp_path / "rna.tsv")).collect()}
     assert [tuple(x) for x in got[7]["exons"]] == [(10, 20), (30, 44)] and got.keys() == {7, 24}
     assert (got[7]["gene"], got[7]["strand"], got[7]["rna"]) == ("g1", "+", "ACGU")
+
+
+def test_vcf_keeps_all_samples(spark, tmp_path):
+    row = "\t".join(["chr1", "7", ".", "A", "C", ".", "PASS", "DP=1", "GT"] + ["0/1"] * 1200)
+    (tmp_path / "many.vcf").write_text(f"#CHROM\n{row}\n")
+    got = fm.read_vcf(spark, str(tmp_path / "many.vcf")).first()
+    assert len(got["samples"]) == 1200 and got["samples"][1199] == {"GT": "0/1"}
