@@ -6,6 +6,7 @@ Scores: match 3, mismatch -1, insertion opens at -15, deletion opens at -3 (exte
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -76,6 +77,102 @@ def gapped(read: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, list[str],
     return score, cigars, starts
 
 
+@dataclass(frozen=True)
+class Borders:
+    """Limits of an alignment that may leave out bases at a read's ends: up to ``jump_in`` of the first and ``jump_out`` of the last ones, whose mismatches
+    have scores of their own. ``reference_n``: N of the reference matches all, as N of a read does."""
+
+    jump_in: int = 0
+    jump_out: int = 0
+    head: int = MISMATCH
+    tail: int = MISMATCH
+    reference_n: bool = False
+
+    def mismatch(self, i: int, length: int) -> int:
+        """The score of a mismatch of base ``i`` (from 1) of a read."""
+        return self.head if i <= self.jump_in else self.tail if i >= length - self.jump_out else MISMATCH
+
+
+def bordered(read: np.ndarray, window: np.ndarray, borders: Borders) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Affine alignment like ``gapped``, but reads may be entered and left inside their border ranges: (score, CIGAR with S for the bases that are left out,
+    start in the window of the first base that isn't).
+
+    Of equal ends the one first in the window wins, there the one first in the read. The trace prefers a match, then a deletion, then an insertion,
+    then the read's entry. All rows of a batch go back together, a cell a step."""
+    n, length = read.shape
+    if length <= max(borders.jump_in, borders.jump_out):
+        raise ValueError("a read is longer than the bases that may be left out at either end")
+    width = window.shape[1]
+    m = np.full((length + 1, n, width + 1), LOW, dtype=np.int16)
+    ins, dele, top = np.full_like(m, LOW), np.full_like(m, LOW), np.full_like(m, LOW)
+    top[0] = 0
+    for i in range(1, length + 1):
+        alike = (window == read[:, i - 1 : i]) | (read[:, i - 1 : i] == ord("N"))
+        if borders.reference_n:
+            alike |= window == ord("N")
+        m[i, :, 1:] = top[i - 1, :, :-1] + np.where(alike, np.int16(MATCH), np.int16(borders.mismatch(i, length)))
+        if i > 1:
+            ins[i] = np.maximum(m[i - 1] + INSERT, ins[i - 1])
+        opened = np.maximum.accumulate(np.maximum(m[i], ins[i]) + DELETE, axis=1)
+        dele[i, :, 1:] = opened[:, :-1]
+        top[i] = np.maximum(np.maximum(m[i], ins[i]), dele[i])
+        if i <= borders.jump_in:
+            np.maximum(top[i], 0, out=top[i])
+    first_end = length - borders.jump_out
+    ends = np.maximum(m[first_end:], ins[first_end:]).transpose(1, 2, 0).reshape(n, -1)
+    best = ends.argmax(axis=1)
+    each = np.arange(n)
+    score = ends[each, best]
+    j, i = np.divmod(best, borders.jump_out + 1)
+    i = i + first_end
+    ops = [["S"] * int(length - x) for x in i]
+    state = np.where(m[i, each, j] >= ins[i, each, j], 0, 1)  # 0 match, 1 insertion, 2 deletion
+    live = each
+    while len(live):
+        a, b, s = i[live], j[live], state[live]
+        for r, x in zip(live, s, strict=True):
+            ops[r].append("MID"[x])
+        value = dele[a, live, b]
+        i[live] -= s != 2
+        j[live] -= s != 1
+        c, d = i[live], j[live]
+        # behind a base on the window: the best of what came before, where a border's entry may be
+        here = top[c, live, d]
+        after_match = np.select([m[c, live, d] == here, dele[c, live, d] == here, ins[c, live, d] == here], [0, 2, 1], 3)
+        after_insert = np.where(ins[np.maximum(a, 1), live, b] == m[c, live, d] + INSERT, 0, 1)
+        after_delete = np.where(value == m[c, live, d] + DELETE, 0, np.where(value == ins[c, live, d] + DELETE, 1, 2))
+        state[live] = np.select([s == 0, s == 1], [np.where(c == 0, 3, after_match), after_insert], after_delete)
+        live = live[state[live] != 3]
+    return score, [run_lengths((o + ["S"] * int(left))[::-1]) for o, left in zip(ops, i, strict=True)], j
+
+
+def align_bordered(reads: DataFrame, borders: Borders) -> DataFrame:
+    """Columns id, off, read, window (of one length) -> id, off, score, cigar, start, n_mismatches (of the bases that aren't left out). Reads that are no
+    longer than a border range are aligned whole.
+
+    Reads are dealt anew before, as in ``align_pairs``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for size, alike in frame.groupby(frame["read"].str.len()):
+                limits = borders if size > max(borders.jump_in, borders.jump_out) else replace(borders, jump_in=0, jump_out=0)
+                for k in range(0, len(alike), 32):
+                    part = alike.iloc[k : k + 32]
+                    score, cigar, start = bordered(codes(part["read"].tolist()), codes(part["window"].tolist()), limits)
+                    wrong = [count_changes(r[left:], w, c, s)[0] for r, w, (left, c), s in zip(part["read"], part["window"], map(unclipped, cigar), start, strict=True)]
+                    yield pd.DataFrame({"id": part["id"], "off": part["off"], "score": score, "cigar": cigar, "start": start, "n_mismatches": wrong})
+
+    dealt = reads.select("id", "off", "read", "window").repartition(int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "off")
+    return dealt.mapInPandas(run, "id long, off long, score int, cigar string, start long, n_mismatches int")
+
+
+def unclipped(cigar: str) -> tuple[int, str]:
+    """(bases left out in front, CIGAR without those at either end)."""
+    parts = _parse(cigar)
+    left = parts[0][0] if parts and parts[0][1] == "S" else 0
+    return left, "".join(f"{n}{op}" for n, op in parts if op != "S")
+
+
 def run_lengths(ops: list[str]) -> str:
     out, last, n = [], "", 0
     for op in [*ops, ""]:

@@ -56,6 +56,19 @@ def gapped_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_pairs(_reads(v.dna(spark, sf_dir)))
 
 
+
+#: Up to ten bases may be left out at either end, where a mismatch costs more.
+BORDERS = align.Borders(jump_in=10, jump_out=10, head=-4, tail=-4)
+
+
+@query()
+def border_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of reads with six foreign bases in front and five behind, which may be left out: score, CIGAR with clips, place and mismatches."""
+    foreign = lambda part: F.translate(part, "ACGT", "GTAC")
+    middle = F.substr("read", F.lit(7), F.greatest(F.length("read") - 11, F.lit(0)))
+    changed = F.concat(foreign(F.substring("read", 1, 6)), middle, foreign(F.substr("read", F.greatest(F.length("read") - 4, F.lit(7)), F.lit(5))))
+    return align.align_bordered(_reads(v.dna(spark, sf_dir)).withColumn("read", changed), BORDERS)
+
 @query()
 def roundtrip_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads per number of changes, and how many are rebuilt from reference, CIGAR and changes (all)."""

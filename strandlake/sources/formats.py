@@ -27,19 +27,33 @@ def read_fastq(spark: SparkSession, path: str, mate: int = 1) -> DataFrame:
     A header ``@<digits>@...`` sets the ordinal, and the numbers behind it go on from there. Lines are numbered over each file by
     the sizes of its partitions, whose count (not their rows) is all that meets in one place."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = lines.join(before.select("file", "block", "before", "first"), ["file", "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first"))
+    numbered = with_line_numbers(lines, ["file"])
+    return with_ordinals(fastq_records(numbered, ["file"]), ["file"]).select("file", "ordinal", F.lit(mate).alias("mate"), "header", "seq", "qual")
+
+
+def with_line_numbers(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``line``, from 0 within ``keys``, to the lines of text scans with their split's start (block) and a number that rises within it (at)."""
+    sizes = lines.groupBy(*keys, "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return lines.join(before.select(*keys, "block", "before", "first"), [*keys, "block"]).withColumn("line", F.col("before") + F.col("at") - F.col("first"))
+
+
+def fastq_records(numbered: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, record, header, seq, qual) of numbered lines, four to a record."""
     part = lambda k, name: F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(name)
-    records = numbered.groupBy("file", F.expr("line div 4").alias("record")).agg(part(0, "header"), part(1, "seq"), part(3, "qual"))
+    return numbered.groupBy(*keys, F.expr("line div 4").alias("record")).agg(part(0, "header"), part(1, "seq"), part(3, "qual"))
+
+
+def with_ordinals(records: DataFrame, keys: list[str], start: str | None = None) -> DataFrame:
+    """Adds ``ordinal`` and ``shift``: a header's ordinal, and the numbers behind it; ``start`` is the column of the shift that holds before the first stated one."""
     # a stated ordinal holds until the next one: found inside tiles of records, and carried over from tile to tile in a small table
     stated = records.withColumn("_tile", F.expr("record div 65536")).withColumn("_shift", header_ordinal(F.col("header")) - F.col("record"))
-    tiles = stated.groupBy("file", "_tile").agg(F.max(F.when(F.col("_shift").isNotNull(), F.struct("record", "_shift"))).alias("_last"))
-    so_far = Window.partitionBy("file").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tiles.select("file", "_tile", F.last("_last", ignorenulls=True).over(so_far)["_shift"].alias("_carried"))
-    inside = Window.partitionBy("file", "_tile").orderBy("record").rowsBetween(Window.unboundedPreceding, 0)
-    shift = F.coalesce(F.last("_shift", ignorenulls=True).over(inside), "_carried", F.lit(0))
-    return stated.join(carried, ["file", "_tile"]).withColumn("ordinal", F.col("record") + shift).select("file", "ordinal", F.lit(mate).alias("mate"), "header", "seq", "qual")
+    tiles = stated.groupBy(*keys, "_tile").agg(F.max(F.when(F.col("_shift").isNotNull(), F.struct("record", "_shift"))).alias("_last"))
+    so_far = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tiles.select(*keys, "_tile", F.last("_last", ignorenulls=True).over(so_far)["_shift"].alias("_carried"))
+    inside = Window.partitionBy(*keys, "_tile").orderBy("record").rowsBetween(Window.unboundedPreceding, 0)
+    shift = F.coalesce(F.last("_shift", ignorenulls=True).over(inside), "_carried", F.col(start) if start else F.lit(0), F.lit(0))
+    return stated.join(carried, [*keys, "_tile"]).withColumn("shift", shift).withColumn("ordinal", F.col("record") + F.col("shift")).drop("_tile", "_shift", "_carried")
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:

@@ -5,8 +5,11 @@ Each builder takes any DataFrame, streaming or not; ``run_to_table`` drives a bo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandlake.sources.shared import new_folder
 
@@ -55,3 +58,19 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def arrivals(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], schema: str | StructType) -> DataFrame:
+    """Parts that arrive one after the other: each is added to a folder, and the stream that ``build`` makes of the folder runs on from its checkpoint over
+    what is new. Returns all that was written. A run that starts anew behind a failure repeats its last micro-batch only."""
+    spark = parts[0].sparkSession
+    base = new_folder(spark, "arrivals")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/inbox")
+        stream = build(spark.readStream.schema(schema).parquet(f"{base}/inbox"))
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")

@@ -240,3 +240,75 @@ def test_motif_hits(spark):
     assert (got[1, 0]["score"], got[1, 0]["first"], got[1, 0]["last"]) == (5 * 24, 30, 53)
     assert (got[1, 200]["score"], got[1, 200]["first"]) == (5 * 24 - 8, 254)
     assert (got[4, 0]["score"], got[4, 0]["first"]) == (5 * 24, 81) and (got[4, 0]["next_score"], got[4, 0]["next_first"]) == (5 * 22 - 9, 50)
+
+
+def slow_border(read, window, b):
+    """The best score of an alignment with borders, cell by cell."""
+    n, low = len(read), -(1 << 14)
+
+    def alike(i, j):
+        return read[i - 1] in (window[j - 1], "N") or (b.reference_n and window[j - 1] == "N")
+
+    @lru_cache(None)
+    def m(i, j):
+        return low if i == 0 or j == 0 else top(i - 1, j - 1) + (3 if alike(i, j) else b.mismatch(i, n))
+
+    @lru_cache(None)
+    def ins(i, j):
+        return low if i < 2 else max(m(i - 1, j) - 15, ins(i - 1, j))
+
+    @lru_cache(None)
+    def dele(i, j):
+        return low if i == 0 or j == 0 else max(m(i, j - 1) - 3, ins(i, j - 1) - 3, dele(i, j - 1))
+
+    @lru_cache(None)
+    def top(i, j):
+        best = max(m(i, j), ins(i, j), dele(i, j)) if i else 0
+        return max(best, 0) if i <= b.jump_in else best
+
+    return max(max(m(i, j), ins(i, j)) for i in range(n - b.jump_out, n + 1) for j in range(len(window) + 1))
+
+
+def border_path(read, window, cigar, start, b):
+    """The score of a CIGAR, whose clips must lie inside the border ranges."""
+    i, j, total = 0, start, 0
+    for k, op in align._parse(cigar):
+        if op == "M":
+            total += sum(3 if read[i + x] in (window[j + x], "N") or (b.reference_n and window[j + x] == "N") else b.mismatch(i + x + 1, len(read)) for x in range(k))
+        elif op == "S":
+            assert (i == 0 and k <= b.jump_in) or (i + k == len(read) and k <= b.jump_out)
+        else:
+            total += {"I": -15, "D": -3}[op]
+        i, j = i + k * (op in "MIS"), j + k * (op in "MD")
+    assert i == len(read)
+    return total
+
+
+def test_border_alignment_equals_a_slow_matrix():
+    rng = random.Random(5)
+    for _ in range(300):
+        window = "".join(rng.choices("ACGTN", [5, 5, 5, 5, 1], k=rng.randint(8, 40)))
+        at = rng.randint(0, len(window) - 6)
+        read = list(window[at : at + rng.randint(8, 20)].ljust(8, "A"))
+        for _ in range(rng.randint(0, 5)):
+            read[rng.randrange(len(read))] = rng.choice("ACGTN")
+        if rng.random() < 0.5:
+            k = rng.randrange(len(read))
+            read[k : k + rng.randint(0, 2)] = rng.choices("ACGT", k=rng.randint(0, 3))
+        read = "".join(read)
+        b = align.Borders(rng.randint(0, 5), rng.randint(0, 5), rng.choice([-1, -4, -9]), rng.choice([-1, -4, -9]), rng.random() < 0.5)
+        score, cigar, start = align.bordered(align.codes([read, read]), align.codes([window, window]), b)
+        assert score[0] == score[1] == slow_border(read, window, b) == border_path(read, window, cigar[0], int(start[0]), b)
+        # without borders it is the plain alignment, place and path included
+        plain, gap = align.bordered(align.codes([read]), align.codes([window]), align.Borders()), align.gapped(align.codes([read]), align.codes([window]))
+        assert [list(x) for x in plain] == [list(x) for x in gap]
+
+
+def test_foreign_ends_are_left_out(spark):
+    inner = GENOME[300:390]
+    window = "N" * 50 + inner + "N" * 60
+    reads = [(1, 0, "TTTTTT" + inner + "GGGGG", window), (2, 0, inner, window), (3, 0, "ACGTA", window)]
+    got = {r["id"]: r for r in align.align_bordered(spark.createDataFrame(reads, "id long, off long, read string, window string"), align.Borders(10, 10, -4, -4)).collect()}
+    assert (got[1]["cigar"], got[1]["start"], got[1]["score"], got[1]["n_mismatches"]) == ("6S90M5S", 50, 270, 0)
+    assert (got[2]["cigar"], got[2]["start"]) == ("90M", 50)
+    assert got[3]["score"] == align.gapped(align.codes(["ACGTA"]), align.codes([window]))[0][0]
