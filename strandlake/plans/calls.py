@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.operators import amplicon
 from strandlake.operators.calling import differs, passes, ranked_bases, significant, snp_call
 from strandlake.operators.coverage import depth_segments
 from strandlake.operators.filters import well_behaved
@@ -189,3 +190,36 @@ def supporting_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads that support each indel seen twice or more, as ordinal and strand code."""
     gap = _pairs(spark, sf_dir).where("klass = 'g'").select("chr", F.expr("pos1 + mm_off + 1").alias("pos"), F.expr("case when is_del then 'D' else 'I' end").alias("kind"), F.expr("case when is_del then cast(l_linenumber as string) else repeat(mm_nt, cast(l_linenumber % 3 + 1 as int)) end").alias("allele"), F.expr("concat(ordinal, case when rev1 then 'r' else 'l' end)").alias("code"))
     return gap.groupBy("chr", "pos", "kind", "allele").agg(F.count("*").alias("n_reads"), F.array_join(F.array_sort(F.collect_list("code")), ";").alias("reads")).where("n_reads >= 2")
+
+
+AMPLICONS = {"pos1": "(l_partkey % 40) * 400 + 1 + l_linenumber", "pos2": "(l_partkey % 40) * 400 + 61 + l_linenumber + l_orderkey % 3 * 5", "mm_off": "10 + (l_partkey % 40) * 7 % 70 - l_linenumber"}
+
+
+def _amplicon_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose starts lie in forty places of a contig, a few bases apart, with one place of changes for each."""
+    return v.aln(spark, sf_dir, deep=True).withColumns({k: F.expr(x) for k, x in AMPLICONS.items()}).where("rev1 <> rev2")
+
+
+@query(f"""with {v.ALN_DEEP}, f as (select * replace ({", ".join(f"{x} as {k}" for k, x in AMPLICONS.items())}) from aln where rev1 <> rev2),
+spans as (select * from (select sample, chr, pos1 as s, pos1 + len1 - 1 as e from f union all select sample, chr, pos2, least(pos2 + len2 - 1, pos1 - 1) from f union all select sample, chr, greatest(pos2, pos1 + len1), pos2 + len2 - 1 from f) where s <= e),
+reads as (select sample, chr, pos, count(*) as n from (select sample, chr, unnest(range(s, e + 1)) as pos from spans) group by all),
+gone as (select sample, chr, pos, count(*) as g from (select sample, chr, unnest(range(pos1 + mm_off + 1, pos1 + mm_off + 1 + l_linenumber)) as pos from f where klass = 'g' and is_del) group by all),
+dep as (select * from (select sample, chr, pos, n - coalesce(g, 0) as depth from reads left join gone using (sample, chr, pos)) where depth > 0),
+isl as (select *, pos - row_number() over (partition by sample, chr order by pos) as island from dep),
+tops as (select sample, chr, island, max(depth) as max_depth, min(pos) filter (depth >= 4) as opened from isl group by all having max(depth) >= 4),
+ends as (select sample, chr, island, any_value(max_depth) as max_depth, min(pos) as trim_start, max(pos) as trim_end, greatest(arg_max(depth, pos) * 15 // 100, 1) as min_var from isl join tops using (sample, chr, island) where 2 * depth >= max_depth and pos >= opened group by all),
+steps as (select *, lag(depth) over (partition by sample, chr, island order by pos) as was from isl join ends using (sample, chr, island) where pos between trim_start and trim_end),
+fell as (select sample, chr, island, min(pos) as fell from steps where depth + min_var <= was group by all),
+mm as (select sample, chr, pos, allele, count(*) as n from (select sample, chr, pos1 + mm_off as pos, mm_nt as allele from f where klass in ('m', 'g')) where allele <> {v.base_sql()} group by all),
+nts as (select sample, chr, pos, n from mm union all select sample, chr, pos, depth - sum(n) from mm join dep using (sample, chr, pos) group by sample, chr, pos, depth),
+snp as (select sample, chr, pos, any_value(trim_start) as trim_start, any_value(trim_end) as trim_end, any_value(max_depth) as max_depth, any_value(depth) as depth from nts join steps using (sample, chr, pos) where n >= min_var group by sample, chr, pos having count(*) > 1)
+select sample, chr, trim_start, trim_end, max_depth, pos, 'DEL' as kind, depth from steps join fell using (sample, chr, island) where depth >= was + min_var and pos > fell
+union all select sample, chr, trim_start, trim_end, max_depth, pos, 'SNP', depth from snp""")
+def amplicon_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base changes and deletions inside amplicons. Counts accumulate over the four bases and the depth before is that of the base before (the evident
+    intent where the original differs)."""
+    pairs = _amplicon_pairs(spark, sf_dir)
+    found = _events(pairs)
+    deletions = found.where("kind = 'D'").select(*KEYS, F.col("pos").alias("s"), (F.col("pos") + F.col("allele").cast("long") - 1).alias("e"))
+    changed = found.where("kind = 'M'").groupBy(*KEYS, "pos", "allele").agg(F.count("*").alias("n"))
+    return amplicon.variants(amplicon.base_depth(read_spans(pairs, KEYS), deletions, KEYS), changed, KEYS)
