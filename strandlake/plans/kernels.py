@@ -114,13 +114,13 @@ def softclip_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clips(v.dna(spark, sf_dir))
 
 
-def _simulated_pairs(contigs: DataFrame) -> DataFrame:
-    """(from_chr, at, seq1, seq2, ins_len): pairs of 70 bases from every 40th base of whole contigs, inserts of 150 to 209 bases; by place the second mate
+def _simulated_pairs(contigs: DataFrame, step: int = 40) -> DataFrame:
+    """(from_chr, at, seq1, seq2, ins_len): pairs of 70 bases from every ``step``-th base of whole contigs, inserts of 150 to 209 bases; by place the second mate
     is as it is, has three changes, lacks 2 bases, has changes all over (no seed), or comes from no contig."""
-    spans = tiles(contigs.withColumnRenamed("chr", "id"), 209, 40).where("length(seq) >= 150").withColumn("ins", F.expr("substr(seq, 1, cast(150 + off div 40 % 60 as int))"))
+    spans = tiles(contigs.withColumnRenamed("chr", "id"), 209, step).where("length(seq) >= 150").withColumn("ins", F.expr(f"substr(seq, 1, cast(150 + off div {step} % 60 as int))"))
     tail = revcomp(F.expr("substr(ins, length(ins) - 71, 72)"))
-    kind = F.expr("off div 40 % 5")
-    spotted = lambda step: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(70)), lambda i: F.when(i % step == 0, F.translate(F.substr("tail", i, F.lit(1)), "ACGT", "CATG")).otherwise(F.substr("tail", i, F.lit(1)))), "")
+    kind = F.expr(f"off div {step} % 5")
+    spotted = lambda every: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(70)), lambda i: F.when(i % every == 0, F.translate(F.substr("tail", i, F.lit(1)), "ACGT", "CATG")).otherwise(F.substr("tail", i, F.lit(1)))), "")
     made = spans.withColumn("tail", tail)
     second = F.when(kind == 0, F.substring("tail", 1, 70)).when(kind == 1, spotted(20)).when(kind == 2, F.concat(F.substring("tail", 1, 40), F.substring("tail", 43, 30))).when(kind == 3, spotted(11)).otherwise(F.lit("AC" * 35))
     return made.select(F.col("id").alias("from_chr"), F.col("off").alias("at"), F.substring("ins", 1, 70).alias("seq1"), second.alias("seq2"), F.length("ins").alias("ins_len"))
@@ -128,9 +128,9 @@ def _simulated_pairs(contigs: DataFrame) -> DataFrame:
 
 @query()
 def map_read_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Simulated pairs of the passages mapped back: family, places, strands and CIGARs."""
-    contigs = v.dna(spark, sf_dir, "benchmark").withColumnRenamed("id", "chr")
-    return mapper.map_pairs(_simulated_pairs(contigs), contigs, ["from_chr", "at"])
+    """Simulated pairs from every 400th base of all documents, mapped back to them: family, places, strands and CIGARs."""
+    contigs = v.dna(spark, sf_dir).withColumnRenamed("id", "chr")
+    return mapper.map_pairs(_simulated_pairs(contigs, 400), contigs, ["from_chr", "at"])
 
 
 # Reads over windows of 200 positions of the duplicated pairs; columns are grid positions with a base that depends on the pair.
