@@ -312,3 +312,29 @@ def test_foreign_ends_are_left_out(spark):
     assert (got[1]["cigar"], got[1]["start"], got[1]["score"], got[1]["n_mismatches"]) == ("6S90M5S", 50, 270, 0)
     assert (got[2]["cigar"], got[2]["start"]) == ("90M", 50)
     assert got[3]["score"] == align.gapped(align.codes(["ACGTA"]), align.codes([window]))[0][0]
+
+
+def test_many_reads_are_aligned_encoded_and_rebuilt_as_one_by_one():
+    rng = random.Random(5)
+    base = lambda n: "".join(rng.choice("ACGTN" if rng.random() < 0.05 else "ACGT") for _ in range(n))
+    windows = [base(90) for _ in range(300)]
+    reads = [(w[20:34] + base(rng.randint(0, 3)) + w[34 + rng.randint(0, 4) :])[:40] for w in windows]
+    read, window, borders = align.codes(reads), align.codes(windows), align.Borders(6, 5, -4, -3)
+    score, cigar, start = align.gapped(read, window)
+    row, at, letter = align.encode_rows(read, window, cigar, start)
+    assert (align.decode_rows(window, cigar, start, 40, (row, at, letter)) == read).all()
+    clipped, clips, place = align.bordered(read, window, borders)
+    wrong = align.mismatches(read, window, clips, place)
+    for k, (r, w) in enumerate(zip(reads, windows, strict=True)):
+        one = align.gapped(read[k : k + 1], window[k : k + 1])
+        assert (one[0][0], one[1][0], one[2][0]) == (score[k], cigar[k], start[k])
+        assert align.encode(r, w, cigar[k], int(start[k])) == [(int(a), chr(b)) for a, b in zip(at[row == k], letter[row == k], strict=True)]
+        assert clipped[k] == slow_border(r, w, borders) == border_path(r, w, clips[k], int(place[k]), borders)
+        left, middle = align.unclipped(clips[k])
+        assert wrong[k] == align.count_changes(r[left:], w, middle, int(place[k]))[0]
+    # reads of several lengths together: what is behind a read's end doesn't count
+    sizes = np.array([rng.randint(7, 40) for _ in reads])
+    for of, together in ((lambda a, b: align.gapped(a, b), align.gapped(read, window, sizes)), (lambda a, b: align.bordered(a, b, borders), align.bordered(read, window, borders, sizes))):
+        for k, n in enumerate(sizes):
+            one = of(read[k : k + 1, :n], window[k : k + 1])
+            assert (one[0][0], one[1][0], one[2][0]) == (together[0][k], together[1][k], together[2][k])
