@@ -41,7 +41,7 @@ def _window(places: DataFrame, chunks: DataFrame, start: Column, before: int, af
     return at.join(chunks, ["chr", "chunk"]).withColumn("window", text).withColumn("first", start - before).drop("chunk", "begin", "bases").where(F.length("window") == F.length(read) + before + after)
 
 
-def align_rows(rows: DataFrame, before: int | None, at_once: int = 32) -> DataFrame:
+def align_rows(rows: DataFrame, before: int | None) -> DataFrame:
     """``rows`` (read, window, first, others) with pos, score, cigar and n_mm instead of these three; rows that can't be accepted go.
 
     With ``before``, a read that lies ``before`` bases into its window with one mismatch at most is taken as it lies. Else it is aligned with gaps,
@@ -60,10 +60,9 @@ def align_rows(rows: DataFrame, before: int | None, at_once: int = 32) -> DataFr
                     for i in np.flatnonzero((wrong <= 1) & ~(here == ord("N")).any(axis=1)):
                         found[int(i)] = (before, align.MATCH * size + (align.MISMATCH - align.MATCH) * int(wrong[i]), f"{size}M", int(wrong[i]))
                 rest = [i for i in range(len(alike)) if i not in found] if size >= SHORTEST else []
-                for k in range(0, len(rest), at_once):
-                    part = rest[k : k + at_once]
-                    score, cigar, start = align.gapped(read[part], window[part])
-                    for i, s, c, a in zip(part, score, cigar, start, strict=True):
+                if rest:
+                    score, cigar, start = align.gapped(read[rest], window[rest])
+                    for i, s, c, a in zip(rest, score, cigar, start, strict=True):
                         bad, gone = align.count_changes(alike["read"].iloc[i], alike["window"].iloc[i], c, int(a))
                         if bad <= MOST and not gone and sum(x.isalpha() for x in c) <= CELLS:
                             found[i] = (int(a), int(s), c, bad)
@@ -101,7 +100,7 @@ def rescued(anchors: DataFrame, mates: DataFrame, chunks: DataFrame, by: list[st
     """Pairs made of an anchor and the other mate, aligned on the opposite strand within ``NEAR`` bases of it."""
     other = anchors.withColumn("base_mate", F.col("mate")).withColumnsRenamed({"rev": "base_rev", "pos": "start", "score": "base_score", "cigar": "base_cigar", "n_mm": "base_mm"}).withColumn("mate", 3 - F.col("base_mate"))
     rows = other.join(mates, [*by, "mate"]).withColumn("rev", ~F.col("base_rev")).withColumn("read", F.when(F.col("rev"), revcomp(F.col("seq"))).otherwise(F.col("seq"))).drop("seq")
-    found = align_rows(_window(rows, chunks, F.col("start"), NEAR, NEAR, "read"), None, at_once=4).where(F.abs(F.col("pos") - F.col("start")) <= NEAR)
+    found = align_rows(_window(rows, chunks, F.col("start"), NEAR, NEAR, "read"), None).where(F.abs(F.col("pos") - F.col("start")) <= NEAR)
     base = {"rev": "base_rev", "pos": "start", "score": "base_score", "cigar": "base_cigar", "n_mm": "base_mm"}
     pick = lambda k: [F.when(F.col("base_mate") == k, F.col(b)).otherwise(F.col(c)).alias(f"{c}{k}") for c, b in base.items()]
     return found.select(*by, "chr", *pick(1), *pick(2)).withColumn("score", F.col("score1") + F.col("score2"))
