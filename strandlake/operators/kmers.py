@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import canonical, revcomp
+from strandlake.functions.sequence import revcomp
 
 
 def explode_kmers(sequences: DataFrame, seq: str, k: int, keep: tuple[str, ...] = (), step: int = 1) -> DataFrame:
@@ -21,10 +26,136 @@ def explode_kmers(sequences: DataFrame, seq: str, k: int, keep: tuple[str, ...]
     return pieces.where(F.length("_piece") >= k).select(*keep, "_base", F.explode(each).alias("x")).select(*keep, (F.col("_base") + F.col("x.i")).alias("off"), "x.kmer")
 
 
+_DIGIT = np.full(256, 4, dtype=np.uint8)
+_DIGIT[np.frombuffer(b"ACGT", dtype=np.uint8)] = range(4)
+#: Bases that are packed at once, and rows that a task gathers before it sends them on.
+STEP, HELD = 1 << 20, 1 << 22
+
+
+def packed(digits: np.ndarray, k: int, reverse: bool = False) -> np.ndarray:
+    """The code of each window of ``k`` digits (two bits each, the first highest; with ``reverse`` the first lowest), from those of half the length."""
+    join = (lambda a, b, w, v: a + (b << 2 * w)) if reverse else (lambda a, b, w, v: (a << 2 * v) + b)
+    out, width, half, size = None, 0, digits.astype(np.int64), 1
+    while True:
+        if k & 1:
+            out = half if out is None else join(out[: len(half) - width], half[width:], width, size)[: max(len(half) - width, 0)]
+            width += size
+        k >>= 1
+        if not k:
+            return out
+        half, size = join(half[:-size], half[size:], size, size), 2 * size
+
+
+def windows(seqs: list[str], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, offset, digits, at, clean) of all k-mers of ASCII sequences, ``STEP`` bases at a time: ``at`` is where a k-mer begins in ``digits`` (4: not a
+    base, clean: none of them)."""
+    sizes = np.array([len(x) for x in seqs], dtype=np.int64)
+    text = np.frombuffer("".join(seqs).encode("ascii", "replace"), dtype=np.uint8)
+    begin, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(seqs)), sizes)
+    for a in range(0, len(text) - k + 1, STEP):
+        part = text[a : a + STEP + k - 1]
+        digits = _DIGIT[part]
+        r = row[a : a + len(part) - k + 1]
+        off = np.arange(a, a + len(r)) - begin[r]
+        at = np.flatnonzero(off + k <= sizes[r])
+        other = np.concatenate([[0], np.cumsum(digits > 3)])
+        yield r[at], off[at], part, at, other[at + k] == other[at]
+
+
+def kmer_text(code: Column, k: int) -> Column:
+    """The k-mer of a code."""
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+
+
+def code_counts(sequences: DataFrame, k: int, canonical: bool = False, others: bool = False) -> DataFrame:
+    """(code, other, cnt) of the k-mers (31 bases at most) of whole sequences, with ``canonical`` of the smaller one of both strands. Those with other
+    letters have their text in ``other``, or are left out.
+
+    Tasks count packed k-mers in pieces, so that Spark gets a row for each different k-mer of a piece."""
+
+    def counts(held: list[np.ndarray]) -> pd.DataFrame:
+        code, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"code": pd.array(code, dtype="Int64"), "other": pd.Series([None] * len(code), dtype=object), "n": n})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for frame in frames:
+            for _, _, part, at, clean in windows(frame["seq"].tolist(), k):
+                digits = _DIGIT[part] & 3
+                code = packed(digits, k)[at[clean]]
+                held.append(np.minimum(code, packed(3 - digits, k, reverse=True)[at[clean]]) if canonical else code)
+                rows += len(code)
+                if others and not clean.all():
+                    odd = pd.Series([part[i : i + k].tobytes().decode() for i in at[~clean]]).value_counts()
+                    yield pd.DataFrame({"code": pd.array([None] * len(odd), dtype="Int64"), "other": odd.index, "n": odd.to_numpy()})
+                if rows >= HELD:
+                    yield counts(held)
+                    held, rows = [], 0
+        if held:
+            yield counts(held)
+
+    found = sequences.where(F.length("seq") >= k).select("seq").mapInPandas(run, "code long, other string, n long")
+    return found.groupBy("code", "other").agg(F.sum("n").alias("cnt"))
+
+
+def first_places(sequences: DataFrame, k: int, most: int) -> DataFrame:
+    """(kmer, nth, id, off): the first ``most`` places, by id and offset, of each k-mer of whole sequences, numbered from 1.
+
+    A task keeps no more than ``most`` places of a k-mer while it reads; Spark numbers what is left of all tasks."""
+
+    def kept(code: np.ndarray, row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(code, kind="stable") if (np.diff(row) >= 0).all() else np.lexsort((off, row, code))
+        new = np.flatnonzero(np.diff(code[order], prepend=-1))
+        nth = np.arange(len(order)) - np.repeat(new, np.diff(new, append=len(order)))
+        order = np.sort(order[nth < most])
+        return code[order], row[order], off[order]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shown = lambda code, i, off: pd.DataFrame({"code": pd.array(code, dtype="Int64"), "other": pd.Series([None] * len(code), dtype=object), "id": i, "off": off})
+        held = (np.zeros(0, dtype=np.int64),) * 3
+        for frame in frames:
+            frame = frame.sort_values("id", kind="stable")
+            ids = frame["id"].to_numpy()
+            for row, off, part, at, clean in windows(frame["seq"].tolist(), k):
+                code = packed(_DIGIT[part] & 3, k)[at[clean]]
+                held = kept(*(np.concatenate(x) for x in zip(held, (code, ids[row[clean]], off[clean]), strict=True)))
+                if not clean.all():
+                    odd = [part[i : i + k].tobytes().decode() for i in at[~clean]]
+                    yield pd.DataFrame({"code": pd.array([None] * len(odd), dtype="Int64"), "other": odd, "id": ids[row[~clean]], "off": off[~clean]})
+                if len(held[0]) >= HELD:
+                    yield shown(*held)
+                    held = (np.zeros(0, dtype=np.int64),) * 3
+        if len(held[0]):
+            yield shown(*held)
+
+    places = sequences.where(F.length("seq") >= k).select(F.col("id").cast("long"), "seq").mapInPandas(run, "code long, other string, id long, off long")
+    # the limit on the row number itself, so that Spark keeps these rows of a frequent k-mer in each task before the shuffle
+    nth = F.row_number().over(Window.partitionBy("code", "other").orderBy("id", "off"))
+    return places.withColumn("nth", nth).where(F.col("nth") <= most).select(F.coalesce("other", kmer_text(F.col("code"), k)).alias("kmer"), "nth", "id", "off")
+
+
+def seed_keys(sequences: DataFrame) -> DataFrame:
+    """(id, off, next2, seed_key) of every 18-mer of whole sequences: the code of its first 16 bases with the first base masked out (30 bits; null if
+    another letter occurs there), and the two bases behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, off, part, at, _ in windows(batch.column(1).to_pylist(), 18):
+                other = np.concatenate([[0], np.cumsum(_DIGIT[part] > 3)])
+                key = packed(_DIGIT[part] & 3, 16)[at] & 0x3FFFFFFF
+                two = np.stack([part[at + 16], part[at + 17]], axis=1)
+                text = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.arange(0, 2 * len(at) + 1, 2, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(two)))
+                columns = [pa.array(ids[row]), pa.array(off), text, pa.array(key, mask=other[at + 16] != other[at])]
+                whole = pa.RecordBatch.from_arrays(columns, names=["id", "off", "next2", "seed_key"])
+                yield from (whole.slice(k, 1 << 16) for k in range(0, len(at), 1 << 16))
+
+    return sequences.where(F.length("seq") >= 18).select(F.col("id").cast("long"), "seq").mapInArrow(run, "id long, off long, next2 string, seed_key long")
+
+
 def kmer_counts(sequences: DataFrame, k: int) -> DataFrame:
-    """(kmer, cnt) of canonical k-mers without ambiguous bases."""
-    each = explode_kmers(sequences, "seq", k).where(~F.col("kmer").rlike("[^ACGT]"))
-    return each.groupBy(canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt"))
+    """(kmer, cnt) of canonical k-mers (31 bases at most) without ambiguous bases."""
+    return code_counts(sequences, k, canonical=True).select(kmer_text(F.col("code"), k).alias("kmer"), "cnt")
 
 
 def uniqueness(counts: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as q
 from strandlake.operators.intervals import overlap_join
-from strandlake.operators.kmers import explode_kmers, kmer_counts, pair_hits, seed_table, strand_hits, unique_prefixes, uniqueness
+from strandlake.operators.kmers import code_counts, first_places, kmer_counts, kmer_text, pair_hits, seed_keys, seed_table, strand_hits, unique_prefixes, uniqueness
 from strandlake.operators.reads import codon_phases, tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
@@ -24,7 +24,7 @@ def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoded(sequences: DataFrame) -> DataFrame:
-    return explode_kmers(sequences, "seq", 18, ("id",)).select("id", "off", F.substring("kmer", 17, 2).alias("next2"), q.seed_key(F.col("kmer")).alias("seed_key"))
+    return seed_keys(sequences)
 
 
 @query(
@@ -64,8 +64,10 @@ def kmer_mappability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _both_strands(sequences: DataFrame) -> DataFrame:
     """The reverse strand's 12-mers are the reverse complements of the forward ones: counted once, before the merge."""
-    forward = explode_kmers(sequences, "seq", 12).groupBy("kmer").agg(F.count("*").alias("n"))
-    both = forward.select("kmer", F.col("n").alias("f"), F.lit(0).cast("long").alias("r")).unionByName(forward.select(q.revcomp(F.col("kmer")).alias("kmer"), F.lit(0).cast("long").alias("f"), F.col("n").alias("r")))
+    forward = code_counts(sequences, 12, others=True).select(F.coalesce("other", kmer_text(F.col("code"), 12)).alias("kmer"), F.col("cnt").alias("n"))
+    zero = F.lit(0).cast("long")
+    sides = F.array(F.struct("kmer", F.col("n").alias("f"), zero.alias("r")), F.struct(q.revcomp(F.col("kmer")).alias("kmer"), zero.alias("f"), F.col("n").alias("r")))
+    both = forward.select(F.explode(sides).alias("x")).select("x.*")
     return both.groupBy("kmer").agg(F.sum("f").alias("n_fwd"), F.sum("r").alias("n_rev"), F.sum(F.col("f") + F.col("r")).alias("n_all"))
 
 
@@ -157,10 +159,7 @@ def argmin_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slots(sequences: DataFrame) -> DataFrame:
-    # the limit on the row number itself, so that Spark keeps eight rows of a frequent k-mer in each task before the shuffle
-    nth = F.row_number().over(Window.partitionBy("kmer").orderBy("id", "off"))
-    k = explode_kmers(sequences, "seq", 12, ("id",)).withColumn("nth", nth).where("nth <= 8")
-    return k.select("kmer", (F.col("kmer") < q.revcomp(F.col("kmer"))).alias("fwd"), (F.col("nth") - 1).cast("long").alias("slot"), "id", "off")
+    return first_places(sequences, 12, 8).select("kmer", (F.col("kmer") < q.revcomp(F.col("kmer"))).alias("fwd"), (F.col("nth") - 1).cast("long").alias("slot"), "id", "off")
 
 
 @query(f"""with {v.dna_sql()}, k as (select id, off, substr(seq, off + 1, 12) as kmer from (select id, seq, unnest(range(0, greatest(length(seq) - 11, 0))) as off from dna)), n as (select *, row_number() over (partition by kmer order by id, off) - 1 as slot from k)

@@ -94,6 +94,31 @@ def test_exploded_kmers(spark):
         assert got == sorted((i, k, s[k : k + 11]) for i, s in seqs for k in range(0, len(s) - 10, step))
 
 
+def test_packed_kmers_of_pieces_and_other_letters(spark, monkeypatch):
+    rng = random.Random(6)
+    seqs = [(i, "".join(rng.choices("ACGTN", (9, 9, 9, 9, 0.2), k=n))) for i, n in enumerate([0, 3, 11, 12, 13, 300, 40, 900])]
+    every = [(i, k, s[k : k + 12]) for i, s in seqs for k in range(len(s) - 11)]
+    monkeypatch.setattr(kmers, "STEP", 100)
+    got = [(int(r), int(o), part[a : a + 12].tobytes().decode(), bool(c)) for rows, offs, part, at, clean in kmers.windows([s for _, s in seqs], 12) for r, o, a, c in zip(rows, offs, at, clean, strict=True)]
+    assert got == [(i, k, x, "N" not in x) for i, k, x in every]
+    digits = np.array([rng.randrange(4) for _ in range(60)])
+    for k in (1, 2, 7, 11, 16, 31):
+        assert kmers.packed(digits, k).tolist() == [sum(int(d) * 4 ** (k - 1 - n) for n, d in enumerate(digits[i : i + k])) for i in range(61 - k)]
+        assert kmers.packed(digits, k, reverse=True).tolist() == [sum(int(d) * 4**n for n, d in enumerate(digits[i : i + k])) for i in range(61 - k)]
+    table = spark.createDataFrame(seqs[::-1] + seqs[3:], "id long, seq string")
+    counted = kmers.code_counts(table, 12, others=True).select(F.coalesce("other", kmers.kmer_text(F.col("code"), 12)), "cnt").collect()
+    want = {}
+    for i, _, x in every:
+        want[x] = want.get(x, 0) + (2 if i >= 3 else 1)
+    assert {tuple(r) for r in counted} == set(want.items())
+    short = {}
+    for i, s in seqs:
+        for k in range(len(s) - 2):
+            short.setdefault(s[k : k + 3], []).append((i, k))
+    found = kmers.first_places(spark.createDataFrame(seqs[::-1], "id long, seq string"), 3, 4).collect()
+    assert sorted(tuple(r) for r in found) == sorted((x, n, i, k) for x, at in short.items() for n, (i, k) in enumerate(sorted(at)[:4], 1))
+
+
 def slow_score(read, window):
     """Affine semi-global score, cell by cell."""
     low = -(1 << 20)
