@@ -28,10 +28,7 @@ READ1 = f"""sh as ({SHAPE} from aln), rd as (select *, case when klass in ('m',
 
 def first_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mate 1 with its CIGAR, bases and qualities."""
-
-    def bases(start: str, n: str) -> str:
-        return f"case when {n} > 0 then array_join(transform(sequence(cast(0 as bigint), cast({n} - 1 as bigint)), i -> substr('ACGT', cast((chr * 7 + ({start} + i) * 13 + ({start} + i) div 5) % 4 + 1 as int), 1)), '') else '' end"
-
+    bases = v.bases_at
     pairs = with_cigar(v.aln(spark, sf_dir)).withColumn("n_del", F.expr("case when klass = 'g' and is_del then cast(l_linenumber * 9 as int) else 0 end")).withColumn("n_ins", F.expr("case when klass = 'g' and not is_del then cast(l_linenumber % 3 + 1 as int) else 0 end"))
     changed = f"concat({bases('pos1', 'mm_off')}, mm_nt, repeat(mm_nt, n_ins), {bases('(pos1 + mm_off + 1 + n_del)', '(len1 - mm_off - 1 - n_ins)')})"
     return pairs.withColumn("seq", F.expr(f"case when klass in ('m', 'g') then {changed} else {bases('pos1', 'len1')} end")).withColumn("qual", F.expr(QUAL))
@@ -51,7 +48,7 @@ def display_cigar(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuild_without_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads rebuilt from the reference, with N for clipped and inserted bases."""
     reads = first_mates(spark, sf_dir).withColumn("n_clip", F.expr("cast(ordinal % 7 as int)")).where("n_clip <= mm_off")
-    window = "array_join(transform(sequence(cast(0 as bigint), cast(len1 + n_del as bigint)), i -> substr('ACGT', cast((chr * 7 + (pos1 + i) * 13 + (pos1 + i) div 5) % 4 + 1 as int), 1)), '')"
+    window = v.bases_at("pos1", "(len1 + n_del + 1)")
     first = F.struct((F.col("cigar")[0]["n"] - F.col("n_clip")).alias("n"), F.lit("M").alias("op"))
     cigar = F.concat(F.array(F.struct(F.col("n_clip").alias("n"), F.lit("S").alias("op")), first), F.slice("cigar", 2, 10))
     changes = F.when(F.col("klass").isin("m", "g"), F.array(F.struct(F.col("mm_off").alias("pos"), F.col("mm_nt").alias("nt")))).otherwise(F.array().cast("array<struct<pos: int, nt: string>>"))

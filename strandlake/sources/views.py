@@ -53,6 +53,13 @@ def base_sql(chrom: str = "chr", pos: str = "pos") -> str:
     return f"substr('ACGT', cast(({chrom} * 7 + {pos} * 13 + {pos} // 5) % 4 + 1 as int), 1)"
 
 
+def bases_at(start: str, n: str, chrom: str = "chr") -> str:
+    """Spark SQL: ``n`` bases of the synthetic genome from a position (0 or more) on. It repeats every 20 positions, so they are cut from a
+    repeated text instead of put together base by base."""
+    texts = ", ".join("'" + "".join("ACGT"[(phase + p * 13 + p // 5) % 4] for p in range(20)) + "'" for phase in range(4))
+    return f"substr(repeat(element_at(array({texts}), cast(({chrom}) * 7 % 4 + 1 as int)), cast(({n}) div 20 + 2 as int)), cast(({start}) % 20 + 1 as int), cast({n} as int))"
+
+
 def contigs(pairs: DataFrame) -> DataFrame:
     """Contig lengths: the largest position plus 2000."""
     return pairs.groupBy("chr").agg((F.max(F.greatest("pos1", "pos2")) + 2000).alias("contig_len"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.sources import views as v
 from strandlake.operators import display, haplotype, pileup, validation
 
 
@@ -101,3 +102,10 @@ def test_regions_of_windows(spark):
     assert (a["alleles"], a["gt"], a["ad"], a["unexplained"]) == ("G/G", "1/1", "3,15", True)
     assert (b["alleles"], b["gt"], b["ad"], b["dp"], b["freqs"], b["unexplained"]) == ("./A", "0/1", "12,6", 20, "45,30,15", False)
     assert (c["alleles"], c["gt"], c["ad"], c["n_haps"]) == ("./C", "0/1", "5,3", 2)
+
+
+def test_bases_of_the_genome_are_those_base_by_base(spark):
+    rows = spark.range(0, 3000).selectExpr("cast(id % 24 + 1 as int) as chr", "id * 7 as pos", "cast(id % 130 as int) as n")
+    got = rows.selectExpr("chr", "pos", "n", f"{v.bases_at('pos', 'n')} as seq").collect()
+    assert all(r["seq"] == "".join("ACGT"[(r["chr"] * 7 + p * 13 + p // 5) % 4] for p in range(r["pos"], r["pos"] + r["n"])) for r in got)
+    assert "transform" not in v.bases_at("pos", "n")
