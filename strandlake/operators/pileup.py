@@ -24,17 +24,17 @@ def read_spans(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def good_runs(quality: Column, least: int) -> Column:
     """array<struct<a, b>> (0-based cycles, inclusive) of the runs of bases with a quality of ``least`` and more; '#' is 0.
 
-    The qualities become 0 or 1 and are split where that changes, so the fold has a step for a run and not for a base."""
-    letters = "".join(map(chr, range(33, 127)))
-    mask = F.translate(quality, letters, "".join("1" if ord(x) - ord("#") >= least else "0" for x in letters))
+    The qualities are split where good ones begin or end, so the fold has a step for a run and not for a base."""
+    low = max(ord("#") + least, 33)
+    every = F.regexp_extract_all(quality, F.lit(rf"[\x{low:02x}-~]+|[^\x{low:02x}-~]+"), 0)
     none = F.array().cast("array<struct<a: int, b: int>>")
 
     def step(state: Column, run: Column) -> Column:
         end = state["at"] + F.length(run)
         more = F.concat(state["runs"], F.array(F.struct(state["at"].alias("a"), (end - 1).alias("b"))))
-        return F.struct(end.alias("at"), F.when(F.startswith(run, F.lit("1")), more).otherwise(state["runs"]).alias("runs"))
+        return F.struct(end.alias("at"), F.when(F.substr(run, F.lit(1), F.lit(1)).between(chr(low), "~"), more).otherwise(state["runs"]).alias("runs"))
 
-    return F.aggregate(F.split(mask, "(?<=0)(?=1)|(?<=1)(?=0)"), F.struct(F.lit(0).alias("at"), none.alias("runs")), step)["runs"]
+    return F.aggregate(every, F.struct(F.lit(0).alias("at"), none.alias("runs")), step)["runs"]
 
 
 def good_spans(pairs: DataFrame, least: int, keys: tuple[str, ...]) -> DataFrame:
@@ -44,8 +44,10 @@ def good_spans(pairs: DataFrame, least: int, keys: tuple[str, ...]) -> DataFrame
     def runs(k: int) -> Column:
         pos, size, rev = F.col(f"pos{k}"), F.col(f"len{k}"), F.col(f"rev{k}")
         place = lambda r: F.struct(F.when(rev, pos + size - 1 - r["b"]).otherwise(pos + r["a"]).alias("s"), F.when(rev, pos + size - 1 - r["a"]).otherwise(pos + r["b"]).alias("e"), rev.alias("rev"))
-        return F.transform(good_runs(F.col(f"qual{k}"), least), place)
+        return F.transform(f"_runs{k}", place)
 
+    # a column of its own, as the second mate's runs are used twice
+    pairs = pairs.withColumns({f"_runs{k}": good_runs(F.col(f"qual{k}"), least) for k in (1, 2)})
     last1 = F.expr("pos1 + len1 - 1")
     left = F.transform(runs(2), lambda r: F.struct(r["s"].alias("s"), F.least(r["e"], F.col("pos1") - 1).alias("e"), r["rev"].alias("rev")))
     right = F.transform(runs(2), lambda r: F.struct(F.greatest(r["s"], last1 + 1).alias("s"), r["e"].alias("e"), r["rev"].alias("rev")))

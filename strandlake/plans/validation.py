@@ -21,7 +21,7 @@ LOW = "k >= 60 + ordinal % 40 or (l_partkey % 3 = 0 and k between 20 and 22)"
 
 def _quality(length: str) -> str:
     """Spark SQL: the quality string of a mate."""
-    return f"array_join(transform(sequence(cast(0 as bigint), cast({length} - 1 as bigint)), k -> case when {LOW} then '%' else 'F' end), '')"
+    return f"rpad(substr(concat(repeat('F', 20), case when l_partkey % 3 = 0 then '%%%' else 'FFF' end, repeat('F', cast(37 + ordinal % 40 as int))), 1, {length}), {length}, '%')"
 
 
 @query(
