@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators.coverage import depth_quartiles, depth_segments, merged_runs, windowed
 from strandlake.operators.filters import fragments, on_contig, ordinal_sample, well_behaved
-from strandlake.operators.intervals import overlap_join
+from strandlake.operators.intervals import listed_overlaps, overlap_join
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
 
@@ -168,9 +168,7 @@ def transcript_cov_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _exon_reads(pairs: DataFrame, exons: DataFrame) -> DataFrame:
     one = pairs.selectExpr("chr", "pos1 as m_start", "pos1 + len1 - 1 as m_end", "ordinal", "case when rev1 then 'l' else 'L' end as code")
     two = pairs.selectExpr("chr", "pos2 as m_start", "pos2 + len2 - 1 as m_end", "ordinal", "case when rev2 then 'R' else 'r' end as code")
-    hits = overlap_join(one.unionByName(two), exons, "m_start", "m_end", "start", "end")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "code"))), lambda x: F.concat(x["ordinal"].cast("string"), x["code"]))
-    return hits.groupBy("feature_id").agg(F.count("*").alias("n_reads"), F.array_join(listed, ";").alias("reads"))
+    return listed_overlaps(one.unionByName(two), exons)
 
 
 @query(

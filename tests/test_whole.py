@@ -197,6 +197,20 @@ def test_exons_list_both_mates(spark):
     assert rows(coverage._exon_reads(pairs_, spark.createDataFrame(exons, "feature_id long, chr int, start long, end long")), "feature_id", "n_reads", "reads") == sorted(want)
 
 
+def test_long_exons_in_pieces_list_their_reads_and_overlaps_are_no_rows(spark):
+    rng = random.Random(9)
+    made = [(i, 1 + i % 2, a, a + rng.randint(-200, 200), i % 2 == 0, i % 3 == 0, 100, 99) for i in range(400) for a in [rng.randint(1, 9000)]]
+    exons = [(k, 1 + k % 2, a, a + rng.choice([0, 50, 1023, 1024, 1500, 4000])) for k in range(300) for a in [rng.randint(1, 9000)]]
+    pairs_ = spark.createDataFrame(made, "ordinal long, chr int, pos1 long, pos2 long, rev1 boolean, rev2 boolean, len1 int, len2 int")
+    want = []
+    for f, c, a, b in exons:
+        hit = sorted((o, ("l" if r1 else "L") if m == 1 else ("R" if r2 else "r")) for o, h, p1, p2, r1, r2, n1, n2 in made for m, p, n in ((1, p1, n1), (2, p2, n2)) if h == c and p <= b and p + n - 1 >= a)
+        want += [(f, len(hit), ";".join(f"{o}{x}" for o, x in hit))] if hit else []
+    got = coverage._exon_reads(pairs_, spark.createDataFrame(exons, "feature_id long, chr int, start long, end long"))
+    assert rows(got, "feature_id", "n_reads", "reads") == sorted(want)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_all_hits_are_lifted(spark):
     hits = {r["hit"] for r in plan_reads.transcript_lift(spark, FOLDER).collect()}
     assert any(k % 5 == 0 for k in hits)
