@@ -41,7 +41,10 @@ def stream_fastq(spark: SparkSession, inbox: str, out: str) -> DataFrame:
         turns = sizes.withColumn("k", F.row_number().over(order) - 1 + F.col("next")).withColumn("before", F.sum("n").over(order) - F.col("n") + F.col("lines")).where("k = chunk")
         now = turns.groupBy("stream").agg((F.max("chunk") + 1).alias("chunk"), F.max(F.col("before") + F.col("n")).alias("lines"))
         reached = done.select("stream", F.col("chunk").alias("c"), F.col("lines").alias("l"), "shift").join(now, "stream", "full").select("stream", F.coalesce("chunk", "c").alias("chunk"), F.coalesce("lines", "l").alias("lines"), F.coalesce("shift", F.lit(0)).alias("shift"))
-        placed = lines.join(turns.select("stream", "chunk", "before"), ["stream", "chunk"], "left").join(reached.selectExpr("stream", "lines div 4 * 4 as whole", "shift as was"), "stream", "left")
+        reached.write.mode("overwrite").parquet(f"{out}/reached/{number}")
+        reached = session.read.schema(DONE).parquet(f"{out}/reached/{number}")
+        # a row for each stream: sent to the tasks, as a shuffle by stream would put all lines of one in one task
+        placed = lines.join(turns.select("stream", "chunk", "before"), ["stream", "chunk"], "left").join(F.broadcast(reached.selectExpr("stream", "lines div 4 * 4 as whole", "shift as was")), "stream", "left")
         placed = placed.withColumn("own", F.when(F.col("chunk").isNull(), F.col("line")).otherwise(F.col("before") + F.col("line")))
         waits = F.col("own").isNull() | (F.col("own") >= F.col("whole"))
         left = placed.where(waits).select("stream", F.when(F.col("own").isNull(), F.col("chunk")).alias("chunk"), F.coalesce("own", "line").alias("line"), "value")

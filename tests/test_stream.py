@@ -116,3 +116,24 @@ def test_an_unfinished_record_waits(spark, tmp_path):
     assert [r["ordinal"] for r in stream_fastq(spark, *place).collect()] == [7]
     write_chunks(spark.createDataFrame([("s", 1, 0, "+"), ("s", 1, 1, "F")], schema), place[0])
     assert sorted((r["ordinal"], r["seq"]) for r in stream_fastq(spark, *place).collect()) == [(7, "AC"), (8, "G")]
+
+
+def test_lines_of_a_stream_are_never_shuffled_by_stream_alone(spark, tmp_path, monkeypatch):
+    lines = spark.range(40_000).selectExpr("'s' as stream", "id div 4001 as chunk", "id as line", "case id % 4 when 0 then concat('@r', id) when 1 then 'ACGT' when 2 then '+' else 'FFFF' end as value")
+    write_chunks(lines, f"{tmp_path}/inbox")
+    plans, write = [], type(lines.write).parquet
+
+    def kept(self, path, *args, **more):
+        plans.append((path, self._df._jdf.queryExecution().executedPlan().toString()))
+        return write(self, path, *args, **more)
+
+    monkeypatch.setattr(type(lines.write), "parquet", kept)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = stream_fastq(spark, f"{tmp_path}/inbox", f"{tmp_path}/out")
+        assert found.count() == 10_000 and found.where("seq = 'ACGT'").count() == 10_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    big = [plan for path, plan in plans if "/waiting/" in path]
+    assert big and all("BroadcastHashJoin [stream#" in plan for plan in big)
