@@ -33,11 +33,13 @@ def depth_segments(frags: DataFrame, start: str, end: str, keys: tuple[str, ...]
 def merged_runs(segments: DataFrame, keys: tuple[str, ...] = ("chr",), value: str = "depth", tile: int = TILE) -> DataFrame:
     """Touching segments of equal ``value`` joined (run-length encoding): keys, run_start, run_end (exclusive), value.
 
-    Runs are built inside tiles first; only the runs at tile borders, few per tile, are joined across."""
+    Runs are built inside tiles first; only the runs at tile borders, few per tile, are joined across. A run's end is that of the row before the
+    next run begins, so nothing is held but the rows of a tile in order."""
     def runs(df: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy("seg_start")
-        new = F.coalesce((F.lag("seg_end").over(w) != F.col("seg_start")) | (F.lag(value).over(w) != F.col(value)), F.lit(True))
-        return df.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(w)).groupBy(*by, "_run").agg(F.min("seg_start").alias("seg_start"), F.max("seg_end").alias("seg_end"), F.first(value).alias(value)).drop("_run")
+        marked = df.withColumn("_before", F.lag("seg_end").over(w)).withColumn("_value", F.lag(value).over(w)).withColumn("_last", F.max("seg_end").over(Window.partitionBy(*by)))
+        new = F.coalesce((F.col("_before") != F.col("seg_start")) | (F.col("_value") != F.col(value)), F.lit(True))
+        return marked.where(new).select(*by, "seg_start", F.coalesce(F.lead("_before").over(w), "_last").alias("seg_end"), value)
 
     inner = runs(segments.withColumn("_tile", F.expr(f"seg_start div {tile}")), [*keys, "_tile"])
     border = (F.col("seg_start") % tile == 0) | (F.col("seg_end") % tile == 0)

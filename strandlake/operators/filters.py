@@ -13,9 +13,12 @@ def well_behaved(limit: int = 1034) -> Column:
 
 
 def on_contig(pairs: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Pairs with both mates at 1..contig length. Spark picks the join by the dictionary's size."""
+    """Pairs with both mates at 1..contig length.
+
+    The dictionary has a row per contig and is sent to the tasks: a join by ``chr`` would deal all pairs out by contig, and what follows by
+    contig and tile would stay so, a contig in one task."""
     inside = F.col("pos1").between(1, F.col("contig_len")) & F.col("pos2").between(1, F.col("contig_len"))
-    return pairs.join(contigs, "chr").where(inside)
+    return pairs.join(F.broadcast(contigs), "chr").where(inside)
 
 
 def fragments(pairs: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as q
 from strandlake.operators import align, coverage, haplotype, intervals, kmers
-from strandlake.operators.filters import few_indels, mark_clones, ordinal_sample
+from strandlake.operators.filters import few_indels, mark_clones, on_contig, ordinal_sample
+from strandlake.sources.views import contigs
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -57,6 +58,42 @@ def test_depth_segments(spark):
         assert sum(r["run_end"] - r["run_start"] for r in runs) == len(want)
 
 
+def test_pairs_are_not_dealt_out_by_contig(spark):
+    """Whatever is known of sizes, the contigs' lengths go to the pairs: by contig, a contig would be one task."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = spark.range(40).selectExpr("cast(id % 2 as int) as chr", "id as pos1", "id * 3 - 20 as pos2")
+        kept = on_contig(pairs, contigs(pairs))
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().toString()
+        assert sorted(r["pos1"] for r in kept.collect()) == list(range(7, 40))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_merged_runs_over_tiles(spark):
+    rng = random.Random(8)
+    segments, at = [], 1
+    for _ in range(200):
+        size = rng.choice([1, 3, 16, 40])
+        while size:  # segments end at tiles of 16
+            part = min(size, 16 - at % 16)
+            segments.append((1, at, at + part, rng.choice([1, 2]) if part == size else segments[-1][3] if segments and rng.random() < 0.8 else 1))
+            at, size = at + part, size - part
+        at += rng.choice([0, 0, 1, 20])
+    want = []
+    for c, a, b, d in segments:
+        if want and want[-1][2:] == (a, d):
+            want[-1] = (c, want[-1][1], b, d)
+        else:
+            want.append((c, a, b, d))
+    df = spark.createDataFrame(segments, "chr int, seg_start long, seg_end long, depth int").repartition(5)
+    runs = coverage.merged_runs(df, tile=16)
+    assert sorted(tuple(r) for r in runs.select("chr", "run_start", "run_end", "depth").collect()) == want
+    # rows of a tile in order, and no table of its runs
+    assert "HashAggregate" not in runs._jdf.queryExecution().toString()
+
+
 def test_next_site_looks_across_tiles(spark):
     rng = random.Random(3)
     sites, asked = sorted({(rng.randint(1, 2), rng.randint(0, 900)) for _ in range(25)}), [(i, rng.randint(1, 3), rng.randint(0, 1000)) for i in range(80)]
