@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.coverage import depth_segments, merged_runs
-from strandlake.operators.intervals import overlap_join
+from strandlake.operators.coverage import TILE, depth_segments, merged_runs
+from strandlake.operators.intervals import overlap_join, with_bins
 
 
 def base_depth(spans: DataFrame, deletions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -25,8 +25,10 @@ def amplicons(segments: DataFrame, keys: tuple[str, ...], least: int = 4, percen
     on = F.struct(*keys)
     runs = merged_runs(segments.select(*keys, "seg_start", (F.col("seg_last") + 1).alias("seg_end"), F.lit(1).alias("one")), keys, "one")
     held = overlap_join(segments.withColumn("_on", on), runs.select(on.alias("_on"), F.col("run_start").alias("isl"), (F.col("run_end") - 1).alias("_last")), "seg_start", "seg_last", "isl", "_last", on="_on").drop("_on", "_last")
-    tops = held.groupBy(*keys, "isl").agg(F.max("depth").alias("max_depth"), F.min(F.when(F.col("depth") >= least, F.col("seg_start"))).alias("_opened")).where("_opened is not null")
-    high = held.join(tops, [*keys, "isl"]).where("2 * depth >= max_depth and seg_start >= _opened")
+    # what is known of an island meets its segments by tile, as an island may be as long as its contig
+    held = with_bins(held, "seg_start", "seg_start", TILE, "tile")
+    tops = held.groupBy(*keys, "isl").agg(F.max("seg_start").alias("_ends"), F.max("depth").alias("max_depth"), F.min(F.when(F.col("depth") >= least, F.col("seg_start"))).alias("_opened")).where("_opened is not null")
+    high = held.join(with_bins(tops, "isl", "_ends", TILE, "tile"), [*keys, "isl", "tile"]).where("2 * depth >= max_depth and seg_start >= _opened")
     ends = high.groupBy(*keys, "isl").agg(F.first("max_depth").alias("max_depth"), F.min("seg_start").alias("trim_start"), F.max("seg_last").alias("trim_end"), F.max_by("depth", "seg_start").alias("_end"))
     return ends.withColumn("min_var", F.greatest(F.expr(f"_end * {percent} div 100"), F.lit(1))).drop("_end"), held
 
@@ -36,11 +38,12 @@ def variants(segments: DataFrame, mismatches: DataFrame, keys: tuple[str, ...],
 
     SNP: two bases or more have min_var reads. DEL: the depth rises by min_var at ``pos``, and somewhere before in the amplicon it has fallen by as much."""
     isles, held = amplicons(segments, keys, least, percent)
-    inside = held.join(isles, [*keys, "isl"]).where("seg_start <= trim_end and seg_start > trim_start")
+    by = [*keys, "isl", "tile"]
+    inside = held.join(with_bins(isles, "trim_start", "trim_end", TILE, "tile"), by).where("seg_start <= trim_end and seg_start > trim_start")
     before = held.select(*keys, "isl", (F.col("seg_last") + 1).alias("seg_start"), F.col("depth").alias("_was"))
     steps = inside.join(before, [*keys, "isl", "seg_start"])
-    falls = steps.where("depth + min_var <= _was").groupBy(*keys, "isl").agg(F.min("seg_start").alias("_fell"))
-    gaps = steps.where("depth >= _was + min_var").join(falls, [*keys, "isl"]).where("seg_start > _fell").select(*keys, "trim_start", "trim_end", "max_depth", F.col("seg_start").alias("pos"), F.lit("DEL").alias("kind"), "depth")
+    falls = steps.where("depth + min_var <= _was").groupBy(*keys, "isl").agg(F.min("seg_start").alias("_fell"), F.max("trim_end").alias("_ends"))
+    gaps = steps.where("depth >= _was + min_var").join(with_bins(falls, "_fell", "_ends", TILE, "tile"), by).where("seg_start > _fell").select(*keys, "trim_start", "trim_end", "max_depth", F.col("seg_start").alias("pos"), F.lit("DEL").alias("kind"), "depth")
     on = F.struct(*keys)
     loci = mismatches.groupBy(*keys, "pos").agg(F.collect_list("n").alias("_others"), F.sum("n").alias("_sum")).withColumn("_on", on)
     at = overlap_join(loci, segments.select(on.alias("_on"), "seg_start", "seg_last", "depth"), "pos", "pos", "seg_start", "seg_last", on="_on")

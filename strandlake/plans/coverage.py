@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.operators.coverage import depth_quartiles, depth_segments, merged_runs, windowed
+from strandlake.operators.coverage import TILE, depth_quartiles, depth_segments, merged_runs, windowed
 from strandlake.operators.filters import fragments, on_contig, ordinal_sample, well_behaved
-from strandlake.operators.intervals import listed_overlaps, overlap_join
+from strandlake.operators.intervals import listed_overlaps, overlap_join, with_bins
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
 
@@ -99,7 +99,8 @@ def amplicon_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = overlap_join(segments.withColumn("seg_last", F.col("seg_end") - 1), islands, "seg_start", "seg_last", "isl_start", "isl_end")
     key = ["chr", "isl_start", "isl_end"]
     top = inside.groupBy(*key).agg(F.max("depth").alias("max_depth")).where("max_depth >= 4")
-    kept = inside.join(top, key).where("2 * depth >= max_depth")
+    # by island and tile, as an island may be as long as its contig
+    kept = with_bins(inside, "seg_start", "seg_start", TILE).join(with_bins(top, "isl_start", "isl_end", TILE), [*key, "bin"]).where("2 * depth >= max_depth")
     return kept.groupBy(*key).agg(F.first("max_depth").alias("max_depth"), F.min("seg_start").alias("trim_start"), F.max("seg_last").alias("trim_end"))
 
 

@@ -1,6 +1,7 @@
 """Profile text, trim tables and amplicons."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import amplicon
 from strandlake.operators.profile import align, base_codes
+from strandlake.plans import coverage as coverage_plans
 from strandlake.plans.windows import motif_profile
 from strandlake.sources import profiles as pr
 
@@ -141,3 +143,22 @@ def test_amplicons_against_positions(spark, seed):
     segments = amplicon.base_depth(frame(spans, "s long, e long"), frame(deletions, "s long, e long"), ("chr",))
     got = amplicon.variants(segments, frame(mm, "pos long, allele string, n long"), ("chr",)).collect()
     assert {(r["pos"], r["kind"], r["depth"]) for r in got} == slow_amplicons(spans, deletions, mm) and len({(r["pos"], r["kind"]) for r in got}) == len(got)
+
+
+def test_an_island_over_many_tiles(spark):
+    """What is known of an island reaches its segments in all tiles, and no join deals segments out by island alone."""
+    rng = random.Random(9)
+    spans = [(s + rng.randint(0, 9), s + 9000) for s in range(1, 70000, 6000) for _ in range(5)]
+    deletions = [(s + 7000, s + 7003) for s, _ in spans[::3]]
+    mm = [(s + 100, "C", 2) for s in range(1, 70000, 12000)]
+    frame = lambda data, schema: spark.createDataFrame(data, schema).withColumn("chr", F.lit(1))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = amplicon.variants(amplicon.base_depth(frame(spans, "s long, e long"), frame(deletions, "s long, e long"), ("chr",)), frame(mm, "pos long, allele string, n long"), ("chr",))
+        assert {(r["pos"], r["kind"], r["depth"]) for r in found.collect()} == slow_amplicons(spans, deletions, mm)
+        plans = [found, coverage_plans.amplicon_islands(spark, "/root/testdata/sf0.001")]
+        joins = [x for p in plans for x in re.findall(r"SortMergeJoin \[([^\]]*)\]", p._jdf.queryExecution().toString())]
+        assert joins and all(re.search(r"tile#|bin#|seg_start#", x) for x in joins)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
