@@ -64,14 +64,14 @@ def profile_hits(sequences: DataFrame, motif: str, width: int = 200) -> DataFram
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for size, f in frame.groupby(frame["seq"].str.len()):
-                for k in range(0, len(f), 128):
-                    part = f.iloc[k : k + 128]
-                    out = {"id": part["id"], "off": part["off"]}
-                    for name, (score, place) in zip(("", "next_"), _pairs(profile.best_two(scored, profile.base_codes(part["seq"].tolist()))), strict=True):
-                        on = place >= 0
-                        out |= {f"{name}score": score, f"{name}first": part["off"] + np.where(on.any(axis=1), on.argmax(axis=1), -1), f"{name}last": part["off"] + np.where(on.any(axis=1), int(size) - 1 - on[:, ::-1].argmax(axis=1), -1)}
-                    yield pd.DataFrame(out)
+            for k in range(0, len(frame), 1024):
+                part = frame.iloc[k : k + 1024]
+                size = part["seq"].str.len().to_numpy()  # shorter pieces are filled up, and end where they end
+                out = {"id": part["id"], "off": part["off"]}
+                for name, (score, place) in zip(("", "next_"), _pairs(profile.best_two(scored, profile.base_codes(part["seq"].tolist()), size)), strict=True):
+                    on = place >= 0
+                    out |= {f"{name}score": score, f"{name}first": part["off"] + np.where(on.any(axis=1), on.argmax(axis=1), -1), f"{name}last": part["off"] + np.where(on.any(axis=1), on.shape[1] - 1 - on[:, ::-1].argmax(axis=1), -1)}
+                yield pd.DataFrame(out)
 
     pieces = tiles(sequences, width, width).where("seq <> ''").select("id", "off", "seq")
     return pieces.mapInPandas(run, "id long, off long, score long, first long, last long, next_score long, next_first long, next_last long")

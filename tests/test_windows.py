@@ -5,6 +5,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +339,29 @@ def test_many_reads_are_aligned_encoded_and_rebuilt_as_one_by_one():
         for k, n in enumerate(sizes):
             one = of(read[k : k + 1, :n], window[k : k + 1])
             assert (one[0][0], one[1][0], one[2][0]) == (together[0][k], together[1][k], together[2][k])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sequences_of_any_length_share_a_batch(seed):
+    """Shorter sequences are filled up: best and next best place of each are those it has alone, in numbers of either width."""
+    rng = np.random.default_rng(seed)
+    factor = (1, 1, 2000)[seed]  # scores that need the wide numbers
+    for _ in range(20):
+        columns = int(rng.integers(3, 12))
+        p = Profile(factor * rng.integers(-3, 5, (columns, 5)), factor * rng.integers(-6, 0, columns), factor * rng.integers(-2, 1, columns), factor * rng.integers(-3, 1, columns), np.zeros(columns, dtype=bool), "profile", -3 * factor, -factor)
+        seqs = ["".join(rng.choice(list("ACGTN"), int(rng.integers(1, 14)))) for _ in range(9)]
+        score, place, next_score, next_place = best_two(p, base_codes(seqs), np.array([len(s) for s in seqs]))
+        for r, s in enumerate(seqs):
+            own = best_two(p, base_codes([s]))
+            used = frozenset((i, int(c)) for i, c in enumerate(place[r]) if c >= 0)
+            assert (score[r], next_score[r]) == (own[0][0], own[2][0]) == (slow_score(p, tuple(base_codes([s])[0])), slow_score(p, tuple(base_codes([s])[0]), used))
+            assert place[r][: len(s)].tolist() == own[1][0].tolist() and next_place[r][: len(s)].tolist() == own[3][0].tolist() and (place[r][len(s) :] == -1).all()
+
+
+def test_motif_hits_go_in_whole_batches(spark, monkeypatch):
+    """The last pieces of texts differ in length; they don't get a batch for each length."""
+    seen = []
+    inner = plans.profile.best_two
+    monkeypatch.setattr(plans.profile, "best_two", lambda p, b, *more: (seen.append(len(b)), inner(p, b, *more))[1])
+    monkeypatch.setattr(plans, "tiles", lambda *_: type("Held", (), {"where": lambda s, _: s, "select": lambda s, *_: s, "mapInPandas": lambda s, run, _: list(run(iter([pd.DataFrame({"id": range(199), "off": 0, "seq": ["A" * k for k in range(1, 200)]})])))})())
+    assert sum(len(f) for f in plans.profile_hits(None, "GATTACA")) == 199 and seen == [199]
