@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.sequence import revcomp
-
 
 def explode_kmers(sequences: DataFrame, seq: str, k: int, keep: tuple[str, ...] = (), step: int = 1) -> DataFrame:
     """(keep, off, kmer): every ``step``-th k-mer with its 0-based offset; sequences are ASCII.
@@ -169,32 +167,108 @@ def unique_prefixes(counts: DataFrame, length: int, most: int = 4) -> DataFrame:
     return grouped.where((F.col("top") == 1) & (F.col("n_ext") <= most)).select("prefix", "n_ext")
 
 
+SEED = 18
+#: Slots of the filter that tasks pass seeds through before the lookup: 1 MB, whatever the number of seeds.
+SLOTS = 1 << 23
+
+
+def _seed_codes(part: np.ndarray, at: np.ndarray, clean: np.ndarray, reverse: bool) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
+    """(which of ``at`` begin with A, their codes, their texts where another letter occurs: code -1) of 18-mers of the given or the other strand."""
+    digits = _DIGIT[part] & 3
+    chosen = np.flatnonzero(part[at + SEED - 1] == ord("T") if reverse else part[at] == ord("A"))
+    at, clean = at[chosen], clean[chosen]
+    code = np.where(clean, (packed(3 - digits, SEED, reverse=True) if reverse else packed(digits, SEED))[at], -1)
+    other: list[str | None] = [None] * len(at)
+    for k in np.flatnonzero(~clean):
+        text = part[at[k] : at[k] + SEED].tobytes()
+        other[k] = (text[::-1].translate(_OTHER_STRAND) if reverse else text).decode()
+    return chosen, code, other
+
+
+_OTHER_STRAND = bytes(dict(zip(b"ACGT", b"TGCA", strict=True)).get(c, ord("N")) for c in range(256))
+
+
+def _slot(code: np.ndarray) -> np.ndarray:
+    """The filter's slot of a code."""
+    mixed = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _in(words: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return words[slot >> 6] >> (slot & 63) & 1 == 1
+
+
+def _places(batches: Iterator[pa.RecordBatch], strands: tuple[bool, ...], passed: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Columns kept ..., seq -> kept ..., rev, off, code, other: 18-mers that begin with A on a strand; ``off`` is where they begin in the sequence as
+    given. Codes whose slot isn't in ``passed`` can't be seeds and stay out."""
+    for batch in batches:
+        kept = batch.columns[:-1]
+        for row, off, part, at, clean in windows(batch.column(batch.num_columns - 1).to_pylist(), SEED):
+            for rev in strands:
+                chosen, code, other = _seed_codes(part, at, clean, rev)
+                texts = pa.array(other, pa.string())
+                if passed is not None:
+                    stay = np.flatnonzero((code < 0) | _in(passed, _slot(np.maximum(code, 0))))
+                    chosen, code, texts = chosen[stay], code[stay], texts.take(pa.array(stay))
+                rows = pa.array(row[chosen])
+                out = [*(c.take(rows) for c in kept), pa.array(np.full(len(chosen), rev)), pa.array(off[chosen]), pa.array(code), texts.fill_null("")]
+                whole = pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], "rev", "off", "code", "other"])
+                yield from (whole.slice(k, 1 << 16) for k in range(0, len(chosen), 1 << 16))
+
+
+def _placed(sequences: DataFrame, by: tuple[str, ...], strands: tuple[bool, ...], passed: np.ndarray | None = None) -> DataFrame:
+    rows = sequences.where(F.length("seq") >= SEED).select(*by, "seq")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(lambda batches: _places(batches, strands, passed), f"{kept}, rev boolean, off long, code long, other string")
+
+
 def seed_table(contigs: DataFrame, most: int = 8) -> DataFrame:
-    """(kmer16, next2, chr, pos): the 18-mers of (chr, seq) that begin with A and occur once; a 16-mer has ``most`` slots at most."""
-    spots = explode_kmers(contigs, "seq", 18, ("chr",)).where(F.col("kmer").startswith("A"))
-    once = spots.groupBy("kmer").agg(F.count("*").alias("n"), F.min("chr").alias("chr"), F.min(F.col("off") + 1).cast("long").alias("pos")).where("n = 1")
-    slot = F.row_number().over(Window.partitionBy("kmer16").orderBy("chr", "pos"))
-    return once.select(F.substring("kmer", 1, 16).alias("kmer16"), F.substring("kmer", 17, 2).alias("next2"), "chr", "pos").withColumn("slot", slot).where(F.col("slot") <= most).drop("slot")
+    """(code, other, chr, pos): the 18-mers of (chr, seq) that begin with A and occur once, packed (or as a text, with code -1, where they hold
+    other letters); a 16-mer has ``most`` slots at most."""
+    spots = _placed(contigs, ("chr",), (False,))
+    once = spots.groupBy("code", "other").agg(F.count("*").alias("n"), F.min("chr").alias("chr"), F.min(F.col("off") + 1).alias("pos")).where("n = 1")
+    # the 16-mer's text, as one with two other letters behind it shares its slots with packed ones
+    kmer16 = F.when(F.col("code") < 0, F.substring("other", 1, SEED - 2)).otherwise(kmer_text(F.shiftright("code", 4), SEED - 2))
+    slot = F.row_number().over(Window.partitionBy("_16").orderBy("chr", "pos"))
+    return once.withColumn("_16", kmer16).withColumn("slot", slot).where(F.col("slot") <= most).select("code", "other", "chr", "pos")
+
+
+def seed_text(code: Column, other: Column) -> Column:
+    """The 18-mer of a row of ``seed_table``."""
+    return F.when(code < 0, other).otherwise(kmer_text(code, SEED))
+
+
+def _filled(seeds: DataFrame) -> np.ndarray:
+    """Which slots of the filter hold a seed: as words of 64 slots from Spark, 131 072 at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.unique(_slot(batch.column(0).to_numpy()))
+            yield pa.record_batch([pa.array(slot >> 6), pa.array(np.uint64(1) << (slot & 63).astype(np.uint64)).view(pa.int64())], names=["word", "bits"])
+
+    words = seeds.where("code >= 0").select("code").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(SLOTS // 64, dtype=np.int64)
+    held[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return held
 
 
 def strand_hits(reads: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ("id",), most: int = 16) -> DataFrame:
-    """(by, rev, off, chr, pos, hit_no) of both strands of reads (by, seq) on ``seed_table``: 16-mers that begin with A, and those of the
-    reverse complement, by their first 16 and the next two bases. ``off`` is where the 18 bases begin in the read as given; the first
-    ``most`` hits of a read stay, forward ones first."""
-    both = reads.select(*by, F.explode(F.array(F.struct(F.lit(False).alias("rev"), F.col("seq")), F.struct(F.lit(True).alias("rev"), revcomp(F.col("seq")).alias("seq")))).alias("s")).select(*by, "s.rev", "s.seq", F.length("s.seq").alias("_len"))
-    spots = explode_kmers(both, "seq", 18, (*by, "rev", "_len")).where(F.col("kmer").startswith("A")).withColumn("off", F.when(F.col("rev"), F.col("_len") - 18 - F.col("off")).otherwise(F.col("off")).cast("long"))
-    hits = spots.select(*by, "rev", "off", F.substring("kmer", 1, 16).alias("kmer16"), F.substring("kmer", 17, 2).alias("next2")).join(seeds, ["kmer16", "next2"])
+    """(by, rev, off, chr, pos, hit_no) of both strands of reads (by, seq) on ``seed_table``: 18-mers that begin with A, and those of the
+    reverse complement. ``off`` is where the 18 bases begin in the read as given; the first ``most`` hits of a read stay, forward ones first.
+
+    Tasks pack the 18-mers and leave out most that are no seeds by a filter of fixed size; the join decides. The filter is filled at once."""
+    hits = _placed(reads, by, (False, True), _filled(seeds)).join(seeds, ["code", "other"])
     number = F.row_number().over(Window.partitionBy(*by).orderBy("rev", "off", "chr", "pos"))
     return hits.withColumn("hit_no", number).where(F.col("hit_no") <= most).select(*by, "rev", "off", "chr", "pos", "hit_no")
 
 
-def pair_hits(hits1: DataFrame, hits2: DataFrame, limit: int = 1023, most: int = 16, by: tuple[str, ...] = ("id",), opposite: bool = False) -> DataFrame:
-    """Anchors of both mates on one contig within ``limit``, ranked by score sum (of equal sums the later pair first).
-    ``opposite``: only anchors on opposite strands (``rev``)."""
-    rev = ("rev",) if opposite else ()
-    a = hits1.select(*by, "chr", F.col("pos").alias("pos1"), F.col("score").alias("score1"), *(F.col(r).alias("rev1") for r in rev))
-    b = hits2.select(*by, "chr", F.col("pos").alias("pos2"), F.col("score").alias("score2"), *(F.col(r).alias("rev2") for r in rev))
-    near = (F.abs(F.col("pos1") - F.col("pos2")) <= limit) & (F.expr("rev1 <> rev2") if opposite else F.lit(True))
-    pairs = a.join(b, [*by, "chr"]).where(near).withColumn("score", F.col("score1") + F.col("score2"))
+def pair_hits(hits: DataFrame, limit: int = 1023, most: int = 16, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Anchors of both mates on one contig and opposite strands within ``limit``, ranked by score sum (of equal sums the later pair first).
+
+    ``hits``: by, mate (1 or 2), rev, chr, pos, score, a few of each mate: they meet inside the row of their read."""
+    mate = lambda k: F.collect_list(F.when(F.col("mate") == k, F.struct("chr", "pos", "rev", "score")))
+    both = hits.groupBy(*by).agg(mate(1).alias("_1"), mate(2).alias("_2")).where("size(_1) > 0 and size(_2) > 0").select(*by, F.explode("_1").alias("a"), "_2").select(*by, "a", F.explode("_2").alias("b"))
+    near = "a.chr = b.chr and a.rev <> b.rev and abs(a.pos - b.pos) <= " + str(limit)
+    pairs = both.where(near).select(*by, "a.chr", F.col("a.pos").alias("pos1"), F.col("b.pos").alias("pos2"), (F.col("a.score") + F.col("b.score")).alias("score"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("pos1"), F.desc("pos2")))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as q
 from strandlake.operators.intervals import overlap_join
-from strandlake.operators.kmers import code_counts, first_places, kmer_counts, kmer_text, pair_hits, seed_keys, seed_table, strand_hits, unique_prefixes, uniqueness
+from strandlake.operators.kmers import code_counts, first_places, kmer_counts, kmer_text, pair_hits, seed_keys, seed_table, seed_text, strand_hits, unique_prefixes, uniqueness
 from strandlake.operators.reads import codon_phases, tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
@@ -92,7 +92,7 @@ def seeds_outside_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seed table without the seeds that begin in excluded regions (as those that two contigs share)."""
     contigs = v.dna(spark, sf_dir, "benchmark")
     excluded = contigs.selectExpr("id as chr", "id % 7 * 10 + 1 as par_start", "id % 7 * 10 + 60 as par_end")
-    return overlap_join(_passages(spark, sf_dir), excluded, "pos", "pos", "par_start", "par_end", how="left_anti").select("kmer16", "next2", "chr", "pos")
+    return overlap_join(_passages(spark, sf_dir), excluded, "pos", "pos", "par_start", "par_end", how="left_anti").select(F.substring(seed_text(F.col("code"), F.col("other")), 1, 16).alias("kmer16"), F.substring(seed_text(F.col("code"), F.col("other")), 17, 2).alias("next2"), "chr", "pos")
 
 
 def _hits_sql(reads: str, name: str) -> str:
@@ -115,9 +115,10 @@ def seed_join_top16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _paired(sequences: DataFrame, seeds: DataFrame) -> DataFrame:
     spans = tiles(sequences, 200).withColumnRenamed("off", "at")
-    one = strand_hits(spans.select("id", "at", F.substring("seq", 1, 100).alias("seq")), seeds, ("id", "at")).withColumn("score", F.col("hit_no") * 3)
-    two = strand_hits(spans.select("id", "at", q.revcomp(F.substring("seq", 101, 100)).alias("seq")), seeds, ("id", "at")).withColumn("score", F.col("hit_no") * 2)
-    return pair_hits(one, two, by=("id", "at"), opposite=True).select("id", "at", "chr", "pos1", "pos2", F.col("score").cast("long").alias("score"), "rank")
+    first, second = F.substring("seq", 1, 100), q.revcomp(F.substring("seq", 101, 100))
+    mates = F.explode(F.array(*(F.struct(F.lit(k).alias("mate"), seq.alias("seq")) for k, seq in ((1, first), (2, second))))).alias("m")
+    hits = strand_hits(spans.select("id", "at", mates).select("id", "at", "m.*"), seeds, ("id", "at", "mate")).withColumn("score", F.col("hit_no") * F.when(F.col("mate") == 1, 3).otherwise(2))
+    return pair_hits(hits, by=("id", "at")).select("id", "at", "chr", "pos1", "pos2", F.col("score").cast("long").alias("score"), "rank")
 
 
 ORACLE_PAIRING = f"""with {v.dna_sql()}, {v.tiles_sql(200)}, r1 as (select id, off as "at", substr(seq, 1, 100) as seq from t), r2 as (select id, off as "at", reverse(translate(substr(seq, 101, 100), 'ACGT', 'TGCA')) as seq from t), {SEEDS}, {_hits_sql('r1', 'h1')}, {_hits_sql('r2', 'h2')},
