@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,11 +50,13 @@ def windows(seqs: list[str], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, n
     base, clean: none of them)."""
     sizes = np.array([len(x) for x in seqs], dtype=np.int64)
     text = np.frombuffer("".join(seqs).encode("ascii", "replace"), dtype=np.uint8)
-    begin, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(seqs)), sizes)
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
     for a in range(0, len(text) - k + 1, STEP):
         part = text[a : a + STEP + k - 1]
         digits = _DIGIT[part]
-        r = row[a : a + len(part) - k + 1]
+        b = a + len(part) - k + 1
+        r = np.repeat(np.arange(len(seqs)), np.maximum(np.minimum(ends, b) - np.maximum(begin, a), 0))
         off = np.arange(a, a + len(r)) - begin[r]
         at = np.flatnonzero(off + k <= sizes[r])
         other = np.concatenate([[0], np.cumsum(digits > 3)])
@@ -96,40 +99,204 @@ def code_counts(sequences: DataFrame, k: int, canonical: bool = False, others: b
     return found.groupBy("code", "other").agg(F.sum("n").alias("cnt"))
 
 
-def first_places(sequences: DataFrame, k: int, most: int) -> DataFrame:
-    """(kmer, nth, id, off): the first ``most`` places, by id and offset, of each k-mer of whole sequences, numbered from 1.
+#: Longest k-mers whose table of counts (a byte each) a task holds; groups that codes are merged in; places that a task gathers before it sends them on.
+TABLED, BUCKETS, PLACES = 12, 1024, 1 << 20
+#: Share of the sequences, the first by id, in which k-mers are counted beforehand, and how many sequences make that worth while.
+AHEAD, MANY = 16, 1 << 15
+
+
+def _earliest(code: np.ndarray, ids: np.ndarray, off: np.ndarray, most: int, ordered: bool = False) -> np.ndarray:
+    """Where the first ``most`` of each code stand, by id and offset, sorted by code. ``ordered``: ids and offsets are so already (codes below 2^31)."""
+    if ordered:
+        key = np.sort((code.astype(np.int64) << 32) | np.arange(len(code)))
+        order, code = key & 0xFFFFFFFF, key >> 32
+    else:
+        order = np.lexsort((off, ids, code))
+        code = code[order]
+    stays = np.ones(len(code), dtype=bool)
+    stays[most:] = code[most:] != code[:-most]
+    return order[stays]
+
+
+def _heads(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each run of a sorted array begins, its length)."""
+    new = np.flatnonzero(np.diff(code, prepend=-1))
+    return new, np.diff(new, append=len(code))
+
+
+class _Seen:
+    """How often a task has met each code, up to ``most``: places of codes that were met so often aren't among the first ones. That holds as long as ids
+    rise; counts begin anew where they don't. Behind the id ``cut`` codes of ``settled`` (bits) count as met."""
+
+    def __init__(self, k: int, most: int, cut: int | None = None, settled: np.ndarray | None = None) -> None:
+        self.k, self.most, self.cut, self.settled = k, most, cut, settled
+        self.counts, self.last, self.behind = np.zeros(4**k, dtype=np.uint8), None, False
+
+    def parts(self, ids: np.ndarray, seqs: list[str]) -> Iterator[tuple[np.ndarray, list[str], bool]]:
+        """A batch in order of ids, about ``STEP`` bases at a time: (ids, sequences, whether these ids rise)."""
+        order = np.argsort(ids, kind="stable")
+        ids, seqs = ids[order], [seqs[i] for i in order.tolist()]
+        rise = bool((np.diff(ids) > 0).all())
+        if not rise or (self.last is not None and len(ids) and ids[0] <= self.last):
+            self.counts[:], self.behind = 0, False
+        self.last = ids[-1] if len(ids) else self.last
+        step = np.cumsum([len(x) for x in seqs]) // STEP * 2 + (0 if self.cut is None else ids > self.cut)
+        at = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(ids)]
+        for a, b in zip(at, at[1:], strict=False):
+            if b > a and self.cut is not None and not self.behind and ids[a] > self.cut:
+                np.maximum(self.counts, np.unpackbits(self.settled, count=4**self.k) * np.uint8(self.most), out=self.counts)
+                self.behind = True
+            yield ids[a:b], seqs[a:b], rise
+
+    def first(self, code: np.ndarray, ids: np.ndarray, off: np.ndarray, rise: bool) -> np.ndarray:
+        """Which of these places may be among the first of their code."""
+        open_ = np.flatnonzero(self.counts[code] < self.most)
+        found = open_[_earliest(code[open_], ids[open_], off[open_], self.most, ordered=rise)]
+        new, n = _heads(code[found])
+        which = code[found[new]]
+        stays = np.arange(len(found)) - np.repeat(new, n) < np.repeat(self.most - self.counts[which].astype(np.int64), n)
+        if rise:  # else a later part may hold an earlier place
+            self.counts[which] = np.minimum(self.counts[which] + n, self.most)
+        return found[stays]
+
+
+def _settled(sequences: DataFrame, k: int, most: int) -> tuple[int, np.ndarray] | None:
+    """(id, bits): the k-mers that have ``most`` places in the first sixteenth of the sequences, up to that id. None where there are few sequences."""
+    n, cut = sequences.agg(F.count("*"), F.percentile_approx("id", 1 / AHEAD, F.lit(1000))).first()
+    if n < MANY:
+        return None
+    parts = 64 if k > 5 else 1
+    size = 4**k // parts
 
-    A task keeps no more than ``most`` places of a k-mer while it reads; Spark numbers what is left of all tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen(k, most)
+        for batch in batches:
+            for row, _, part, at, clean in windows(batch.column(0).to_pylist(), k):
+                code, n = np.unique(packed(_DIGIT[part] & 3, k)[at[clean]], return_counts=True)
+                seen.counts[code] = np.minimum(seen.counts[code] + n, most)
+        yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in seen.counts.reshape(parts, size)])], names=["part", "n"])
 
-    def kept(code: np.ndarray, row: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(code, kind="stable") if (np.diff(row) >= 0).all() else np.lexsort((off, row, code))
-        new = np.flatnonzero(np.diff(code[order], prepend=-1))
-        nth = np.arange(len(order)) - np.repeat(new, np.diff(new, append=len(order)))
-        order = np.sort(order[nth < most])
-        return code[order], row[order], off[order]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros(size, dtype=np.uint8), None
+        for batch in batches:
+            for part, n in zip(batch.column(0), batch.column(1), strict=True):
+                np.minimum(total + np.frombuffer(n.as_buffer(), dtype=np.uint8), most, out=total)
+        yield pa.record_batch([pa.array([part.as_py()], pa.int32()), pa.array([np.packbits(total >= most).tobytes()])], names=["part", "bits"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shown = lambda code, i, off: pd.DataFrame({"code": pd.array(code, dtype="Int64"), "other": pd.Series([None] * len(code), dtype=object), "id": i, "off": off})
-        held = (np.zeros(0, dtype=np.int64),) * 3
-        for frame in frames:
-            frame = frame.sort_values("id", kind="stable")
-            ids = frame["id"].to_numpy()
-            for row, off, part, at, clean in windows(frame["seq"].tolist(), k):
-                code = packed(_DIGIT[part] & 3, k)[at[clean]]
-                held = kept(*(np.concatenate(x) for x in zip(held, (code, ids[row[clean]], off[clean]), strict=True)))
-                if not clean.all():
-                    odd = [part[i : i + k].tobytes().decode() for i in at[~clean]]
-                    yield pd.DataFrame({"code": pd.array([None] * len(odd), dtype="Int64"), "other": odd, "id": ids[row[~clean]], "off": off[~clean]})
-                if len(held[0]) >= HELD:
-                    yield shown(*held)
-                    held = (np.zeros(0, dtype=np.int64),) * 3
-        if len(held[0]):
-            yield shown(*held)
-
-    places = sequences.where(F.length("seq") >= k).select(F.col("id").cast("long"), "seq").mapInPandas(run, "code long, other string, id long, off long")
-    # the limit on the row number itself, so that Spark keeps these rows of a frequent k-mer in each task before the shuffle
-    nth = F.row_number().over(Window.partitionBy("code", "other").orderBy("id", "off"))
-    return places.withColumn("nth", nth).where(F.col("nth") <= most).select(F.coalesce("other", kmer_text(F.col("code"), k)).alias("kmer"), "nth", "id", "off")
+    counted = sequences.where(F.col("id") <= cut).select("seq").mapInArrow(run, "part int, n binary")
+    bits = sorted(counted.groupBy("part").applyInArrow(add, "part int, bits binary").collect())
+    return cut, np.frombuffer(b"".join(r["bits"] for r in bits), dtype=np.uint8)
+
+
+#: Columns of places that travel: a bucket of codes with the codes' places in it, or k-mers with other letters as they are; ids (behind ``base``) and
+#: offsets as unsigned numbers of one width, the smallest that will do.
+SENT = "bucket int, base long, code binary, other binary, ids binary, off binary"
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max())))
+
+
+def _wide(blob: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(blob.as_buffer(), dtype=f"u{len(blob.as_buffer()) // n}").astype(np.int64)
+
+
+def _batch(bucket: np.ndarray, base: int, edges: np.ndarray, code: np.ndarray, other: np.ndarray, ids: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, of the places between its edges; ``code`` or ``other`` is empty."""
+    blob = lambda x: pa.Array.from_buffers(pa.binary(), len(bucket), [None, pa.py_buffer((edges * x.itemsize * (len(x) > 0)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    columns = [pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), base)), blob(code), blob(other), blob(ids), blob(off)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "base", "code", "other", "ids", "off"])
+
+
+def _sent(k: int, code: np.ndarray, ids: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+    """Places as a row for each bucket of codes."""
+    order, each, base = np.argsort(code), max(4**k // BUCKETS, 1), int(ids.min())
+    code = code[order]
+    at = np.append(np.searchsorted(code, np.arange(BUCKETS) * each), len(code))
+    full = np.flatnonzero(np.diff(at))
+    return _batch(full, base, np.append(at[full], len(code)), (code % each).astype(np.uint16), np.zeros(0, dtype="S1"), _narrow(ids[order] - base), _narrow(off[order]))
+
+
+def _sent_others(texts: np.ndarray, ids: np.ndarray, off: np.ndarray, most: int) -> pa.RecordBatch:
+    """The same of k-mers with other letters: a row for each different one."""
+    every, code = np.unique(texts, return_inverse=True)
+    at = _earliest(code, ids, off, most)
+    new, _ = _heads(code[at])
+    bucket = np.array([BUCKETS + zlib.crc32(x) % BUCKETS for x in every.tolist()])
+    base = int(ids.min())
+    return _batch(bucket, base, np.append(new, len(at)), np.zeros(0, dtype=np.uint16), texts[at], _narrow(ids[at] - base), _narrow(off[at]))
+
+
+def place_slots(sequences: DataFrame, k: int, most: int) -> DataFrame:
+    """(kmer, fwd, nth, id, off): the first ``most`` places, by id and offset, of each k-mer (12 bases at most) of whole sequences, numbered from 1;
+    ``fwd``: it is smaller than its reverse complement.
+
+    A task sends on no more than ``most`` places of a k-mer while ids rise, and none of k-mers that have as many in sequences before; these are counted at
+    once, when the query is built. Places travel as numbers, a row for each bucket of k-mers, and a bucket's places are merged by numpy. A task holds a
+    byte for each possible k-mer and ``PLACES`` places; a bucket holds at most ``most`` places of each of its k-mers from each time that a task sends."""
+    if k > TABLED or most > 255:
+        raise ValueError(f"k-mers of {TABLED} bases and 255 places at most")
+    sequences = sequences.select(F.col("id").cast("long"), "seq")
+    cut, settled = _settled(sequences, k, most) or (None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, rows = _Seen(k, most, cut, settled), [], 0
+        for batch in batches:
+            for ids, seqs, rise in seen.parts(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
+                for row, off, part, at, clean in windows(seqs, k):
+                    code, row_, off_ = packed(_DIGIT[part] & 3, k)[at[clean]], row[clean], off[clean]
+                    stay = seen.first(code, row_ if rise else ids[row_], off_, rise)
+                    held.append((code[stay], ids[row_[stay]], off_[stay]))
+                    rows += len(stay)
+                    if not clean.all():
+                        odd = np.frombuffer(b"".join(part[i : i + k].tobytes() for i in at[~clean]), dtype=f"S{k}")
+                        yield _sent_others(odd, ids[row[~clean]], off[~clean], most)
+                    if rows >= PLACES:
+                        yield _sent(k, *map(np.concatenate, zip(*held, strict=True)))
+                        held, rows = [], 0
+        if rows:
+            yield _sent(k, *map(np.concatenate, zip(*held, strict=True)))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for bucket, base, code, other, ids, off in zip(*batch.columns, strict=True):
+                codes, texts = np.frombuffer(code.as_buffer(), dtype=np.uint16), np.frombuffer(other.as_buffer(), dtype=f"S{k}")
+                n = max(len(codes), len(texts))
+                held.append((texts, codes.astype(np.int32) + bucket.as_py() * max(4**k // BUCKETS, 1), _wide(ids, n) + base.as_py(), _wide(off, n)))
+                size += n
+                if size >= PLACES:
+                    held, size = [first(held)], 0
+        other, code, ids, off = first(held)
+        new, n = _heads(np.unique(other, return_inverse=True)[1] if len(other) else code)
+        nth = np.arange(len(ids)) - np.repeat(new, n) + 1
+        texts, fwd = _texts(other[new] if len(other) else other, code[new] if len(code) else code, k)
+        number = np.repeat(np.arange(len(new)), n)
+        whole = pa.RecordBatch.from_arrays([texts.take(pa.array(number)), pa.array(fwd[number]), pa.array(nth.astype(np.int32)), pa.array(ids), pa.array(off)], names=["kmer", "fwd", "nth", "id", "off"])
+        yield from (whole.slice(a, 1 << 14) for a in range(0, len(ids), 1 << 14))
+
+    def first(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        other, code, ids, off = map(np.concatenate, zip(*held, strict=True))
+        at = _earliest(np.unique(other, return_inverse=True)[1] if len(other) else code, ids, off, most)
+        return other[at] if len(other) else other, code[at] if len(code) else code, ids[at], off[at]
+
+    return sequences.where(F.length("seq") >= k).mapInArrow(run, SENT).groupBy("bucket").applyInArrow(merged, "kmer string, fwd boolean, nth int, id long, off long")
+
+
+def _texts(other: np.ndarray, code: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
+    """(text, whether it is smaller than its reverse complement) of k-mers: of ``other`` where there are any, else of codes."""
+    if len(other):
+        every = other.tolist()
+        return pa.array([x.decode() for x in every]), np.array([x < x[::-1].translate(_OTHER_STRAND) for x in every])
+    digits = code[:, None] >> np.arange(2 * k - 2, -1, -2, dtype=np.int32) & 3
+    letters = np.frombuffer(b"ACGT", dtype=np.uint8)[digits]
+    back = (3 - digits.astype(np.int64)) @ (1 << np.arange(0, 2 * k, 2))
+    return pa.StringArray.from_buffers(len(code), pa.py_buffer(np.arange(0, k * len(code) + 1, k, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(letters))), code < back
+
+
+def first_places(sequences: DataFrame, k: int, most: int) -> DataFrame:
+    """(kmer, nth, id, off): ``place_slots`` without the strand."""
+    return place_slots(sequences, k, most).select("kmer", "nth", "id", "off")
 
 
 def seed_keys(sequences: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as q
 from strandlake.operators.intervals import overlap_join
-from strandlake.operators.kmers import code_counts, first_places, kmer_counts, kmer_text, pair_hits, seed_keys, seed_table, seed_text, strand_hits, unique_prefixes, uniqueness
+from strandlake.operators.kmers import code_counts, kmer_counts, kmer_text, pair_hits, place_slots, seed_keys, seed_table, seed_text, strand_hits, unique_prefixes, uniqueness
 from strandlake.operators.reads import codon_phases, tiles
 from strandlake.plans.registry import query
 from strandlake.sources import views as v
@@ -160,7 +160,7 @@ def argmin_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slots(sequences: DataFrame) -> DataFrame:
-    return first_places(sequences, 12, 8).select("kmer", (F.col("kmer") < q.revcomp(F.col("kmer"))).alias("fwd"), (F.col("nth") - 1).cast("long").alias("slot"), "id", "off")
+    return place_slots(sequences, 12, 8).select("kmer", "fwd", (F.col("nth") - 1).cast("long").alias("slot"), "id", "off")
 
 
 @query(f"""with {v.dna_sql()}, k as (select id, off, substr(seq, off + 1, 12) as kmer from (select id, seq, unnest(range(0, greatest(length(seq) - 11, 0))) as off from dna)), n as (select *, row_number() over (partition by kmer order by id, off) - 1 as slot from k)

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from strandlake.operators import kmers
 from strandlake.plans import kmer
 
@@ -102,3 +104,25 @@ def test_few_rows_reach_the_lookup_and_none_is_lost(spark):
     assert sorted(tuple(r) for r in kmers.strand_hits(reads, seeds).collect()) == sorted(want)
     passed = kmers._placed(reads, ("id",), (False, True), kmers._filled(seeds)).where("code >= 0").count()
     assert passed <= len(want) + 120 < kmers._placed(reads, ("id",), (False, True)).count() / 10
+
+
+def test_first_places_of_repeated_ids_and_of_settled_kmers(spark, monkeypatch):
+    """Places of sequences with one id are told by offset; k-mers that the first sequences settle aren't sent on, and nothing is lost."""
+    rng = random.Random(24)
+    rows = [(rng.randrange(60) if k % 9 == 0 else 100 + k, "".join(rng.choices("ACGT" if k % 5 else "ACGTNR", k=rng.choice((0, 2, 40, 300))))) for k in range(200)]
+    rows += [(5, "TTTTT" + "ACG" * 9), (5, "ACG" * 9)]
+    found = {}
+    for i, s in rows:
+        for k in range(len(s) - 2):
+            found.setdefault(s[k : k + 3], []).append((i, k))
+    want = sorted((x, x < "".join({"A": "T", "C": "G", "G": "C", "T": "A"}.get(b, "N") for b in x[::-1]), n, i, k) for x, at in found.items() for n, (i, k) in enumerate(sorted(at)[:4], 1))
+    tables = [spark.createDataFrame(r, "id long, seq string").coalesce(n) for r, n in ((sorted(rows), 1), (sorted(rows), 3), (rows, 3))]
+    for many, step in ((1 << 15, 1 << 20), (10, 1 << 20), (10, 256)):
+        for table in tables:
+            monkeypatch.setattr(kmers, "MANY", many, raising=False)
+            monkeypatch.setattr(kmers, "STEP", step)
+            assert sorted(tuple(r) for r in kmers.first_places(table, 3, 4).collect()) == [(x, n, i, k) for x, _, n, i, k in want]
+            assert sorted(tuple(r) for r in kmers.place_slots(table, 3, 4).collect()) == want
+    cut, bits = kmers._settled(tables[0], 3, 4)
+    settled = {"".join("ACGT"[c >> s & 3] for s in (4, 2, 0)) for c, b in enumerate(np.unpackbits(bits)) if b}
+    assert settled == {x for x, at in found.items() if set(x) <= set("ACGT") and sum(i <= cut for i, _ in at) >= 4} and settled
