@@ -106,10 +106,10 @@ AHEAD, MANY = 16, 1 << 15
 
 
 def _earliest(code: np.ndarray, ids: np.ndarray, off: np.ndarray, most: int, ordered: bool = False) -> np.ndarray:
-    """Where the first ``most`` of each code stand, by id and offset, sorted by code. ``ordered``: ids and offsets are so already (codes below 2^31)."""
+    """Where the first ``most`` of each code stand, by id and offset, sorted by code. ``ordered``: ids and offsets are so already (codes below 2^36)."""
     if ordered:
-        key = np.sort((code.astype(np.int64) << 32) | np.arange(len(code)))
-        order, code = key & 0xFFFFFFFF, key >> 32
+        key = np.sort((code.astype(np.int64) << 27) | np.arange(len(code)))
+        order, code = key & 0x7FFFFFF, key >> 27
     else:
         order = np.lexsort((off, ids, code))
         code = code[order]
@@ -389,15 +389,158 @@ def _placed(sequences: DataFrame, by: tuple[str, ...], strands: tuple[bool, ...]
     return rows.mapInArrow(lambda batches: _places(batches, strands, passed), f"{kept}, rev boolean, off long, code long, other string")
 
 
-def seed_table(contigs: DataFrame, most: int = 8) -> DataFrame:
+def contig_hits(reads: DataFrame, contigs: DataFrame, by: tuple[str, ...], most: int = 16) -> DataFrame:
+    """``strand_hits`` of reads on the seeds of contigs (chr, seq) that have so many that a filter leaves little out; ``by`` are whole numbers. The reads'
+    18-mers travel to the buckets in which the seeds are found, and are looked up there."""
+    return _numbered(seed_table(contigs, reads=reads, by=by), by, most)
+
+
+def seed_table(contigs: DataFrame, most: int = 8, reads: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(code, other, chr, pos): the 18-mers of (chr, seq) that begin with A and occur once, packed (or as a text, with code -1, where they hold
-    other letters); a 16-mer has ``most`` slots at most."""
-    spots = _placed(contigs, ("chr",), (False,))
-    once = spots.groupBy("code", "other").agg(F.count("*").alias("n"), F.min("chr").alias("chr"), F.min(F.col("off") + 1).alias("pos")).where("n = 1")
-    # the 16-mer's text, as one with two other letters behind it shares its slots with packed ones
-    kmer16 = F.when(F.col("code") < 0, F.substring("other", 1, SEED - 2)).otherwise(kmer_text(F.shiftright("code", 4), SEED - 2))
-    slot = F.row_number().over(Window.partitionBy("_16").orderBy("chr", "pos"))
-    return once.withColumn("_16", kmer16).withColumn("slot", slot).where(F.col("slot") <= most).select("code", "other", "chr", "pos")
+    other letters); a 16-mer has ``most`` slots at most. With ``reads`` (by, seq), instead all hits (by, rev, off, chr, pos) of both of their strands.
+
+    Places travel as in ``place_slots``, no more than two of an 18-mer from each time that a task sends, to buckets of 16-mers that follow the number of
+    shuffle partitions."""
+    bits = min(max(int(np.ceil(np.log2(8 * int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))), 10), 16)
+    low, looked_up = 2 * SEED - 2 - bits, reads is not None  # A is 0: the first two bits don't tell
+
+    def sent(code: np.ndarray, ids: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+        at = _earliest(code, ids, off, 2, ordered=True)
+        code, base = code[at], int(ids.min())
+        edges = np.append(np.searchsorted(code, np.arange(1 << bits) << low), len(code))
+        full = np.flatnonzero(np.diff(edges))
+        return _batch(full, base, np.append(edges[full], len(code)), (code & (1 << low) - 1).astype(np.uint32), np.zeros(0, dtype="S1"), _narrow(ids[at] - base), _narrow(off[at]))
+
+    def sent_others(texts: np.ndarray, ids: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+        at = np.argsort(texts, kind="stable")
+        texts, ids, off, base = texts[at], ids[at], off[at], int(ids.min())
+        key = _sixteen(texts)
+        bucket = np.where(key >= 0, key >> low - 4, [zlib.crc32(x[: SEED - 2]) % (1 << bits) for x in texts.tolist()])
+        return _batch(bucket, base, np.arange(len(at) + 1), np.zeros(0, dtype=np.uint32), texts, _narrow(ids - base), _narrow(off))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for row, off, part, at, clean in windows(batch.column(1).to_pylist(), SEED):
+                chosen, code, other = _seed_codes(part, at, clean, False)
+                packed_, odd = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
+                held.append((code[packed_], ids[row[chosen[packed_]]], off[chosen[packed_]]))
+                rows += len(packed_)
+                if len(odd):
+                    yield sent_others(np.array([other[k].encode() for k in odd.tolist()], dtype=f"S{SEED}"), ids[row[chosen[odd]]], off[chosen[odd]])
+                if rows >= PLACES:
+                    yield sent(*map(np.concatenate, zip(*held, strict=True)))
+                    held, rows = [], 0
+        if rows:
+            yield sent(*map(np.concatenate, zip(*held, strict=True)))
+
+    def asked(code: np.ndarray, off: np.ndarray, *keys: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(code)
+        code, off, keys = code[order], _narrow(off[order]), [x[order] for x in keys]
+        edges = np.append(np.searchsorted(code, np.arange(1 << bits) << low), len(code))
+        full = np.flatnonzero(np.diff(edges))
+        sent_ = _batch(full, 0, np.append(edges[full], len(code)), (code & (1 << low) - 1).astype(np.uint32), np.zeros(0, dtype="S1"), off, off)
+        return sent_.set_column(4, "ids", _columns(keys, edges[full], edges[full + 1]))
+
+    def asked_others(texts: np.ndarray, off: np.ndarray, *keys: np.ndarray) -> pa.RecordBatch:
+        key, each = _sixteen(texts), np.arange(len(texts) + 1)
+        bucket = np.where(key >= 0, key >> low - 4, [zlib.crc32(x[: SEED - 2]) % (1 << bits) for x in texts.tolist()])
+        off = _narrow(off)
+        return _batch(bucket, 0, each, np.zeros(0, dtype=np.uint32), texts, off, off).set_column(4, "ids", _columns(list(keys), each[:-1], each[1:]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            keys = [batch.column(c).to_numpy() for c in range(len(by))]
+            for row, off, part, at, clean in windows(batch.column(len(by)).to_pylist(), SEED):
+                for rev in (False, True):
+                    chosen, code, other = _seed_codes(part, at, clean, rev)
+                    packed_, odd = np.flatnonzero(code >= 0), np.flatnonzero(code < 0)
+                    place = lambda x: (off[chosen[x]], np.full(len(x), int(rev)), *(c[row[chosen[x]]] for c in keys))  # noqa: B023, E731
+                    held.append((code[packed_], *place(packed_)))
+                    rows += len(packed_)
+                    if len(odd):
+                        yield asked_others(np.array([other[k].encode() for k in odd.tolist()], dtype=f"S{SEED}"), *place(odd))
+                if rows >= PLACES:
+                    yield asked(*map(np.concatenate, zip(*held, strict=True)))
+                    held, rows = [], 0
+        if rows:
+            yield asked(*map(np.concatenate, zip(*held, strict=True)))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, others = [(np.zeros(0, dtype=np.int64),) * 3], [(np.zeros(0, dtype=f"S{SEED}"), *(np.zeros(0, dtype=np.int64),) * 2)]
+        wanted = []
+        for batch in batches:
+            for bucket, base, code, other, ids, off, from_read in zip(*batch.columns, strict=True):
+                codes, texts = np.frombuffer(code.as_buffer(), dtype=np.uint32), np.frombuffer(other.as_buffer(), dtype=f"S{SEED}")
+                n = max(len(codes), len(texts))
+                if from_read.as_py():
+                    wanted.append((codes.astype(np.int64) + (bucket.as_py() << low), texts, _wide(off, n), _split(ids.as_buffer(), n, len(by) + 1)))
+                    continue
+                place = _wide(ids, n) + base.as_py(), _wide(off, n)
+                if len(texts):
+                    others.append((texts, *place))
+                else:
+                    held.append((codes.astype(np.int64) + (bucket.as_py() << low), *place))
+        code, ids, off = map(np.concatenate, zip(*held, strict=True))
+        order = np.argsort(code)
+        new, n = _heads(code[order])
+        at = order[new[n == 1]]
+        texts, more_ids, more_off = map(np.concatenate, zip(*others, strict=True))
+        texts, first, n = np.unique(texts, return_index=True, return_counts=True)
+        texts, first = texts[n == 1], first[n == 1]
+        # the 16-mer, as one with two other letters behind it shares its slots with packed ones; those with other letters are numbered below 0
+        key = _sixteen(texts)
+        key = np.where(key >= 0, key, -1 - np.unique(texts.astype(f"S{SEED - 2}"), return_inverse=True)[1])
+        key = np.concatenate([code[at] >> 4, key])
+        code, ids, off = np.concatenate([code[at], np.full(len(texts), -1)]), np.concatenate([ids[at], more_ids[first]]), np.concatenate([off[at], more_off[first]])
+        stay = np.sort(_earliest(key, ids, off, most))
+        if looked_up:
+            few = stay[stay >= len(at)]
+            tables = (code[stay[: len(stay) - len(few)]], ids[stay], off[stay]), (texts[few - len(at)], ids[few], off[few])
+            for codes, odd, where, keys in wanted:
+                asked_, (there, chr_, pos) = (odd, tables[1]) if len(odd) else (codes, tables[0])
+                k = np.searchsorted(there, asked_)
+                hit = np.flatnonzero(k < len(there))
+                hit = hit[there[k[hit]] == asked_[hit]]
+                rev, *keys = (x[hit] for x in keys)
+                columns = [*keys, rev == 1, where[hit], chr_[k[hit]], pos[k[hit]] + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[*by, "rev", "off", "chr", "pos"])
+            return
+        other = pa.array([""] * int((stay < len(at)).sum()) + [x.decode() for x in texts[stay[stay >= len(at)] - len(at)].tolist()], pa.string())
+        whole = pa.RecordBatch.from_arrays([pa.array(code[stay]), other, pa.array(ids[stay]), pa.array(off[stay] + 1)], names=["code", "other", "chr", "pos"])
+        yield from (whole.slice(a, 1 << 14) for a in range(0, len(stay), 1 << 14))
+
+    places = contigs.where(F.length("seq") >= SEED).select(F.col("chr").cast("long"), "seq").mapInArrow(run, SENT).withColumn("from_read", F.lit(False))
+    if reads is None:
+        return places.groupBy("bucket").applyInArrow(once, "code long, other string, chr long, pos long")
+    rows = reads.where(F.length("seq") >= SEED).select(*(F.col(c).cast("long") for c in by), "seq").mapInArrow(read, SENT).withColumn("from_read", F.lit(True))
+    return places.unionByName(rows).groupBy("bucket").applyInArrow(once, "".join(f"`{c}` long, " for c in by) + "rev boolean, off long, chr long, pos long")
+
+
+def _columns(keys: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """Whole numbers of places as one value for each stretch: their widths, their smallest values, and the numbers behind these column by column."""
+    base = np.array([x.min() for x in keys], dtype=np.int64)
+    cut = [_narrow(x - b) for x, b in zip(keys, base, strict=True)]
+    head = bytes(x.itemsize for x in cut) + base.tobytes()
+    return pa.array([head + b"".join(x[a:b].tobytes() for x in cut) for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+
+
+def _split(blob: pa.Buffer, n: int, columns: int) -> list[np.ndarray]:
+    """The numbers of a value of ``_columns``."""
+    data, at, out = blob.to_pybytes(), 9 * columns, []
+    base = np.frombuffer(data, dtype=np.int64, count=columns, offset=columns)
+    for c in range(columns):
+        out.append(np.frombuffer(data, dtype=f"u{data[c]}", count=n, offset=at).astype(np.int64) + base[c])
+        at += n * data[c]
+    return out
+
+
+def _sixteen(texts: np.ndarray) -> np.ndarray:
+    """The codes of the first 16 bases of texts of 18, -1 where another letter occurs there."""
+    digits = _DIGIT[np.frombuffer(texts.tobytes(), dtype=np.uint8).reshape(-1, SEED)[:, : SEED - 2]].astype(np.int64)
+    return np.where((digits > 3).any(axis=1), -1, (digits & 3) @ (1 << np.arange(2 * SEED - 6, -1, -2)))
 
 
 def seed_text(code: Column, other: Column) -> Column:
@@ -424,7 +567,10 @@ def strand_hits(reads: DataFrame, seeds: DataFrame, by: tuple[str, ...] = ("id",
     reverse complement. ``off`` is where the 18 bases begin in the read as given; the first ``most`` hits of a read stay, forward ones first.
 
     Tasks pack the 18-mers and leave out most that are no seeds by a filter of fixed size; the join decides. The filter is filled at once."""
-    hits = _placed(reads, by, (False, True), _filled(seeds)).join(seeds, ["code", "other"])
+    return _numbered(_placed(reads, by, (False, True), _filled(seeds)).join(seeds, ["code", "other"]), by, most)
+
+
+def _numbered(hits: DataFrame, by: tuple[str, ...], most: int) -> DataFrame:
     number = F.row_number().over(Window.partitionBy(*by).orderBy("rev", "off", "chr", "pos"))
     return hits.withColumn("hit_no", number).where(F.col("hit_no") <= most).select(*by, "rev", "off", "chr", "pos", "hit_no")
 

@@ -126,3 +126,22 @@ def test_first_places_of_repeated_ids_and_of_settled_kmers(spark, monkeypatch):
     cut, bits = kmers._settled(tables[0], 3, 4)
     settled = {"".join("ACGT"[c >> s & 3] for s in (4, 2, 0)) for c, b in enumerate(np.unpackbits(bits)) if b}
     assert settled == {x for x, at in found.items() if set(x) <= set("ACGT") and sum(i <= cut for i, _ in at) >= 4} and settled
+
+
+def test_contig_hits_are_the_hits_on_the_seed_table(spark):
+    rng = random.Random(25)
+    contigs = [(c, "".join(rng.choices("ACGT" if c % 2 else "ACGTR", (9, 9, 9, 9) if c % 2 else (30, 30, 30, 30, 1), k=1500))) for c in range(1, 7)]
+    contigs.append((7, contigs[0][1][100:400] + "".join(contigs[1][1][5:22] + x for x in "ACGTNRACGTK") + "A" * 60))
+    reads = [(-c, k, s[k : k + 90] if k % 3 else s[k : k + 90][::-1].translate(str.maketrans("ACGT", "TGCA"))) for c, s in contigs for k in range(0, len(s), 70)] + [(9, 0, ""), (9, 1, "A" * 17)]
+    table, texts = spark.createDataFrame(contigs, "chr long, seq string"), spark.createDataFrame(reads, "id long, at int, seq string").repartition(3)
+    want = sorted(map(tuple, kmers.strand_hits(texts, kmers.seed_table(table), ("id", "at")).collect()))
+    assert len(want) > 500 and sorted(map(tuple, kmers.contig_hits(texts, table, ("id", "at")).collect())) == want
+
+
+def test_places_are_aligned_once(spark):
+    """Aligning is most of the work: the plan has it once for seeded places and once for rescued mates."""
+    from strandlake.operators import mapper
+
+    contigs = spark.createDataFrame([(1, "ACGT" * 60)], "chr long, seq string")
+    plan = mapper.map_pairs(spark.createDataFrame([(1, "ACGT" * 9, "ACGT" * 9)], "id long, seq1 string, seq2 string"), contigs, ["id"])._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") <= 4
